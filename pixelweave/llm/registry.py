@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pixelweave.llm.language import op1_language_id
 from pixelweave.llm.near_dedup import op5_near_dedup
 from pixelweave.llm.packing import op3_packing
 from pixelweave.llm.sharding import op7_sharding
 from pixelweave.llm.substring_dedup import op4_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op3_packing": op3_packing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_near_dedup": op5_near_dedup,
     "op7_sharding": op7_sharding,
 }
+
+#: The methods have no SQL form; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {}
