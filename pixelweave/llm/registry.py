@@ -11,6 +11,7 @@ from pixelweave.llm.near_dedup import op5_near_dedup
 from pixelweave.llm.packing import op3_packing
 from pixelweave.llm.sharding import op7_sharding
 from pixelweave.llm.substring_dedup import op4_substring_dedup
+from pixelweave.llm.toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_near_dedup": op5_near_dedup,
     "op7_sharding": op7_sharding,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: The methods have no SQL form; tests hold them against brute force.
