@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pixelweave.llm.language import op1_language_id
 from pixelweave.llm.near_dedup import op5_near_dedup
 from pixelweave.llm.packing import op3_packing
+from pixelweave.llm.sentencepiece_bpe import op6_sentencepiece
 from pixelweave.llm.sharding import op7_sharding
 from pixelweave.llm.substring_dedup import op4_substring_dedup
 from pixelweave.llm.toxicity import op10_toxicity
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_near_dedup": op5_near_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_sharding": op7_sharding,
     "op10_toxicity": op10_toxicity,
 }
