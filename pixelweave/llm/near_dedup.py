@@ -173,19 +173,40 @@ def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return staged(map_arrow(both, _verified(similarity), "u long, v long"))
 
 
+def _rare(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The shingles of each text, with their counts."""
+    doc, element, weight = shingle_counts(*text_bytes(batch.column("text")))
+    at = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=batch.num_rows))]).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (element.view(np.int64), weight)]
+    return pa.RecordBatch.from_arrays([batch.column("id"), *lists], names=["id", "shingles", "counts"])
+
+
+def _shared_sizes(texts: DataFrame) -> DataFrame:
+    """Of each text: how many shingles it has, and how many of them occur in another of the texts too."""
+    lists = map_arrow(texts, _rare, "id long, shingles array<long>, counts array<long>")
+    each = lists.select("id", F.explode(F.arrays_zip("shingles", "counts")).alias("x")).select("id", "x.shingles", "x.counts")
+    alone = (
+        each.groupBy("shingles").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("counts").alias("own"))
+        .where("n = 1").groupBy("id").agg(F.sum("own").alias("own"))
+    )
+    size = lists.select("id", F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y).alias("size"))
+    return size.join(alone, "id", "left").select("id", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared"))
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Group documents whose five-word shingle multisets have a weighted Jaccard similarity of 0.8 or more.
 
-    Equal texts form a class, stood for by its smallest id. Signatures of all texts are banded;
-    within a bucket every class is compared with the bucket's smallest id, so a group of n near
-    copies gives n - 1 pairs. Where a bucket still holds several components after that, all pairs
-    between a document outside the first component and the bucket's other components are compared
-    too: no link found by banding is lost. Links are verified on the texts themselves.
+    Equal texts form a class, stood for by its smallest id. Signatures of all texts are banded.
+    Within a bucket every class is compared with one head, the class that shares most buckets with
+    others, so a group of n near copies gives n - 1 pairs. Where a bucket still holds several
+    components after that, the documents outside the head's component are paired with the bucket's
+    other components, so that no link found by banding is lost. A pair is left out there only if
+    the shingles that no other of these documents has rule the similarity out. Links are verified
+    on the texts themselves.
 
     Returns one row per input row: id, group_id (the smallest id of its group) and kept
     (id = group_id). Texts that are null or without words link with nothing; null ids are kept as
-    groups of their own with a null group_id; rows that repeat an id are copies of it if their
-    texts are equal, and are grouped under that id in any case.
+    groups of their own with a null group_id; rows that repeat an id are grouped under that id.
     """
     rows = ids_only(docs, id=doc_id, text=text).withColumn("id", F.col("id").cast("long"))
     keyed = rows.select("id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
@@ -193,26 +214,40 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     whole = signed.where("id is not null and bands is not null")
     classes = staged(whole.groupBy("key").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands")))
     banded = classes.select("rep", F.explode("bands").alias("band"))
-    heads = staged(banded.groupBy("band").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head"))
-    members = staged(banded.join(heads, "band"))
-    stars = staged(members.where("rep <> head").select(F.col("head").alias("u"), F.col("rep").alias("v")).distinct())
-    needed = members.select(F.col("rep").alias("id")).distinct()
+    sizes = staged(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    crowded = staged(banded.join(sizes, "band"))
+    partners = staged(crowded.groupBy("rep").agg(F.sum("n").alias("partners")))
+    heads = staged(
+        crowded.join(partners, "rep").groupBy("band").agg(F.max_by("rep", F.struct("partners", -F.col("rep"))).alias("head"))
+    )
+    members = staged(crowded.select("band", "rep").join(heads, "band"))
+    stars = staged(
+        members.where("rep <> head").select(F.least("rep", "head").alias("u"), F.greatest("rep", "head").alias("v")).distinct()
+    )
+    needed = staged(members.select(F.col("rep").alias("id")).distinct())
     texts = staged(rows.where("text is not null").join(needed, "id", "left_semi").dropDuplicates(["id"]))
     links = _linked(stars, texts, similarity)
     of = staged(connected(links))
     # buckets in which the star left several components
     label = of.select(F.col("node").alias("rep"), "component")
     named = staged(members.join(label, "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("c"), "head"))
-    mixed_up = staged(named.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band"))
+    several = staged(named.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band"))
     first = staged(named.where("rep = head").select("band", F.col("c").alias("c0")))
-    split = staged(named.join(mixed_up, "band", "left_semi").join(first, "band"))
-    out = split.where("c <> c0").select("band", F.col("rep").alias("u"), F.col("c").alias("cu"))
-    rest = split.select("band", F.col("rep").alias("v"), F.col("c").alias("cv"), "c0")
-    more = (
-        out.join(rest, "band").where("cu <> cv and (u < v or cv = c0)")
+    split = staged(named.join(several, "band", "left_semi").join(first, "band"))
+    apart = staged(split.select(F.col("rep").alias("id")).distinct())
+    shared = staged(_shared_sizes(texts.join(apart, "id", "left_semi")))
+    # overlap <= shared and overlap <= size of the other, so these can't reach the similarity with any text
+    split = staged(
+        split.join(shared.withColumnRenamed("id", "rep"), "rep").where(F.col("shared") >= F.col("size") * similarity).drop("head")
+    )
+    out = split.where("c <> c0").select("band", F.col("rep").alias("u"), F.col("c").alias("cu"), F.col("size").alias("su"), F.col("shared").alias("hu"))
+    rest = split.select("band", F.col("rep").alias("v"), F.col("c").alias("cv"), "c0", F.col("size").alias("sv"), F.col("shared").alias("hv"))
+    most = F.least("hu", "hv")  # that two texts can have in common
+    bound = most * (1 + similarity) >= (F.col("su") + F.col("sv")) * similarity - 1e-6
+    more = staged(
+        out.join(rest.withColumnRenamed("band", "b2"), (F.col("band") == F.col("b2")) & F.expr("cu <> cv and (u < v or cv = c0)") & bound)
         .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
     )
-    more = staged(more)
     if not more.isEmpty():
         links = links.unionByName(_linked(more, texts, similarity))
         of = staged(connected(links))
