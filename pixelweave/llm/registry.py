@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pixelweave.llm.embedding_dedup import op8_embedding_dedup
 from pixelweave.llm.language import op1_language_id
 from pixelweave.llm.near_dedup import op5_near_dedup
 from pixelweave.llm.packing import op3_packing
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_dedup": op5_near_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_sharding": op7_sharding,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
