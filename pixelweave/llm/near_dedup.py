@@ -238,15 +238,17 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     shared = staged(_shared_sizes(texts.join(apart, "id", "left_semi")))
     # overlap <= shared and overlap <= size of the other, so these can't reach the similarity with any text
     split = staged(
-        split.join(shared.withColumnRenamed("id", "rep"), "rep").where(F.col("shared") >= F.col("size") * similarity).drop("head")
-    )
-    out = split.where("c <> c0").select("band", F.col("rep").alias("u"), F.col("c").alias("cu"), F.col("size").alias("su"), F.col("shared").alias("hu"))
-    rest = split.select("band", F.col("rep").alias("v"), F.col("c").alias("cv"), "c0", F.col("size").alias("sv"), F.col("shared").alias("hv"))
+        split.join(shared.withColumnRenamed("id", "rep"), "rep").where(F.col("shared") >= F.col("size") * similarity)
+        .join(classes.select("rep", F.col("bands").alias("all")), "rep").drop("head")
+    )
+    out = split.where("c <> c0").select("band", F.col("rep").alias("u"), F.col("c").alias("cu"), F.col("size").alias("su"), F.col("shared").alias("hu"), F.col("all").alias("bu"))
+    rest = split.select("band", F.col("rep").alias("v"), F.col("c").alias("cv"), "c0", F.col("size").alias("sv"), F.col("shared").alias("hv"), F.col("all").alias("bv"))
     most = F.least("hu", "hv")  # that two texts can have in common
     bound = most * (1 + similarity) >= (F.col("su") + F.col("sv")) * similarity - 1e-6
+    once = F.col("band") == F.array_min(F.array_intersect("bu", "bv"))  # in the first bucket that holds both
     more = staged(
-        out.join(rest.withColumnRenamed("band", "b2"), (F.col("band") == F.col("b2")) & F.expr("cu <> cv and (u < v or cv = c0)") & bound)
-        .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
+        out.join(rest.withColumnRenamed("band", "b2"), (F.col("band") == F.col("b2")) & F.expr("cu <> cv and (u < v or cv = c0)") & bound & once)
+        .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).join(stars, ["u", "v"], "left_anti")
     )
     if not more.isEmpty():
         links = links.unionByName(_linked(more, texts, similarity))
