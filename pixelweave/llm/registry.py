@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pixelweave.llm.embedding_dedup import op8_embedding_dedup
 from pixelweave.llm.language import op1_language_id
 from pixelweave.llm.near_dedup import op5_near_dedup
+from pixelweave.llm.neighbours import op9_neighbours
 from pixelweave.llm.packing import op3_packing
 from pixelweave.llm.sentencepiece_bpe import op6_sentencepiece
 from pixelweave.llm.sharding import op7_sharding
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_sharding": op7_sharding,
     "op8_embedding_dedup": op8_embedding_dedup,
+    "op9_neighbours": op9_neighbours,
     "op10_toxicity": op10_toxicity,
 }
 
