@@ -14,10 +14,12 @@ from pixelweave.llm.packing import op3_packing
 from pixelweave.llm.sentencepiece_bpe import op6_sentencepiece
 from pixelweave.llm.sharding import op7_sharding
 from pixelweave.llm.substring_dedup import op4_substring_dedup
+from pixelweave.llm.suffix_dedup import op2_suffix_dedup
 from pixelweave.llm.toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_packing": op3_packing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_near_dedup": op5_near_dedup,
