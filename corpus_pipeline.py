@@ -1,8 +1,68 @@
-"""From raw documents to packed sequences."""
+"""From raw documents to packed sequences, in five stages.
 
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the
+last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pixelweave.llm import language, near_dedup, packing, substring_dedup, toxicity
+from pixelweave.llm._common import staged, table
+
+TOXIC = 0.5  # a document goes from this score on
+SURE = 0.5  # a document goes if its language is less sure than this, or if it has none
+
+
+def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the toxicity scorer rejects."""
+    net = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.with_toxicity(docs, net, score="_toxic").where(F.col("_toxic") < TOXIC).drop("_toxic")
+
+
+def language_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a sure language."""
+    found = language.with_language(docs, language.train(docs), lang="_lang", score="_sure")
+    return found.where((F.col("_lang") != language.UNKNOWN) & (F.col("_sure") >= SURE)).drop("_lang", "_sure")
+
+
+def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each near-duplicate group, that with the smallest id."""
+    gone = near_dedup.near_duplicates(docs).where(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(staged(gone), "doc_id", "left_anti").select(docs.columns)
+
+
+def passages_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut passages that a document with a smaller id holds too."""
+    left = substring_dedup.repeated_chunks(docs)
+    chars = F.when(F.col("n_removed") > 0, F.length("text_left").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return left.withColumns({"text": F.col("text_left"), "n_chars": chars}).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into windows of 2048 tokens."""
+    return packing.packed(docs).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("toxicity", toxic_out),
+    ("language_id", language_known),
+    ("near_dedup", near_copies_out),
+    ("substring_dedup", passages_out),
+    ("packing", packed),
+]
+
+#: No stage has an SQL form; a test holds run() against a brute-force version.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = staged(docs)
+    return docs

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ARROW_ROWS = 256  # rows an Arrow batch: long texts stay small beside a worker's memory
 
@@ -56,7 +57,7 @@ def dropped(df: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
     """Apply a function to each Arrow batch."""
     small_batches(df.sparkSession)
 
@@ -68,6 +69,17 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sche
     return df.mapInArrow(run, schema)
 
 
+def with_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], list[pa.Array]], columns: str) -> DataFrame:
+    """Append columns that a function makes of each Arrow batch; the rows keep their order and other columns."""
+    schema = StructType([*df.schema, *StructType.fromDDL(columns)])
+    names = schema.names
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns, *f(batch)], names=names)
+
+    return map_arrow(df, run, schema)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column as one array of bytes and the offsets of its rows (null: empty)."""
     column = column.fill_null("").cast(pa.large_binary()) if column.null_count else column.cast(pa.large_binary())

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm._common import crc_mod, ids_only, map_arrow, table, text_bytes
+from pixelweave.llm._common import crc_mod, ids_only, map_arrow, table, text_bytes, with_arrow
 
 LENGTH = 256  # bytes of a window
 WIDTHS, FILTERS, DIMS = (2, 3, 5), 16, 8
@@ -150,9 +150,9 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     return fitted(x, np.array([langs.index(r["lang"]) for r in got]), langs)
 
 
-def _scorer(net: ByteNet):
-    def score(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = text_bytes(batch.column("text"))
+def _scorer(net: ByteNet, text: str):
+    def score(batch: pa.RecordBatch) -> list[pa.Array]:
+        data, offsets = text_bytes(batch.column(text))
         starts, doc = windows_of(data, offsets)
         ends = offsets[1:][doc]
         sums = np.zeros((batch.num_rows, len(net.langs)))
@@ -165,38 +165,29 @@ def _scorer(net: ByteNet):
             np.add.at(total, doc[cut], weight)
         mean = sums / np.maximum(total, 1)[:, None]
         best = mean.argmax(axis=1)
-        lang = pa.array(net.langs).take(pa.array(best))
-        return pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in batch.schema.names if c != "text"), lang, pa.array(np.clip(mean[np.arange(len(best)), best], 0, 1))],
-            names=[*(c for c in batch.schema.names if c != "text"), "found", "sure"],
-        )
+        return [pa.array(net.langs).take(pa.array(best)), pa.array(np.clip(mean[np.arange(len(best)), best], 0, 1))]
 
     return score
 
 
-def languages(docs: DataFrame, net: ByteNet | None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Predict the language of each whole text.
+def with_language(docs: DataFrame, net: ByteNet | None, *, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Add the predicted language of each whole text and its score.
 
     Overlapping windows of LENGTH bytes cover a text; the mean of their probabilities, weighted by
     their bytes, decides. A text that is null or without a letter is `und` with score 0, as is
-    every text if there is no network. Returns id, lang_pred and score for every row, also for
-    null and repeated ids.
+    every text if there is no network. Every row stays, with its other columns.
     """
-    rows = ids_only(docs, id=doc_id, text=text).withColumn("id", F.col("id").cast("long"))
-    letters = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
     if net is None:
-        return rows.select("id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    found = map_arrow(rows.withColumn("letters", letters), _scorer(net), "id long, letters boolean, found string, sure double")
-    return found.select(
-        "id",
-        F.when(F.col("letters"), F.col("found")).otherwise(F.lit(UNKNOWN)).alias("lang_pred"),
-        F.when(F.col("letters"), F.col("sure")).otherwise(F.lit(0.0)).alias("score"),
+        return docs.withColumns({lang: F.lit(UNKNOWN), score: F.lit(0.0)})
+    letters = F.coalesce(F.col(f"`{text}`").rlike("\\p{L}"), F.lit(False))
+    found = with_arrow(docs, _scorer(net, text), f"`{lang}` string, `{score}` double")
+    return found.withColumns(
+        {lang: F.when(letters, F.col(f"`{lang}`")).otherwise(F.lit(UNKNOWN)), score: F.when(letters, F.col(f"`{score}`")).otherwise(F.lit(0.0))}
     )
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of every document."""
     docs = table(spark, sf_dir, "documents")
-    return languages(docs, train(docs)).select(
-        F.col("id").alias("doc_id"), (crc_mod("id", HELD_OUT[0]) == HELD_OUT[1]).alias("held_out"), "lang_pred", "score"
-    )
+    found = with_language(docs.select("doc_id", "text"), train(docs))
+    return found.select("doc_id", (crc_mod("doc_id", HELD_OUT[0]) == HELD_OUT[1]).alias("held_out"), "lang_pred", "score")

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm._common import ids_only, map_arrow, mixed, staged, table, text_bytes
+from pixelweave.llm._common import ids_only, map_arrow, mixed, staged, table, text_bytes, with_arrow
 
 BITS, SHORTEST, LONGEST = 5, 24, 256  # a cut about every 32 bytes, but 24 to 256 bytes apart
 MIN_RUN = 100  # bytes of adjacent repeated chunks that make a repeated passage
@@ -69,12 +69,12 @@ def _chunker(bits: int, shortest: int, longest: int):
     return chunk
 
 
-def _cutter(min_run: int):
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _cutter(text: str, min_run: int):
+    def cut(batch: pa.RecordBatch) -> list[pa.Array]:
         out = []
-        cols = (batch.column(c).to_pylist() for c in ("id", "text", "ends", "seen"))
-        for i, text, ends, seen in zip(*cols, strict=True):
-            raw = (text or "").encode()
+        cols = (batch.column(c).to_pylist() for c in (text, "_ends", "_seen"))
+        for body, ends, seen in zip(*cols, strict=True):
+            raw = (body or "").encode()
             spans: list[list[int]] = []
             for k in sorted(seen or ()):
                 s, e = ends[k - 1] if k else 0, ends[k]
@@ -87,13 +87,10 @@ def _cutter(min_run: int):
             for s, e in spans:
                 kept.append(raw[last:s])
                 last = e
-            kept.append(raw[last:])
-            left = b"".join(kept)
-            out.append((i, len(raw), len(raw) - len(left), len(spans), left.decode() if spans else text))
-        names = ["id", "n_bytes", "n_removed", "n_spans", "text"]
-        kinds = [pa.int64()] * 4 + [pa.string()]
-        cols = list(zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+            left = b"".join([*kept, raw[last:]])
+            out.append((len(raw), len(raw) - len(left), len(spans), left.decode() if spans else body))
+        kinds = [pa.int64()] * 3 + [pa.string()]
+        return [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
 
     return cut
 
@@ -109,8 +106,8 @@ def repeated_chunks(
     a digest keeps its chunk; in every other document a run of adjacent chunks kept elsewhere is
     removed if it spans at least `min_run` bytes. Repeats within one document stay.
 
-    Returns one row per document: id, n_bytes, n_removed, n_spans and text (what is
-    left; null stays null). Digests are pre-aggregated before their shuffle, so a chunk that most
+    Returns every row with its columns and n_bytes, n_removed, n_spans and text_left (what is left;
+    null stays null). Digests are pre-aggregated before their shuffle, so a chunk that most
     documents share costs one row a task. Rows with a null id are neither source nor target and
     are returned whole; rows that repeat an id count as one document for what is kept.
     """
@@ -122,16 +119,15 @@ def repeated_chunks(
     )
     seen = single.join(kept, "digest").where("id > first").groupBy("id").agg(F.collect_set("at").alias("seen"))
     marks = staged(chunks.dropDuplicates(["id"]).join(seen, "id").select("id", "ends", "seen"))
-    joined = rows.join(marks, "id", "left")
-    return map_arrow(
-        joined.select("id", "text", "ends", "seen"), _cutter(min_run),
-        "id long, n_bytes long, n_removed long, n_spans long, text string",
-    )
+    marks = marks.select(F.col("id").alias("_id"), F.col("ends").alias("_ends"), F.col("seen").alias("_seen"))
+    joined = docs.join(marks, docs[doc_id].cast("long") == F.col("_id"), "left").drop("_id")
+    added = "n_bytes long, n_removed long, n_spans long, text_left string"
+    return with_arrow(joined, _cutter(text, min_run), added).drop("_ends", "_seen")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What chunk deduplication leaves of every document."""
-    return repeated_chunks(table(spark, sf_dir, "documents")).select(
-        F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans",
-        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    return repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans",
+        F.sha2(F.coalesce("text_left", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm._common import crc_mod, ids_only, map_arrow, mixed, table, text_bytes
+from pixelweave.llm._common import crc_mod, ids_only, map_arrow, mixed, table, text_bytes, with_arrow
 
 LENGTH, STEP = 32, 16  # words of a window; windows overlap by half
 HIDDEN = 8
@@ -242,10 +242,10 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     return fitted([np.frombuffer(bytes(r["buckets"]), "<i4").reshape(-1, 3) for r in got], y)
 
 
-def _scorer(shared):
-    def score(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _scorer(shared, text: str):
+    def score(batch: pa.RecordBatch) -> list[pa.Array]:
         net = shared.value
-        data, offsets = text_bytes(batch.column("text"))
+        data, offsets = text_bytes(batch.column(text))
         best = np.zeros(batch.num_rows)
         buckets, words = word_inputs(data, offsets)
         flat = np.concatenate([buckets, np.zeros((LENGTH, 3), np.int32)])
@@ -256,27 +256,27 @@ def _scorer(shared):
             x = net.inputs(flat[lo:hi])[b[None, :] - lo + np.arange(LENGTH)[:, None]]
             p = net.probability(x, (np.arange(LENGTH)[:, None] < n).astype(np.float32))
             np.maximum.at(best, doc[s : s + 1024], p)
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.clip(best, 0, 1))], names=["id", "score"])
+        return [pa.array(np.clip(best, 0, 1))]
 
     return score
 
 
-def toxicity(docs: DataFrame, net: Gru | None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Score each whole text for toxicity: the highest score of its overlapping windows of LENGTH words.
+def with_toxicity(docs: DataFrame, net: Gru | None, *, text: str = "text", score: str = "score") -> DataFrame:
+    """Add a column with the toxicity of each whole text: the highest score of its overlapping windows of LENGTH words.
 
     Null and empty texts, and texts without words, get the score of an empty window; without a
-    network every score is 0. Returns id and score for every row, also for null and repeated ids.
+    network every score is 0. Every row stays, with its other columns.
     """
-    rows = ids_only(docs, id=doc_id, text=text).withColumn("id", F.col("id").cast("long"))
     if net is None:
-        return rows.select("id", F.lit(0.0).alias("score"))
-    return map_arrow(rows, _scorer(docs.sparkSession.sparkContext.broadcast(net)), "id long, score double")
+        return docs.withColumn(score, F.lit(0.0))
+    return with_arrow(docs, _scorer(docs.sparkSession.sparkContext.broadcast(net), text), f"`{score}` double")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document."""
     docs = table(spark, sf_dir, "documents")
-    return toxicity(docs, train(docs, table(spark, sf_dir, "labels"))).select(
-        F.col("id").alias("doc_id"), (crc_mod("id", HELD_OUT) == 0).alias("held_out"), "score",
+    scored = with_toxicity(docs.select("doc_id", "text"), train(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", (crc_mod("doc_id", HELD_OUT) == 0).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
