@@ -13,6 +13,7 @@ from pixelweave.llm._common import ids_only, map_arrow, mixed, staged, table, te
 from pixelweave.llm.components import connected
 
 WORDS, SIMILARITY = 5, 0.8
+CELLS = 64  # of the bound on what two texts have in common; a power of two
 BANDS, ROWS = 28, 5  # a pair at similarity 0.8 misses all bands with probability 1.5e-5
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -174,23 +175,30 @@ def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
 
 def _rare(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The shingles of each text, with their counts."""
+    """The shingles of each text with their counts, and how many fall into each of CELLS cells."""
+    texts = batch.num_rows
     doc, element, weight = shingle_counts(*text_bytes(batch.column("text")))
-    at = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=batch.num_rows))]).astype(np.int32))
+    cells = np.bincount(doc * CELLS + (element & _U(CELLS - 1)).astype(np.int64), weights=weight, minlength=texts * CELLS).astype(np.int32)
+    at = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=texts))]).astype(np.int32))
     lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (element.view(np.int64), weight)]
-    return pa.RecordBatch.from_arrays([batch.column("id"), *lists], names=["id", "shingles", "counts"])
+    lists.append(pa.ListArray.from_arrays(pa.array(np.arange(texts + 1, dtype=np.int32) * CELLS), pa.array(cells)))
+    return pa.RecordBatch.from_arrays([batch.column("id"), *lists], names=["id", "shingles", "counts", "cells"])
+
 
+def _shared_cells(texts: DataFrame) -> DataFrame:
+    """Of each text: how many shingles it has, and by cell, how many of them occur in another of the texts too.
 
-def _shared_sizes(texts: DataFrame) -> DataFrame:
-    """Of each text: how many shingles it has, and how many of them occur in another of the texts too."""
-    lists = map_arrow(texts, _rare, "id long, shingles array<long>, counts array<long>")
+    What two texts have in common is at most the sum over cells of the smaller count.
+    """
+    lists = map_arrow(texts, _rare, "id long, shingles array<long>, counts array<long>, cells array<int>")
     each = lists.select("id", F.explode(F.arrays_zip("shingles", "counts")).alias("x")).select("id", "x.shingles", "x.counts")
-    alone = (
-        each.groupBy("shingles").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("counts").alias("own"))
-        .where("n = 1").groupBy("id").agg(F.sum("own").alias("own"))
-    )
-    size = lists.select("id", F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y).alias("size"))
-    return size.join(alone, "id", "left").select("id", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared"))
+    alone = each.groupBy("shingles").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("counts").alias("own")).where("n = 1")
+    alone = alone.groupBy("id", F.col("shingles").bitwiseAND(CELLS - 1).cast("int").alias("cell")).agg(F.sum("own").cast("int").alias("own"))
+    alone = alone.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("cell", "own"))).alias("own"))
+    shared = F.transform("cells", lambda c, i: c - F.coalesce(F.element_at("own", i), F.lit(0)))
+    size = F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)
+    both = lists.select("id", size.alias("size"), "cells").join(alone, "id", "left").select("id", "size", shared.alias("cells"))
+    return both.withColumn("shared", F.aggregate("cells", F.lit(0), lambda x, y: x + y))
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -201,8 +209,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     others, so a group of n near copies gives n - 1 pairs. Where a bucket still holds several
     components after that, the documents outside the head's component are paired with the bucket's
     other components, so that no link found by banding is lost. A pair is left out there only if
-    the shingles that no other of these documents has rule the similarity out. Links are verified
-    on the texts themselves.
+    counts of the shingles that these documents share, by cells of a hash, rule the similarity
+    out. Links are verified on the texts themselves.
 
     Returns one row per input row: id, group_id (the smallest id of its group) and kept
     (id = group_id). Texts that are null or without words link with nothing; null ids are kept as
@@ -235,16 +243,17 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     first = staged(named.where("rep = head").select("band", F.col("c").alias("c0")))
     split = staged(named.join(several, "band", "left_semi").join(first, "band"))
     apart = staged(split.select(F.col("rep").alias("id")).distinct())
-    shared = staged(_shared_sizes(texts.join(apart, "id", "left_semi")))
+    shared = staged(_shared_cells(texts.join(apart, "id", "left_semi")))
     # overlap <= shared and overlap <= size of the other, so these can't reach the similarity with any text
     split = staged(
         split.join(shared.withColumnRenamed("id", "rep"), "rep").where(F.col("shared") >= F.col("size") * similarity)
         .join(classes.select("rep", F.col("bands").alias("all")), "rep").drop("head")
     )
-    out = split.where("c <> c0").select("band", F.col("rep").alias("u"), F.col("c").alias("cu"), F.col("size").alias("su"), F.col("shared").alias("hu"), F.col("all").alias("bu"))
-    rest = split.select("band", F.col("rep").alias("v"), F.col("c").alias("cv"), "c0", F.col("size").alias("sv"), F.col("shared").alias("hv"), F.col("all").alias("bv"))
-    most = F.least("hu", "hv")  # that two texts can have in common
-    bound = most * (1 + similarity) >= (F.col("su") + F.col("sv")) * similarity - 1e-6
+    out = split.where("c <> c0").select("band", F.col("rep").alias("u"), F.col("c").alias("cu"), F.col("size").alias("su"), F.col("shared").alias("hu"), F.col("cells").alias("xu"), F.col("all").alias("bu"))
+    rest = split.select("band", F.col("rep").alias("v"), F.col("c").alias("cv"), "c0", F.col("size").alias("sv"), F.col("shared").alias("hv"), F.col("cells").alias("xv"), F.col("all").alias("bv"))
+    enough = (F.col("su") + F.col("sv")) * (similarity / (1 + similarity)) - 1e-6  # that two texts must have in common
+    common = F.aggregate(F.zip_with("xu", "xv", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    bound = (F.least("hu", "hv") >= enough) & (common >= enough)
     once = F.col("band") == F.array_min(F.array_intersect("bu", "bv"))  # in the first bucket that holds both
     more = staged(
         out.join(rest.withColumnRenamed("band", "b2"), (F.col("band") == F.col("b2")) & F.expr("cu <> cv and (u < v or cv = c0)") & bound & once)
