@@ -158,8 +158,31 @@ def within(graph: SmallWorld, q: np.ndarray, cosine: float, audit: int = AUDIT,
     return np.repeat(np.arange(len(q)), n), np.concatenate(found).astype(np.int64) if len(found) else np.empty(0, np.int64)
 
 
-def _rows(part: pd.DataFrame) -> np.ndarray:
-    return np.stack(part["v"].to_numpy()) if len(part) else np.empty((0, 0))
+_GRAPH = "label string, own long, shards long, ids binary, vectors binary, tops binary, layers array<binary>"
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+
+
+def _built(part: pd.DataFrame) -> pd.DataFrame:
+    """The graph of one shard, as one row; it is built once, however many blocks query it."""
+    part = part.sort_values("rep", ignore_index=True)
+    x = _unit(np.stack(part["v"].to_numpy()))
+    graph = SmallWorld(x)
+    row = part.loc[:0, ["label", "own", "shards"]].copy()
+    row["ids"], row["vectors"], row["tops"] = part["rep"].to_numpy(np.int64).tobytes(), x.tobytes(), graph.top.astype(np.int64).tobytes()
+    row["layers"] = [[layer.tobytes() for layer in graph.layers]]
+    return row
+
+
+def _restored(row: pd.Series) -> tuple[np.ndarray, np.ndarray, SmallWorld]:
+    ids = np.frombuffer(row["ids"], np.int64)
+    x = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), -1)
+    graph = SmallWorld.__new__(SmallWorld)
+    graph.x, graph.top = x.astype(np.float32), np.frombuffer(row["tops"], np.int64)
+    graph.layers = [np.frombuffer(layer, np.int32).reshape(len(ids), -1) for layer in row["layers"]]
+    return ids, x, graph
 
 
 def near_vectors(
@@ -169,9 +192,9 @@ def near_vectors(
 
     Equal vectors of a label form a class, stood for by its smallest id. Classes are dealt at
     random into shards of about `shard` vectors of one label; each shard gets a small-world graph,
-    and blocks of all the label's vectors query every shard. Pairs found are verified on the
+    built once and stored, and blocks of all the label's vectors query every shard. Pairs found are verified on the
     original vectors. Vectors that are null, zero or hold null or non-finite components, or whose
-    label is null, link with nothing.
+    label is null, link with nothing; nor do vectors of different lengths.
 
     Returns one row per input row: id, n_links (other vectors linked directly), component_id (the
     smallest id reachable by links) and kept. Rows that repeat an id count as further vectors of
@@ -190,31 +213,27 @@ def near_vectors(
     classes = staged(keyed.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     counts = staged(classes.groupBy("label").agg(F.count("*").alias("n")).withColumn("shards", F.ceil(F.col("n") / shard)))
     dealt = classes.join(counts.select("label", "shards"), "label").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("shards")))
-    dealt = staged(dealt.select("rep", "label", "v", "own", "shards"))
-    # a vector is stored in its own shard and queries every shard of its label: key (label, shard, block of queries)
-    asks = dealt.select(
-        "rep", "label", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), F.col("own").alias("block"), F.lit(True).alias("asks")
-    )
-    holds = dealt.select(
-        "rep", "label", "v", F.col("own").alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("block"), F.lit(False).alias("asks")
-    )
+    dealt = staged(dealt.select("rep", F.concat_ws("/", F.col("label").cast("string"), F.size("v")).alias("label"), "v", "own", "shards"))
+    graphs = staged(dealt.groupBy("label", "own", "shards").applyInPandas(_built, _GRAPH))
+    # every block of queries, the vectors of a shard, meets every graph of its label
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))
+    asks = dealt.select("rep", "label", "v", every.alias("shard"), F.col("own").alias("block"))
+    holds = graphs.select("label", F.col("own").alias("shard"), every.alias("block"), "ids", "vectors", "tops", "layers")
+    keys = ["label", "shard", "block"]
 
-    def search(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["asks", "rep"], ignore_index=True)
-        v = _rows(part)
-        unit = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
-        asking = part["asks"].to_numpy(bool)
-        x, q = unit[~asking], unit[asking]
-        ids = part["rep"].to_numpy()
-        if not len(x) or not len(q):
+    def search(graph: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        if not len(graph) or not len(part):
             return pd.DataFrame({"u": [], "v": []}, dtype="int64")
-        i, j = within(SmallWorld(x), q, cosine)
+        ids, x, small_world = _restored(graph.iloc[0])
+        part = part.sort_values("rep", ignore_index=True)
+        q = _unit(np.stack(part["v"].to_numpy()))
+        i, j = within(small_world, q, cosine)
         exact = np.concatenate([(q[s] * x[t]).sum(axis=1) for s, t in zip(np.array_split(i, len(i) // 20000 + 1), np.array_split(j, len(i) // 20000 + 1), strict=True)])
-        u, w = ids[asking][i], ids[~asking][j]
+        u, w = part["rep"].to_numpy()[i], ids[j]
         keep = (exact >= cosine) & (u != w)
         return pd.DataFrame({"u": np.minimum(u, w)[keep], "v": np.maximum(u, w)[keep]}).drop_duplicates()
 
-    grouped = asks.unionByName(holds).groupBy("label", "shard", "block")
+    grouped = holds.groupBy(*keys).cogroup(asks.groupBy(*keys))
     pairs = staged(grouped.applyInPandas(search, "u long, v long").distinct())
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     copies = classes.select(F.col("rep").alias("v"), "copies")
