@@ -1,5 +1,94 @@
-"""SQL twins of the registered queries, for an independent engine on the same tables."""
+"""SQL twins of the registered queries, for an independent engine on the same tables.
+
+Queries without a twin are held by tests against brute force or invariants.
+"""
 
 from __future__ import annotations
 
-ORACLE_SQL: dict[str, str] = {}
+_SQ = "240 + coalesce(q, 0) % 3856"
+RAW = f"""cells as (select y, x from range(32) a(y), range(32) b(x)),
+sums as (select l_orderkey % 32 y, l_partkey % 32 x, cast(sum(l_quantity) as bigint) q from lineitem group by 1, 2),
+raw as (select 0 img, cast(y as int) y, cast(x as int) x, cast({_SQ} as int) v from cells left join sums using (y, x)),
+normal as (select img, y, x, least(greatest((cast(v as double) - 240) / 3855, 0), 1) v from raw)"""
+FRAMES = f"""fcells as (select i img, y, x from range(1, 8) c(i), range(16) a(y), range(16) b(x)),
+fsums as (select cast(l_linenumber as bigint) img, l_orderkey % 16 y, l_partkey % 16 x, cast(sum(l_quantity) as bigint) q from lineitem group by 1, 2, 3),
+frames as (select cast(img as int) img, cast(y as int) y, cast(x as int) x, cast({_SQ} as int) v from fcells left join fsums using (img, y, x)),
+clean as (select y, x, cast(floor(avg(v)) as int) clean from frames group by 1, 2),
+pairs as (select img, y, x, v, clean from frames join clean using (y, x)),
+rgb as (select y, x, max(case when img = 1 then v % 256 end) r, max(case when img = 2 then v % 256 end) g, max(case when img = 3 then v % 256 end) b from frames group by 1, 2),
+stats as (select y, x, avg(v - 240.0::double) m, var_samp(v - 240.0::double) var from frames group by 1, 2)"""
+EMB = "e as (select 0 img, cast(vec_id as int) y, cast(unnest(range(len(embedding))) as int) x, cast(unnest(embedding) as double) v from embeddings)"
+_ISO = "case event_type when 'signup' then 1600 when 'view' then 3200 when 'error' then 6400 when 'click' then 12800 else 25600 end"
+PARAMS = f"""params as (select 'scene' || (user_id % 11 + 1) scene, {_ISO} iso, cast(event_id % 7 + 1 as int) frame, cast(event_id % 10 as int) noisy_idx,
+event_id, value a, round(value - 20, 2) b from events)"""
+RESULTS = f"results as (select event_type method, {_ISO} iso, cast(event_id % 7 + 1 as int) frame, value psnr from events)"
+PACKED = "packed as (select img, cast(y // 2 as int) y, cast(x // 2 as int) x, cast(y % 2 * 2 + x % 2 as int) ch, v from raw)"
+A, B = 0.002, 0.00005
+_VST = "2 * sqrt(greatest(v / {a} + 0.375 + {b} / ({a} * {a}), 0))"
+
+
+def _stable(a: float, b: float) -> str:
+    return _VST.format(a=f"{a}::double", b=f"{b}::double")
+
+
+def _u8(v: str) -> str:
+    return f"cast(floor(least(greatest({v}, 0), 255)) as int)"
+
+
+def _near(v: str) -> str:
+    return f"cast(floor(least(greatest({v}, 0), 255) + 0.5) as int)"
+
+
+_N01 = "least(greatest((cast({} as double) - 240) / 3855, 0), 1)"
+_Y = "(r * 0.299::double + g * 0.587::double + b * 0.114::double)"
+_DCT = f"""{EMB}, p as (select y, cast(x // 8 as int) i, cast(x % 8 as int) j, v from e),
+basis as (select k, n, case when k = 0 then sqrt(1 / 8.0::double) else sqrt(2 / 8.0::double) end * cos(pi() * (2 * n + 1) * k / 16.0::double) c from range(8) a(k), range(8) b(n)),
+spectrum as (select y, cast(a.k as int) i, cast(b.k as int) j, sum(a.c * b.c * v) v from p join basis a on a.n = i join basis b on b.n = j group by 1, 2, 3),
+kept as (select y, i, j, case when abs(v) < 0.1 then 0 else v end v from spectrum)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "raw_normalize": f"with {RAW} select img, y, x, round(v, 6) v from normal",
+    "vst_forward": f"with {RAW} select img, y, x, round({_stable(A, B)}, 6) v from normal",
+    "gat_forward": f"with {RAW} select img, y, x, round({_stable(A, 0.01 * 0.01)}, 6) v from normal",
+    "gat_inverse_asym": f"with {RAW}, s as (select img, y, x, {_stable(A, 0.01 * 0.01)} d from normal) select img, y, x, round({A}::double * (d * d / 4 - 0.125 - 0.0001::double / ({A}::double * {A}::double)), 6) v from s",
+    "vst_inverse_alg": f"with {RAW}, s as (select img, y, x, {_stable(A, B)} d from normal) select img, y, x, round({A}::double * (d * d / 4 - 0.375 - {B}::double / ({A}::double * {A}::double)), 6) v from s",
+    "quantize_u16": f"with {RAW} select img, y, x, cast(floor(least(greatest(round(v * 0.9::double, 9) * 3855 + 240, 0), 4095)) as int) v from normal",
+    "quantize_u8": f"with {RAW} select img, y, x, {_u8('v * 255.0::double / 4095.0::double')} cut, {_near('v * 255.0::double / 4095.0::double')} near, cast(v // 256 as int) high from raw",
+    "param_units": f"with {PARAMS} select event_id, round(a / 3855.0::double, 9) a_norm, round(greatest(b, 0) / (3855.0::double * 3855), 9) b_var, round(sqrt(greatest(b, 0)) / 3855.0::double, 9) b_std from params where a > 0",
+    "srgb_gamma": f"with {RAW} select img, y, x, round(case when v <= 0.0031308 then v * 12.92::double else pow(v, 1 / 2.4::double) * 1.055::double - 0.055::double end, 6) v from normal",
+    "ycrcb": f"with {FRAMES} select y, x, {_near(_Y)} luma, {_near(f'(r - {_Y}) * 0.713::double + 128')} cr, {_near(f'(b - {_Y}) * 0.564::double + 128')} cb from rgb",
+    "wb_ccm": f"""with {FRAMES}, w as (select y, x, least(r / 255.0::double * 2.394::double, 1) r, least(g / 255.0::double, 1) g, least(b / 255.0::double * 1.597::double, 1) b from rgb)
+select y, x, round(least(greatest(1.9712::double * r - 0.7503::double * g - 0.2209::double * b, 0), 1), 6) r, round(least(greatest(-0.2491::double * r + 1.4727::double * g - 0.2236::double * b, 0), 1), 6) g,
+round(least(greatest(0.0172::double * r - 0.4864::double * g + 1.4692::double * b, 0), 1), 6) b from w""",
+    "method_noise": f"with {FRAMES} select img, y, x, {_u8('v / 16.0::double - clean / 16.0::double + 128')} v from pairs",
+    "residual": f"with {FRAMES} select img, y, x, round(least(abs({_N01.format('v')} - {_N01.format('clean')}) * 5, 1), 6) v from pairs",
+    "max_normalize": f"with {RAW} select img, y, x, round(case when max(v) over (partition by img) > 10 then v / cast(max(v) over (partition by img) as double) else v end, 6) v from raw",
+    "pack_bayer": f"with {RAW}, {PACKED} select img, y, x, ch, v from packed",
+    "unpack_bayer": f"with {RAW} select img, y, x, v from raw",
+    "guide_channel": f"with {RAW}, {PACKED} select img, y, x, round(avg(v), 6) mean4, max(case when ch = 0 then v end) ch0 from packed group by 1, 2, 3",
+    "mse": f"with {FRAMES} select img, round(avg((v - clean) * (v - clean)::double), 6) mse from pairs group by 1",
+    "psnr_raw": f"with {FRAMES}, m as (select img, avg((v - clean) * (v - clean)::double) m from pairs group by 1) select img, round(case when m > 0 then 10 * log10(4095.0::double * 4095 / m) end, 6) psnr from m",
+    "psnr_norm": f"with {FRAMES}, m as (select img, avg(pow({_N01.format('v')} - {_N01.format('clean')}, 2)) m from pairs group by 1) select img, round(case when m > 0 then 10 * log10(1 / m) end, 6) psnr from m",
+    "pixel_mean_var": f"with {FRAMES} select y, x, round(m, 6) m, round(var, 6) var from stats",
+    "noise_percentiles": f"with {FRAMES} select round(quantile_cont(m, 0.05), 6) lo, round(quantile_cont(m, 0.95), 6) hi from stats",
+    "noise_ols": f"""with {FRAMES}, q as (select greatest(quantile_cont(m, 0.05), 0) lo, quantile_cont(m, 0.95) hi from stats)
+select count(*) n, round(case when count(*) >= 100 then regr_slope(var, m) end, 4) a, round(case when count(*) >= 100 then regr_intercept(var, m) end, 4) b from stats, q where m between lo and hi and var >= 0""",
+    "image_stats": f"with {EMB} select img, round(min(v), 6) lo, round(max(v), 6) hi, round(avg(v), 6) mean, round(stddev_pop(v), 6) sd from e group by 1",
+    "summary_by_method": f"with {RESULTS} select method, round(avg(psnr), 4) mean, count(psnr) n from results group by 1",
+    "summary_by_iso": f"with {RESULTS} select iso, round(avg(psnr), 4) mean, count(psnr) n from results group by 1",
+    "argmin_config": f"with {PARAMS}, c as (select scene, sum(event_id) cost from params group by 1) select scene, cast(cost as bigint) cost from c order by cost, scene limit 1",
+    "param_grid": "select s sigma, k, p patch, t step from (values (10), (20), (30)) a(s), (values (8), (16)) b(k), (values (5), (7), (9)) c(p), (values (1), (2)) d(t)",
+    "ref_grid": "select cast(y as int) ref_y, cast(x as int) ref_x from range(0, 1073, 4) a(y), range(0, 1913, 4) b(x)",
+    "limit_refs": "select cast(y as int) ref_y, cast(x as int) ref_x from range(0, 121, 3) a(y), range(0, 121, 3) b(x) order by 1, 2 limit 30",
+    "dct2d": f"with {_DCT} select y, i, j, round(v, 5) v from spectrum",
+    "dct_inverse": f"with {EMB} select y, cast(x // 8 as int) i, cast(x % 8 as int) j, round(v, 5) v from e",
+    "hard_threshold": f"with {_DCT} select y, i, j, round(v, 5) v from kept",
+    "nonzero_count": f"with {_DCT} select y, count(*) filter (v <> 0) n_nz from kept group by 1",
+    "match_ssd_topk": f"""with {RAW}, refs as (select y ref_y, x ref_x from range(0, 25, 4) a(y), range(0, 25, 4) b(x)), cand as (select y, x from range(25) a(y), range(25) b(x)),
+off as (select i, j from range(8) a(i), range(8) b(j)),
+d as (select ref_y, ref_x, c.y, c.x, sum((p.v - q.v) * (p.v - q.v)) dist from refs join cand c on abs(c.y - ref_y) <= 19 and abs(c.x - ref_x) <= 19 and not (c.y = ref_y and c.x = ref_x), off
+join raw p on p.y = ref_y + i and p.x = ref_x + j join raw q on q.y = c.y + i and q.x = c.x + j group by all)
+select 0 img, cast(ref_y as int) ref_y, cast(ref_x as int) ref_x, cast(rk as int) rk, cast(dist as bigint) dist, cast(y as int) y, cast(x as int) x
+from (select *, row_number() over (partition by ref_y, ref_x order by dist, y, x) rk from d) where rk <= 8""",
+}
+ORACLE_SQL["match_tiled"] = ORACLE_SQL["match_ssd_topk"]
