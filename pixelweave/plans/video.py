@@ -37,7 +37,7 @@ def filtered_frame(noisy: DataFrame, before: DataFrame | None, height: int, widt
     """
     r, keys = patch // 2, ["img", "ref_y", "ref_x"]
     blur = lambda df: stencil.correlate(df, height, width, kernels.gaussian(2, 1.5), "reflect101")
-    own = blur(noisy)
+    own = _cut(blur(noisy))  # several branches read it, as they do the groups
     spatial = knn.aknn(own, height, width, patch=patch, step=step, tile=32, overlap=8)
     spatial = spatial.select("img", (F.col("y") - r).alias("ref_y"), (F.col("x") - r).alias("ref_x"), "dist", "dy", "dx", "k")
     temporal = spatial.where("false")
@@ -49,7 +49,7 @@ def filtered_frame(noisy: DataFrame, before: DataFrame | None, height: int, widt
         source = noisy.unionByName(before.withColumn("img", -F.col("img") - 1))
     slots = match.pool(spatial, temporal, keys)
     t = F.when(F.col("t") == 1, -F.col("img") - 1).otherwise(F.col("img"))
-    groups = slots.select(*keys, F.col("slot").alias("k"), t.alias("t"), (F.col("ref_y") + F.col("dy")).alias("y"), (F.col("ref_x") + F.col("dx")).alias("x"), F.lit(8).alias("size"))
+    groups = _cut(slots.select(*keys, F.col("slot").alias("k"), t.alias("t"), (F.col("ref_y") + F.col("dy")).alias("y"), (F.col("ref_x") + F.col("dx")).alias("x"), F.lit(8).alias("size")))
     window = noisy.sparkSession.createDataFrame(kernels.kaiser(patch), "i int, j int, win double")
     out = denoise.grouped_filter(source, groups, height, width, patch=patch, most=8, kind="haar", window=window, current_only=True)
     return out.where("img >= 0")
