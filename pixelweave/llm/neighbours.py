@@ -19,6 +19,7 @@ ROUNDS, STILL = 8, 0.03  # NN-descent ends when fewer than this share of neighbo
 BEAM, WIDEST, FRONT = 128, 2048, 48
 SEEDS = 32  # nodes anywhere in the graph that each search begins with besides its own place
 AUDIT, RECALL = 64, 0.94  # queries held against brute force, and the share they must find before the beam is widened no more
+BLOCK = 2000  # queries that are answered by brute force at a time
 
 _WIDTH = DEGREE + BACK
 _STATE = "u long, vec binary, ids array<long>, scores array<float>, done array<boolean>"
@@ -173,26 +174,72 @@ def descent(nodes: DataFrame, codes: DataFrame, count: int, *, rounds: int = ROU
     return graph
 
 
-def _truth(nodes: DataFrame, asked: list, top: int) -> dict[int, set[int]]:
-    """The nearest nodes of a few audited queries, by brute force."""
-    q_ids = np.array([r["u"] for r in asked])
-    q = np.stack([np.frombuffer(bytes(r["vec"]), np.float32) for r in asked])
+def _best(pairs: DataFrame, keep: int, *more: F.Column) -> DataFrame:
+    """Of each u its `keep` best w by the score s, smaller w first where scores are equal."""
+    best = F.sort_array(F.collect_list(F.when(F.col("w") != F.col("u"), F.struct("s", F.bitwise_not("w").alias("w")))), asc=False)
+    return pairs.groupBy("u").agg(F.slice(best, 1, keep).alias("best"), *more).withColumn("best", F.transform("best", lambda x: F.struct(x["s"], F.bitwise_not(x["w"]).alias("w"))))
 
-    def best(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = batch.column("u").to_numpy()
-        s = np.where(ids[None, :] == q_ids[:, None], -np.inf, q @ _vecs(batch.column("vec")).T)
-        at = np.argsort(-s, axis=1, kind="stable")[:, :top]
-        rows = np.repeat(np.arange(len(q)), at.shape[1])
-        return pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array(ids[at.ravel()]), pa.array(s[rows, at.ravel()].astype(float))], names=["u", "v", "s"])
 
-    rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), "v"))
-    got = _mapped(nodes, best, "u long, v long, s double").where("s > double('-infinity')").withColumn("r", rank).where(f"r <= {top}").collect()
-    out: dict[int, set[int]] = {r["u"]: set() for r in asked}
-    for r in got:
-        out[r["u"]].add(r["v"])
+def _rows(column: pa.Array, n: int) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(n, -1)
+
+
+def _rescored(state: DataFrame, known: DataFrame, beam: int, top: int, keep: int, longest: float, scale: float) -> DataFrame:
+    """Each beam, all of it, by scores in double precision on the original vectors (u, v).
+
+    A beam is crowded if it is full and a node whose code fell below its last one could still
+    belong to the `top`: rounding moves a score by half the largest scale a component at most.
+    """
+    floor = F.when(F.size("scores") >= beam, F.array_min("scores").cast("double"))
+    pairs = state.select("u", floor.alias("floor"), F.explode("ids").alias("w"))
+    pairs = pairs.join(known.select(F.col("u").alias("w"), F.col("v").alias("x")), "w").join(known.select("u", F.col("v").alias("q")), "u")
+
+    def dots(batch: pa.RecordBatch) -> pa.RecordBatch:
+        q, x = (_rows(batch.column(c), batch.num_rows) for c in ("q", "x"))
+        off = np.abs(q).sum(axis=1) / longest * scale / 2 + 1e-5  # and what 32-bit sums lose
+        return pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("u", "w", "floor")), pa.array((q * x).sum(axis=1)), pa.array(off)], names=["u", "w", "floor", "s", "off"]
+        )
+
+    got = _mapped(pairs.select("u", "w", "floor", "q", "x"), dots, "u long, w long, floor double, s double, off double")
+    got = _best(got, keep, F.max("floor").alias("floor"), F.max("off").alias("off"))
+    last = F.get("best", F.lit(top - 1))["s"] / longest**2
+    crowded = F.col("floor").isNotNull() & F.coalesce(last - F.col("floor") < F.col("off"), F.lit(True))
+    return staged(got.select("u", "best", crowded.alias("crowded")))
+
+
+def _exact(known: DataFrame, asked: DataFrame, keep: int) -> DataFrame:
+    """The `keep` best of all vectors (u, v) for each of some, in double precision: a block of queries at a time against all."""
+    spark = known.sparkSession
+    blocks = -(-asked.count() // BLOCK)
+    asked = staged(asked.withColumn("block", F.pmod(F.xxhash64("u"), F.lit(max(1, blocks)))))
+    parts = [_block(known, rows, keep) for k in range(blocks) if (rows := asked.where(F.col("block") == k).collect())]
+    out = spark.createDataFrame([], "u long, best array<struct<s: double, w: long>>")
+    for part in parts:
+        out = out.unionByName(part)
     return out
 
 
+def _block(known: DataFrame, asked: list, keep: int) -> DataFrame:
+    ids, q = np.array([r["u"] for r in asked], np.int64), np.array([r["v"] for r in asked], float)
+
+    def run(batches):
+        s, w = np.empty((len(q), 0)), np.empty((len(q), 0), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                u = part.column("u").to_numpy()
+                s = np.append(s, np.where(u[None, :] == ids[:, None], -np.inf, q @ _rows(part.column("v"), part.num_rows).T), axis=1)
+                w = np.append(w, np.broadcast_to(u, (len(q), len(u))), axis=1)
+                if s.shape[1] > keep:
+                    top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
+                    s, w = np.take_along_axis(s, top, 1), np.take_along_axis(w, top, 1)
+        ok = np.isfinite(s)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, ok.sum(axis=1))), pa.array(w[ok]), pa.array(s[ok])], names=["u", "w", "s"])
+
+    return staged(_best(known.select("u", "v").mapInArrow(run, "u long, w long, s double"), keep))
+
+
 def nearest(
     vectors: DataFrame, queries: F.Column, *, vec_id: str = "vec_id", vector: str = "embedding", top: int = TOP, beam: int = BEAM, recall: float = RECALL
 ) -> DataFrame:
@@ -202,9 +249,11 @@ def nearest(
     smallest id; NN-descent builds a graph over all classes, in a space with one more component
     that makes all lengths equal, so that near means a large inner product. Each query starts from
     its own class's place in the graph and a few seeds, and expands the best unexpanded members of its beam, round by
-    round, until there are none. AUDIT queries are held against brute force, and the beam is
-    doubled until they find the share `recall`. Ids in a beam are then scored in double precision
-    on the original vectors; of a class only the `top` + 1 smallest ids can appear.
+    round, until there are none. Whole beams are then scored in double precision on the original
+    vectors. AUDIT queries are held against brute force, and the beam is doubled until they find
+    the share `recall`; if they don't at the widest, all queries are answered by brute force. So
+    is every query whose beam is full of nodes too near each other for their one-byte codes. Of a
+    class only the `top` + 1 smallest ids can appear.
 
     Returns query_id, rank (from 1), vec_id and score. Vectors that are null, zero, or hold null or
     non-finite components, or have another number of components than most, take no part; rows
@@ -227,41 +276,48 @@ def nearest(
     def packed(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1) / longest
         flat = np.append(x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1, keepdims=True))), axis=1).astype(np.float32)
+        codes = _codes(flat)
+        scales = np.frombuffer(b"".join(c[:4] for c in codes), np.float32)
         return pa.RecordBatch.from_arrays(
-            [batch.column("u"), pa.array([r.tobytes() for r in flat], pa.binary()), pa.array(_codes(flat), pa.binary())], names=["u", "vec", "code"]
+            [batch.column("u"), pa.array([r.tobytes() for r in flat], pa.binary()), pa.array(codes, pa.binary()), pa.array(scales)], names=["u", "vec", "code", "scale"]
         )
 
-    both = staged(_mapped(classes.select("u", "v"), packed, "u long, vec binary, code binary"))
+    both = staged(_mapped(classes.select("u", "v"), packed, "u long, vec binary, code binary, scale float"))
     nodes, codes = both.select("u", "vec"), both.select(F.col("u").alias("nb"), "code")
-    count = both.count()
+    count, scale = both.agg(F.count("*"), F.max("scale")).first()
     graph = descent(nodes, codes, count)
     records = _records(graph, codes).repartition("node").persist()
     asking = usable.where(queries).select(F.col("id").alias("query_id"), "key", F.col("v").alias("q"))
     starts = asking.select("key").distinct().join(classes.select("key", "u"), "key").select("u")
     seeds = nodes.orderBy(F.xxhash64("u"), "u").limit(SEEDS).collect()
     state = staged(_mapped(nodes.join(starts, "u"), _started(seeds), _STATE))
+    known, keep = classes.select("u", "v"), 2 * top + 24
+    ranked = state.select("u", F.lit(None).cast("array<struct<s: double, w: long>>").alias("best"))
     if count > 1 and not state.isEmpty():
-        asked = state.select("u", "vec").orderBy(F.xxhash64("u")).limit(AUDIT).collect()
-        truth = _truth(nodes, asked, min(top, count - 1))
-        wanted = sum(len(x) for x in truth.values())
         while True:
             while not state.where(F.exists("done", lambda x: ~x)).isEmpty():
                 old, state = state, _expanded(state, records, beam, FRONT)
                 dropped(old)
                 _freed(spark)
-            mine = state.where(F.col("u").isin([r["u"] for r in asked])).select("u", F.slice("ids", 1, top).alias("ids")).collect()
-            got = sum(len(truth[r["u"]] & set(r["ids"])) for r in mine)
-            if got >= recall * wanted or beam >= min(WIDEST, count):
+            ranked = _rescored(state, known, beam, top, keep, longest, scale)
+            clear = ranked.where(~F.col("crowded"))
+            asked = {r["u"]: {x["w"] for x in r["best"][:top]} for r in clear.orderBy(F.xxhash64("u")).limit(AUDIT).collect()}
+            truth = _exact(known, known.where(F.col("u").isin(list(asked))), min(top, count - 1)).collect() if asked else []
+            enough = sum(len(asked[r["u"]] & {x["w"] for x in r["best"]}) for r in truth) >= recall * sum(len(r["best"]) for r in truth)
+            if enough or beam >= min(WIDEST, count):
                 break
             beam *= 2
             state = staged(state.withColumn("done", F.transform("done", lambda _: F.lit(False))))
+        left = ranked.where("crowded") if enough else ranked
+        if not left.isEmpty():
+            exact = _exact(known, known.join(left.select("u"), "u"), keep)
+            ranked = clear.select("u", "best").unionByName(exact) if enough else exact
     records.unpersist()
-    # classes in a beam, and the query's own: its copies
-    found = state.select("u", F.explode(F.array_union(F.array("u"), F.slice("ids", 1, 2 * top + 24))).alias("w"))
+    # the best classes, and the query's own: its copies
+    found = ranked.select("u", F.explode(F.array_union(F.array("u"), F.coalesce(F.col("best.w"), F.array().cast("array<long>")))).alias("w"))
     order = Window.partitionBy("key").orderBy("id")
     members = staged(usable.select("key", "id").withColumn("r", F.row_number().over(order)).where(f"r <= {top + 1}").drop("r"))
-    known = classes.select("key", F.col("u").alias("w"), "v")
-    pairs = found.join(known.select("w", F.col("key").alias("k2"), F.col("v").alias("x")), "w")
+    pairs = found.join(classes.select(F.col("u").alias("w"), F.col("key").alias("k2"), F.col("v").alias("x")), "w")
     pairs = pairs.join(classes.select("u", "key", F.col("v").alias("q")), "u")
     dot = F.aggregate(F.zip_with("q", "x", lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p)
     scored = staged(pairs.select("key", "k2", dot.alias("score")))

@@ -172,5 +172,20 @@ def test_neighbours(vectors):
     assert hits >= 0.9 * wanted
 
 
+def test_neighbours_among_near_copies(spark):
+    """More distinct near copies than a beam holds, nearer to each other than one-byte codes tell."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(200, 16)), rng.normal(size=(1, 16)) + rng.normal(scale=1e-5, size=(400, 16))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    for asked, recall in ((F.col("id") % 40 == 0, neighbours.RECALL), (F.col("id") % 50 == 1, 1.1)):
+        got: dict[int, set[int]] = {}
+        for r in neighbours.nearest(df, asked, recall=recall, beam=neighbours.BEAM if recall < 1 else 1024).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        found = [len(got[i] & set(np.argsort(-s[i])[:20].tolist())) for i in got if i >= 200 or recall > 1]
+        assert found and sum(found) == 20 * len(found)
+
+
 def test_registry_names():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
