@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pixelweave.llm._common import ids_only, map_arrow, mixed, staged, table, text_bytes, with_arrow
 
 BITS, SHORTEST, LONGEST = 5, 24, 256  # a cut about every 32 bytes, but 24 to 256 bytes apart
-MIN_RUN = 100  # bytes of adjacent repeated chunks that make a repeated passage
+MIN_RUN = 100  # bytes of adjacent repeated chunks, and of equal text beside them, that make a repeated passage
 GEAR = (mixed(np.arange(256, dtype=np.uint64) + np.uint64(77)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -69,19 +69,64 @@ def _chunker(bits: int, shortest: int, longest: int):
     return chunk
 
 
+def _runs(ends: list[int], seen: list[dict]) -> list[tuple[int, int, dict, dict]]:
+    """Runs of adjacent repeated chunks: start, end, and the first and the last chunk."""
+    runs: list[tuple[int, int, dict, dict]] = []
+    for x in sorted({x["at"]: x for x in seen}.values(), key=lambda x: x["at"]):
+        s, e = ends[x["at"] - 1] if x["at"] else 0, ends[x["at"]]
+        if runs and runs[-1][1] == s:
+            runs[-1] = (runs[-1][0], e, runs[-1][2], x)
+        else:
+            runs.append((s, e, x, x))
+    return runs
+
+
+def _edges(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Both sides of every run, with the document that keeps its chunk there and the bytes as far as the next run."""
+    out = []
+    for i, ends, seen in zip(*(batch.column(c).to_pylist() for c in ("id", "ends", "seen")), strict=True):
+        runs = _runs(ends, seen)
+        for k, (s, e, first, last) in enumerate(runs):
+            before = s - (runs[k - 1][1] if k else 0)
+            after = (runs[k + 1][0] if k + 1 < len(runs) else ends[-1]) - e
+            out += [(i, k, left, x["first"], x["digest"], n) for left, x, n in ((True, first, before), (False, last, after)) if n]
+    kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.int32()]
+    cols = zip(*out, strict=True) if out else [[]] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "run", "left", "keeper", "digest", "n"])
+
+
+def _same(a: bytes, b: bytes) -> int:
+    """The bytes that two texts have in common at their start."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    differ = np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)
+    return int(differ.argmax())
+
+
 def _cutter(text: str, min_run: int):
     def cut(batch: pa.RecordBatch) -> list[pa.Array]:
         out = []
-        cols = (batch.column(c).to_pylist() for c in (text, "_ends", "_seen"))
-        for body, ends, seen in zip(*cols, strict=True):
+        cols = (batch.column(c).to_pylist() for c in (text, "_ends", "_seen", "_beside"))
+        for body, ends, seen, beside in zip(*cols, strict=True):
             raw = (body or "").encode()
+            reach: dict[tuple[int, bool], int] = {}
+            runs = _runs(ends, seen) if seen else []
+            for x in beside or ():
+                s, e = runs[x["run"]][:2]
+                n = _same(raw[:s][-len(x["near"]) :][::-1], x["near"][::-1]) if x["left"] else _same(raw[e : e + len(x["near"])], x["near"])
+                reach[x["run"], x["left"]] = max(reach.get((x["run"], x["left"]), 0), n)
             spans: list[list[int]] = []
-            for k in sorted(seen or ()):
-                s, e = ends[k - 1] if k else 0, ends[k]
-                if spans and spans[-1][1] == s:
-                    spans[-1][1] = e
+            for k, (s, e, _, _) in enumerate(runs):
+                from_, to = s - reach.get((k, True), 0), e + reach.get((k, False), 0)
+                while from_ < s and raw[from_] & 0xC0 == 0x80:
+                    from_ += 1
+                while to > e and to < len(raw) and raw[to] & 0xC0 == 0x80:
+                    to -= 1
+                if spans and spans[-1][1] >= from_:
+                    spans[-1][1] = max(spans[-1][1], to)
                 else:
-                    spans.append([s, e])
+                    spans.append([from_, to])
             spans = [(s, e) for s, e in spans if e - s >= min_run]
             kept, last = [], 0
             for s, e in spans:
@@ -104,7 +149,8 @@ def repeated_chunks(
     A gear rolling hash cuts each text where its content says so; an insertion therefore shifts
     only the cuts near it. Chunks are told apart by a 128-bit digest. The smallest id that holds
     a digest keeps its chunk; in every other document a run of adjacent chunks kept elsewhere is
-    removed if it spans at least `min_run` bytes. Repeats within one document stay.
+    extended on both sides, byte by byte, as far as it equals the text that keeps its outer chunk,
+    and removed if it then spans at least `min_run` bytes. Repeats within one document stay.
 
     Returns every row with its columns and n_bytes, n_removed, n_spans and text_left (what is left;
     null stays null). Digests are pre-aggregated before their shuffle, so a chunk that most
@@ -117,12 +163,26 @@ def repeated_chunks(
     kept = staged(
         single.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first")
     )
-    seen = single.join(kept, "digest").where("id > first").groupBy("id").agg(F.collect_set("at").alias("seen"))
+    seen = single.join(kept, "digest").where("id > first").groupBy("id").agg(F.collect_list(F.struct("at", "first", "digest")).alias("seen"))
     marks = staged(chunks.dropDuplicates(["id"]).join(seen, "id").select("id", "ends", "seen"))
-    marks = marks.select(F.col("id").alias("_id"), F.col("ends").alias("_ends"), F.col("seen").alias("_seen"))
+    edges = map_arrow(marks, _edges, "id long, run int, left boolean, keeper long, digest binary, n int")
+    keepers = chunks.dropDuplicates(["id"]).select(F.col("id").alias("keeper"), "digests", F.col("ends").alias("kept_ends"))
+    place = F.array_position("digests", F.col("digest")).cast("int")
+    edges = edges.join(keepers, "keeper").select(
+        "id", "run", "left", "keeper", "n",
+        F.coalesce(F.get("kept_ends", place - F.when(F.col("left"), 2).otherwise(1)), F.lit(0)).alias("edge"),
+    )
+    texts = rows.where("id is not null").select(F.col("id").alias("keeper"), F.col("text").cast("binary").alias("whole"))
+    start = F.when(F.col("left"), F.greatest(F.col("edge") - F.col("n"), F.lit(0))).otherwise(F.col("edge"))
+    length = F.when(F.col("left"), F.least("n", "edge")).otherwise(F.col("n"))
+    near = F.substring(F.col("whole"), start + 1, length).alias("near")
+    beside = edges.join(texts, "keeper").select("id", "run", "left", near).where("length(near) > 0")
+    beside = beside.groupBy("id").agg(F.collect_list(F.struct("run", "left", "near")).alias("beside"))
+    marks = marks.join(beside, "id", "left")
+    marks = marks.select(F.col("id").alias("_id"), F.col("ends").alias("_ends"), F.col("seen").alias("_seen"), F.col("beside").alias("_beside"))
     joined = docs.join(marks, docs[doc_id].cast("long") == F.col("_id"), "left").drop("_id")
     added = "n_bytes long, n_removed long, n_spans long, text_left string"
-    return with_arrow(joined, _cutter(text, min_run), added).drop("_ends", "_seen")
+    return with_arrow(joined, _cutter(text, min_run), added).drop("_ends", "_seen", "_beside")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,6 +99,16 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.repeated_chunks(empty).count() == 0
 
 
+def test_substring_dedup_takes_whole_passages(spark):
+    """Passages of 51 to 100 words go to their first and last byte, but for a few without a chunk inside."""
+    planted = [prose(7000 + k, 51 + k % 50) for k in range(100)]
+    rows = [(2 * k + j, f"{prose(3 * k + j, 40)} é{p}ü {prose(9000 + 2 * k + j, 40)}") for k, p in enumerate(planted) for j in (0, 1)]
+    got = {r["doc_id"]: r for r in substring_dedup.repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    removed = [got[2 * k + 1]["n_removed"] / len(p.encode()) for k, p in enumerate(planted)]
+    assert all(got[2 * k]["n_removed"] == 0 for k in range(100))
+    assert sum(r >= 1 for r in removed) >= 97 and np.mean(removed) > 0.97, sorted(removed)[:10]
+
+
 def test_near_dedup(docs, empty):
     got = {r["id"]: r["group_id"] for r in near_dedup.near_duplicates(docs[0]).collect()}
     rows = [(i, t) for i, t in docs[1] if i is not None]
