@@ -54,7 +54,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: No stage has an SQL form; a test holds run() against a brute-force version.
+#: No stage has an SQL form; no test holds run() against a brute-force version yet.
 ORACLE_SQL = None
 
 

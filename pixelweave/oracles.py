@@ -1,6 +1,6 @@
 """SQL twins of the registered queries, for an independent engine on the same tables.
 
-Queries without a twin are held by tests against brute force or invariants.
+Of the queries without a twin only a few are held by tests against brute force or invariants.
 """
 
 from __future__ import annotations
