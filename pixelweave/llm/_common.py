@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,25 +11,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
-ARROW_ROWS = 256  # rows an Arrow batch: long texts stay small beside a worker's memory
+BATCH = 1 << 20  # bytes of text that are worked on at once, about; a longer text counts alone
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, so that memory does not follow the longest texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share. Only in one process may it be one of our own."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.match(r"local($|\[)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(found)
     return found
@@ -42,7 +40,7 @@ def staged(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
@@ -57,27 +55,45 @@ def dropped(df: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
-    """Apply a function to each Arrow batch."""
-    small_batches(df.sparkSession)
+def by_bytes(batch: pa.RecordBatch, column: str, most: int = BATCH) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about so many bytes of text each, so that memory doesn't follow the rows of a batch."""
+    ends = text_bytes(batch.column(column))[1][1:]
+    s = 0
+    while s < batch.num_rows:
+        e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + most, "right")))
+        yield batch.slice(s, e - s)
+        s = e
+
+
+def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, text: str = "text") -> DataFrame:
+    """Apply a function to slices of Arrow batches with a bounded amount of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield f(batch)
+            for part in by_bytes(batch, text):
+                yield f(part)
 
     return df.mapInArrow(run, schema)
 
 
-def with_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], list[pa.Array]], columns: str) -> DataFrame:
-    """Append columns that a function makes of each Arrow batch; the rows keep their order and other columns."""
-    schema = StructType([*df.schema, *StructType.fromDDL(columns)])
-    names = schema.names
+def with_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], list[pa.Array]], columns: str, text: str) -> DataFrame:
+    """Append columns that a function makes of slices of Arrow batches.
+
+    The rows keep their order and other columns; a column of an appended one's name gives way to it.
+    """
+    names, added = df.columns, StructType.fromDDL(columns)
+    own = [StructField(f"_{k}", f.dataType, f.nullable) for k, f in enumerate(df.schema)]
+    new = [StructField(f"_{len(own) + k}", f.dataType) for k, f in enumerate(added)]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*batch.columns, *f(batch)], names=names)
+        made = f(batch.rename_columns(names))
+        return pa.RecordBatch.from_arrays([*batch.columns, *made], names=[x.name for x in (*own, *new)])
 
-    return map_arrow(df, run, schema)
+    done = map_arrow(df.toDF(*(x.name for x in own)), run, StructType([*own, *new]), f"_{names.index(text)}")
+    return done.select(
+        *(F.col(x.name).alias(n) for x, n in zip(own, names, strict=True) if n not in added.names),
+        *(F.col(x.name).alias(a.name) for x, a in zip(new, added, strict=True)),
+    )
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -103,8 +119,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def crc_mod(column: str, modulus: int) -> F.Column:
-    """crc32 of the id as text, modulo a number."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+    """crc32 of the id as text, modulo a number; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")).cast("binary")) % modulus
 
 
 def ids_only(df: DataFrame, **columns: str) -> DataFrame:

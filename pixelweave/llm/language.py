@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,6 @@ LENGTH = 256  # bytes of a window
 WIDTHS, FILTERS, DIMS = (2, 3, 5), 16, 8
 STEP = LENGTH - max(WIDTHS) + 1  # windows overlap, so that no filter position is lost
 SAMPLE = 400  # labelled documents of each language that the network learns from, about
-SAMPLE_WINDOWS = 4  # windows of each of them
 HELD_OUT = (3, 1)  # crc32(id) mod 3 = 1 is never learned from
 UNKNOWN = "und"
 
@@ -62,8 +62,11 @@ def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return np.where(at < ends[:, None], data[np.minimum(at, len(data) - 1)], 0) if len(data) else np.zeros(at.shape, np.uint8)
 
 
-def fitted(windows: np.ndarray, labels: np.ndarray, langs: list[str], *, steps: int = 300, batch: int = 96, seed: int = 7) -> ByteNet:
-    """Train by Adam on windows that are cut short at random, so that short texts are learned too."""
+def fitted(
+    windows: np.ndarray, labels: np.ndarray, docs: np.ndarray, langs: list[str], *, steps: int = 300, batch: int = 96, seed: int = 7
+) -> ByteNet:
+    """Train by Adam on windows that are cut short at random, so that short texts are learned too.
+    Languages count alike, and so do the documents of a language, however many windows they have."""
     rng = np.random.default_rng(seed)
     widest, total = max(WIDTHS), FILTERS * len(WIDTHS)
     mask = np.zeros((widest, DIMS, total), np.float32)
@@ -79,8 +82,9 @@ def fitted(windows: np.ndarray, labels: np.ndarray, langs: list[str], *, steps:
     }
     p = {k: v.astype(np.float32) for k, v in p.items()}
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    weight = 1 / np.maximum(np.bincount(labels, minlength=len(langs)), 1)
-    chance = weight[labels] / weight[labels].sum()
+    chance = 1 / np.bincount(docs)[docs]
+    chance /= np.bincount(labels, chance, len(langs))[labels]
+    chance /= chance.sum()
     for step in range(1, steps + 1):
         i = rng.choice(len(windows), batch, p=chance)
         x = windows[i].copy()
@@ -116,23 +120,18 @@ def fitted(windows: np.ndarray, labels: np.ndarray, langs: list[str], *, steps:
 
 def _windowed(batch: pa.RecordBatch) -> pa.RecordBatch:
     data, offsets = text_bytes(batch.column("text"))
-    ids = np.asarray(batch.column("id").to_pylist())
     starts, doc = windows_of(data, offsets)
-    keep = np.zeros(len(doc), bool)
-    first = np.searchsorted(doc, np.arange(len(ids)))
-    count = np.bincount(doc, minlength=len(ids))
-    for j in range(SAMPLE_WINDOWS):  # spread over the text
-        keep[first + (count - 1) * j // max(1, SAMPLE_WINDOWS - 1)] = True
-    rows = gathered(data, starts[keep], offsets[1:][doc[keep]])
-    cols = [pa.array(ids[doc[keep]]), batch.column("lang").take(pa.array(doc[keep])), pa.array([r.tobytes() for r in rows], pa.binary())]
-    return pa.RecordBatch.from_arrays(cols, names=["id", "lang", "window"])
+    rows = gathered(data, starts, offsets[1:][doc])
+    cut = np.append(0, np.cumsum(np.bincount(doc, minlength=batch.num_rows)))
+    wins = pa.array([rows[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+    return pa.RecordBatch.from_arrays([batch.column("h"), batch.column("lang"), wins], names=["h", "lang", "windows"])
 
 
 def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> ByteNet | None:
     """Learn from about `sample` labelled documents of each language, outside the held-out fold.
 
-    The sample is chosen by a hash of the id; SAMPLE_WINDOWS windows of each document reach the
-    driver. None if no document has a label.
+    The sample is chosen by a hash of the id; all windows of its documents reach the driver. Null
+    texts aren't learned from. None if no document has a label.
     """
     rows = ids_only(docs, id=doc_id, text=text, lang=lang)
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("id", HELD_OUT[0]) != HELD_OUT[1]))
@@ -142,12 +141,13 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     langs = sorted(counts)
     part = F.create_map(*(F.lit(x) for k in langs for x in (k, min(2**30, -(-sample * 2**20 // counts[k])))))
     chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(2**20)) < part[F.col("lang")])
-    got = map_arrow(chosen.select(F.col("id").cast("long").alias("id"), "lang", "text"), _windowed, "id long, lang string, window binary").collect()
-    got.sort(key=lambda r: (r["lang"], r["id"], bytes(r["window"])))
+    got = map_arrow(chosen.select(F.xxhash64("id").alias("h"), "lang", "text"), _windowed, "h long, lang string, windows binary").collect()
+    got.sort(key=lambda r: (r["lang"], r["h"], bytes(r["windows"])))
     if not got:
         return None
-    x = np.frombuffer(b"".join(bytes(r["window"]) for r in got), np.uint8).reshape(-1, LENGTH)
-    return fitted(x, np.array([langs.index(r["lang"]) for r in got]), langs)
+    x = np.frombuffer(b"".join(bytes(r["windows"]) for r in got), np.uint8).reshape(-1, LENGTH)
+    doc = np.repeat(np.arange(len(got)), [len(r["windows"]) // LENGTH for r in got])
+    return fitted(x, np.array([langs.index(r["lang"]) for r in got])[doc], doc, langs)
 
 
 def _scorer(net: ByteNet, text: str):
@@ -165,7 +165,9 @@ def _scorer(net: ByteNet, text: str):
             np.add.at(total, doc[cut], weight)
         mean = sums / np.maximum(total, 1)[:, None]
         best = mean.argmax(axis=1)
-        return [pa.array(net.langs).take(pa.array(best)), pa.array(np.clip(mean[np.arange(len(best)), best], 0, 1))]
+        letters = pc.match_substring_regex(batch.column(text).fill_null(""), "\\p{L}")
+        langs = pc.if_else(letters, pa.array(net.langs).take(pa.array(best)), UNKNOWN)
+        return [langs, pc.if_else(letters, pa.array(np.clip(mean[np.arange(len(best)), best], 0, 1)), 0.0)]
 
     return score
 
@@ -175,15 +177,12 @@ def with_language(docs: DataFrame, net: ByteNet | None, *, text: str = "text", l
 
     Overlapping windows of LENGTH bytes cover a text; the mean of their probabilities, weighted by
     their bytes, decides. A text that is null or without a letter is `und` with score 0, as is
-    every text if there is no network. Every row stays, with its other columns.
+    every text if there is no network. Every row stays, with its other columns, whatever its id;
+    equal texts get equal answers. Columns that have the names `lang` or `score` are replaced.
     """
     if net is None:
         return docs.withColumns({lang: F.lit(UNKNOWN), score: F.lit(0.0)})
-    letters = F.coalesce(F.col(f"`{text}`").rlike("\\p{L}"), F.lit(False))
-    found = with_arrow(docs, _scorer(net, text), f"`{lang}` string, `{score}` double")
-    return found.withColumns(
-        {lang: F.when(letters, F.col(f"`{lang}`")).otherwise(F.lit(UNKNOWN)), score: F.when(letters, F.col(f"`{score}`")).otherwise(F.lit(0.0))}
-    )
+    return with_arrow(docs, _scorer(net, text), f"`{lang}` string, `{score}` double", text)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

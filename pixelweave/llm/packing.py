@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm._common import ids_only, small_batches, staged, table
+from pixelweave.llm._common import ids_only, staged, table
 
 WINDOW = 2048
 END_ID = 1  # closes each document
@@ -41,8 +41,8 @@ def _encoder(json_path: str, ranks_path: str | None):
         if text.isascii() or max(text) < "ɐ":
             try:
                 return fast.encode_to_numpy(text, allowed_special="all")
-            except BaseException as e:  # a panic of its regex engine on extreme runs
-                if isinstance(e, (KeyboardInterrupt, SystemExit)):
+            except BaseException as e:  # a panic of its regex engine on extreme runs; its class can't be imported
+                if type(e).__name__ != "PanicException":
                     raise
         return np.asarray(slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -54,15 +54,16 @@ def _pieces(json_path: str, ranks_path: str | None, window: int, end_id: int):
         encode, uid = _encoder(json_path, ranks_path), TaskContext.get().partitionId() << 33
         for batch in batches:
             out = []
-            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for i, text in enumerate(batch.column("text")):
+                text = text.as_py()
                 ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
                 for s in range(0, len(ids), window):
                     own = ids[s : s + window]
                     out.append((i, s, len(own), zlib.crc32(own.tobytes()), len(ids), uid))
                     uid += 1
             if out:
-                names = ["id", "start", "length", "ids_crc32", "doc_tokens", "uid"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+                row, *cols = (pa.array(c, pa.int64()) for c in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(row), *cols], names=["id", "start", "length", "ids_crc32", "doc_tokens", "uid"])
 
     return run
 
@@ -131,9 +132,8 @@ def packed(
 
     if json_path is None:
         json_path, ranks_path = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
-    small_batches(docs.sparkSession)
-    rows = ids_only(docs, id=doc_id, text=text).withColumn("id", F.col("id").cast("long"))
-    schema = "id long, start long, length long, ids_crc32 long, doc_tokens long, uid long"
+    rows = ids_only(docs, id=doc_id, text=text)
+    schema = f"id {dict(rows.dtypes)['id']}, start long, length long, ids_crc32 long, doc_tokens long, uid long"
     pieces = staged(rows.mapInArrow(_pieces(json_path, ranks_path, window, end_id), schema))
     full = pieces.where(F.col("length") == window).withColumns({"sequence_id": F.col("uid") * 2 + 1, "offset": F.lit(0).cast("long")})
     rest = pieces.where(F.col("length") < window)

@@ -206,14 +206,15 @@ def coded(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", model_
     """Encode each whole text as the sentencepiece library does, and decode the ids again.
 
     Returns id, n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 for
-    every row; null texts count as empty and give no ids. Words repeat, so workers keep up to
+    every row, also for null and repeated ids; null texts count as empty and give no ids, and an
+    empty table no rows. Words repeat, so workers keep up to
     CACHE encoded words; `PrefixBpe` gives the ids and texts themselves.
     """
     import public_tokenizers
 
-    rows = ids_only(docs, id=doc_id, text=text).withColumn("id", F.col("id").cast("long"))
+    rows = ids_only(docs, id=doc_id, text=text)
     run = _coder(model_file or public_tokenizers.path("piece_bpe_32k.model"))
-    found = map_arrow(rows, run, "id long, n long, ids string, back string")
+    found = map_arrow(rows, run, f"id {dict(rows.dtypes)['id']}, n long, ids string, back string")
     return found.select("id", F.col("n").alias("n_tokens"), F.col("ids").alias("ids_sha256"), F.col("back").alias("decoded_sha256"))
 
 

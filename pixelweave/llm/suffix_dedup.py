@@ -12,92 +12,94 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm._common import dropped, ids_only, small_batches, staged, table, text_bytes
+from pixelweave.llm._common import dropped, ids_only, mixed, staged, table, text_bytes
 
 SPAN = 50  # bytes of a repeated string
-BLOCK = 4_000_000  # bytes of text that a task sorts at once, about
+TRIPLE = 24  # bytes of a key of the first level: three words of eight
+BLOCK = 4_000_000  # bytes of text that a task sorts at once, about; longer texts are cut into overlapping pieces
 PART = 1_000_000  # keys of a range, about
-SAMPLE = 64  # keys of each block that the bounds of the ranges are chosen from
-_COLUMNS = ["block", "ids", "keys", "ends", "data"]
-_KINDS = [pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary()]
-_SCHEMA = "block long, ids binary, keys array<binary>, ends binary, data binary, names binary"
+PICKED = 20  # keys a range that its bounds are chosen from, as many as a range shuffle of Spark's would sample
+DENSITY = 2.2  # fingerprints are chosen at a rate of about 2 / (SPAN - TRIPLE + 2) of all positions
+_NAME_BITS = 46
 _U = np.uint64
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts side by side in blocks: their ids, ends and bytes."""
-    block, ids, keys, parts, size = TaskContext.get().partitionId() << 24, [], [], [], 0
-
-    def whole() -> pa.RecordBatch:
-        ends = np.cumsum([len(p) for p in parts]).astype(np.int64)
-        cells = [block, np.array(ids, np.int64).tobytes(), keys, ends.tobytes(), b"".join(parts), b""]
-        return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, _KINDS, strict=True)], names=[*_COLUMNS, "names"])
-
-    for batch in batches:
-        data, offsets = text_bytes(batch.column("text"))
-        for i, (doc, key) in enumerate(zip(batch.column("id").to_pylist(), batch.column("key").to_pylist(), strict=True)):
-            ids.append(doc)
-            keys.append(key)
-            parts.append(data[offsets[i] : offsets[i + 1]].tobytes())
-            size += len(parts[-1])
-            if size >= BLOCK:
-                yield whole()
-                block, ids, keys, parts, size = block + 1, [], [], [], 0
-    if ids:
-        yield whole()
+def eight(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as a number that sorts like them; zeros beyond the end."""
+    n = len(data)
+    padded = np.append(data, np.zeros(16 + -n % 8, np.uint8))
+    out = np.empty(n + -n % 8, _U)
+    for k in range(8):
+        out[k::8] = padded[k : k + len(out)].view(">u8")
+    return out[:n]
 
 
 class Block:
-    """Positions of a block's texts, each counted from its text's start."""
-
-    def __init__(self, ids: bytes, ends: bytes, data: bytes):
-        self.ids, ends = np.frombuffer(ids, np.int64), np.frombuffer(ends, np.int64)
-        self.starts, self.ends = np.append(0, ends[:-1]), ends
-        self.data = np.frombuffer(data, np.uint8)
+    """Pieces of texts side by side; no string crosses from one into the next."""
+
+    def __init__(self, ends: bytes, data: bytes):
+        self.data, self.ends = np.frombuffer(data, np.uint8), np.frombuffer(ends, np.int64)
+        self.starts = np.append(0, self.ends[:-1])
+        self.piece = np.repeat(np.arange(len(self.ends)), self.ends - self.starts)
+        self.at = np.arange(len(self.data)) - self.starts[self.piece]
+        self.left = self.ends[self.piece] - np.arange(len(self.data))  # bytes to the end of the piece
+
+    def prints(self, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions where strings of `span` bytes start, and a fingerprint for each of these strings.
+
+        It is the smallest hash of the TRIPLE-byte strings inside, so equal strings have equal
+        fingerprints, and neighbouring strings mostly share theirs.
+        """
+        w = np.append(eight(self.data), np.zeros(16, _U))
         n = len(self.data)
-        self.doc = np.repeat(np.arange(len(ends)), ends - self.starts)
-        self.at = np.arange(n) - self.starts[self.doc]
-        self.left = ends[self.doc] - np.arange(n)  # bytes to the end of the text
-
-    def words(self) -> np.ndarray:
-        """The eight bytes from each position, as a number that sorts like them."""
-        padded = np.append(self.data, np.zeros(8, np.uint8)).astype(_U)
-        w = np.zeros(len(self.data), _U)
-        for k in range(8):
-            w = (w << _U(8)) | padded[k : k + len(self.data)]
-        return w
+        with np.errstate(over="ignore"):
+            h = mixed(w[:n] + _U(0x9E3779B97F4A7C15) * mixed(w[8 : n + 8] + _U(0x9E3779B97F4A7C15) * mixed(w[16:])))
+        width, most = 1, span - TRIPLE + 1
+        while 2 * width <= most:
+            h[:-width] = np.minimum(h[:-width], h[width:])
+            width *= 2
+        if most > width:
+            h[: width - most] = np.minimum(h[: width - most], h[most - width :])
+        i = np.flatnonzero(self.left >= span)
+        return i, h[i]
 
     def sampled(self, depth: int) -> np.ndarray:
         """Positions of the difference cover {1, 2} modulo 3 with so many bytes after them."""
         return np.flatnonzero((self.at % 3 != 0) & (self.left >= depth))
 
-    def triples(self) -> np.ndarray:
-        """Keys of 24 bytes: three words of eight."""
-        w, i = self.words(), self.sampled(24)
-        return np.stack([w[i], w[i + 8], w[i + 16]], axis=1)
-
-    def doubled(self, names: np.ndarray) -> np.ndarray:
-        """Keys of 48 bytes: the names of two adjacent keys of 24."""
-        full = np.zeros(len(self.data), _U)
-        full[self.sampled(24)] = names
-        i = self.sampled(48)
-        return np.stack([full[i], full[i + 24]], axis=1)
-
-    def merged(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of SPAN bytes, and their positions. Two suffixes, whatever their places modulo 3,
-        meet in one of three ways in which both go on with a named suffix: after no byte, after one
-        or after two."""
-        full = np.zeros(len(self.data) + 2, _U)
-        full[self.sampled(48)] = names
-        t = np.append(self.data, [0] * SPAN).astype(_U)
-        ok, m = self.left >= SPAN, self.at % 3
+    def triples(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of TRIPLE bytes, three words of eight, and their positions."""
+        w, i = eight(self.data), self.sampled(TRIPLE)
+        return np.stack([w[i], w[i + 8], w[i + 16]], axis=1), i
+
+    def doubled(self, names: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of twice the depth: two adjacent names. Where a name is 0, no string repeats."""
+        i = self.sampled(2 * depth)
+        keys = np.stack([names[i], names[i + depth]], axis=1)
+        known = (keys > 0).all(axis=1)
+        return keys[known], i[known]
+
+    def merged(self, names: np.ndarray, depth: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of `span` bytes at every position, and the positions. Two suffixes, whatever their
+        places modulo 3, meet in one of three ways in which both go on with named suffixes: after no
+        byte, after one or after two. The last name ends at most two bytes before the key does."""
+        n = len(self.data)
+        t, named = np.append(self.data, [0, 0]).astype(_U), np.append(names, np.zeros(2, _U))
+        ok, m = self.left >= span, self.at % 3
         out, where = [], []
         for way, skip in ((0, 0), (1, 2), (2, 1)):  # positions of the other two classes, bytes before the named suffix
             i = np.flatnonzero(ok & (m != way))
-            before = t[i] * _U(256) + t[i + 1] if skip == 2 else t[i] if skip == 1 else np.zeros(len(i), _U)
-            after = t[i + 48] * _U(256) + t[i + 49] if skip == 0 else t[i + 49] if skip == 1 else np.zeros(len(i), _U)
-            # classes {1, 2} skip 0; classes {0, 2} skip 2 (2 + 2 and 0 + 2 are 1 and 2); classes {0, 1} skip 1
-            out.append(np.stack([np.full(len(i), way, _U) << _U(32) | before, full[i + skip], after], axis=1))
+            second = (span - skip - depth) // 3 * 3
+            i = i[(named[i + skip] > 0) & (named[i + skip + second] > 0)]
+            over = [*range(skip), *range(skip + second + depth, span)]  # at most two before, two after
+            loose = np.zeros(len(i), _U)
+            for k in over:
+                loose = loose << _U(8) | t[np.minimum(i + k, n)]
+            head = (_U(way) << _U(62)) | (named[i + skip] << _U(16))
+            keys = [head | (loose & _U(0xFFFF))]
+            if span - depth > 2:  # else one name and two bytes are all
+                keys.append(named[i + skip + second] << _U(16) | loose >> _U(16))
+            out.append(np.stack(keys, axis=1))
             where.append(i)
         return np.concatenate(out), np.concatenate(where)
 
@@ -113,160 +115,352 @@ def unique_rows(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[new], place
 
 
-def _range_of(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The range of each of the sorted keys; equal keys share one."""
-    part = np.zeros(len(keys), np.int64)
-    for b in bounds:  # keys are sorted, so each bound is one binary search by columns
-        lo, hi = 0, len(keys)
-        for c in range(keys.shape[1]):
-            col = keys[lo:hi, c]
-            lo, hi = lo + np.searchsorted(col, b[c], "left"), lo + np.searchsorted(col, b[c], "right")
-        part[hi:] += 1
-    return part
+def _sortable(keys: np.ndarray) -> np.ndarray:
+    """Rows of numbers as byte strings that sort like them."""
+    return np.ascontiguousarray(keys.astype(">u8")).view(f"S{8 * keys.shape[1]}").ravel()
+
+
+def _row(schema: list[tuple[str, pa.DataType]], *cells) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([c], k) for c, (_, k) in zip(cells, schema, strict=True)], names=[n for n, _ in schema])
+
 
+_TEXTS = [("block", pa.int64()), ("keys", pa.binary()), ("offsets", pa.binary()), ("ends", pa.binary()), ("data", pa.binary())]
+_TEXTS_DDL = "block long, keys binary, offsets binary, ends binary, data binary"
+_PARTS = [("block", pa.int64()), ("ids", pa.binary()), ("keys", pa.binary()), ("offsets", pa.binary()), ("ends", pa.binary()), ("data", pa.binary()), ("names", pa.binary())]
+_PARTS_DDL = "block long, ids binary, keys binary, offsets binary, ends binary, data binary, names binary"
 
-def _triples(block: Block, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return block.triples(), block.sampled(24)
 
+def _text_blocks(span: int):
+    """Distinct texts of a partition side by side, in pieces that overlap by span - 1 bytes."""
 
-def _doubled(block: Block, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return block.doubled(names.view(_U)), block.sampled(48)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 24
+        keys, offsets, parts, size = {}, [], [], 0
 
+        def whole() -> pa.RecordBatch:
+            ends = np.cumsum([len(p) for p in parts]).astype(np.int64)
+            return _row(_TEXTS, number, b"".join(k for k, n in keys.items() for _ in range(n)), np.array(offsets, np.int64).tobytes(), ends.tobytes(), b"".join(parts))
 
-def _merged(block: Block, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return block.merged(names.view(_U))
+        for batch in batches:
+            data, at = text_bytes(batch.column("text"))
+            for key, s, e in zip(batch.column("key").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if key in keys:
+                    continue
+                for first in range(s, max(s + 1, e - span + 1), BLOCK):
+                    if size >= BLOCK:
+                        yield whole()
+                        number += 1
+                        keys, offsets, parts, size = {}, [], [], 0
+                    parts.append(data[first : min(e, first + BLOCK + span - 1)].tobytes())
+                    keys[key] = keys.get(key, 0) + 1
+                    offsets.append(first - s)
+                    size += len(parts[-1])
+        if keys:
+            yield whole()
 
+    return run
 
-def _each_block(batches: Iterator[pa.RecordBatch], keys_of) -> Iterator[tuple[dict, Block, np.ndarray, np.ndarray]]:
-    """The blocks of a partition with their keys at one level."""
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Block]]:
     for batch in batches:
         for r in range(batch.num_rows):
             row = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
-            block = Block(row["ids"], row["ends"], row["data"])
-            keys, where = keys_of(block, np.frombuffer(row["names"], np.int64))
-            yield row, block, keys, where
+            yield row, Block(row["ends"], row["data"])
+
+
+def _distinct_prints(row: dict, block: Block, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of strings, the place of each one's fingerprint among the sorted distinct ones, these, and the tag
+    of their text. The lowest bit of a tag says that several texts of the block have the fingerprint."""
+    at, prints = block.prints(span)
+    tags = np.frombuffer(row["keys"], _U)[::2] & ~_U(1)
+    distinct, first, place = np.unique(prints, return_index=True, return_inverse=True)
+    own = tags[block.piece[at]]
+    tag = own[first]
+    several = np.zeros(len(distinct), bool)
+    several[place[own != tag[place]]] = True
+    return at, place, distinct, tag | several.astype(_U)
+
+
+def _candidates(texts: DataFrame, parts: int, span: int) -> DataFrame:
+    """Stretches of text in which every string's fingerprint occurs in another text too: (key, offset, data, print).
+
+    Strings that repeat lie in such stretches whole, since equal strings have equal fingerprints.
+    Rows of the shuffle hold the fingerprints of one block and one range of fingerprints.
+    """
 
+    def asks(batches):
+        for row, block in _each(batches):
+            _, _, prints, tags = _distinct_prints(row, block, span)
+            edge = np.searchsorted(_range_of_print(prints, parts), np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(edge)).tolist():
+                cut = slice(edge[p], edge[p + 1])
+                yield _row([("block", pa.int64()), ("part", pa.int64()), ("prints", pa.binary()), ("tags", pa.binary())], row["block"], p, prints[cut].tobytes(), tags[cut].tobytes())
 
-def _answered(blocks: DataFrame, keys_of, width: int, least: bool) -> DataFrame:
+    def answer(part: pd.DataFrame) -> pd.DataFrame:
+        prints, tags = (np.concatenate([np.frombuffer(x, _U) for x in part[c]]) for c in ("prints", "tags"))
+        order = np.argsort(prints, kind="stable")
+        p, t = prints[order], tags[order]
+        new = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+        several = (np.maximum.reduceat(t & _U(1), new) > 0) | (np.minimum.reduceat(t | _U(1), new) != np.maximum.reduceat(t | _U(1), new))
+        shared = np.empty(len(p), bool)
+        shared[order] = np.repeat(several, np.diff(np.append(new, len(p))))
+        out = part[["block", "part"]].copy()
+        out["bits"] = [np.packbits(x).tobytes() for x in np.split(shared, np.cumsum([len(x) // 8 for x in part["prints"]])[:-1])]
+        return out
+
+    def stretches(batches):
+        for row, block in _each(batches):
+            at, place, prints, _ = _distinct_prints(row, block, span)
+            edge = np.searchsorted(_range_of_print(prints, parts), np.arange(parts + 1))
+            shared = np.zeros(len(prints), bool)
+            for a in row["answers"] or ():
+                s, e = edge[a["part"]], edge[a["part"] + 1]
+                shared[s:e] = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=e - s).astype(bool)
+            ok = shared[place]
+            i, p = at[ok], prints[place[ok]]
+            if not len(i):
+                continue
+            first = np.flatnonzero(np.append(True, (i[1:] - i[:-1] > span) | (block.piece[i[1:]] != block.piece[i[:-1]])))
+            lows, lasts = np.minimum.reduceat(p, first), i[np.append(first[1:] - 1, len(i) - 1)]
+            offsets, keys = np.frombuffer(row["offsets"], np.int64), row["keys"]
+            out = []
+            for s, e, low in zip(i[first].tolist(), lasts.tolist(), lows.tolist(), strict=True):
+                k = int(block.piece[s])
+                out.append((keys[16 * k : 16 * k + 16], int(offsets[k] + block.at[s]), block.data[s : e + span].tobytes(), low))
+            kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64())
+            cols = [*zip(*out, strict=True)]
+            cols[3] = np.array(cols[3], _U).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "offset", "data", "print"])
+
+    found = texts.mapInArrow(asks, "block long, part long, prints binary, tags binary")
+    bits = staged(found.groupBy("part").applyInPandas(answer, "block long, part long, bits binary"))
+    lists = bits.groupBy("block").agg(F.collect_list(F.struct("part", "bits")).alias("answers"))
+    out = staged(texts.join(lists, "block", "left").mapInArrow(stretches, "key binary, offset long, data binary, print long"))
+    dropped(bits)
+    return out
+
+
+def _range_of_print(prints: np.ndarray, parts: int) -> np.ndarray:
+    """Fingerprints are hashes: equal ranges hold about equally many."""
+    return (prints >> _U(32)) * _U(parts) >> _U(32)
+
+
+def _stretch_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number, rows, size = TaskContext.get().partitionId() << 24, [], 0
+
+    def whole() -> pa.RecordBatch:
+        ids, keys, offsets, data = zip(*rows, strict=True)
+        ends = np.cumsum([len(x) for x in data]).astype(np.int64)
+        return _row(_PARTS, number, np.array(ids, np.int64).tobytes(), b"".join(keys), np.array(offsets, np.int64).tobytes(), ends.tobytes(), b"".join(data), b"")
+
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("rank", "key", "offset", "data")), strict=True):
+            rows.append(row)
+            size += len(row[3])
+            if size >= BLOCK:
+                yield whole()
+                number, rows, size = number + 1, [], 0
+    if rows:
+        yield whole()
+
+
+def _answered(blocks: DataFrame, keys_of, width: int, *, last: bool) -> DataFrame:
     """Send every block's distinct keys to ranges of keys, and bring back a number for each position.
 
-    The number is the key's rank in the whole input (its name), or, with `least`, the smallest
-    document id that holds the key. A key that many texts hold is sent once a block. Returns the
-    blocks with the numbers of this level's positions in the column `names`.
+    The number is the key's rank in the whole input from 1 on (its name), or 0 if one document
+    alone holds the key; at the `last` level it is 1 if a smaller document holds the key than any
+    of this block. A key that many texts hold is sent once a block, and a block sends a row only
+    to ranges in which it has keys.
     """
     spark = blocks.sparkSession
 
     def sample(batches):
-        for _, _, keys, _ in _each_block(batches, keys_of):
-            pick = keys[np.unique(np.linspace(0, len(keys) - 1, min(SAMPLE, len(keys))).astype(int))]
-            yield pa.RecordBatch.from_arrays([pa.array([len(keys)]), pa.array([pick.tobytes()], pa.binary())], names=["n", "keys"])
+        for row, block in _each(batches):
+            keys, _ = keys_of(block, np.frombuffer(row["names"], _U))
+            keys = unique_rows(keys)[0]
+            pick = keys[np.unique(np.linspace(0, len(keys) - 1, min(-(-PICKED * len(keys) // PART), len(keys))).astype(int))]
+            yield _row([("n", pa.int64()), ("keys", pa.binary())], len(keys), pick.tobytes())
 
-    got = blocks.mapInArrow(sample, "n long, keys binary").collect()  # SAMPLE keys a block
+    got = blocks.mapInArrow(sample, "n long, keys binary").collect()  # about PICKED keys a range, at least one a block
     parts = max(1, -(-sum(r["n"] for r in got) // PART))
-    pool = np.concatenate([np.empty((0, width), _U), *(np.frombuffer(bytes(r["keys"]), _U).reshape(-1, width) for r in got)])
-    pool = pool[np.lexsort(pool.T[::-1])]
+    pool = np.sort(np.concatenate([np.empty(0, f"S{8 * width}"), *(_sortable(np.frombuffer(bytes(r["keys"]), _U).reshape(-1, width)) for r in got if r["keys"])]))
     bounds = pool[np.linspace(0, len(pool), parts + 1)[1:-1].astype(int)]
+    far = np.iinfo(np.int64).max
 
     def requests(batches):
-        for row, block, keys, where in _each_block(batches, keys_of):
+        for row, block in _each(batches):
+            keys, where = keys_of(block, np.frombuffer(row["names"], _U))
             distinct, place = unique_rows(keys)
-            holder = np.full(len(distinct), np.iinfo(np.int64).max)
-            np.minimum.at(holder, place, block.ids[block.doc[where]])
-            part = _range_of(distinct, bounds)
-            edge = np.searchsorted(part, np.arange(parts + 1))
+            own = np.frombuffer(row["ids"], np.int64)[block.piece[where]]
+            low, high = np.full(len(distinct), far), np.full(len(distinct), -far)
+            np.minimum.at(low, place, own)
+            np.maximum.at(high, place, own)
+            edge = np.concatenate([[0], np.searchsorted(_sortable(distinct), bounds, "right"), [len(distinct)]])
             for p in np.flatnonzero(np.diff(edge)).tolist():
                 cut = slice(edge[p], edge[p + 1])
-                cells = [row["block"], p, np.ascontiguousarray(distinct[cut].T).tobytes(), holder[cut].tobytes() if least else b""]
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], names=["block", "part", "keys", "holder"])
+                several = np.packbits(low[cut] != high[cut]).tobytes()
+                kinds = [("block", pa.int64()), ("part", pa.int64()), ("keys", pa.binary()), ("holders", pa.binary()), ("several", pa.binary())]
+                yield _row(kinds, row["block"], p, np.ascontiguousarray(distinct[cut].T).tobytes(), low[cut].tobytes(), several)
 
     def answer(part: pd.DataFrame) -> pd.DataFrame:
         lists = [np.frombuffer(k, _U).reshape(width, -1).T for k in part["keys"]]
-        distinct, numbers = unique_rows(np.concatenate(lists))  # adjacent equal keys are one
-        if least:
-            holder = np.full(len(distinct), np.iinfo(np.int64).max)
-            np.minimum.at(holder, numbers, np.concatenate([np.frombuffer(x, np.int64) for x in part["holder"]]))
-            numbers = holder[numbers]
+        distinct, place = unique_rows(np.concatenate(lists))  # adjacent equal keys are one
+        holders = np.concatenate([np.frombuffer(x, np.int64) for x in part["holders"]])
+        low, high = np.full(len(distinct), far), np.full(len(distinct), -far)
+        np.minimum.at(low, place, holders)
+        np.maximum.at(high, place, holders)
+        if last:
+            numbers = holders > low[place]
+        else:
+            several = low != high
+            np.logical_or.at(several, place, np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)) for x, k in zip(part["several"], lists, strict=True)]).astype(bool))
+            names = np.where(several, np.cumsum(several), 0)
+            numbers = names[place]
         out = part[["block", "part"]].copy()
-        out["numbers"] = [x.tobytes() for x in np.split(numbers, np.cumsum([len(x) for x in lists])[:-1])]
-        out["size"] = len(distinct)
+        cut = np.split(numbers, np.cumsum([len(x) for x in lists])[:-1])
+        out["numbers"] = [np.packbits(x).tobytes() if last else x.astype("<i8").tobytes() for x in cut]
+        out["size"] = 0 if last else int(names.max(initial=0))
         return out
 
-    asks = blocks.mapInArrow(requests, "block long, part long, keys binary, holder binary")
-    answers = staged(asks.groupBy("part").applyInPandas(answer, "block long, part long, numbers binary, size long"))
+    kind = "block long, part long, keys binary, holders binary, several binary"
+    answers = staged(blocks.mapInArrow(requests, kind).groupBy("part").applyInPandas(answer, "block long, part long, numbers binary, size long"))
     # the names of a range start where those of the ranges before it end: one row a range
-    sizes = {r["part"]: r["size"] for r in answers.select("part", "size").distinct().collect()}
-    first = np.cumsum([0] + [0 if least else sizes.get(p, 0) for p in range(parts)])
-    lists = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "numbers"))).alias("answers"))
+    sizes = {} if last else {r["part"]: r["size"] for r in answers.groupBy("part").agg(F.max("size").alias("size")).collect()}
+    first = np.cumsum([0] + [sizes.get(p, 0) for p in range(parts)])
+    if first[-1] >= 1 << _NAME_BITS:
+        raise ValueError("too many names")
+    lists = answers.groupBy("block").agg(F.collect_list(F.struct("part", "numbers")).alias("answers"))
 
     def joined(batches):
-        for row, _, keys, _ in _each_block(batches, keys_of):
-            own = [np.frombuffer(a["numbers"], np.int64) + first[a["part"]] for a in row["answers"] or []]
-            numbers = np.concatenate([np.empty(0, np.int64), *own])[unique_rows(keys)[1]]
-            cells = [*(row[c] for c in _COLUMNS), numbers.tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, _KINDS, strict=True)], names=[*_COLUMNS, "names"])
-
-    out = staged(blocks.join(lists, "block", "left").mapInArrow(joined, _SCHEMA))
+        for row, block in _each(batches):
+            keys, where = keys_of(block, np.frombuffer(row["names"], _U))
+            distinct, place = unique_rows(keys)
+            edge = np.concatenate([[0], np.searchsorted(_sortable(distinct), bounds, "right"), [len(distinct)]])
+            numbers = np.zeros(len(distinct), np.int64)
+            for a in row["answers"] or ():
+                s, e = edge[a["part"]], edge[a["part"] + 1]
+                if last:
+                    numbers[s:e] = np.unpackbits(np.frombuffer(a["numbers"], np.uint8), count=e - s)
+                else:
+                    own = np.frombuffer(a["numbers"], "<i8")
+                    numbers[s:e] = np.where(own > 0, own + first[a["part"]], 0)
+            names = np.zeros(len(block.data), _U)
+            if last:  # a smaller document may also lie in the block itself
+                own = np.frombuffer(row["ids"], np.int64)[block.piece[where]]
+                low = np.full(len(distinct), far)
+                np.minimum.at(low, place, own)
+                names[where[(numbers[place] > 0) | (low[place] < own)]] = 1
+            else:
+                names[where] = numbers[place].astype(_U)
+            yield _row(_PARTS, *(row[c] for c, _ in _PARTS[:-1]), names.tobytes())
+
+    out = staged(blocks.join(lists, "block", "left").mapInArrow(joined, _PARTS_DDL))
     dropped(answers)
     dropped(blocks)
     spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of this level
     return out
 
 
+def _gone(span: int):
+    """The removed intervals of each stretch, as places in its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, block in _each(batches):
+            edge = np.zeros(len(block.data) + 1, np.int64)
+            again = np.flatnonzero(np.frombuffer(row["names"], _U))
+            edge[again] += 1
+            edge[again + span] -= 1
+            gone = np.append(np.cumsum(edge)[:-1] > 0, False)
+            new = np.append(0, block.ends[:-1])
+            begin, end = gone.copy(), gone.copy()
+            begin[1:] &= ~gone[:-1]
+            begin[new] |= gone[new]
+            end[:-1] &= ~gone[1:]
+            end[block.ends - 1] |= gone[block.ends - 1]
+            s, e = np.flatnonzero(begin[:-1]), np.flatnonzero(end[:-1]) + 1
+            k = block.piece[s]
+            base = np.frombuffer(row["offsets"], np.int64)[k]
+            cols = [
+                pa.array([row["keys"][16 * i : 16 * i + 16] for i in k.tolist()], pa.binary()),
+                pa.array(base + block.at[s]), pa.array(base + block.at[e - 1] + 1),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "s", "e"])
+
+    return run
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What is left of each text of a block."""
-    for row, block, _, where in _each_block(batches, _places):
+    """What is left of each text without its removed intervals."""
+    for batch in batches:
+        data, at = text_bytes(batch.column("text"))
         out = []
-        edge = np.zeros(len(block.data) + 1, np.int64)
-        again = np.unique(where[np.frombuffer(row["names"], np.int64) < block.ids[block.doc[where]]])
-        edge[again] += 1
-        edge[again + SPAN] -= 1
-        gone = np.cumsum(edge)[:-1] > 0
-        for key, s, e in zip(row["keys"], block.starts, block.ends, strict=True):
-            g = gone[s:e]
-            spans = int((g & ~np.append(False, g[:-1])).sum())
-            out.append((key, int(g.sum()), spans, hashlib.sha256(block.data[s:e][~g].tobytes()).hexdigest()))
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string()]
-        cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays(cols, names=["key", "n_removed", "n_spans", "kept_sha256"])
-
-
-def _places(block: Block, names: np.ndarray) -> tuple[None, np.ndarray]:
-    ok, m = block.left >= SPAN, block.at % 3
-    return None, np.concatenate([np.flatnonzero(ok & (m != way)) for way in (0, 1, 2)])
-
-
-def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Remove each byte covered by a SPAN-byte string that also starts in a document with a smaller id.
-
-    Equal texts are one text, that of the smallest id; in the others, all of it repeats. Suffixes
-    are sorted to the depth of SPAN bytes by a difference cover modulo 3: positions 1 and 2 are
-    sampled; their triples (of eight-byte words) are sorted and named by rank; pairs of names are
-    sorted again, which names 48 bytes; then suffixes of any two classes modulo 3 merge in the way
-    in which both go on with a named suffix, and among adjacent equal prefixes the smallest id
-    counts. Each sort sends a block's distinct keys to ranges of keys and gets their numbers back.
+        for spans, s, e in zip(batch.column("gone").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+            kept, last, runs, removed = hashlib.sha256(), 0, 0, 0
+            for x in sorted(spans, key=lambda x: x["s"]):  # those of neighbouring pieces may touch or overlap
+                if x["s"] > last or not runs:
+                    kept.update(data[s + last : s + x["s"]])
+                    runs += 1
+                removed += max(0, x["e"] - max(last, x["s"]))
+                last = max(last, x["e"])
+            kept.update(data[s + last : e])
+            out.append((removed, runs, kept.hexdigest()))
+        cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)] if out else [pa.array([], k) for k in (pa.int64(), pa.int64(), pa.string())]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), *cols], names=["key", "n_removed", "n_spans", "kept_sha256"])
+
+
+def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
+    """Remove each byte covered by a string of `span` bytes that also starts in a document with a smaller id.
+
+    Equal texts are one text, that of the smallest id; in the others, all of it repeats. First,
+    fingerprints chosen by content rule out strings that lie in one text only. What is left is
+    sorted to the depth of `span` bytes by a difference cover modulo 3: the triples of eight-byte
+    words at positions 1 and 2 are sorted and named by rank; pairs of names are sorted and named in
+    turn, until they are that deep, and names that one document alone holds drop out at each level;
+    then suffixes of any two classes modulo 3 merge in the way in which both go on with a named
+    suffix, and among adjacent equal prefixes the smallest id counts. Each sort sends a block's
+    distinct keys to ranges of keys and gets their numbers back. Stretches of text that begin alike
+    lie in one block, so most copies meet there and are sent once.
 
     Returns one row per input row: id, n_bytes, n_removed, n_spans and kept_sha256. Null texts are
     empty; rows with a null id are returned whole and take no part; rows that repeat an id aren't
-    compared with one another.
+    compared with one another; an empty table gives no rows. Ids of any type that sorts will do.
+    `span` must be 26 or more.
     """
+    if span < TRIPLE + 2:
+        raise ValueError(f"span must be {TRIPLE + 2} or more")
     spark = docs.sparkSession
     body = F.coalesce("text", F.lit(""))
-    rows = ids_only(docs, id=doc_id, text=text).select(F.col("id").cast("long").alias("id"), body.alias("text"))
+    rows = ids_only(docs, id=doc_id, text=text).select("id", body.alias("text"))
     keyed = rows.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
     known = staged(
         keyed.select("id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     )
-    first = staged(known.where(f"id is not null and n_bytes >= {SPAN}").groupBy("key").agg(F.min("id").alias("rep")))
-    texts = keyed.where(F.col("id").isNotNull()).join(first, "key").where("id = rep").dropDuplicates(["key"]).select("id", "key", "text")
-    small_batches(spark)
-    blocks = staged(texts.mapInArrow(_blocks, _SCHEMA))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a block is large
-    for keys_of, width, least in ((_triples, 3, False), (_doubled, 2, False), (_merged, 3, True)):
-        blocks = _answered(blocks, keys_of, width, least)
-    cut = staged(blocks.mapInArrow(_cut, "key binary, n_removed long, n_spans long, kept_sha256 string"))
+    long = known.where(f"id is not null and n_bytes >= {span}")
+    first = staged(long.groupBy("key").agg(F.min("id").alias("rep")))
+    total = long.agg(F.sum("n_bytes")).first()[0] or 0
+    texts = keyed.where(F.col("id").isNotNull() & (F.octet_length("text") >= span)).select("key", "text")
+    blocks = staged(texts.mapInArrow(_text_blocks(span), _TEXTS_DDL))
+    parts = max(1, int(total * DENSITY / (span - TRIPLE + 2)) // PART + 1)
+    found = _candidates(blocks, parts, span)
+    dropped(blocks)
+    spark.sparkContext._jvm.System.gc()
+    # ids are numbered by what the sort compares: their order is all that counts
+    ranked = staged(_ranked(found.select("key").distinct().join(first, "key")))
+    found = found.dropDuplicates(["key", "offset"]).join(ranked, "key")
+    size = found.agg(F.sum(F.length("data"))).first()[0] or 0
+    dealt = found.repartitionByRange(max(1, size // BLOCK + 1), "print", "key", "offset").sortWithinPartitions("print", "key", "offset")
+    blocks = staged(dealt.select("rank", "key", "offset", "data").mapInArrow(_stretch_blocks, _PARTS_DDL))
+    blocks = _answered(blocks, lambda b, names: b.triples(), 3, last=False)
+    depth = TRIPLE
+    while 2 * depth + 2 <= span:
+        blocks = _answered(blocks, lambda b, names, d=depth: b.doubled(names, d), 2, last=False)
+        depth *= 2
+    blocks = _answered(blocks, lambda b, names: b.merged(names, depth, span), 1 + (span - depth > 2), last=True)
+    gone = staged(blocks.mapInArrow(_gone(span), "key binary, s long, e long"))
     dropped(blocks)
-    small_batches(spark)
+    gone = gone.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("gone"))  # at most one interval for `span` bytes of a text
+    reps = keyed.join(gone, "key").join(first, "key").where("id = rep").dropDuplicates(["key"]).select("key", "text", "gone")
+    cut = staged(reps.mapInArrow(_cut, "key binary, n_removed long, n_spans long, kept_sha256 string"))
     copy = F.col("rep").isNotNull() & F.col("id").isNotNull() & (F.col("id") != F.col("rep"))
     left = F.sha2(F.lit("").cast("binary"), 256)
     sizes = known.join(first, "key", "left").join(cut, "key", "left")
@@ -278,6 +472,16 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     )
 
 
+def _ranked(reps: DataFrame) -> DataFrame:
+    """Texts (key, rep) with a number that grows with rep: rank by ranges of ids and their counts."""
+    if dict(reps.dtypes)["rep"] in ("bigint", "int", "smallint", "tinyint"):
+        return reps.select("key", F.col("rep").cast("long").alias("rank"))
+    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = staged(reps).repartitionByRange(parts, "rep").sortWithinPartitions("rep")
+    # within a range the number counts on from its partition's own first number
+    return ordered.withColumn("rank", F.monotonically_increasing_id()).select("key", "rank")
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What exact removal of repeated strings leaves of every document."""
     return without_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

@@ -13,10 +13,10 @@ from pixelweave.llm._common import crc_mod, ids_only, map_arrow, mixed, table, t
 
 LENGTH, STEP = 32, 16  # words of a window; windows overlap by half
 HIDDEN = 8
-BUCKETS = {"word": (1 << 14, 8), "head": (1 << 13, 6), "tail": (1 << 13, 6)}  # rows and width of the embeddings
-CHARS = 4  # bytes of a word's head and tail, the character inputs
+CHARS = 4  # characters (bytes) at a word's start, and at its end, each an input of its own
+BUCKETS = {"word": (1 << 14, 8)} | {f"char_{k}": (256, 2) for k in range(2 * CHARS)}  # rows and width of the embeddings
+INPUTS = len(BUCKETS)
 SAMPLE = 2000  # toxic documents that the network learns from, about; twice as many others
-SAMPLE_WORDS = 4096  # words of a sampled document that reach the driver, in windows spread over it
 HELD_OUT = 5  # crc32(id) mod 5 = 0 is never learned from
 _K, _K_INV, _U = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64), np.uint64
 
@@ -27,13 +27,14 @@ LETTER[48:58] = LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 
 
 def word_inputs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of each word, its first and its last bytes; and the number of words of each text.
+    """Of each word: its bucket, its first and its last characters; and the number of words of each text.
 
-    A word is a longest run of ASCII letters and digits and bytes from 128 on, in lower case.
+    A word is a longest run of ASCII letters and digits and bytes from 128 on, in lower case. A
+    word shorter than CHARS has zeros in the place of the characters that it lacks.
     """
     n = len(data)
     if not n:
-        return np.empty((0, 3), np.int32), np.zeros(len(offsets) - 1, np.int64)
+        return np.empty((0, INPUTS), np.int32), np.zeros(len(offsets) - 1, np.int64)
     solid = LETTER[data]
     begin, last = solid.copy(), solid.copy()
     begin[1:] &= ~solid[:-1]
@@ -51,11 +52,12 @@ def word_inputs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         inverse = np.full(n + 1, _K_INV, _U)
         inverse[0] = 1
         np.multiply.accumulate(inverse, out=inverse)
-        spans = ((s, e), (s, np.minimum(s + CHARS, e)), (np.maximum(e - CHARS, s), e))
-        out = [
-            (mixed((sums[b] - sums[a]) * inverse[a]) >> _U(64 - int(np.log2(rows)))).astype(np.int32)
-            for (a, b), (rows, _) in zip(spans, BUCKETS.values(), strict=True)
-        ]
+        out = [(mixed((sums[e] - sums[s]) * inverse[s]) >> _U(64 - int(np.log2(BUCKETS["word"][0])))).astype(np.int32)]
+    low = LOWER[data]
+    for k in range(CHARS):
+        out.append(np.where(s + k < e, low[np.minimum(s + k, n - 1)], 0).astype(np.int32))
+    for k in range(1, CHARS + 1):
+        out.append(np.where(e - k >= s, low[np.maximum(e - k, 0)], 0).astype(np.int32))
     doc = np.searchsorted(offsets, s, side="right") - 1
     return np.stack(out, axis=1), np.bincount(doc, minlength=len(offsets) - 1)
 
@@ -111,7 +113,7 @@ class Gru:
         return _sigmoid(pool @ self.p["out"] + self.p["out_bias"][0])
 
     def gradient(self, buckets: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the weighted cross entropy. buckets: (time, windows, 3)."""
+        """Of the weighted cross entropy. buckets: (time, windows, INPUTS)."""
         p = self.p
         x, g = self.inputs(buckets), {k: np.zeros_like(v) for k, v in p.items()}
         traces: dict[str, list] = {"f": [], "b": []}
@@ -179,7 +181,7 @@ def fitted(docs: list[np.ndarray], y: np.ndarray, *, rounds: int = 3, steps: int
     net = Gru({k: np.asarray(v, np.float32) for k, v in _started(docs, y, seed).items()})
     m, v = ({k: np.zeros_like(x) for k, x in net.p.items()} for _ in range(2))
     words = np.array([len(b) for b in docs])
-    flat = np.concatenate([*docs, np.zeros((LENGTH, 3), np.int32)])
+    flat = np.concatenate([*docs, np.zeros((LENGTH, INPUTS), np.int32)])
     begin, count, doc = windows_of(words)
     toxic, step = y[doc] == 1, 0
     cell = lambda i: (flat[begin[i][None, :] + np.arange(LENGTH)[:, None]], (np.arange(LENGTH)[:, None] < count[i]).astype(np.float32))
@@ -210,36 +212,29 @@ def fitted(docs: list[np.ndarray], y: np.ndarray, *, rounds: int = 3, steps: int
 def _sampled(batch: pa.RecordBatch) -> pa.RecordBatch:
     data, offsets = text_bytes(batch.column("text"))
     buckets, words = word_inputs(data, offsets)
-    out, at = [], 0
-    for n in words.tolist():
-        own = buckets[at : at + n]
-        if n > SAMPLE_WORDS:
-            blocks = np.linspace(0, n // LENGTH - 1, SAMPLE_WORDS // LENGTH).astype(int)
-            own = own[: n // LENGTH * LENGTH].reshape(-1, LENGTH, 3)[blocks].reshape(-1, 3)
-        out.append(own.astype("<i4").tobytes())
-        at += n
-    return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), pa.array(out, pa.binary())], names=["id", "toxic", "buckets"])
+    cut = np.append(0, np.cumsum(words))
+    out = pa.array([buckets[s:e].astype("<u2").tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+    return pa.RecordBatch.from_arrays([batch.column("h"), batch.column("toxic"), out], names=["h", "toxic", "buckets"])
 
 
 def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE) -> Gru | None:
-    """Learn from about `sample` toxic and twice as many other documents, outside the held-out fold.
+    """Learn from up to `sample` toxic documents and twice as many others, outside the held-out fold.
 
-    The sample is chosen by a hash of the id. None if there is no document of either label.
+    They are the first ones in the order of a hash of the id, and all their words reach the driver.
+    An id with several labels counts as toxic if one says so; null ids and labels are left out.
+    None if there is no document of either label.
     """
-    marks = ids_only(labels, id=doc_id, toxic=toxic).where(F.col("toxic").isNotNull() & (crc_mod("id", HELD_OUT) != 0))
-    marks = marks.select("id", (F.col("toxic") == 1).cast("int").alias("toxic")).dropDuplicates(["id"])
-    counts = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if len(counts) < 2:
-        return None
-    part = F.when(F.col("toxic") == 1, -(-sample * 2**20 // counts[1])).otherwise(-(-2 * sample * 2**20 // counts[0]))
-    marks = marks.where(F.pmod(F.xxhash64("id"), F.lit(2**20)) < part).limit(4 * sample)
-    rows = ids_only(docs, id=doc_id, text=text).join(F.broadcast(marks), "id")  # at most 4 * sample marks
-    got = map_arrow(rows.select(F.col("id").cast("long").alias("id"), "toxic", "text"), _sampled, "id long, toxic int, buckets binary").collect()
-    got.sort(key=lambda r: (r["id"], bytes(r["buckets"])))
+    marks = ids_only(labels, id=doc_id, toxic=toxic).where(F.col("id").isNotNull() & F.col("toxic").isNotNull() & (crc_mod("id", HELD_OUT) != 0))
+    marks = marks.groupBy("id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
+    first = lambda label, n: marks.where(F.col("toxic") == label).orderBy(F.xxhash64("id"), "id").limit(n)
+    chosen = first(1, sample).unionByName(first(0, 2 * sample))
+    rows = ids_only(docs, id=doc_id, text=text).join(F.broadcast(chosen), "id")  # at most 3 * sample marks
+    got = map_arrow(rows.select(F.xxhash64("id").alias("h"), "toxic", "text"), _sampled, "h long, toxic int, buckets binary").collect()
+    got.sort(key=lambda r: (r["h"], bytes(r["buckets"])))
     y = np.array([r["toxic"] for r in got])
     if len(set(y.tolist())) < 2:
         return None
-    return fitted([np.frombuffer(bytes(r["buckets"]), "<i4").reshape(-1, 3) for r in got], y)
+    return fitted([np.frombuffer(bytes(r["buckets"]), "<u2").reshape(-1, INPUTS).astype(np.int32) for r in got], y)
 
 
 def _scorer(shared, text: str):
@@ -248,7 +243,7 @@ def _scorer(shared, text: str):
         data, offsets = text_bytes(batch.column(text))
         best = np.zeros(batch.num_rows)
         buckets, words = word_inputs(data, offsets)
-        flat = np.concatenate([buckets, np.zeros((LENGTH, 3), np.int32)])
+        flat = np.concatenate([buckets, np.zeros((LENGTH, INPUTS), np.int32)])
         begin, count, doc = windows_of(words)
         for s in range(0, len(doc), 1024):
             b, n = begin[s : s + 1024], count[s : s + 1024]
@@ -265,11 +260,12 @@ def with_toxicity(docs: DataFrame, net: Gru | None, *, text: str = "text", score
     """Add a column with the toxicity of each whole text: the highest score of its overlapping windows of LENGTH words.
 
     Null and empty texts, and texts without words, get the score of an empty window; without a
-    network every score is 0. Every row stays, with its other columns.
+    network every score is 0. Every row stays, with its other columns, whatever its id; equal texts
+    get equal scores, and an empty table stays empty. A column that has the name `score` is replaced.
     """
     if net is None:
         return docs.withColumn(score, F.lit(0.0))
-    return with_arrow(docs, _scorer(docs.sparkSession.sparkContext.broadcast(net), text), f"`{score}` double")
+    return with_arrow(docs, _scorer(docs.sparkSession.sparkContext.broadcast(net), text), f"`{score}` double", text)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
