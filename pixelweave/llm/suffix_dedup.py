@@ -12,12 +12,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm._common import dropped, ids_only, mixed, staged, table, text_bytes
+from pixelweave.llm._common import batch_bytes, dropped, ids_only, mixed, staged, table, text_bytes
 
 SPAN = 50  # bytes of a repeated string
 TRIPLE = 24  # bytes of a key of the first level: three words of eight
-BLOCK = 4_000_000  # bytes of text that a task sorts at once, about; longer texts are cut into overlapping pieces
-PART = 1_000_000  # keys of a range, about
+BLOCK = 2_000_000  # bytes of text that a task sorts at once, about; longer texts are cut into overlapping pieces
+PART = 500_000  # keys of a range, about
 PICKED = 20  # keys a range that its bounds are chosen from, as many as a range shuffle of Spark's would sample
 DENSITY = 2.2  # fingerprints are chosen at a rate of about 2 / (SPAN - TRIPLE + 2) of all positions
 _NAME_BITS = 46
@@ -53,7 +53,7 @@ class Block:
         w = np.append(eight(self.data), np.zeros(16, _U))
         n = len(self.data)
         with np.errstate(over="ignore"):
-            h = mixed(w[:n] + _U(0x9E3779B97F4A7C15) * mixed(w[8 : n + 8] + _U(0x9E3779B97F4A7C15) * mixed(w[16:])))
+            h = mixed(w[:n] * _U(0xD1342543DE82EF95) + w[8 : n + 8] * _U(0x9E3779B97F4A7C15) + w[16:] * _U(0xBF58476D1CE4E5B9))
         width, most = 1, span - TRIPLE + 1
         while 2 * width <= most:
             h[:-width] = np.minimum(h[:-width], h[width:])
@@ -127,6 +127,7 @@ def _row(schema: list[tuple[str, pa.DataType]], *cells) -> pa.RecordBatch:
 _TEXTS = [("block", pa.int64()), ("keys", pa.binary()), ("offsets", pa.binary()), ("ends", pa.binary()), ("data", pa.binary())]
 _TEXTS_DDL = "block long, keys binary, offsets binary, ends binary, data binary"
 _PARTS = [("block", pa.int64()), ("ids", pa.binary()), ("keys", pa.binary()), ("offsets", pa.binary()), ("ends", pa.binary()), ("data", pa.binary()), ("names", pa.binary())]
+_ASKS = [("block", pa.int64()), ("part", pa.int64()), ("keys", pa.binary()), ("holders", pa.binary()), ("several", pa.binary())]
 _PARTS_DDL = "block long, ids binary, keys binary, offsets binary, ends binary, data binary, names binary"
 
 
@@ -168,17 +169,19 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Block]]:
             yield row, Block(row["ends"], row["data"])
 
 
-def _distinct_prints(row: dict, block: Block, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of strings, the place of each one's fingerprint among the sorted distinct ones, these, and the tag
-    of their text. The lowest bit of a tag says that several texts of the block have the fingerprint."""
+def _distinct_prints(row: dict, block: Block, span: int) -> tuple[np.ndarray, ...]:
+    """Runs of strings with one fingerprint: their first and last positions, and the place of each one's fingerprint
+    among the sorted distinct ones; these, and the tag of their text. The lowest bit of a tag says that several texts
+    of the block have the fingerprint."""
     at, prints = block.prints(span)
+    first = np.flatnonzero(np.append(True, (prints[1:] != prints[:-1]) | (at[1:] != at[:-1] + 1))) if len(at) else np.empty(0, np.int64)
     tags = np.frombuffer(row["keys"], _U)[::2] & ~_U(1)
-    distinct, first, place = np.unique(prints, return_index=True, return_inverse=True)
-    own = tags[block.piece[at]]
-    tag = own[first]
+    distinct, one, place = np.unique(prints[first], return_index=True, return_inverse=True)
+    own = tags[block.piece[at[first]]]
+    tag = own[one]
     several = np.zeros(len(distinct), bool)
     several[place[own != tag[place]]] = True
-    return at, place, distinct, tag | several.astype(_U)
+    return at[first], at[np.append(first[1:], len(at)) - 1], place, distinct, tag | several.astype(_U)
 
 
 def _candidates(texts: DataFrame, parts: int, span: int) -> DataFrame:
@@ -190,7 +193,7 @@ def _candidates(texts: DataFrame, parts: int, span: int) -> DataFrame:
 
     def asks(batches):
         for row, block in _each(batches):
-            _, _, prints, tags = _distinct_prints(row, block, span)
+            *_, prints, tags = _distinct_prints(row, block, span)
             edge = np.searchsorted(_range_of_print(prints, parts), np.arange(parts + 1))
             for p in np.flatnonzero(np.diff(edge)).tolist():
                 cut = slice(edge[p], edge[p + 1])
@@ -210,18 +213,18 @@ def _candidates(texts: DataFrame, parts: int, span: int) -> DataFrame:
 
     def stretches(batches):
         for row, block in _each(batches):
-            at, place, prints, _ = _distinct_prints(row, block, span)
+            begin, end, place, prints, _ = _distinct_prints(row, block, span)
             edge = np.searchsorted(_range_of_print(prints, parts), np.arange(parts + 1))
             shared = np.zeros(len(prints), bool)
             for a in row["answers"] or ():
                 s, e = edge[a["part"]], edge[a["part"] + 1]
                 shared[s:e] = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=e - s).astype(bool)
             ok = shared[place]
-            i, p = at[ok], prints[place[ok]]
+            i, j, p = begin[ok], end[ok], prints[place[ok]]
             if not len(i):
                 continue
-            first = np.flatnonzero(np.append(True, (i[1:] - i[:-1] > span) | (block.piece[i[1:]] != block.piece[i[:-1]])))
-            lows, lasts = np.minimum.reduceat(p, first), i[np.append(first[1:] - 1, len(i) - 1)]
+            first = np.flatnonzero(np.append(True, (i[1:] - j[:-1] > span) | (block.piece[i[1:]] != block.piece[i[:-1]])))
+            lows, lasts = np.minimum.reduceat(p, first), j[np.append(first[1:], len(i)) - 1]
             offsets, keys = np.frombuffer(row["offsets"], np.int64), row["keys"]
             out = []
             for s, e, low in zip(i[first].tolist(), lasts.tolist(), lows.tolist(), strict=True):
@@ -234,6 +237,7 @@ def _candidates(texts: DataFrame, parts: int, span: int) -> DataFrame:
 
     found = texts.mapInArrow(asks, "block long, part long, prints binary, tags binary")
     bits = staged(found.groupBy("part").applyInPandas(answer, "block long, part long, bits binary"))
+    texts.sparkSession.sparkContext._jvm.System.gc()
     lists = bits.groupBy("block").agg(F.collect_list(F.struct("part", "bits")).alias("answers"))
     out = staged(texts.join(lists, "block", "left").mapInArrow(stretches, "key binary, offset long, data binary, print long"))
     dropped(bits)
@@ -277,8 +281,7 @@ def _answered(blocks: DataFrame, keys_of, width: int, *, last: bool) -> DataFram
     def sample(batches):
         for row, block in _each(batches):
             keys, _ = keys_of(block, np.frombuffer(row["names"], _U))
-            keys = unique_rows(keys)[0]
-            pick = keys[np.unique(np.linspace(0, len(keys) - 1, min(-(-PICKED * len(keys) // PART), len(keys))).astype(int))]
+            pick = keys[np.linspace(0, len(keys) - 1, min(-(-PICKED * len(keys) // PART), len(keys))).astype(int)]
             yield _row([("n", pa.int64()), ("keys", pa.binary())], len(keys), pick.tobytes())
 
     got = blocks.mapInArrow(sample, "n long, keys binary").collect()  # about PICKED keys a range, at least one a block
@@ -288,6 +291,7 @@ def _answered(blocks: DataFrame, keys_of, width: int, *, last: bool) -> DataFram
     far = np.iinfo(np.int64).max
 
     def requests(batches):
+        """A row for each range, and one with the block's positions, the places of their keys and where ranges begin."""
         for row, block in _each(batches):
             keys, where = keys_of(block, np.frombuffer(row["names"], _U))
             distinct, place = unique_rows(keys)
@@ -295,12 +299,13 @@ def _answered(blocks: DataFrame, keys_of, width: int, *, last: bool) -> DataFram
             low, high = np.full(len(distinct), far), np.full(len(distinct), -far)
             np.minimum.at(low, place, own)
             np.maximum.at(high, place, own)
-            edge = np.concatenate([[0], np.searchsorted(_sortable(distinct), bounds, "right"), [len(distinct)]])
+            edge = np.concatenate([[0], np.searchsorted(_sortable(distinct), bounds, "right"), [len(distinct)]]).astype(np.int64)
             for p in np.flatnonzero(np.diff(edge)).tolist():
                 cut = slice(edge[p], edge[p + 1])
                 several = np.packbits(low[cut] != high[cut]).tobytes()
-                kinds = [("block", pa.int64()), ("part", pa.int64()), ("keys", pa.binary()), ("holders", pa.binary()), ("several", pa.binary())]
-                yield _row(kinds, row["block"], p, np.ascontiguousarray(distinct[cut].T).tobytes(), low[cut].tobytes(), several)
+                yield _row(_ASKS, row["block"], p, np.ascontiguousarray(distinct[cut].T).tobytes(), low[cut].tobytes(), several)
+            inside = np.packbits(low[place] < own).tobytes() if last else b""
+            yield _row(_ASKS, row["block"], -1, where.astype(np.uint32).tobytes() + place.astype(np.uint32).tobytes(), edge.tobytes(), inside)
 
     def answer(part: pd.DataFrame) -> pd.DataFrame:
         lists = [np.frombuffer(k, _U).reshape(width, -1).T for k in part["keys"]]
@@ -322,8 +327,8 @@ def _answered(blocks: DataFrame, keys_of, width: int, *, last: bool) -> DataFram
         out["size"] = 0 if last else int(names.max(initial=0))
         return out
 
-    kind = "block long, part long, keys binary, holders binary, several binary"
-    answers = staged(blocks.mapInArrow(requests, kind).groupBy("part").applyInPandas(answer, "block long, part long, numbers binary, size long"))
+    asked = staged(blocks.mapInArrow(requests, "block long, part long, keys binary, holders binary, several binary"))
+    answers = staged(asked.where("part >= 0").groupBy("part").applyInPandas(answer, "block long, part long, numbers binary, size long"))
     # the names of a range start where those of the ranges before it end: one row a range
     sizes = {} if last else {r["part"]: r["size"] for r in answers.groupBy("part").agg(F.max("size").alias("size")).collect()}
     first = np.cumsum([0] + [sizes.get(p, 0) for p in range(parts)])
@@ -333,10 +338,9 @@ def _answered(blocks: DataFrame, keys_of, width: int, *, last: bool) -> DataFram
 
     def joined(batches):
         for row, block in _each(batches):
-            keys, where = keys_of(block, np.frombuffer(row["names"], _U))
-            distinct, place = unique_rows(keys)
-            edge = np.concatenate([[0], np.searchsorted(_sortable(distinct), bounds, "right"), [len(distinct)]])
-            numbers = np.zeros(len(distinct), np.int64)
+            where, place = np.frombuffer(row["keys_at"], np.uint32).reshape(2, -1)
+            edge = np.frombuffer(row["holders"], np.int64)
+            numbers = np.zeros(edge[-1], np.int64)
             for a in row["answers"] or ():
                 s, e = edge[a["part"]], edge[a["part"] + 1]
                 if last:
@@ -346,15 +350,15 @@ def _answered(blocks: DataFrame, keys_of, width: int, *, last: bool) -> DataFram
                     numbers[s:e] = np.where(own > 0, own + first[a["part"]], 0)
             names = np.zeros(len(block.data), _U)
             if last:  # a smaller document may also lie in the block itself
-                own = np.frombuffer(row["ids"], np.int64)[block.piece[where]]
-                low = np.full(len(distinct), far)
-                np.minimum.at(low, place, own)
-                names[where[(numbers[place] > 0) | (low[place] < own)]] = 1
+                inside = np.unpackbits(np.frombuffer(row["several"], np.uint8), count=len(where)).astype(bool)
+                names[where[(numbers[place] > 0) | inside]] = 1
             else:
                 names[where] = numbers[place].astype(_U)
             yield _row(_PARTS, *(row[c] for c, _ in _PARTS[:-1]), names.tobytes())
 
-    out = staged(blocks.join(lists, "block", "left").mapInArrow(joined, _PARTS_DDL))
+    places = asked.where("part = -1").select("block", F.col("keys").alias("keys_at"), "holders", "several")
+    out = staged(blocks.join(places, "block").join(lists, "block", "left").mapInArrow(joined, _PARTS_DDL))
+    dropped(asked)
     dropped(answers)
     dropped(blocks)
     spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of this level
@@ -441,23 +445,24 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     texts = keyed.where(F.col("id").isNotNull() & (F.octet_length("text") >= span)).select("key", "text")
     blocks = staged(texts.mapInArrow(_text_blocks(span), _TEXTS_DDL))
     parts = max(1, int(total * DENSITY / (span - TRIPLE + 2)) // PART + 1)
-    found = _candidates(blocks, parts, span)
-    dropped(blocks)
-    spark.sparkContext._jvm.System.gc()
-    # ids are numbered by what the sort compares: their order is all that counts
-    ranked = staged(_ranked(found.select("key").distinct().join(first, "key")))
-    found = found.dropDuplicates(["key", "offset"]).join(ranked, "key")
-    size = found.agg(F.sum(F.length("data"))).first()[0] or 0
-    dealt = found.repartitionByRange(max(1, size // BLOCK + 1), "print", "key", "offset").sortWithinPartitions("print", "key", "offset")
-    blocks = staged(dealt.select("rank", "key", "offset", "data").mapInArrow(_stretch_blocks, _PARTS_DDL))
-    blocks = _answered(blocks, lambda b, names: b.triples(), 3, last=False)
-    depth = TRIPLE
-    while 2 * depth + 2 <= span:
-        blocks = _answered(blocks, lambda b, names, d=depth: b.doubled(names, d), 2, last=False)
-        depth *= 2
-    blocks = _answered(blocks, lambda b, names: b.merged(names, depth, span), 1 + (span - depth > 2), last=True)
-    gone = staged(blocks.mapInArrow(_gone(span), "key binary, s long, e long"))
-    dropped(blocks)
+    with batch_bytes(spark, 2 * BLOCK):  # a block is a row
+        found = _candidates(blocks, parts, span)
+        dropped(blocks)
+        spark.sparkContext._jvm.System.gc()
+        # ids are numbered by what the sort compares: their order is all that counts
+        ranked = staged(_ranked(found.select("key").distinct().join(first, "key")))
+        size = found.agg(F.sum(F.length("data"))).first()[0] or 0
+        found = found.dropDuplicates(["key", "offset"]).join(ranked, "key")
+        dealt = found.repartitionByRange(max(1, size // BLOCK + 1), "print", "key", "offset").sortWithinPartitions("print", "key", "offset")
+        blocks = staged(dealt.select("rank", "key", "offset", "data").mapInArrow(_stretch_blocks, _PARTS_DDL))
+        blocks = _answered(blocks, lambda b, names: b.triples(), 3, last=False)
+        depth = TRIPLE
+        while 2 * depth + 2 <= span:
+            blocks = _answered(blocks, lambda b, names, d=depth: b.doubled(names, d), 2, last=False)
+            depth *= 2
+        blocks = _answered(blocks, lambda b, names: b.merged(names, depth, span), 1 + (span - depth > 2), last=True)
+        gone = staged(blocks.mapInArrow(_gone(span), "key binary, s long, e long"))
+        dropped(blocks)
     gone = gone.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("gone"))  # at most one interval for `span` bytes of a text
     reps = keyed.join(gone, "key").join(first, "key").where("id = rep").dropDuplicates(["key"]).select("key", "text", "gone")
     cut = staged(reps.mapInArrow(_cut, "key binary, n_removed long, n_spans long, kept_sha256 string"))
