@@ -49,15 +49,17 @@ def staged(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def batch_bytes(spark: SparkSession, most: int) -> Iterator[None]:
-    """Bound the bytes of an Arrow batch for what runs inside; rows may be large there."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(most))
+def large_rows(spark: SparkSession) -> Iterator[None]:
+    """For what runs inside, few rows are read, and sent to Python, at a time."""
+    few = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2", "spark.sql.parquet.columnarReaderBatchSize": "8"}
+    before = {k: spark.conf.get(k) for k in few}
+    for k, v in few.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def dropped(df: DataFrame) -> None:

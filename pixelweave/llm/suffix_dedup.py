@@ -12,11 +12,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm._common import batch_bytes, dropped, ids_only, mixed, staged, table, text_bytes
+from pixelweave.llm._common import dropped, ids_only, large_rows, mixed, staged, table, text_bytes
 
 SPAN = 50  # bytes of a repeated string
 TRIPLE = 24  # bytes of a key of the first level: three words of eight
-BLOCK = 2_000_000  # bytes of text that a task sorts at once, about; longer texts are cut into overlapping pieces
+BLOCK = 1_000_000  # bytes of text that a task sorts at once, about; longer texts are cut into overlapping pieces
 PART = 500_000  # keys of a range, about
 PICKED = 20  # keys a range that its bounds are chosen from, as many as a range shuffle of Spark's would sample
 DENSITY = 2.2  # fingerprints are chosen at a rate of about 2 / (SPAN - TRIPLE + 2) of all positions
@@ -38,11 +38,12 @@ class Block:
     """Pieces of texts side by side; no string crosses from one into the next."""
 
     def __init__(self, ends: bytes, data: bytes):
-        self.data, self.ends = np.frombuffer(data, np.uint8), np.frombuffer(ends, np.int64)
-        self.starts = np.append(0, self.ends[:-1])
-        self.piece = np.repeat(np.arange(len(self.ends)), self.ends - self.starts)
-        self.at = np.arange(len(self.data)) - self.starts[self.piece]
-        self.left = self.ends[self.piece] - np.arange(len(self.data))  # bytes to the end of the piece
+        self.data, self.ends = np.frombuffer(data, np.uint8), np.frombuffer(ends, np.int64).astype(np.int32)
+        self.starts = np.append(0, self.ends[:-1]).astype(np.int32)
+        self.piece = np.repeat(np.arange(len(self.ends), dtype=np.int32), self.ends - self.starts)
+        every = np.arange(len(self.data), dtype=np.int32)
+        self.at = every - self.starts[self.piece]
+        self.left = self.ends[self.piece] - every  # bytes to the end of the piece
 
     def prints(self, span: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions where strings of `span` bytes start, and a fingerprint for each of these strings.
@@ -445,16 +446,17 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     texts = keyed.where(F.col("id").isNotNull() & (F.octet_length("text") >= span)).select("key", "text")
     blocks = staged(texts.mapInArrow(_text_blocks(span), _TEXTS_DDL))
     parts = max(1, int(total * DENSITY / (span - TRIPLE + 2)) // PART + 1)
-    with batch_bytes(spark, 2 * BLOCK):  # a block is a row
+    with large_rows(spark):  # a block is a row
         found = _candidates(blocks, parts, span)
-        dropped(blocks)
-        spark.sparkContext._jvm.System.gc()
-        # ids are numbered by what the sort compares: their order is all that counts
-        ranked = staged(_ranked(found.select("key").distinct().join(first, "key")))
-        size = found.agg(F.sum(F.length("data"))).first()[0] or 0
-        found = found.dropDuplicates(["key", "offset"]).join(ranked, "key")
-        dealt = found.repartitionByRange(max(1, size // BLOCK + 1), "print", "key", "offset").sortWithinPartitions("print", "key", "offset")
-        blocks = staged(dealt.select("rank", "key", "offset", "data").mapInArrow(_stretch_blocks, _PARTS_DDL))
+    dropped(blocks)
+    spark.sparkContext._jvm.System.gc()
+    # ids are numbered by what the sort compares: their order is all that counts
+    ranked = staged(_ranked(found.select("key").distinct().join(first, "key")))
+    size = found.agg(F.sum(F.length("data"))).first()[0] or 0
+    found = found.dropDuplicates(["key", "offset"]).join(ranked, "key")
+    dealt = found.repartitionByRange(max(1, size // BLOCK + 1), "print", "key", "offset").sortWithinPartitions("print", "key", "offset")
+    blocks = staged(dealt.select("rank", "key", "offset", "data").mapInArrow(_stretch_blocks, _PARTS_DDL))
+    with large_rows(spark):
         blocks = _answered(blocks, lambda b, names: b.triples(), 3, last=False)
         depth = TRIPLE
         while 2 * depth + 2 <= span:
@@ -462,7 +464,7 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             depth *= 2
         blocks = _answered(blocks, lambda b, names: b.merged(names, depth, span), 1 + (span - depth > 2), last=True)
         gone = staged(blocks.mapInArrow(_gone(span), "key binary, s long, e long"))
-        dropped(blocks)
+    dropped(blocks)
     gone = gone.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("gone"))  # at most one interval for `span` bytes of a text
     reps = keyed.join(gone, "key").join(first, "key").where("id = rep").dropDuplicates(["key"]).select("key", "text", "gone")
     cut = staged(reps.mapInArrow(_cut, "key binary, n_removed long, n_spans long, kept_sha256 string"))
