@@ -107,6 +107,9 @@ class Block:
 
 def unique_rows(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct rows, and for each row its place among them."""
+    if keys.shape[1] == 1:
+        distinct, place = np.unique(keys[:, 0], return_inverse=True)
+        return distinct[:, None], place
     order = np.lexsort(keys.T[::-1])
     s = keys[order]
     new = np.ones(len(s), bool)
@@ -292,7 +295,7 @@ def _answered(blocks: DataFrame, keys_of, width: int, *, last: bool) -> DataFram
     far = np.iinfo(np.int64).max
 
     def requests(batches):
-        """A row for each range, and one with the block's positions, the places of their keys and where ranges begin."""
+        """A row for each range, and but for the last level one with the places of the block's keys and where ranges begin."""
         for row, block in _each(batches):
             keys, where = keys_of(block, np.frombuffer(row["names"], _U))
             distinct, place = unique_rows(keys)
@@ -305,8 +308,8 @@ def _answered(blocks: DataFrame, keys_of, width: int, *, last: bool) -> DataFram
                 cut = slice(edge[p], edge[p + 1])
                 several = np.packbits(low[cut] != high[cut]).tobytes()
                 yield _row(_ASKS, row["block"], p, np.ascontiguousarray(distinct[cut].T).tobytes(), low[cut].tobytes(), several)
-            inside = np.packbits(low[place] < own).tobytes() if last else b""
-            yield _row(_ASKS, row["block"], -1, where.astype(np.uint32).tobytes() + place.astype(np.uint32).tobytes(), edge.tobytes(), inside)
+            if not last:
+                yield _row(_ASKS, row["block"], -1, place.astype(np.uint32).tobytes(), edge.tobytes(), b"")
 
     def answer(part: pd.DataFrame) -> pd.DataFrame:
         lists = [np.frombuffer(k, _U).reshape(width, -1).T for k in part["keys"]]
@@ -328,7 +331,8 @@ def _answered(blocks: DataFrame, keys_of, width: int, *, last: bool) -> DataFram
         out["size"] = 0 if last else int(names.max(initial=0))
         return out
 
-    asked = staged(blocks.mapInArrow(requests, "block long, part long, keys binary, holders binary, several binary"))
+    asked = blocks.mapInArrow(requests, "block long, part long, keys binary, holders binary, several binary")
+    asked = asked if last else staged(asked)
     answers = staged(asked.where("part >= 0").groupBy("part").applyInPandas(answer, "block long, part long, numbers binary, size long"))
     # the names of a range start where those of the ranges before it end: one row a range
     sizes = {} if last else {r["part"]: r["size"] for r in answers.groupBy("part").agg(F.max("size").alias("size")).collect()}
@@ -339,8 +343,12 @@ def _answered(blocks: DataFrame, keys_of, width: int, *, last: bool) -> DataFram
 
     def joined(batches):
         for row, block in _each(batches):
-            where, place = np.frombuffer(row["keys_at"], np.uint32).reshape(2, -1)
-            edge = np.frombuffer(row["holders"], np.int64)
+            keys, where = keys_of(block, np.frombuffer(row["names"], _U))
+            if last:  # keys of one number: sorted again rather than stored
+                distinct, place = unique_rows(keys)
+                edge = np.concatenate([[0], np.searchsorted(_sortable(distinct), bounds, "right"), [len(distinct)]])
+            else:
+                place, edge = np.frombuffer(row["place"], np.uint32), np.frombuffer(row["edge"], np.int64)
             numbers = np.zeros(edge[-1], np.int64)
             for a in row["answers"] or ():
                 s, e = edge[a["part"]], edge[a["part"] + 1]
@@ -351,15 +359,21 @@ def _answered(blocks: DataFrame, keys_of, width: int, *, last: bool) -> DataFram
                     numbers[s:e] = np.where(own > 0, own + first[a["part"]], 0)
             names = np.zeros(len(block.data), _U)
             if last:  # a smaller document may also lie in the block itself
-                inside = np.unpackbits(np.frombuffer(row["several"], np.uint8), count=len(where)).astype(bool)
-                names[where[(numbers[place] > 0) | inside]] = 1
+                own = np.frombuffer(row["ids"], np.int64)[block.piece[where]]
+                low = np.full(len(distinct), far)
+                np.minimum.at(low, place, own)
+                names[where[(numbers[place] > 0) | (low[place] < own)]] = 1
             else:
                 names[where] = numbers[place].astype(_U)
             yield _row(_PARTS, *(row[c] for c, _ in _PARTS[:-1]), names.tobytes())
 
-    places = asked.where("part = -1").select("block", F.col("keys").alias("keys_at"), "holders", "several")
-    out = staged(blocks.join(places, "block").join(lists, "block", "left").mapInArrow(joined, _PARTS_DDL))
-    dropped(asked)
+    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of the keys
+    full = blocks
+    if not last:
+        full = blocks.join(asked.where("part = -1").select("block", F.col("keys").alias("place"), F.col("holders").alias("edge")), "block")
+    out = staged(full.join(lists, "block", "left").mapInArrow(joined, _PARTS_DDL))
+    if not last:
+        dropped(asked)
     dropped(answers)
     dropped(blocks)
     spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of this level
