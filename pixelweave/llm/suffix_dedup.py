@@ -461,15 +461,17 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     blocks = staged(texts.mapInArrow(_text_blocks(span), _TEXTS_DDL))
     parts = max(1, int(total * DENSITY / (span - TRIPLE + 2)) // PART + 1)
     with large_rows(spark):  # a block is a row
-        found = _candidates(blocks, parts, span)
+        stretches = _candidates(blocks, parts, span)
     dropped(blocks)
     spark.sparkContext._jvm.System.gc()
     # ids are numbered by what the sort compares: their order is all that counts
-    ranked = staged(_ranked(found.select("key").distinct().join(first, "key")))
-    size = found.agg(F.sum(F.length("data"))).first()[0] or 0
-    found = found.dropDuplicates(["key", "offset"]).join(ranked, "key")
+    ranked = staged(_ranked(stretches.select("key").distinct().join(first, "key")))
+    size = stretches.agg(F.sum(F.length("data"))).first()[0] or 0
+    found = stretches.dropDuplicates(["key", "offset"]).join(ranked, "key")
     dealt = found.repartitionByRange(max(1, size // BLOCK + 1), "print", "key", "offset").sortWithinPartitions("print", "key", "offset")
     blocks = staged(dealt.select("rank", "key", "offset", "data").mapInArrow(_stretch_blocks, _PARTS_DDL))
+    dropped(stretches)
+    spark.sparkContext._jvm.System.gc()
     with large_rows(spark):
         blocks = _answered(blocks, lambda b, names: b.triples(), 3, last=False)
         depth = TRIPLE
