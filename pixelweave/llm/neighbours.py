@@ -13,16 +13,17 @@ from pixelweave.llm._common import dropped, ids_only, staged, table
 
 TOP = 20
 DEGREE, BACK = 28, 12  # neighbours a node keeps, and nodes that name it, in its record
-GIVEN = 10  # candidates that one expansion passes on
-LEAF, FORESTS = 200, 3  # nodes compared at the start, by random hyperplanes; so many times, so that the leaves overlap
-ROUNDS, STILL = 8, 0.03  # NN-descent ends when fewer than this share of neighbours changed
-BEAM, WIDEST, FRONT = 128, 2048, 48
+GIVEN = 16  # candidates that one expansion passes on
+CELL, FORESTS = 2000, 2  # nodes of a cell, about; cells come from random hyperplanes, and start the graph, so many times
+ROUNDS, STILL = 10, 0.03  # NN-descent ends when fewer than this share of neighbours changed
+BEAM, WIDEST, FRONT = 256, 2048, 64
 SEEDS = 32  # nodes anywhere in the graph that each search begins with besides its own place
 AUDIT, RECALL = 64, 0.94  # queries held against brute force, and the share they must find before the beam is widened no more
 BLOCK = 2000  # queries that are answered by brute force at a time
 
 _WIDTH = DEGREE + BACK
 _STATE = "u long, vec binary, ids array<long>, scores array<float>, done array<boolean>"
+_GRAPH = "u long, cell long, vec binary, ids array<long>, scores array<float>, new array<boolean>"
 
 
 def _vecs(column: pa.Array) -> np.ndarray:
@@ -49,15 +50,55 @@ def _mapped(df: DataFrame, f, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def _leaf(part: pd.DataFrame) -> pd.DataFrame:
-    """Each node's nearest in its leaf."""
-    x = np.stack([np.frombuffer(v, np.float32) for v in part["vec"]])
-    ids, n = part["u"].to_numpy(), len(part)
-    s = x @ x.T
-    np.fill_diagonal(s, -np.inf)
-    k = min(-(-DEGREE // FORESTS), n - 1)
-    at = np.argsort(-s, axis=1, kind="stable")[:, :k]
-    return pd.DataFrame({"u": ids, "ids": list(ids[at]), "scores": list(np.take_along_axis(s, at, 1))})
+def _best_of(u: np.ndarray, w: np.ndarray, s: np.ndarray, keep: int) -> pa.Table:
+    """Of each u its `keep` best distinct w, as lists."""
+    order = np.lexsort((w, -s, u))
+    u, w, s = u[order], w[order], s[order]
+    new = np.append(True, (u[1:] != u[:-1]) | (w[1:] != w[:-1]))[: len(u)]  # equal pairs have equal scores
+    u, w, s = u[new], w[new], s[new]
+    first = np.flatnonzero(np.append(True, u[1:] != u[:-1])[: len(u)])
+    rank = np.arange(len(u)) - np.repeat(first, np.diff(np.append(first, len(u))))
+    u, w, s = u[rank < keep], w[rank < keep], s[rank < keep]
+    nodes, counts = np.unique(u, return_counts=True)
+    return pa.table({"u": nodes, "ids": _lists(w, counts), "scores": _lists(s.astype(np.float32), counts)})
+
+
+def _within(part: pa.Table) -> pa.Table:
+    """Each node's nearest in its cell."""
+    x, ids = _vecs(part.column("vec").combine_chunks()), part.column("u").to_numpy()
+    out, k = [], min(DEGREE, len(ids) - 1)
+    for b in range(0, len(ids) if k > 0 else 0, 500):
+        s = x[b : b + 500] @ x.T
+        s[np.arange(len(s)), np.arange(b, b + len(s))] = -np.inf
+        at = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        out.append(_best_of(np.repeat(ids[b : b + 500], k), ids[at].ravel(), np.take_along_axis(s, at, 1).ravel(), k))
+    return pa.concat_tables(out) if out else _best_of(ids[:0], ids[:0], np.empty(0, np.float32), 1)
+
+
+def _joined(lists: pa.Table, wanted: pa.Table) -> pa.Table:
+    """The local join of a cell: the neighbours of each of its nodes meet each other, where one of two is new.
+    Of each neighbour the best of what it met and what beats its worst one."""
+    ids = wanted.column("id").to_numpy()
+    order = np.argsort(ids)
+    ids, floor = ids[order], wanted.column("floor").to_numpy()[order]
+    x = _vecs(wanted.column("vec").combine_chunks())[order] if len(ids) else np.empty((0, 1), np.float32)
+    flat, new = (lists.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("ids", "new"))
+    counts = lists.column("ids").combine_chunks().value_lengths().to_numpy()
+    begin = np.cumsum(counts) - counts
+    best = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))]
+    width = int(counts.max(initial=0))
+    for b in range(0, len(counts), 250):
+        n = counts[b : b + 250]
+        at = begin[b : b + 250, None] + np.arange(width)
+        there = np.arange(width) < n[:, None]
+        at = np.where(there, at, 0)
+        m, fresh = np.searchsorted(ids, flat[at]), new[at] & there
+        v = x[np.minimum(m, len(ids) - 1)]
+        s = v @ v.transpose(0, 2, 1)
+        ok = there[:, :, None] & there[:, None, :] & (fresh[:, :, None] | fresh[:, None, :]) & (m[:, :, None] != m[:, None, :])
+        r, i, j = np.nonzero(ok & (s > floor[np.minimum(m, len(ids) - 1)][:, :, None]))
+        best.append((ids[m[r, i]], ids[m[r, j]], s[r, i, j]))
+    return _best_of(*(np.concatenate(c) for c in zip(*best, strict=True)), DEGREE)
 
 
 def _scored(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -81,34 +122,59 @@ def _merger(width: int, front: int):
     """Old neighbours, whose `front` best unexpanded ones have been expanded by now, and new ones: the best stay."""
 
     def merge(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out, counts, changed = ([], [], []), [], []
+        out, counts = ([], [], []), []
         cols = (batch.column(c).to_pylist() for c in ("ids", "scores", "done", "more", "more_scores"))
         for ids, scores, done, more, more_scores in zip(*cols, strict=True):
             done = np.array(done, bool)
             done[np.flatnonzero(~done)[:front]] = True
-            i = np.array(ids + (more or []), np.int64)
-            s = np.array(scores + (more_scores or []), np.float32)
-            f = np.concatenate([done, np.zeros(len(i) - len(done), bool)])
-            _, first = np.unique(i, return_index=True)  # the first of equals: the old one
-            first = first[np.lexsort((i[first], -s[first]))][:width]
-            for o, x in zip(out, (i[first], s[first], f[first]), strict=True):
+            kept = _kept(ids, scores, done, more, more_scores, False, width)
+            for o, x in zip(out, kept, strict=True):
                 o.append(x)
-            counts.append(len(first))
-            changed.append(int((first >= len(done)).sum()))
+            counts.append(len(kept[0]))
         flat = [np.concatenate(o) for o in out]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("u"), batch.column("vec"), *(_lists(x, np.array(counts)) for x in flat), pa.array(changed, pa.int32())],
-            names=["u", "vec", "ids", "scores", "done", "changed"],
-        )
+        return pa.RecordBatch.from_arrays([batch.column("u"), batch.column("vec"), *(_lists(x, np.array(counts)) for x in flat)], names=["u", "vec", "ids", "scores", "done"])
 
     return merge
 
 
+def _kept(ids: list, scores: list, flags: np.ndarray, more: list | None, more_scores: list | None, flag: bool, width: int) -> tuple[np.ndarray, ...]:
+    """The best of a list with flags and of more candidates, which get the flag given."""
+    i = np.array(ids + (more or []), np.int64)
+    s = np.array(scores + (more_scores or []), np.float32)
+    f = np.concatenate([flags, np.full(len(i) - len(flags), flag)])
+    _, first = np.unique(i, return_index=True)  # the first of equals: the old one
+    first = first[np.lexsort((i[first], -s[first]))][:width]
+    return i[first], s[first], f[first]
+
+
+def _improved(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The graph after a round: what was there is no longer new."""
+    out, counts = ([], [], []), []
+    cols = (batch.column(c).to_pylist() for c in ("ids", "scores", "more", "more_scores"))
+    for ids, scores, more, more_scores in zip(*cols, strict=True):
+        kept = _kept(ids or [], scores or [], np.zeros(len(ids or []), bool), more, more_scores, True, DEGREE)
+        for o, x in zip(out, kept, strict=True):
+            o.append(x)
+        counts.append(len(kept[0]))
+    flat = [np.concatenate(o) for o in out]
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("u", "cell", "vec")), *(_lists(x, np.array(counts)) for x in flat)], names=["u", "cell", "vec", "ids", "scores", "new"])
+
+
+def _merged(graph: DataFrame, found: DataFrame) -> DataFrame:
+    got = found.groupBy("u").agg(F.flatten(F.collect_list("ids")).alias("more"), F.flatten(F.collect_list("scores")).alias("more_scores"))
+    return staged(_mapped(graph.join(got, "u", "left"), _improved, _GRAPH))
+
+
+def _backwards(forth: DataFrame, seed: int = 0) -> DataFrame:
+    """A hashed choice of about BACK of the edges (node, nb) that lead to each nb. Counts bound what a hub gets."""
+    named = forth.groupBy("nb").agg(F.count("*").alias("times"))
+    return forth.join(named, "nb").where(F.pmod(F.xxhash64("node", "nb", F.lit(seed)), "times") < BACK).drop("times")
+
+
 def _records(graph: DataFrame, codes: DataFrame) -> DataFrame:
     """Of each node: its neighbours and a hashed choice of about BACK nodes that name it, with their codes."""
     forth = graph.select(F.col("u").alias("node"), F.explode("ids").alias("nb"))
-    named = staged(forth.groupBy("nb").agg(F.count("*").alias("times")))
-    back = forth.join(named, "nb").where(F.pmod(F.xxhash64("node", "nb"), "times") < BACK).select(F.col("nb").alias("node"), F.col("node").alias("nb"))
+    back = _backwards(forth).select(F.col("nb").alias("node"), F.col("node").alias("nb"))
     rows = forth.unionByName(back).distinct().join(codes, "nb")
     lists = rows.groupBy("node").agg(F.collect_list(F.struct("nb", "code")).alias("l"))
 
@@ -131,7 +197,7 @@ def _expanded(state: DataFrame, records: DataFrame, width: int, front: int) -> D
     asks = state.select("u", "vec", floor.cast("float").alias("floor"), F.explode(open_).alias("x")).select("u", "vec", "floor", F.col("x.ids").alias("node"))
     got = _mapped(asks.join(records, "node").select("u", "vec", "floor", "near", "codes"), _scored, "u long, ids array<long>, scores array<float>")
     got = got.groupBy("u").agg(F.flatten(F.collect_list("ids")).alias("more"), F.flatten(F.collect_list("scores")).alias("more_scores"))
-    return staged(_mapped(state.drop("changed").join(got, "u", "left"), _merger(width, front), f"{_STATE}, changed int"))
+    return staged(_mapped(state.join(got, "u", "left"), _merger(width, front), _STATE))
 
 
 def _freed(spark: SparkSession) -> None:
@@ -139,37 +205,57 @@ def _freed(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def descent(nodes: DataFrame, codes: DataFrame, count: int, *, rounds: int = ROUNDS, still: float = STILL) -> DataFrame:
-    """A neighbour graph over nodes (u, vec) by NN-descent.
-
-    It starts from leaves of random hyperplanes. Each round joins every node's unexpanded
-    neighbours with their own neighbours and the nodes that name them, and keeps the nearest.
-    """
-    spark = nodes.sparkSession
-    bits = max(0, int(np.ceil(np.log2(max(1, count) / LEAF))))
+def _celled(nodes: DataFrame, count: int, forest: int) -> DataFrame:
+    """Nodes (u, vec) with a cell of about CELL near ones: a side of each of some hyperplanes. Large cells are dealt at random."""
+    bits = max(0, int(np.ceil(np.log2(max(1, count) / CELL))))
 
     def coded(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = _vecs(batch.column("vec"))
-        planes = np.random.default_rng(3).normal(size=(x.shape[1], FORESTS * bits))
-        side = ((x @ planes) > 0).reshape(len(x), FORESTS, bits)
-        code = (side @ (1 << np.arange(bits)) if bits else np.zeros((len(x), FORESTS), np.int64)) * FORESTS + np.arange(FORESTS)
-        leaves = _lists(code.astype(np.int64).ravel(), np.full(len(x), FORESTS))
-        return pa.RecordBatch.from_arrays([batch.column("u"), batch.column("vec"), leaves], names=["u", "vec", "leaves"])
-
-    leaves = staged(_mapped(nodes, coded, "u long, vec binary, leaves array<long>")).select("u", "vec", F.explode("leaves").alias("leaf"))
-    sizes = staged(leaves.groupBy("leaf").agg(F.ceil(F.count("*") / (2 * LEAF)).alias("parts")))
-    dealt = leaves.join(sizes, "leaf").select("u", "vec", "leaf", F.pmod(F.xxhash64("u", "leaf"), "parts").alias("part"))
-    lists = dealt.groupBy("leaf", "part").applyInPandas(_leaf, "u long, ids array<long>, scores array<float>")
-    lists = lists.select("u", F.explode(F.arrays_zip("scores", "ids")).alias("x")).distinct()
-    lists = lists.groupBy("u").agg(F.sort_array(F.collect_list("x"), asc=False).alias("x"))
-    lists = lists.select("u", F.col("x.ids").alias("ids"), F.col("x.scores").alias("scores"))
-    done = F.transform("ids", lambda _: F.lit(False)).alias("done")
-    graph = staged(nodes.join(lists, "u").select("u", "vec", "ids", "scores", done))
-    for _ in range(rounds):
-        old, graph = graph, _expanded(graph, _records(graph, codes), DEGREE, DEGREE)
-        dropped(old)
+        side = x @ np.random.default_rng([3, forest]).normal(size=(x.shape[1], bits)) > 0
+        code = (side @ (1 << np.arange(bits)) if bits else np.zeros(len(x))).astype(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column("u"), batch.column("vec"), pa.array(code)], names=["u", "vec", "code"])
+
+    coded_nodes = _mapped(nodes, coded, "u long, vec binary, code long")
+    sizes = coded_nodes.groupBy("code").agg(F.ceil(F.count("*") / (2 * CELL)).alias("parts"))
+    cell = F.col("code") * 2**24 + F.pmod(F.xxhash64("u"), "parts")
+    return coded_nodes.join(sizes, "code").select("u", "vec", cell.alias("cell"))
+
+
+def descent(nodes: DataFrame, count: int, *, rounds: int = ROUNDS, still: float = STILL, trace: list[DataFrame] | None = None) -> DataFrame:
+    """A neighbour graph over nodes (u, vec) by NN-descent: (u, cell, vec, ids, scores, new).
+
+    It starts from the nearest within cells of random hyperplanes. In each round the neighbours of
+    a node, and some of the nodes that name it, are neighbours of neighbours: Spark joins bring
+    their vectors to the node's cell, where each pair with a new member is compared, and another
+    join takes what beats the worst neighbour of either back to it. `trace` gets the graph after
+    each round, and then keeps the tables.
+    """
+    spark = nodes.sparkSession
+    homes = staged(_celled(nodes, count, 0))
+    kind = "u long, ids array<long>, scores array<float>"
+    lists = homes.groupBy("cell").applyInArrow(_within, kind)
+    for forest in range(1, FORESTS):
+        lists = lists.unionByName(_celled(nodes, count, forest).groupBy("cell").applyInArrow(_within, kind))
+    empty = [F.array().cast(f"array<{t}>").alias(c) for c, t in (("ids", "long"), ("scores", "float"))]
+    graph = _merged(homes.select("u", "cell", "vec", *empty), lists)
+    for turn in range(rounds):
+        forth = graph.select(F.col("u").alias("node"), F.explode(F.arrays_zip("ids", "new")).alias("x")).select("node", F.col("x.ids").alias("nb"), F.col("x.new").alias("new"))
+        back = _backwards(forth, turn).groupBy(F.col("nb").alias("u")).agg(F.collect_list(F.struct(F.col("node").alias("ids"), "new")).alias("back"))
+        every = F.concat(F.arrays_zip("ids", "new"), F.coalesce("back", F.array().cast("array<struct<ids: long, new: boolean>>")))
+        members = graph.join(back, "u", "left").select("cell", every.alias("m")).where(F.exists("m", lambda x: x["new"]))
+        members = staged(members.select("cell", F.col("m.ids").alias("ids"), F.col("m.new").alias("new")))
+        floor = F.when(F.size("scores") >= DEGREE, F.array_min("scores")).otherwise(F.lit(float("-inf"))).cast("float")
+        wanted = members.select(F.col("cell").alias("home"), F.explode("ids").alias("id")).repartition("id").distinct()
+        wanted = wanted.join(graph.select(F.col("u").alias("id"), "vec", floor.alias("floor")), "id").select("home", "id", "vec", "floor")
+        found = members.groupBy("cell").cogroup(wanted.groupBy("home")).applyInArrow(_joined, kind)
+        old, graph = graph, _merged(graph, found)
+        dropped(members)
+        if trace is None:
+            dropped(old)
+        else:
+            trace.append(graph)
         _freed(spark)
-        if (graph.agg(F.sum("changed")).first()[0] or 0) < still * DEGREE * count:
+        if (graph.agg(F.sum(F.size(F.filter("new", lambda x: x)))).first()[0] or 0) < still * DEGREE * count:
             break
     return graph
 
@@ -269,7 +355,7 @@ def nearest(
     schema = "query_id long, rank int, vec_id long, score double"
     if seen["d"] is None:
         return spark.createDataFrame([], schema)
-    usable = staged(usable.where(F.size("v") == seen["d"]).withColumn("key", F.xxhash64("v")).dropDuplicates(["id"]))
+    usable = staged(usable.where(F.size("v") == seen["d"]).withColumn("key", F.struct(F.xxhash64("v"), F.xxhash64(F.lit(1), "v"))).dropDuplicates(["id"]))
     classes = staged(usable.groupBy("key").agg(F.min("id").alias("u"), F.any_value("v").alias("v")))
     longest = float(np.sqrt(seen["m"]))
 
@@ -285,8 +371,8 @@ def nearest(
     both = staged(_mapped(classes.select("u", "v"), packed, "u long, vec binary, code binary, scale float"))
     nodes, codes = both.select("u", "vec"), both.select(F.col("u").alias("nb"), "code")
     count, scale = both.agg(F.count("*"), F.max("scale")).first()
-    graph = descent(nodes, codes, count)
-    records = _records(graph, codes).repartition("node").persist()
+    graph = descent(nodes, count)
+    records = staged(_records(graph, codes))
     asking = usable.where(queries).select(F.col("id").alias("query_id"), "key", F.col("v").alias("q"))
     starts = asking.select("key").distinct().join(classes.select("key", "u"), "key").select("u")
     seeds = nodes.orderBy(F.xxhash64("u"), "u").limit(SEEDS).collect()
@@ -312,7 +398,7 @@ def nearest(
         if not left.isEmpty():
             exact = _exact(known, known.join(left.select("u"), "u"), keep)
             ranked = clear.select("u", "best").unionByName(exact) if enough else exact
-    records.unpersist()
+    dropped(records)
     # the best classes, and the query's own: its copies
     found = ranked.select("u", F.explode(F.array_union(F.array("u"), F.coalesce(F.col("best.w"), F.array().cast("array<long>")))).alias("w"))
     order = Window.partitionBy("key").orderBy("id")
