@@ -141,3 +141,18 @@ def crc_mod(column: str, modulus: int) -> F.Column:
 def ids_only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under new names; whatever else the table holds is left out."""
     return df.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that a table doesn't have, made from those given."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def kind_of(df: DataFrame, column: str) -> str:
+    return dict(df.dtypes)[column]

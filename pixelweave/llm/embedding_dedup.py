@@ -13,10 +13,10 @@ from pixelweave.llm._common import ids_only, staged, table
 from pixelweave.llm.components import connected
 
 COSINE = 0.98
-SHARD = 2000  # vectors of a graph, about
-BLOCK = 2000  # vectors that query a shard at once, about
+SHARD = 4000  # vectors of a graph, about
+BLOCK = 16000  # vectors that query a shard at once, about: a graph is copied once for so many
 LINKS = 12  # neighbours of a vector in a layer
-BEAM, WIDEST = 24, 4096
+BEAM, WIDEST = 24, 1024
 AUDIT, RECALL = 64, 0.99  # queries of a block whose answers are held against brute force, and the share they must find
 
 
@@ -133,11 +133,15 @@ def within(graph: SmallWorld, q: np.ndarray, cosine: float, audit: int = AUDIT,
     """Pairs (query, vector) at the cosine or nearer.
 
     A beam that is full of such vectors is doubled for its query; all beams are doubled until the
-    audited queries find the share `recall` of what brute force finds.
+    audited queries find the share `recall` of what brute force finds, on the mean of those with a
+    vector so near besides themselves. If they don't with beams of WIDEST, all queries are held
+    against the whole shard.
     """
     close = cosine - 1e-5  # single precision; pairs are verified later
     checked = np.unique(np.linspace(0, len(q) - 1, min(audit, len(q))).astype(int))
-    truth = q[checked].astype(np.float32) @ graph.x.T >= close
+    sims = q[checked].astype(np.float32) @ graph.x.T
+    truth = (sims >= close) & (sims < 1 - 1e-6)
+    asked = truth.sum(axis=1)
     width = BEAM
     found = [np.empty((0, 2), np.int64)] * len(q)
     todo = np.arange(len(q))
@@ -150,8 +154,13 @@ def within(graph: SmallWorld, q: np.ndarray, cosine: float, audit: int = AUDIT,
                 found[i] = ids[r][hit[r]]
             full.append(part[hit.all(axis=1)])
         again = np.concatenate(full) if width < len(graph.x) else np.empty(0, int)
-        got = sum(truth[k][found[i]].sum() for k, i in enumerate(checked))
-        if not again.size and width < min(WIDEST, len(graph.x)) and got < recall * truth.sum():
+        got = np.array([truth[k][found[i]].sum() for k, i in enumerate(checked)])
+        if not again.size and (got[asked > 0] / asked[asked > 0]).sum() < recall * (asked > 0).sum():
+            if width >= min(WIDEST, len(graph.x)):
+                for b in range(0, len(q), 512):
+                    near = q[b : b + 512].astype(np.float32) @ graph.x.T >= close
+                    found[b : b + len(near)] = [np.flatnonzero(r) for r in near]
+                break
             again = np.arange(len(q))
         todo, width = again, 2 * width
     n = [len(f) for f in found]
@@ -209,16 +218,18 @@ def near_vectors(
     )
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     usable = usable.withColumn("norm", norm).where("norm > 0 and norm < double('infinity')")
-    keyed = usable.select("id", "label", "v", F.xxhash64("label", "v").alias("key"))
+    keyed = usable.select("id", "label", "v", F.struct(F.xxhash64("label", "v"), F.xxhash64(F.lit(1), "label", "v")).alias("key"))
     classes = staged(keyed.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     counts = staged(classes.groupBy("label").agg(F.count("*").alias("n")).withColumn("shards", F.ceil(F.col("n") / shard)))
     dealt = classes.join(counts.select("label", "shards"), "label").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("shards")))
     dealt = staged(dealt.select("rep", F.concat_ws("/", F.col("label").cast("string"), F.size("v")).alias("label"), "v", "own", "shards"))
     graphs = staged(dealt.groupBy("label", "own", "shards").applyInPandas(_built, _GRAPH))
-    # every block of queries, the vectors of a shard, meets every graph of its label
+    # every block of queries, the vectors of some shards, meets every graph of its label
+    blocks = F.ceil(F.col("shards") * shard / BLOCK).cast("long")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))
-    asks = dealt.select("rep", "label", "v", every.alias("shard"), F.col("own").alias("block"))
-    holds = graphs.select("label", F.col("own").alias("shard"), every.alias("block"), "ids", "vectors", "tops", "layers")
+    asks = dealt.select("rep", "label", "v", every.alias("shard"), F.pmod(F.col("own"), blocks).alias("block"))
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    holds = graphs.select("label", F.col("own").alias("shard"), parts.alias("block"), "ids", "vectors", "tops", "layers")
     keys = ["label", "shard", "block"]
 
     def search(graph: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
@@ -243,7 +254,7 @@ def near_vectors(
         classes.select("rep", "copies", "label", F.col("v").alias("vector"))
         .join(near.withColumnRenamed("u", "rep"), "rep", "left").join(of.withColumnRenamed("node", "rep"), "rep", "left")
         .select(
-            F.xxhash64("label", "vector").alias("key"),
+            F.struct(F.xxhash64("label", "vector"), F.xxhash64(F.lit(1), "label", "vector")).alias("key"),
             (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"),
         )
     )

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm._common import ids_only, map_arrow, mixed, staged, table, text_bytes
+from pixelweave.llm._common import ids_only, kind_of, map_arrow, mixed, staged, table, text_bytes
 from pixelweave.llm.components import connected
 
 WORDS, SIMILARITY = 5, 0.8
@@ -171,7 +171,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     both = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u").join(
         texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v"
     )
-    return staged(map_arrow(both, _verified(similarity), "u long, v long"))
+    return staged(map_arrow(both, _verified(similarity), "u long, v long", "text_u"))
 
 
 def _rare(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -212,15 +212,22 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     counts of the shingles that these documents share, by cells of a hash, rule the similarity
     out. Links are verified on the texts themselves.
 
-    Returns one row per input row: id, group_id (the smallest id of its group) and kept
-    (id = group_id). Texts that are null or without words link with nothing; null ids are kept as
-    groups of their own with a null group_id; rows that repeat an id are grouped under that id.
+    Returns one row per input row: id, group_id (the smallest id of its group), kept (whether the
+    row has the group's smallest id and, of its texts, the first by digest) and key (the digest of
+    its text). Texts that are null or without words link with nothing; null ids are kept, with a
+    null group_id; rows that repeat an id with different texts are classes of their own, and fully
+    repeated rows are all kept or none; ids may have any type that sorts.
     """
-    rows = ids_only(docs, id=doc_id, text=text).withColumn("id", F.col("id").cast("long"))
+    spark = docs.sparkSession
+    rows = ids_only(docs, id=doc_id, text=text)
     keyed = rows.select("id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
-    signed = staged(map_arrow(keyed, _signed, "id long, key binary, bands array<long>"))
+    signed = staged(map_arrow(keyed, _signed, f"id {kind_of(rows, 'id')}, key binary, bands array<long>"))
     whole = signed.where("id is not null and bands is not null")
-    classes = staged(whole.groupBy("key").agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands")))
+    first = staged(whole.groupBy("key").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands")))
+    # classes are numbered in the order of their smallest ids, so a component's smallest number is that of its smallest id
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = first.repartitionByRange(parts, "id", "key").sortWithinPartitions("id", "key")
+    classes = staged(ordered.withColumn("rep", F.monotonically_increasing_id()))
     banded = classes.select("rep", F.explode("bands").alias("band"))
     sizes = staged(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
     crowded = staged(banded.join(sizes, "band"))
@@ -232,8 +239,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     stars = staged(
         members.where("rep <> head").select(F.least("rep", "head").alias("u"), F.greatest("rep", "head").alias("v")).distinct()
     )
-    needed = staged(members.select(F.col("rep").alias("id")).distinct())
-    texts = staged(rows.where("text is not null").join(needed, "id", "left_semi").dropDuplicates(["id"]))
+    needed = classes.select("rep", "key").join(members.select("rep").distinct(), "rep", "left_semi")
+    texts = staged(keyed.select("key", "text").join(needed, "key").dropDuplicates(["rep"]).select(F.col("rep").alias("id"), "text"))
     links = _linked(stars, texts, similarity)
     of = staged(connected(links))
     # buckets in which the star left several components
@@ -262,13 +269,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     if not more.isEmpty():
         links = links.unionByName(_linked(more, texts, similarity))
         of = staged(connected(links))
-    rep_of = staged(
-        classes.join(of.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("group_id"))
-    )
-    grouped = signed.select("id", F.when(F.col("bands").isNotNull(), F.col("key")).alias("key")).join(rep_of, "key", "left")
-    return grouped.select("id", F.coalesce("group_id", "id").alias("group_id")).withColumn(
-        "kept", F.coalesce(F.col("id") == F.col("group_id"), F.lit(True))
-    )
+    of = classes.join(of.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("head"))
+    heads = classes.select(F.col("rep").alias("head"), F.col("id").alias("group_id"), F.col("key").alias("head_key"))
+    grouped = signed.select("id", "key", (F.col("bands").isNotNull() & F.col("id").isNotNull()).alias("grouped"))
+    grouped = grouped.join(of.join(heads, "head").drop("head"), "key", "left").withColumn("group_id", F.when(F.col("grouped"), F.col("group_id")).otherwise(F.col("id")))
+    first_of = (F.col("id") == F.col("group_id")) & (F.col("key") == F.col("head_key"))
+    return grouped.select("id", "group_id", (~F.col("grouped") | first_of).alias("kept"), "key")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

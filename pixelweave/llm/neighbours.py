@@ -14,7 +14,7 @@ from pixelweave.llm._common import dropped, ids_only, staged, table
 TOP = 20
 DEGREE, BACK = 28, 12  # neighbours a node keeps, and nodes that name it, in its record
 GIVEN = 16  # candidates that one expansion passes on
-CELL, FORESTS = 2000, 2  # nodes of a cell, about; cells come from random hyperplanes, and start the graph, so many times
+CELL, FORESTS = 400, 3  # nodes of a cell, about; cells come from random hyperplanes, and start the graph, so many times
 ROUNDS, STILL = 10, 0.03  # NN-descent ends when fewer than this share of neighbours changed
 BEAM, WIDEST, FRONT = 256, 2048, 64
 SEEDS = 32  # nodes anywhere in the graph that each search begins with besides its own place

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm._common import ids_only, map_arrow, mixed, staged, table, text_bytes, with_arrow
+from pixelweave.llm._common import fresh, ids_only, kind_of, map_arrow, mixed, staged, table, text_bytes, with_arrow
 
 BITS, SHORTEST, LONGEST = 5, 24, 256  # a cut about every 32 bytes, but 24 to 256 bytes apart
 MIN_RUN = 100  # bytes of adjacent repeated chunks, and of equal text beside them, that make a repeated passage
@@ -64,7 +64,7 @@ def _chunker(bits: int, shortest: int, longest: int):
         at = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
         d = pa.ListArray.from_arrays(at, pa.array(digests, pa.binary()))
         e = pa.ListArray.from_arrays(at, pa.array(ends, pa.int32()))
-        return pa.RecordBatch.from_arrays([batch.column("id"), d, e], names=["id", "digests", "ends"])
+        return pa.RecordBatch.from_arrays([batch.column("doc"), d, e], names=["doc", "digests", "ends"])
 
     return chunk
 
@@ -84,15 +84,16 @@ def _runs(ends: list[int], seen: list[dict]) -> list[tuple[int, int, dict, dict]
 def _edges(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Both sides of every run, with the document that keeps its chunk there and the bytes as far as the next run."""
     out = []
-    for i, ends, seen in zip(*(batch.column(c).to_pylist() for c in ("id", "ends", "seen")), strict=True):
+    for i, ends, seen in zip(*(batch.column(c).to_pylist() for c in ("doc", "ends", "seen")), strict=True):
         runs = _runs(ends, seen)
         for k, (s, e, first, last) in enumerate(runs):
             before = s - (runs[k - 1][1] if k else 0)
             after = (runs[k + 1][0] if k + 1 < len(runs) else ends[-1]) - e
             out += [(i, k, left, x["first"], x["digest"], n) for left, x, n in ((True, first, before), (False, last, after)) if n]
-    kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.int32()]
+    doc = batch.column("doc").type
+    kinds = [doc, pa.int32(), pa.bool_(), doc, pa.binary(), pa.int32()]
     cols = zip(*out, strict=True) if out else [[]] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "run", "left", "keeper", "digest", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc", "run", "left", "keeper", "digest", "n"])
 
 
 def _same(a: bytes, b: bytes) -> int:
@@ -104,10 +105,10 @@ def _same(a: bytes, b: bytes) -> int:
     return int(differ.argmax())
 
 
-def _cutter(text: str, min_run: int):
+def _cutter(text: str, marks: list[str], min_run: int):
     def cut(batch: pa.RecordBatch) -> list[pa.Array]:
         out = []
-        cols = (batch.column(c).to_pylist() for c in (text, "_ends", "_seen", "_beside"))
+        cols = (batch.column(c).to_pylist() for c in (text, *marks))
         for body, ends, seen, beside in zip(*cols, strict=True):
             raw = (body or "").encode()
             reach: dict[tuple[int, bool], int] = {}
@@ -153,36 +154,43 @@ def repeated_chunks(
     and removed if it then spans at least `min_run` bytes. Repeats within one document stay.
 
     Returns every row with its columns and n_bytes, n_removed, n_spans and text_left (what is left;
-    null stays null). Digests are pre-aggregated before their shuffle, so a chunk that most
-    documents share costs one row a task. Rows with a null id are neither source nor target and
-    are returned whole; rows that repeat an id count as one document for what is kept.
+    null stays null); columns of these names are replaced. Digests are pre-aggregated before their
+    shuffle; where occurrences meet the digests that stay, a digest that most documents hold is a
+    skewed join key, which AQE splits. Rows with a null id are neither source nor target and are
+    returned whole. Rows that repeat an id with different texts are told apart by their text, and
+    don't count as copies of each other; fully repeated rows get the same answer. Empty texts have
+    no chunks. Ids may have any type that sorts.
     """
-    rows = ids_only(docs, id=doc_id, text=text).withColumn("id", F.col("id").cast("long"))
-    chunks = staged(map_arrow(rows.where("id is not null"), _chunker(bits, shortest, longest), "id long, digests array<binary>, ends array<int>"))
-    single = chunks.select("id", F.posexplode("digests").alias("at", "digest"))
+    rows = ids_only(docs, id=doc_id, text=text).withColumn("doc", F.struct("id", F.xxhash64("text").alias("h"))).where("id is not null")
+    doc = f"doc struct<id: {kind_of(rows, 'id')}, h: bigint>"
+    chunks = staged(map_arrow(rows.select("doc", "text"), _chunker(bits, shortest, longest), f"{doc}, digests array<binary>, ends array<int>"))
+    single = chunks.select("doc", F.posexplode("digests").alias("at", "digest"))
     kept = staged(
-        single.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first")
+        single.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc.id").alias("last")).where("first.id < last").select("digest", "first")
     )
-    seen = single.join(kept, "digest").where("id > first").groupBy("id").agg(F.collect_list(F.struct("at", "first", "digest")).alias("seen"))
-    marks = staged(chunks.dropDuplicates(["id"]).join(seen, "id").select("id", "ends", "seen"))
-    edges = map_arrow(marks, _edges, "id long, run int, left boolean, keeper long, digest binary, n int")
-    keepers = chunks.dropDuplicates(["id"]).select(F.col("id").alias("keeper"), "digests", F.col("ends").alias("kept_ends"))
+    seen = single.join(kept, "digest").where("doc.id > first.id").groupBy("doc").agg(F.collect_list(F.struct("at", "first", "digest")).alias("seen"))
+    once = chunks.dropDuplicates(["doc"])
+    marks = staged(once.join(seen, "doc").select("doc", "ends", "seen"))
+    kind = f"{doc}, run int, left boolean, keeper {doc[4:]}, digest binary, n int"
+    edges = marks.mapInArrow(lambda batches: map(_edges, batches), kind)
+    keepers = once.select(F.col("doc").alias("keeper"), "digests", F.col("ends").alias("kept_ends"))
     place = F.array_position("digests", F.col("digest")).cast("int")
     edges = edges.join(keepers, "keeper").select(
-        "id", "run", "left", "keeper", "n",
+        "doc", "run", "left", "keeper", "n",
         F.coalesce(F.get("kept_ends", place - F.when(F.col("left"), 2).otherwise(1)), F.lit(0)).alias("edge"),
     )
-    texts = rows.where("id is not null").select(F.col("id").alias("keeper"), F.col("text").cast("binary").alias("whole"))
+    texts = rows.select(F.col("doc").alias("keeper"), F.col("text").cast("binary").alias("whole"))
     start = F.when(F.col("left"), F.greatest(F.col("edge") - F.col("n"), F.lit(0))).otherwise(F.col("edge"))
     length = F.when(F.col("left"), F.least("n", "edge")).otherwise(F.col("n"))
     near = F.substring(F.col("whole"), start + 1, length).alias("near")
-    beside = edges.join(texts, "keeper").select("id", "run", "left", near).where("length(near) > 0")
-    beside = beside.groupBy("id").agg(F.collect_list(F.struct("run", "left", "near")).alias("beside"))
-    marks = marks.join(beside, "id", "left")
-    marks = marks.select(F.col("id").alias("_id"), F.col("ends").alias("_ends"), F.col("seen").alias("_seen"), F.col("beside").alias("_beside"))
-    joined = docs.join(marks, docs[doc_id].cast("long") == F.col("_id"), "left").drop("_id")
+    beside = edges.join(texts, "keeper").select("doc", "run", "left", near).where("length(near) > 0")
+    beside = beside.groupBy("doc").agg(F.collect_list(F.struct("run", "left", "near")).alias("beside"))
+    own, *names = fresh(docs, "_doc", "_ends", "_seen", "_beside")
+    marks = marks.join(beside, "doc", "left").select(*(F.col(c).alias(n) for c, n in zip(("doc", "ends", "seen", "beside"), (own, *names), strict=True)))
+    key = F.struct(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(f"`{text}`").alias("h"))
+    joined = docs.withColumn(own, key).join(marks, own, "left").drop(own)
     added = "n_bytes long, n_removed long, n_spans long, text_left string"
-    return with_arrow(joined, _cutter(text, min_run), added).drop("_ends", "_seen", "_beside")
+    return with_arrow(joined, _cutter(text, names, min_run), added, text).drop(*names)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

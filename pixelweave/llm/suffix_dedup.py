@@ -106,17 +106,21 @@ class Block:
 
 
 def unique_rows(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct rows, and for each row its place among them."""
+    """Sorted distinct rows, and for each row its place among them. Columns are ranked one by one, and their ranks joined."""
+    distinct, place = np.unique(keys[:, 0], return_inverse=True)
     if keys.shape[1] == 1:
-        distinct, place = np.unique(keys[:, 0], return_inverse=True)
         return distinct[:, None], place
-    order = np.lexsort(keys.T[::-1])
-    s = keys[order]
-    new = np.ones(len(s), bool)
-    new[1:] = (s[1:] != s[:-1]).any(axis=1)
-    place = np.empty(len(s), np.int64)
-    place[order] = np.cumsum(new) - 1
-    return s[new], place
+    code, many = place, len(distinct)
+    for column in keys.T[1:]:
+        distinct, place = np.unique(column, return_inverse=True)
+        if many * len(distinct) >= 1 << 62:
+            ranks, code = np.unique(code, return_inverse=True)
+            many = len(ranks)
+        code, many = code * len(distinct) + place, many * len(distinct)
+    codes, place = np.unique(code, return_inverse=True)
+    one = np.empty(len(codes), np.int64)
+    one[place] = np.arange(len(place))
+    return keys[one], place
 
 
 def _sortable(keys: np.ndarray) -> np.ndarray:
@@ -295,7 +299,6 @@ def _answered(blocks: DataFrame, keys_of, width: int, *, last: bool) -> DataFram
     far = np.iinfo(np.int64).max
 
     def requests(batches):
-        """A row for each range, and but for the last level one with the places of the block's keys and where ranges begin."""
         for row, block in _each(batches):
             keys, where = keys_of(block, np.frombuffer(row["names"], _U))
             distinct, place = unique_rows(keys)
@@ -308,8 +311,6 @@ def _answered(blocks: DataFrame, keys_of, width: int, *, last: bool) -> DataFram
                 cut = slice(edge[p], edge[p + 1])
                 several = np.packbits(low[cut] != high[cut]).tobytes()
                 yield _row(_ASKS, row["block"], p, np.ascontiguousarray(distinct[cut].T).tobytes(), low[cut].tobytes(), several)
-            if not last:
-                yield _row(_ASKS, row["block"], -1, place.astype(np.uint32).tobytes(), edge.tobytes(), b"")
 
     def answer(part: pd.DataFrame) -> pd.DataFrame:
         lists = [np.frombuffer(k, _U).reshape(width, -1).T for k in part["keys"]]
@@ -332,8 +333,7 @@ def _answered(blocks: DataFrame, keys_of, width: int, *, last: bool) -> DataFram
         return out
 
     asked = blocks.mapInArrow(requests, "block long, part long, keys binary, holders binary, several binary")
-    asked = asked if last else staged(asked)
-    answers = staged(asked.where("part >= 0").groupBy("part").applyInPandas(answer, "block long, part long, numbers binary, size long"))
+    answers = staged(asked.groupBy("part").applyInPandas(answer, "block long, part long, numbers binary, size long"))
     # the names of a range start where those of the ranges before it end: one row a range
     sizes = {} if last else {r["part"]: r["size"] for r in answers.groupBy("part").agg(F.max("size").alias("size")).collect()}
     first = np.cumsum([0] + [sizes.get(p, 0) for p in range(parts)])
@@ -344,11 +344,8 @@ def _answered(blocks: DataFrame, keys_of, width: int, *, last: bool) -> DataFram
     def joined(batches):
         for row, block in _each(batches):
             keys, where = keys_of(block, np.frombuffer(row["names"], _U))
-            if last:  # keys of one number: sorted again rather than stored
-                distinct, place = unique_rows(keys)
-                edge = np.concatenate([[0], np.searchsorted(_sortable(distinct), bounds, "right"), [len(distinct)]])
-            else:
-                place, edge = np.frombuffer(row["place"], np.uint32), np.frombuffer(row["edge"], np.int64)
+            distinct, place = unique_rows(keys)  # sorted again: their places would take more disk than the keys
+            edge = np.concatenate([[0], np.searchsorted(_sortable(distinct), bounds, "right"), [len(distinct)]])
             numbers = np.zeros(edge[-1], np.int64)
             for a in row["answers"] or ():
                 s, e = edge[a["part"]], edge[a["part"] + 1]
@@ -368,12 +365,7 @@ def _answered(blocks: DataFrame, keys_of, width: int, *, last: bool) -> DataFram
             yield _row(_PARTS, *(row[c] for c, _ in _PARTS[:-1]), names.tobytes())
 
     spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of the keys
-    full = blocks
-    if not last:
-        full = blocks.join(asked.where("part = -1").select("block", F.col("keys").alias("place"), F.col("holders").alias("edge")), "block")
-    out = staged(full.join(lists, "block", "left").mapInArrow(joined, _PARTS_DDL))
-    if not last:
-        dropped(asked)
+    out = staged(blocks.join(lists, "block", "left").mapInArrow(joined, _PARTS_DDL))
     dropped(answers)
     dropped(blocks)
     spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of this level
