@@ -92,3 +92,148 @@ select 0 img, cast(ref_y as int) ref_y, cast(ref_x as int) ref_x, cast(rk as int
 from (select *, row_number() over (partition by ref_y, ref_x order by dist, y, x) rk from d) where rk <= 8""",
 }
 ORACLE_SQL["match_tiled"] = ORACLE_SQL["match_ssd_topk"]
+
+
+# catalogue, tiles, stencils, matching and groups
+
+_PATHS = """paths as (select distinct 'data/noisy/scene' || (o_custkey % 11 + 1) || '/ISO' || ((o_orderkey % 5 + 1) * 1600) || '/frame' || (o_orderkey % 7 + 1)
+|| case when o_orderkey % 11 = 0 then '_clean' else '_noisy' || (o_orderkey % 10) end || '.tiff' path from orders),
+files as (select path, regexp_extract(path, '(scene[0-9]+)/', 1) scene, cast(regexp_extract(path, 'ISO([0-9]+)', 1) as int) iso,
+cast(regexp_extract(path, 'frame([0-9]+)_', 1) as int) frame, path like '%\\_clean.tiff' escape '\\' is_clean,
+case when path like '%noisy%.tiff' and path not like '%clean%' then cast(regexp_extract(path, '_noisy([0-9]+).tiff', 1) as int) end noisy_idx from paths)"""
+_FIRST = f"{PARAMS}, firsts as (select * from params qualify row_number() over (partition by scene, iso, frame order by noisy_idx, event_id) = 1)"
+
+
+def _starts(size: int, block: int, overlap: int) -> str:
+    return f"(select distinct least(s, {max(size - block, 0)}) s from range(0, {size}, {block - overlap}) a(s))"
+
+
+def _tiles(height: int, width: int, block: tuple[int, int], overlap: int) -> str:
+    return f"""select cast(a.s as int) y0, cast(least(a.s + {block[0]}, {height}) as int) y1, cast(b.s as int) x0, cast(least(b.s + {block[1]}, {width}) as int) x1
+from {_starts(height, block[0], overlap)} a, {_starts(width, block[1], overlap)} b"""
+
+
+def _mirror(at: str, n: int, again: int) -> str:
+    """Index beyond the border; `again` is 1 if the edge repeats."""
+    return f"case when {at} < 0 then -({at}) - {again} when {at} >= {n} then {2 * n - 2 + again} - ({at}) else {at} end"
+
+
+def _near(source: str, n: int, radius: int, again: int | None) -> str:
+    """near: each pixel of a raster with those around it."""
+    y, x = ("a.y + dy", "a.x + dx") if again is None else (_mirror("a.y + dy", n, again), _mirror("a.x + dx", n, again))
+    return f"""near as (select a.img, a.y, a.x, a.v, dy, dx, b.v nv from {source} a cross join range({-radius}, {radius + 1}) p(dy) cross join range({-radius}, {radius + 1}) q(dx)
+join {source} b on b.img = a.img and b.y = {y} and b.x = {x})"""
+
+
+def _gauss(radius: int, sigma: float) -> str:
+    g = f"exp(-(dy * dy + dx * dx) / (2 * {sigma}::double * {sigma}::double))"
+    return f"ker as (select dy, dx, {g} / sum({g}) over () w from range({-radius}, {radius + 1}) p(dy), range({-radius}, {radius + 1}) q(dx))"
+
+
+def _pairs(source: str, n: int, patch: int, stride: int, radius: int, measure: str = "(p.v - q.v) * (p.v - q.v)", frames: int = 0) -> str:
+    """dist: distances of reference patches to the patches around them."""
+    last = n - patch + 1
+    return f"""refs as (select distinct img, a.s ref_y, b.s ref_x from {source}, range(0, {last}, {stride}) a(s), range(0, {last}, {stride}) b(s)),
+places as (select distinct img t, a.s y, b.s x from {source}, range({last}) a(s), range({last}) b(s)),
+dist as (select r.img, ref_y, ref_x, c.t, c.y, c.x, cast(sum({measure}) as bigint) dist from refs r join places c on abs(c.t - r.img) <= {frames} and abs(c.y - ref_y) <= {radius} and abs(c.x - ref_x) <= {radius}
+cross join range({patch}) i(i) cross join range({patch}) j(j) join {source} p on p.img = r.img and p.y = ref_y + i and p.x = ref_x + j join {source} q on q.img = c.t and q.y = c.y + i and q.x = c.x + j group by all)"""
+
+
+def _best(k: int, where: str = "true", order: str = "dist, y, x", dist: str = "dist", frame: str = "") -> str:
+    return f"""select img, cast(ref_y as int) ref_y, cast(ref_x as int) ref_x, cast(rk as int) rk, {dist} dist{frame}, cast(y as int) y, cast(x as int) x
+from (select *, row_number() over (partition by img, ref_y, ref_x order by {order}) rk from dist where {where}) where rk <= {k}"""
+
+
+_OTHER = "not (y = ref_y and x = ref_x)"
+_VIDEO = f"{FRAMES}, {_pairs('frames', 16, 8, 4, 6, frames=1)}, best as ({_best(8, 'not (y = ref_y and x = ref_x and t = img)', 'dist, t, y, x', frame=', t')})"
+_POOL = f"""{FRAMES}, {_pairs('frames', 16, 5, 3, 6, frames=1)},
+spatial as (select *, row_number() over (partition by img, ref_y, ref_x order by dist, y, x) k from dist where t = img qualify k <= 8),
+temporal as (select *, row_number() over (partition by img, ref_y, ref_x order by dist, y, x) k from dist where t = img - 1 and abs(y - ref_y) <= 4 and abs(x - ref_x) <= 4 qualify k <= 3),
+every as (select img, ref_y, ref_x, dist, 0 t, y - ref_y dy, x - ref_x dx, k from spatial where {_OTHER} union all select img, ref_y, ref_x, dist, 1, y - ref_y, x - ref_x, k from temporal),
+ranked as (select *, row_number() over (partition by img, ref_y, ref_x order by dist, t desc, k) slot from every),
+pool as (select img, ref_y, ref_x, s slot, coalesce(t, 0) t, coalesce(dy, 0) dy, coalesce(dx, 0) dx from (select distinct img, ref_y, ref_x from every) cross join range(8) a(s)
+left join (select * from ranked where slot < 8) r using (img, ref_y, ref_x) where r.slot = s or r.slot is null and false union all
+select distinct img, ref_y, ref_x, 0, 0, 0, 0 from every)"""
+_WEIGHTED = "sum(w * nv) / sum(w)"
+_STABLE = f"stable as (select img, y, x, {_stable(A, B)} v from normal)"
+_BACK = f"least(greatest({A}::double * (v * v / 4 - 0.375 - {B}::double / ({A}::double * {A}::double)), 0), 1)"
+_COLORS = """colors as (select *, substr('GBRG', cast(y % 2 * 2 + x % 2 + 1 as int), 1) own, substr('GBRG', cast((y + dy + 2) % 2 * 2 + (x + dx + 2) % 2 + 1 as int), 1) c from near),
+rgbs as (select img, y, x, avg(nv) filter (c = 'R' and ((own = 'R' and dy = 0 and dx = 0) or (own <> 'R' and not (dy = 0 and dx = 0)))) r,
+avg(nv) filter (c = 'G' and ((own = 'G' and dy = 0 and dx = 0) or (own <> 'G' and (dy = 0 or dx = 0) and not (dy = 0 and dx = 0)))) g,
+avg(nv) filter (c = 'B' and ((own = 'B' and dy = 0 and dx = 0) or (own <> 'B' and not (dy = 0 and dx = 0)))) b from colors group by 1, 2, 3)"""
+
+
+def _curve(v: str) -> str:
+    v = f"least(greatest({v}, 0), 1)"
+    return f"cast(floor(least(greatest(round(case when {v} <= 0.0031308 then {v} * 12.92::double else pow({v}, 1 / 2.4::double) * 1.055::double - 0.055::double end, 9) * 255, 0), 255)) as int)"
+
+
+_I0 = "(select sum(pow({x} * {x} / 4.0::double, k) / (factorial(k)::double * factorial(k)::double)) from range(20) t(k))"
+_KAISER = f"line as (select i, {_I0.format(x='(2 * sqrt(1 - pow(2 * i / 7.0::double - 1, 2)))')} / {_I0.format(x='2.0::double')} w from range(8) a(i))"
+
+ORACLE_SQL |= {
+    "tile_grid": _tiles(540, 960, (83, 83), 19),
+    "tile_rect": _tiles(360, 640, (64, 128), 19),
+    "tile_quadrants": "select a y0, b y1, c x0, d x1 from (values (0, 89), (11, 100)) s(a, b), (values (0, 89), (11, 100)) t(c, d)",
+    "split_tiles": f"with {RAW} select img, y, x, v, cast(a.s as int) y0, cast(b.s as int) x0 from raw join {_starts(32, 16, 4)} a on y >= a.s and y < a.s + 16 join {_starts(32, 16, 4)} b on x >= b.s and x < b.s + 16",
+    "tile_merge": f"with {RAW} select img, y, x, round(avg(v + a.s * 0.5::double + b.s), 6) v from raw join {_starts(32, 16, 4)} a on y >= a.s and y < a.s + 16 join {_starts(32, 16, 4)} b on x >= b.s and x < b.s + 16 group by 1, 2, 3",
+    "center_crop": f"with {RAW} select img, y - 6 y, x - 4 x, v from raw where y >= 6 and y < 26 and x >= 4 and x < 28",
+    "regex_catalog": f"with {_PATHS} select * from files",
+    "clean_noisy_join": f"with {_PATHS} select n.scene, n.iso, n.frame, n.noisy_idx, n.path noisy_path, c.path clean_path from files n join files c on c.is_clean and not n.is_clean and n.scene = c.scene and n.iso = c.iso and n.frame = c.frame",
+    "filtered_tasks": f"with {_PATHS} select * from files where iso = 3200 and scene = 'scene1'",
+    "first_per_key": f"with {_FIRST} select scene, iso, frame, noisy_idx, event_id, a, b from firsts",
+    "params_semi": f"with {_PATHS}, {_FIRST} select f.*, p.a, p.b from files f join firsts p on f.scene = p.scene and f.iso = p.iso and f.frame = p.frame",
+    "params_anti": f"with {_PATHS}, {_FIRST} select * from files f where not exists (from firsts p where f.scene = p.scene and f.iso = p.iso and f.frame = p.frame)",
+    "ordinal_join": f"""with {_PATHS}, l as (select scene, path, row_number() over (partition by scene order by path) pos from files where not is_clean),
+r as (select scene, path, row_number() over (partition by scene order by path) pos from files where is_clean) select l.scene, cast(l.pos as int) pos, l.path left_item, r.path right_item from l left join r on l.scene = r.scene and l.pos = r.pos""",
+    "bayer_lookup": """with c as (select lpad(cast(n_nationkey as varchar), 4, '0') || '_001_' || r_name || '_10000_N' id, r_name, n_nationkey k, case r_regionkey % 4 when 0 then 'RGGB' when 1 then 'BGGR' when 2 then 'GRBG' else 'GBRG' end p
+from nation join region on n_regionkey = r_regionkey), d as (select *, s ch, substr(p, cast(s + 1 as int), 1) color from c, range(4) a(s))
+select id scene_instance_id, r_name camera, cast(ch as int) ch, color, round((k + case color when 'R' then 1 when 'G' then 2 else 3 end) / 1000.0::double, 9) gain,
+round(sqrt(greatest((k - case color when 'R' then 3 when 'G' then 2 else 1 end) / 100000.0::double, 0)), 9) sigma, cast(strpos(p, 'G') - 1 as int) first_green from d""",
+    "unify_rows": """select event_type as method, cast(event_id % 7 + 1 as int) frame, value psnr,
+round(case event_type when 'view' then value + value * 2 when 'click' then value when 'purchase' then value when 'error' then value else 0 end, 9) time_all,
+round(case event_type when 'view' then value / 100 when 'click' then value / 50 when 'purchase' then value / 25 else 0 end, 9) a_norm,
+round(case event_type when 'view' then value / 1000 when 'click' then value / 500 * (value / 500) when 'purchase' then value / 250 when 'error' then value / 200 else 0 end, 9) sigma_norm from events""",
+    "ssim": f"""with {FRAMES}, ab as (select img, y, x, {_N01.format('v')} a, {_N01.format('clean')} b from pairs),
+win as (select p.img, p.y, p.x, avg(q.a) ma, avg(q.b) mb, var_samp(q.a) va, var_samp(q.b) vb, covar_samp(q.a, q.b) cov from ab p join ab q on p.img = q.img and abs(p.y - q.y) <= 3 and abs(p.x - q.x) <= 3
+where p.y >= 3 and p.y < 13 and p.x >= 3 and p.x < 13 group by 1, 2, 3)
+select img, round(avg((2 * ma * mb + 0.0001::double) * (2 * cov + 0.0009::double) / ((ma * ma + mb * mb + 0.0001::double) * (va + vb + 0.0009::double))), 6) ssim from win group by 1""",
+    "local_variance": f"""with {RAW}, c as (select r.img, a.s y, b.s x, greatest({A}::double * avg(v) + {B}::double, 1e-12) variance from normal r, range(0, 25, 4) a(s), range(0, 25, 4) b(s) where r.y >= a.s and r.y < a.s + 8 and r.x >= b.s and r.x < b.s + 8 group by 1, 2, 3)
+select img, cast(y as int) y, cast(x as int) x, round(variance, 9) variance, round(sqrt(variance) * 2.7::double, 9) "limit" from c""",
+    "gaussian_filter": f"with {RAW}, {_near('raw', 32, 3, 1)}, {_gauss(3, 1.0)} select img, y, x, round(sum(w * nv), 6) v from near join ker using (dy, dx) group by 1, 2, 3",
+    "guide_blur": f"with {RAW}, {_STABLE}, {_near('stable', 32, 2, 0)}, {_gauss(2, 1.5)} select img, y, x, round(sum(w * nv), 6) v from near join ker using (dy, dx) group by 1, 2, 3",
+    "yaroslavsky": f"with {RAW}, {_near('raw', 32, 3, 1)}, t as (select *, exp(-(nv - v) * (nv - v) / 14400.0::double) w from near) select img, y, x, round({_WEIGHTED}, 6) v from t group by 1, 2, 3",
+    "bilateral": f"with {RAW}, {_near('raw', 32, 3, 1)}, t as (select *, exp(-(nv - v) * (nv - v) / 14400.0::double) * exp(-(dy * dy + dx * dx) / 9.0::double) w from near) select img, y, x, round({_WEIGHTED}, 6) v from t group by 1, 2, 3",
+    "bilateral_vst": f"""with {RAW}, {_STABLE}, {_near('stable', 32, 4, 0)}, t as (select *, exp(-(nv - v) * (nv - v) / 8.0::double) * exp(-(dy * dy + dx * dx) / 162.0::double) w from near where dy * dy + dx * dx <= 16),
+f as (select img, y, x, {_WEIGHTED} v from t group by 1, 2, 3) select img, y, x, round({_BACK}, 6) v from f""",
+    "demosaic_bilinear": f"with {RAW}, {_near('raw', 32, 1, 0)}, {_COLORS} select img, y, x, round(r, 6) r, round(g, 6) g, round(b, 6) b from rgbs",
+    "forward_isp": f"""with {RAW}, {_near('normal', 32, 1, 0)}, {_COLORS}, w as (select img, y, x, least(r * 2.394::double, 1) r, least(g, 1) g, least(b * 1.597::double, 1) b from rgbs)
+select img, y, x, {_curve('(r * 1.9712::double - g * 0.7503::double - b * 0.2209::double)')} r, {_curve('(-r * 0.2491::double + g * 1.4727::double - b * 0.2236::double)')} g, {_curve('(r * 0.0172::double - g * 0.4864::double + b * 1.4692::double)')} b from w""",
+    "match_mse_topk": f"with {RAW}, {_pairs('raw', 32, 4, 4, 7)} {_best(16, _OTHER, dist='round(dist / 16.0::double, 6)')}",
+    "match_sad_topk": f"with {RAW}, {_pairs('raw', 32, 5, 3, 6, 'abs(p.v - q.v)')} {_best(4, _OTHER)}",
+    "match_threshold": f"with {RAW}, {_pairs('raw', 32, 4, 4, 10)} {_best(16, 'dist < 3000000', f'{_OTHER}, dist, y, x')}",
+    "match_all_topk": f"with {FRAMES}, {_pairs('frames', 16, 5, 6, 16)} {_best(16, 'ref_y = 6 and ref_x = 6')}",
+    "match_video_topk": f"with {_VIDEO} select * from best",
+    "source_frame_counts": f"with {_VIDEO} select img, ref_y, ref_x, count(*) filter (t < img) \"before\", count(*) filter (t = img) same, count(*) filter (t > img) \"after\" from best group by 1, 2, 3",
+    "pool_top7_pad8": f"with {_POOL} select img, cast(ref_y as int) ref_y, cast(ref_x as int) ref_x, cast(slot as int) slot, cast(t as int) t, cast(dy as int) dy, cast(dx as int) dx from pool",
+    "temporal_usage_hist": f"with {_POOL}, u as (select img, ref_y, ref_x, cast(sum(t) as bigint) time_used from pool group by 1, 2, 3) select time_used, count(*) \"groups\" from u group by 1",
+    "collaborative_mean": f"with {RAW}, {_pairs('raw', 32, 5, 3, 6, 'abs(p.v - q.v)')}, b as ({_best(4, _OTHER)}) select b.img, ref_y, ref_x, round(avg(v), 6) v from b join raw r on r.img = b.img and r.y = b.y + 2 and r.x = b.x + 2 group by 1, 2, 3",
+    "group_weight": f"with {_DCT} select y, round(1.0::double / greatest(count(*) filter (v <> 0), 1), 6) w from kept group by 1",
+    "dct_distance": f"with {_DCT} select a.y, round(sum((a.v - b.v) * (a.v - b.v)), 5) dist from kept a join kept b on b.y = a.y + 1 and a.i = b.i and a.j = b.j group by 1",
+    "dct3d_group": f"""with {_DCT}, five as (select k, n, case when k = 0 then sqrt(1 / 5.0::double) else sqrt(2 / 5.0::double) end * cos(pi() * (2 * n + 1) * k / 10.0::double) c from range(5) a(k), range(5) b(n))
+select cast(y // 5 as int) g, i, j, cast(k as int) k, round(sum(c * v), 5) v from spectrum join five on n = y % 5 group by 1, 2, 3, 4""",
+    "haar8_group": f"""with {EMB}, p as (select y, cast(x // 8 as int) i, x % 8 j, v from e),
+haar as (select k, n, case when k = 0 then sqrt(1 / 8.0::double) else sqrt(pow(2, l) / 8) * case when n // (8 // cast(pow(2, l) as int)) <> k - cast(pow(2, l) as int) then 0 when n % (8 // cast(pow(2, l) as int)) < 4 // cast(pow(2, l) as int) then 1 else -1 end end c
+from (select k, case when k = 0 then 0 else cast(floor(log2(k)) as int) end l from range(8) a(k)), range(8) b(n))
+select y, i, cast(k as int) k, round(sum(c * v), 5) v from p join haar on n = j group by 1, 2, 3""",
+    "haar5_round_trip": f"with {EMB} select cast(y // 5 as int) g, x, cast(y % 5 as int) k, round(v, 5) v from e",
+    "kaiser_window": f"with {_KAISER} select cast(a.i as int) i, cast(b.i as int) j, round(a.w * b.w, 6) w from line a, line b",
+    "scatter_aggregate": f"with {RAW} select img, y, x, round(sum(v / (1.0::double + a.s + 2 * b.s)) / sum(1 / (1.0::double + a.s + 2 * b.s)), 6) v from raw join range(0, 25, 4) a(s) on y >= a.s and y < a.s + 8 join range(0, 25, 4) b(s) on x >= b.s and x < b.s + 8 group by 1, 2, 3",
+    "coverage_fallback": f"with {RAW} select img, y, x, round(v + case when y % 12 < 8 and x % 12 < 8 then 0.5::double else 0 end, 6) v from raw",
+    "nlm": f"""with {RAW}, {_near('raw', 32, 2, 0)}, {_gauss(2, 1.0)}, d as (select a.img, a.y, a.x, b.v nv, cast(sum(w * (p.nv - q.nv) * (p.nv - q.nv)) as double) d from raw a join raw b on a.img = b.img and b.y - a.y between -5 and 4 and b.x - a.x between -5 and 4
+cross join ker join near p on p.img = a.img and p.y = a.y and p.x = a.x and p.dy = ker.dy and p.dx = ker.dx join near q on q.img = b.img and q.y = b.y and q.x = b.x and q.dy = ker.dy and q.dx = ker.dx group by a.img, a.y, a.x, b.y, b.x, b.v),
+t as (select *, exp(-d / 22500.0::double) w from d) select img, y, x, round({_WEIGHTED}, 6) v from t group by 1, 2, 3""",
+}
+ORACLE_SQL["guide_blur_separable"] = ORACLE_SQL["guide_blur"]
+for _name, _again in (("pad_reflect", 1), ("pad_reflect101", 0)):
+    ORACLE_SQL[_name] = f"with {FRAMES} select img, cast(a.s as int) y, cast(b.s as int) x, v from range(-3, 19) a(s), range(-3, 19) b(s), frames where frames.y = {_mirror('a.s', 16, _again)} and frames.x = {_mirror('b.s', 16, _again)}"

@@ -211,7 +211,7 @@ def first_per_key(s, d):
 
 def _tasks(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     files = catalogue.parsed(src.catalog(s, d))
-    params = catalogue.first_per_key(src.noise_params(s, d)).where("frame <= 4").select("scene", "iso", "frame", "a", "b")
+    params = catalogue.first_per_key(src.noise_params(s, d)).select("scene", "iso", "frame", "a", "b")
     return files, params
 
 
@@ -250,6 +250,7 @@ def unify_rows(s, d):
         kind("view").withColumns({"time_match_s": v, "time_filter_s": v * 2, "a_norm": v / 100, "sigma_norm": v / 1000}),
         kind("click").withColumns({"time_s": v, "a_gat": v / 50, "sigma_gat": v / 500}),
         kind("purchase").withColumns({"time_filter_s": v, "beta1": v / 25, "beta2": v / 250, "a_norm": F.lit(0.0)}),
+        kind("error").withColumns({"time_s": v, "beta2": v / 200}),
         kind("signup"),
     ]
     return _r(catalogue.unified(tables), 9, "time_all", "a_norm", "sigma_norm")
