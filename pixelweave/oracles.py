@@ -1,6 +1,6 @@
 """SQL twins of the registered queries, for an independent engine on the same tables.
 
-Of the queries without a twin only a few are held by tests against brute force or invariants.
+Without a twin are the randomized searches, the noise and the denoising pipelines.
 """
 
 from __future__ import annotations
@@ -130,13 +130,17 @@ def _gauss(radius: int, sigma: float) -> str:
     return f"ker as (select dy, dx, {g} / sum({g}) over () w from range({-radius}, {radius + 1}) p(dy), range({-radius}, {radius + 1}) q(dx))"
 
 
-def _pairs(source: str, n: int, patch: int, stride: int, radius: int, measure: str = "(p.v - q.v) * (p.v - q.v)", frames: int = 0) -> str:
+_SSD = "r.n + c.n - 2 * list_inner_product(r.p, c.p)"
+_SAD = "list_sum([abs(z[1] - z[2]) for z in list_zip(r.p, c.p)])"
+
+
+def _pairs(source: str, n: int, patch: int, stride: int, radius: int, measure: str = _SSD, frames: int = 0) -> str:
     """dist: distances of reference patches to the patches around them."""
-    last = n - patch + 1
-    return f"""refs as (select distinct img, a.s ref_y, b.s ref_x from {source}, range(0, {last}, {stride}) a(s), range(0, {last}, {stride}) b(s)),
-places as (select distinct img t, a.s y, b.s x from {source}, range({last}) a(s), range({last}) b(s)),
-dist as (select r.img, ref_y, ref_x, c.t, c.y, c.x, cast(sum({measure}) as bigint) dist from refs r join places c on abs(c.t - r.img) <= {frames} and abs(c.y - ref_y) <= {radius} and abs(c.x - ref_x) <= {radius}
-cross join range({patch}) i(i) cross join range({patch}) j(j) join {source} p on p.img = r.img and p.y = ref_y + i and p.x = ref_x + j join {source} q on q.img = c.t and q.y = c.y + i and q.x = c.x + j group by all)"""
+    last = n - patch
+    return f"""patches as materialized (select s.img, a.y, b.x, list(cast(s.v as double) order by s.y, s.x) p, cast(sum(s.v * s.v) as double) n from {source} s
+join range({last + 1}) a(y) on s.y >= a.y and s.y < a.y + {patch} join range({last + 1}) b(x) on s.x >= b.x and s.x < b.x + {patch} group by 1, 2, 3),
+dist as materialized (select r.img, r.y ref_y, r.x ref_x, c.img t, c.y, c.x, cast({measure} as bigint) dist from patches r join patches c on c.img >= r.img - {frames} and c.img <= r.img + {frames}
+and abs(c.y - r.y) <= {radius} and abs(c.x - r.x) <= {radius} where r.y % {stride} = 0 and r.x % {stride} = 0)"""
 
 
 def _best(k: int, where: str = "true", order: str = "dist, y, x", dist: str = "dist", frame: str = "") -> str:
@@ -168,7 +172,7 @@ def _curve(v: str) -> str:
     return f"cast(floor(least(greatest(round(case when {v} <= 0.0031308 then {v} * 12.92::double else pow({v}, 1 / 2.4::double) * 1.055::double - 0.055::double end, 9) * 255, 0), 255)) as int)"
 
 
-_I0 = "(select sum(pow({x} * {x} / 4.0::double, k) / (factorial(k)::double * factorial(k)::double)) from range(20) t(k))"
+_I0 = "(select sum(pow({x} * {x} / 4.0::double, k) / (factorial(cast(k as int))::double * factorial(cast(k as int))::double)) from range(20) t(k))"
 _KAISER = f"line as (select i, {_I0.format(x='(2 * sqrt(1 - pow(2 * i / 7.0::double - 1, 2)))')} / {_I0.format(x='2.0::double')} w from range(8) a(i))"
 
 ORACLE_SQL |= {
@@ -210,14 +214,14 @@ f as (select img, y, x, {_WEIGHTED} v from t group by 1, 2, 3) select img, y, x,
     "forward_isp": f"""with {RAW}, {_near('normal', 32, 1, 0)}, {_COLORS}, w as (select img, y, x, least(r * 2.394::double, 1) r, least(g, 1) g, least(b * 1.597::double, 1) b from rgbs)
 select img, y, x, {_curve('(r * 1.9712::double - g * 0.7503::double - b * 0.2209::double)')} r, {_curve('(-r * 0.2491::double + g * 1.4727::double - b * 0.2236::double)')} g, {_curve('(r * 0.0172::double - g * 0.4864::double + b * 1.4692::double)')} b from w""",
     "match_mse_topk": f"with {RAW}, {_pairs('raw', 32, 4, 4, 7)} {_best(16, _OTHER, dist='round(dist / 16.0::double, 6)')}",
-    "match_sad_topk": f"with {RAW}, {_pairs('raw', 32, 5, 3, 6, 'abs(p.v - q.v)')} {_best(4, _OTHER)}",
+    "match_sad_topk": f"with {RAW}, {_pairs('raw', 32, 5, 3, 6, _SAD)} {_best(4, _OTHER)}",
     "match_threshold": f"with {RAW}, {_pairs('raw', 32, 4, 4, 10)} {_best(16, 'dist < 3000000', f'{_OTHER}, dist, y, x')}",
     "match_all_topk": f"with {FRAMES}, {_pairs('frames', 16, 5, 6, 16)} {_best(16, 'ref_y = 6 and ref_x = 6')}",
     "match_video_topk": f"with {_VIDEO} select * from best",
     "source_frame_counts": f"with {_VIDEO} select img, ref_y, ref_x, count(*) filter (t < img) \"before\", count(*) filter (t = img) same, count(*) filter (t > img) \"after\" from best group by 1, 2, 3",
     "pool_top7_pad8": f"with {_POOL} select img, cast(ref_y as int) ref_y, cast(ref_x as int) ref_x, cast(slot as int) slot, cast(t as int) t, cast(dy as int) dy, cast(dx as int) dx from pool",
     "temporal_usage_hist": f"with {_POOL}, u as (select img, ref_y, ref_x, cast(sum(t) as bigint) time_used from pool group by 1, 2, 3) select time_used, count(*) \"groups\" from u group by 1",
-    "collaborative_mean": f"with {RAW}, {_pairs('raw', 32, 5, 3, 6, 'abs(p.v - q.v)')}, b as ({_best(4, _OTHER)}) select b.img, ref_y, ref_x, round(avg(v), 6) v from b join raw r on r.img = b.img and r.y = b.y + 2 and r.x = b.x + 2 group by 1, 2, 3",
+    "collaborative_mean": f"with {RAW}, {_pairs('raw', 32, 5, 3, 6, _SAD)}, b as ({_best(4, _OTHER)}) select b.img, ref_y, ref_x, round(avg(v), 6) v from b join raw r on r.img = b.img and r.y = b.y + 2 and r.x = b.x + 2 group by 1, 2, 3",
     "group_weight": f"with {_DCT} select y, round(1.0::double / greatest(count(*) filter (v <> 0), 1), 6) w from kept group by 1",
     "dct_distance": f"with {_DCT} select a.y, round(sum((a.v - b.v) * (a.v - b.v)), 5) dist from kept a join kept b on b.y = a.y + 1 and a.i = b.i and a.j = b.j group by 1",
     "dct3d_group": f"""with {_DCT}, five as (select k, n, case when k = 0 then sqrt(1 / 5.0::double) else sqrt(2 / 5.0::double) end * cos(pi() * (2 * n + 1) * k / 10.0::double) c from range(5) a(k), range(5) b(n))
