@@ -30,6 +30,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-#: The methods have no SQL form. Tests hold the others on small fixtures; of op1 only the case without a net,
-#: of op7 only the slots, and op10 not at all.
+#: The methods have no SQL form. Tests hold them against brute force, a library, or held-out labels.
 ORACLE_SQL: dict[str, str] = {}

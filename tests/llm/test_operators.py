@@ -8,9 +8,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelweave.llm import embedding_dedup, language, near_dedup, neighbours, packing, registry, sentencepiece_bpe, sharding, substring_dedup, suffix_dedup
+import corpus_pipeline
+from pixelweave.llm import _common, embedding_dedup, language, near_dedup, neighbours, packing, registry, sentencepiece_bpe, sharding, substring_dedup, suffix_dedup, toxicity
 from tests.conftest import SF
 
+SF01 = SF.replace("sf0.001", "sf0.01")
+
 WORDS = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("n", "rt", "lis", "mo")]
 EDGES = [(9001, None), (9002, ""), (9003, " \n "), (9004, "ü" * 40000), (None, "no id here")]
 
@@ -129,9 +132,126 @@ def test_sharding(docs, empty):
     assert sharding.shards_by_bytes(empty, 4).count() == 0
 
 
-def test_language_and_toxicity_edges(docs):
-    got = {r["doc_id"]: r for r in language.with_language(docs[0], None).collect()}
-    assert all(r["lang_pred"] == "und" for r in got.values())
+def test_sharding_is_balanced_and_contiguous(docs, spark):
+    rows = spark.createDataFrame([(i, prose(i, 20 + i % 30)) for i in range(400)] + [(900, "same"), (901, "same"), (901, "same")], "doc_id long, text string")
+    got = sharding.shards_by_bytes(rows, 8).collect()
+    sizes = [sum(r["size"] for r in got if r["shard"] == s) for s in range(8)]
+    assert len(got) == 403 and max(sizes) - min(sizes) <= 0.1 * np.mean(sizes) + 2 * max(r["size"] for r in got)
+    assert len({r["shard"] for r in got if r["id"] in (900, 901)}) == 1
+
+
+def test_language_held_out(spark):
+    """Accuracy on the fold that is never learned from, and defined answers in the edge cases."""
+    got = language.op1_language_id(spark, SF01).join(spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    held = got.where("held_out and lang is not null").select((F.col("lang") == F.col("lang_pred")).cast("int").alias("ok")).collect()
+    assert len(held) > 200 and np.mean([r["ok"] for r in held]) >= 0.97
+
+
+def test_toxicity_held_out(spark):
+    """On a table with enough toxic documents to learn from and to count."""
+    many = SF.replace("sf0.001", "sf0.1")
+    got = toxicity.op10_toxicity(spark, many).join(spark.read.parquet(f"{many}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out").collect()
+    toxic, clean = ([r["predicted"] for r in got if r["toxic"] == k] for k in (1, 0))
+    assert np.mean(toxic) >= 0.6 and np.mean(clean) <= 0.05
+
+
+def test_language_and_toxicity_edges(docs, empty, spark):
+    """Null, empty and very long texts, null ids, an empty table, and columns with the names of the answers."""
+    net = language.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    clash = docs[0].withColumns({"score": F.lit("x"), "lang_pred": F.lit(7)})
+    for made in (net, None):
+        got = {r["doc_id"]: r for r in language.with_language(clash, made).collect()}
+        assert len(got) == len(docs[1]) and all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (9001, 9002, 9003))
+        assert language.with_language(empty, made).count() == 0
+    tox = toxicity.train(spark.read.parquet(f"{SF01}/documents.parquet"), spark.read.parquet(f"{SF01}/labels.parquet"))
+    for made in (tox, None):
+        got = {r["doc_id"]: r["score"] for r in toxicity.with_toxicity(clash, made).collect()}
+        assert len(got) == len(docs[1]) and all(0 <= v <= 1 for v in got.values()) and got[9001] == got[9002] == got[9003]
+        assert toxicity.with_toxicity(empty, made).count() == 0
+    assert _common.crc_mod("doc_id", 3) is not None and docs[0].where(_common.crc_mod("doc_id", 3).isNull()).count() == 0
+
+
+def test_repeated_and_text_ids(spark):
+    """Rows that repeat an id with another text are told apart; ids may be texts; extra columns may clash."""
+    a, b, c = (prose(k, 120) for k in (71, 72, 73))
+    rows = spark.createDataFrame([("1", a), ("2", b), ("2", f"{c} {a}"), ("1", a)], "doc_id string, text string")
+    clash = rows.withColumns({"n_bytes": F.lit("x"), "_ends": F.lit(1), "text_left": F.lit(0)})
+    got = sorted((r["doc_id"], r["n_removed"], r["text_left"]) for r in substring_dedup.repeated_chunks(clash).collect())
+    assert got[:3] == sorted([("1", 0, a), ("1", 0, a), ("2", 0, b)]) and got[3][1] >= len(a) and b"".join([got[3][2].encode()]).decode().startswith(c[:-60])
+    got = sorted((r["id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.without_repeats(rows).collect())
+    assert got == sorted([("1", len(a), 0), ("1", len(a), 0), ("2", len(b), 0), ("2", len(c) + 1 + len(a), len(a))])
+    for order in ((0, 1), (1, 0)):
+        texts = [(1, a), (1, b)]
+        near = spark.createDataFrame([texts[order[0]], texts[order[1]], (2, b + " end")], "doc_id long, text string")
+        assert sorted((r["id"], r["group_id"]) for r in near_dedup.near_duplicates(near).collect()) == [(1, 1), (1, 1), (2, 1)]
+    assert {r["id"] for r in packing.packed(rows).collect()} == {r["id"] for r in sentencepiece_bpe.coded(rows).collect()} == {"1", "2"}
+
+
+@pytest.mark.parametrize("span", [26, 75, 130])
+def test_suffix_dedup_of_any_span(spark, span):
+    shared = prose(501, 60)
+    rows = [(i, f"{prose(i, 30)} {shared[: 40 * (i % 5)]} {prose(i + 900, 30)}") for i in range(30)]
+    got = {r["id"]: r["n_removed"] for r in suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), span=span).collect()}
+    first: dict[str, int] = {}
+    for i, t in rows:
+        for p in range(len(t) - span + 1):
+            first.setdefault(t[p : p + span], i)
+    for i, t in rows:
+        gone = np.zeros(len(t), bool)
+        for p in range(len(t) - span + 1):
+            if first[t[p : p + span]] < i:
+                gone[p : p + span] = True
+        assert got[i] == gone.sum()
+
+
+def test_descent_rounds_find_neighbours(spark):
+    """The rounds of NN-descent, not the cells that they start from, find most of the neighbours."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(5000, 24)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "u long, vec binary")
+    s = x[:200] @ x.T
+    s[np.arange(200), np.arange(200)] = -9
+    truth = [set(r) for r in np.argsort(-s, axis=1)[:, :20].tolist()]
+
+    def recall(graph):
+        return np.mean([len(truth[r["u"]] & set(r["ids"][:20])) / 20 for r in graph.where("u < 200").collect()])
+
+    trace = []
+    neighbours.descent(nodes, 5000, rounds=4, trace=trace)
+    found = [recall(g) for g in trace]
+    assert found[-1] >= 0.8 and found[-1] > found[0] + 0.1, found
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """The stages on a small table: toxic, unknown and near-copied documents go, passages are cut, the rest is packed."""
+    base = spark.read.parquet(f"{SF01}/documents.parquet")
+    base.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF01}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = base.withColumns({"_toxic": F.lit("kept"), "_id": F.lit(3)})
+    columns, sizes = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        before = {(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()}
+        docs = _common.staged(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == columns
+        after = docs.select("doc_id", "text").collect()
+        sizes.append(len(after))
+        if name == "near_dedup":  # of any two texts that are left, none is a near copy of the other, and each group keeps its smallest id
+            left = {(r["doc_id"], r["text"]) for r in after}
+            assert left <= before and len({i for i, _ in left}) == len(left)
+            bags = [(i, set(zip(*(t.split()[k:] for k in range(5)), strict=False))) for i, t in sorted(left)]
+            hold: dict[tuple, list[int]] = {}
+            for k, (_, bag) in enumerate(bags):
+                for x in bag:
+                    hold.setdefault(x, []).append(k)
+            texts = dict(left)
+            pairs = {(a, b) for ks in hold.values() if len(ks) < 40 for a in ks for b in ks if a < b}
+            assert not any(near_dedup.bag_overlap(texts[bags[a][0]], texts[bags[b][0]]) >= 0.8 for a, b in pairs)
+        if name == "substring_dedup":
+            assert {r["doc_id"] for r in after} == {i for i, _ in before}
+    assert sizes[0] >= sizes[1] >= sizes[2] == sizes[3] > 500
+    packed = corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in docs.select("doc_id").collect()}
 
 
 def test_sentencepiece_equals_the_library(spark):
@@ -167,6 +287,20 @@ def test_embedding_dedup(vectors):
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i for i in range(900, 905))
 
 
+def test_embedding_dedup_finds_near_pairs(spark):
+    """Many real near pairs over several shards."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(1200, 16))
+    x = np.concatenate([base, base[:600] + rng.normal(scale=0.12, size=(600, 16)), base[:30].repeat(10, axis=0) + rng.normal(scale=0.05, size=(300, 16))])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["id"]: r["n_links"] for r in embedding_dedup.near_vectors(df, shard=500).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    truth = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    links = sum(got.values())
+    assert truth.sum() > 1000 and all(got[i] <= truth[i] for i in got) and links >= 0.98 * truth.sum()
+    assert embedding_dedup.near_vectors(df.where("false")).count() == 0 and neighbours.nearest(df.where("false"), F.lit(True)).count() == 0
+
+
 def test_neighbours(vectors):
     df, x, _ = vectors
     got = neighbours.nearest(df, F.col("id") % 20 == 0, top=5).collect()
