@@ -95,5 +95,12 @@ def ycrcb(r: Column, g: Column, b: Column) -> dict[str, Column]:
     return {"luma": rounded(y), "cr": rounded((r - y) * 0.713 + 128.0), "cb": rounded((b - y) * 0.564 + 128.0)}
 
 
+def from_ycrcb(luma: Column, cr: Column, cb: Column) -> dict[str, Column]:
+    """Eight-bit colors from luma and chroma (BT.601, full range)."""
+    cr, cb = cr - 128.0, cb - 128.0
+    rounded = lambda v: quantized_u8(F.round(v, 9), rounded=True)
+    return {"r": rounded(luma + cr * 1.403), "g": rounded(luma - cr * 0.714 - cb * 0.344), "b": rounded(luma + cb * 1.773)}
+
+
 def _double(v: Column | float) -> Column:
     return F.lit(float(v)) if isinstance(v, (int, float)) else v.cast("double")

@@ -93,6 +93,17 @@ def unified(tables: list[DataFrame]) -> DataFrame:
     )
 
 
+def with_extension(paths: DataFrame, *extensions: str) -> DataFrame:
+    """Files of some extensions, in upper or lower case."""
+    return paths.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin([e.lower() for e in extensions]))
+
+
+def result_table(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """Result rows with a fixed header in a total order (a range shuffle, no single task)."""
+    missing = {c: F.lit(None).cast("double") for c in columns if c not in rows.columns}
+    return rows.withColumns(missing).select(*columns).orderBy(*order)
+
+
 def parameter_grid(spark: SparkSession, **values: list) -> DataFrame:
     """All combinations of short lists."""
     df = spark.range(1).select()

@@ -89,9 +89,13 @@ def mirrored(at: Column, size: int, border: str) -> Column:
 
 
 def padded(df: DataFrame, spark: SparkSession, height: int, width: int, margin: int, border: str) -> DataFrame:
-    """A raster with a margin; indices stay those of the raster, and are negative in the margin."""
+    """A raster with a margin; indices stay those of the raster, and are negative in the margin. `constant` fills it with zeros."""
+    zero = border == "constant"
+    border = "edge" if zero else border
     lines = lambda n: F.sequence(F.lit(-margin), F.lit(n + margin - 1))
     cells = spark.range(1).select(F.explode(lines(height)).alias("y")).select("y", F.explode(lines(width)).alias("x"))
     cells = cells.select("y", "x", mirrored(F.col("y"), height, border).alias("sy"), mirrored(F.col("x"), width, border).alias("sx"))
     source = df.select("img", F.col("y").alias("sy"), F.col("x").alias("sx"), "v")
-    return source.join(cells, ["sy", "sx"]).select("img", "y", "x", "v")
+    inside = (F.col("y") == F.col("sy")) & (F.col("x") == F.col("sx"))
+    value = F.when(inside, F.col("v")).otherwise(F.lit(0).cast(df.schema["v"].dataType)) if zero else F.col("v")
+    return source.join(cells, ["sy", "sx"]).select("img", "y", "x", value.alias("v"))

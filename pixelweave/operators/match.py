@@ -84,6 +84,21 @@ def match(df: DataFrame, height: int, width: int, *, patch: int, stride: int, ra
     return found.select("img", "ref_y", "ref_x", "rk", "dist", "y", "x")
 
 
+def finite(rows: DataFrame, value: str = "dist") -> DataFrame:
+    """Rows whose distance is a finite number."""
+    return rows.where(~F.isnan(value) & (F.abs(value) < float("inf")))
+
+
+def match_joint(df: DataFrame, height: int, width: int, *, patch: int, stride: int, radius: int, k: int, value: str = "v") -> DataFrame:
+    """`match` of images with channels (img, ch, y, x): distances are summed over the channels, so all share one group."""
+    one = patches(df.withColumn("img", F.struct("img", "ch")), height, width, patch, value)
+    lists = one.groupBy(F.col("img.img").alias("img"), "y", "x").agg(F.sort_array(F.collect_list(F.struct("img.ch", "p"))).alias("c"))
+    every = lists.select("img", "y", "x", F.flatten(F.transform("c", lambda c: c["p"])).alias("p"))
+    pairs = window_pairs(references(every, stride), every, radius).where(not_self()).withColumn("dist", ssd("ref_p", "p"))
+    found = top(pairs.drop("ref_p", "p"), k, ["img", "ref_y", "ref_x"], ["dist", "y", "x"])
+    return found.select("img", "ref_y", "ref_x", "rk", "dist", "y", "x")
+
+
 def match_frames(df: DataFrame, height: int, width: int, *, patch: int, stride: int, radius: int, frames: int, k: int, value: str = "v") -> DataFrame:
     """The same over the `frames` frames before and after too: adds t, the frame of the match.
 

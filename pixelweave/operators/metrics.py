@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelweave.functions import kernels
@@ -15,8 +15,8 @@ def mse(a: str, b: str) -> Column:
 
 
 def psnr(error: Column, peak: float) -> Column:
-    """Decibels of a mean squared error; null for equal images."""
-    return F.when(error > 0, 10.0 * F.log10(F.lit(peak * peak) / error))
+    """Decibels of a mean squared error; infinite for equal images."""
+    return F.when(error > 0, 10.0 * F.log10(F.lit(peak * peak) / error)).when(error == 0, F.lit(float("inf")))
 
 
 def ssim(pairs: DataFrame, height: int, width: int, data_range: float, *, radius: int = 3) -> DataFrame:
@@ -39,10 +39,25 @@ def ssim(pairs: DataFrame, height: int, width: int, data_range: float, *, radius
     return inner.groupBy("img").agg(F.avg(value).alias("ssim"))
 
 
-def pixel_statistics(df: DataFrame, black: float) -> DataFrame:
-    """Mean and sample variance of each pixel over the images of a stack."""
+def pixel_statistics(df: DataFrame, black: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Mean and sample variance of each pixel over the images of a stack, or of each stack by its keys."""
     v = F.col("v") - black
-    return df.groupBy("y", "x").agg(F.avg(v).alias("m"), F.var_samp(v).alias("var"))
+    return df.groupBy(*keys, "y", "x").agg(F.avg(v).alias("m"), F.var_samp(v).alias("var"))
+
+
+def calibration(stacks: DataFrame, black: float, peak: float, keys: tuple[str, ...], least: int = 100) -> DataFrame:
+    """For each stack of repeated images: gain a and offset b of its noise, as by `noise_fit`, and the mean PSNR of its
+    images against their mean, rounded down. Rows of (keys, img, y, x, v)."""
+    stats = pixel_statistics(stacks, black, keys)
+    q = F.percentile("m", F.array(F.lit(0.05), F.lit(0.95)))
+    bounds = stats.groupBy(*keys).agg(q.alias("q")).select(*keys, F.greatest(F.col("q")[0], F.lit(0.0)).alias("lo"), F.col("q")[1].alias("hi"))
+    used, enough = stats.join(bounds, list(keys)).where("m >= lo and m <= hi and var >= 0"), F.count("*") >= least
+    fit = used.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.when(enough, F.regr_slope("var", "m")).alias("a"), F.when(enough, F.regr_intercept("var", "m")).alias("b")
+    )
+    clean = stats.select(*keys, "y", "x", F.floor(F.col("m") + black).alias("clean"))
+    each = stacks.join(clean, [*keys, "y", "x"]).groupBy(*keys, "img").agg(psnr(mse("v", "clean"), peak).alias("psnr"))
+    return fit.join(each.groupBy(*keys).agg(F.avg("psnr").alias("psnr")), list(keys))
 
 
 def noise_fit(stats: DataFrame, least: int = 100) -> DataFrame:
@@ -63,8 +78,28 @@ def image_statistics(df: DataFrame) -> DataFrame:
 
 
 def summary(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Mean and count by key; nulls don't count."""
-    return rows.groupBy(key).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+    """Mean and count by key; nulls and NaN don't count."""
+    known = F.when(~F.isnan(value), F.col(value))
+    return rows.groupBy(key).agg(F.avg(known).alias("mean"), F.count(known).alias("n"))
+
+
+def amortized(rows: DataFrame, keys: list[str], frame: str, time: str) -> DataFrame:
+    """Seconds a frame of each sequence: all its time over its number of frames."""
+    return rows.groupBy(*keys).agg(F.count_distinct(frame).alias("frames"), F.sum(time).alias("total")).withColumn("per_frame", F.col("total") / F.col("frames"))
+
+
+def elapsed(rows: DataFrame, keys: list[str], order: list[str], time: str) -> DataFrame:
+    """Time so far, and its mean a step, along each sequence."""
+    so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumns({"elapsed": F.sum(time).over(so_far), "mean_step": F.avg(time).over(so_far)})
+
+
+def shares(counts: DataFrame, value: str, count: str) -> DataFrame:
+    """A histogram with each bin's percentage and the mean of all; the total is one row."""
+    total = counts.agg(F.sum(count).alias("all"), F.sum(F.col(value) * F.col(count)).alias("moment"))
+    return counts.join(F.broadcast(total)).select(
+        value, count, (100.0 * F.col(count) / F.col("all")).alias("percent"), (F.col("moment") / F.col("all")).alias("mean")
+    )
 
 
 def local_variance(patch_rows: DataFrame, keys: list[str], a: float, b: float, floor: float = 1e-12, factor: float = 2.7) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelweave.functions import kernels
-from pixelweave.operators.layout import mirrored
+from pixelweave.operators.layout import mirrored, padded
 
 
 def neighbours(df: DataFrame, height: int, width: int, offsets: list[tuple], border: str | None, value: str = "v") -> DataFrame:
@@ -69,19 +69,44 @@ def circular_bilateral(df: DataFrame, height: int, width: int, radius: int, colo
     return _weighted(near, F.exp(-(d * d) / (2 * color * color)) * F.exp(-r2 / (2 * space * space)))
 
 
+def _centered(df: DataFrame, height: int, width: int, cells: list[tuple], border: str | None) -> DataFrame:
+    """Every pixel with the patch around it as an array."""
+    near = neighbours(df, height, width, [(y, x, float(k)) for k, (y, x) in enumerate(cells)], border)
+    found = F.sort_array(F.collect_list(F.struct("w", "nv")))
+    return near.groupBy("img", "y", "x").agg(F.first("v").alias("v"), F.transform(found, lambda c: c["nv"].cast("double")).alias("p"))
+
+
+def _window(patches: DataFrame, candidates: DataFrame, offsets: list[tuple]) -> DataFrame:
+    """Each patch with the candidates of its window, by an equi-join on their index."""
+    steps = F.array(*(F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx")) for y, x in offsets))
+    asks = patches.select("img", "y", "x", "p", F.explode(steps).alias("o"))
+    asks = asks.withColumns({"ny": F.col("y") + F.col("o.dy"), "nx": F.col("x") + F.col("o.dx")})
+    return asks.join(candidates.select("img", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("v").alias("nv"), F.col("p").alias("q")), ["img", "ny", "nx"])
+
+
+def nlm_uniform(df: DataFrame, height: int, width: int, *, h: float, patch_r: int, window_r: int, sigma: float) -> DataFrame:
+    """Non-local means with uniform patches and a symmetric window that goes on beyond the border.
+
+    The mean squared difference loses the noise's share, 2 sigma^2; patches further apart than five h^2 don't count.
+    """
+    wide = padded(df, df.sparkSession, height, width, window_r + patch_r, "reflect101")
+    cells = kernels.box(patch_r)
+    every = _centered(wide, height, width, cells, None).where(F.size("p") == len(cells))
+    inside = every.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
+    pairs = _window(inside, every, kernels.box(window_r))
+    squares = F.aggregate(F.zip_with("p", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+    distance = F.greatest(squares / len(cells) - 2.0 * sigma * sigma, F.lit(0.0)) / (h * h)
+    return _weighted(pairs.withColumn("d", distance).where("d <= 5"), F.exp(-F.col("d")))
+
+
 def nlm(df: DataFrame, height: int, width: int, *, h: float, patch_r: int, window_r: int, sigma: float) -> DataFrame:
     """Non-local means. The window leaves out its last row and column; the patch distance is weighted by a Gaussian.
 
     Patches are arrays gathered once; a pixel then meets the candidates of its window by index.
     """
     kernel = kernels.gaussian(patch_r, sigma)
-    near = neighbours(df, height, width, [(y, x, float(k)) for k, (y, x, _) in enumerate(kernel)], "reflect101")
-    cells = F.sort_array(F.collect_list(F.struct("w", "nv")))
-    patches = near.groupBy("img", "y", "x").agg(F.first("v").alias("v"), F.transform(cells, lambda c: c["nv"].cast("double")).alias("p"))
-    steps = F.array(*(F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx")) for y, x in kernels.box(window_r, half_open=True)))
-    asks = patches.select("img", "y", "x", "p", F.explode(steps).alias("o"))
-    asks = asks.withColumns({"ny": F.col("y") + F.col("o.dy"), "nx": F.col("x") + F.col("o.dx")})
-    pairs = asks.join(patches.select("img", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("v").alias("nv"), F.col("p").alias("q")), ["img", "ny", "nx"])
+    patches = _centered(df, height, width, [(y, x) for y, x, _ in kernel], "reflect101")
+    pairs = _window(patches, patches, kernels.box(window_r, half_open=True))
     weights = F.array(*(F.lit(w) for *_, w in kernel))
     squares = F.zip_with("p", "q", lambda a, b: (a - b) * (a - b))
     distance = F.aggregate(F.zip_with(squares, weights, lambda d, w: d * w), F.lit(0.0), lambda s, d: s + d)

@@ -67,8 +67,8 @@ round(least(greatest(0.0172::double * r - 0.4864::double * g + 1.4692::double *
     "unpack_bayer": f"with {RAW} select img, y, x, v from raw",
     "guide_channel": f"with {RAW}, {PACKED} select img, y, x, round(avg(v), 6) mean4, max(case when ch = 0 then v end) ch0 from packed group by 1, 2, 3",
     "mse": f"with {FRAMES} select img, round(avg((v - clean) * (v - clean)::double), 6) mse from pairs group by 1",
-    "psnr_raw": f"with {FRAMES}, m as (select img, avg((v - clean) * (v - clean)::double) m from pairs group by 1) select img, round(case when m > 0 then 10 * log10(4095.0::double * 4095 / m) end, 6) psnr from m",
-    "psnr_norm": f"with {FRAMES}, m as (select img, avg(pow({_N01.format('v')} - {_N01.format('clean')}, 2)) m from pairs group by 1) select img, round(case when m > 0 then 10 * log10(1 / m) end, 6) psnr from m",
+    "psnr_raw": f"with {FRAMES}, m as (select img, avg((v - clean) * (v - clean)::double) m from pairs group by 1) select img, round(case when m > 0 then 10 * log10(4095.0::double * 4095 / m) when m = 0 then 'inf'::double end, 6) psnr from m",
+    "psnr_norm": f"with {FRAMES}, m as (select img, avg(pow({_N01.format('v')} - {_N01.format('clean')}, 2)) m from pairs group by 1) select img, round(case when m > 0 then 10 * log10(1 / m) when m = 0 then 'inf'::double end, 6) psnr from m",
     "pixel_mean_var": f"with {FRAMES} select y, x, round(m, 6) m, round(var, 6) var from stats",
     "noise_percentiles": f"with {FRAMES} select round(quantile_cont(m, 0.05), 6) lo, round(quantile_cont(m, 0.95), 6) hi from stats",
     "noise_ols": f"""with {FRAMES}, q as (select greatest(quantile_cont(m, 0.05), 0) lo, quantile_cont(m, 0.95) hi from stats)
@@ -241,3 +241,55 @@ t as (select *, exp(-d / 22500.0::double) w from d) select img, y, x, round({_WE
 ORACLE_SQL["guide_blur_separable"] = ORACLE_SQL["guide_blur"]
 for _name, _again in (("pad_reflect", 1), ("pad_reflect101", 0)):
     ORACLE_SQL[_name] = f"with {FRAMES} select img, cast(a.s as int) y, cast(b.s as int) x, v from range(-3, 19) a(s), range(-3, 19) b(s), frames where frames.y = {_mirror('a.s', 16, _again)} and frames.x = {_mirror('b.s', 16, _again)}"
+
+
+# colors, margins, result rows, calibration and eight-bit filters
+
+
+
+def _colors(y: str, cr: str, cb: str) -> str:
+    parts = {"r": f"{y} + ({cr} - 128.0::double) * 1.403::double", "g": f"{y} - ({cr} - 128.0::double) * 0.714::double - ({cb} - 128.0::double) * 0.344::double", "b": f"{y} + ({cb} - 128.0::double) * 1.773::double"}
+    return ", ".join(f"cast(floor(least(greatest(round({v}, 9), 0), 255) + 0.5) as int) {n}" for n, v in parts.items())
+
+
+_LUMA = f"parts as (select 0 img, y, x, {_u8(f'{_Y} + 0.5::double')} v, {_u8(f'(r - {_Y}) * 0.713::double + 128.5::double')} cr, {_u8(f'(b - {_Y}) * 0.564::double + 128.5::double')} cb from rgb)"
+_EIGHT = f"{RAW}, eight as (select img, y, x, v % 256 v from raw), {_near('eight', 32, 3, 1)}"
+_DIFF = "exp(-(nv - v) * (nv - v) / 14400.0::double)"
+_TIMED = "timed as (select user_id, cast(event_id % 7 + 1 as int) frame, event_id, value \"seconds\" from events)"
+_U8V = "cast(floor(least(greatest(round(v, 6), 0), 255)) as int) v"
+_E8 = "cast(floor(least(greatest({} * 255.0::double / 4095.0::double, 0), 255) + 0.5) as int)"
+_STACKS = f"""scells as (select s scene, i img, y, x from range(4) d(s), range(1, 8) c(i), range(16) a(y), range(16) b(x)),
+ssums as (select cast(l_suppkey % 4 as bigint) scene, cast(l_linenumber as bigint) img, l_orderkey % 16 y, l_partkey % 16 x, cast(sum(l_quantity) as bigint) q from lineitem group by 1, 2, 3, 4),
+stacks as (select cast(scene as int) scene, img, y, x, cast({_SQ} as int) v from scells left join ssums using (scene, img, y, x))"""
+
+ORACLE_SQL |= {
+    "ycrcb_inverse": f"with {FRAMES} select y, x, {_colors('r', 'g', 'b')} from rgb",
+    "recombine_color": f"with {FRAMES}, {_LUMA}, {_near('parts', 16, 1, 0)}, f as (select y, x, round(avg(nv), 6) v from near group by 1, 2) select y, x, {_colors('f.v', 'cr', 'cb')} from f join parts using (y, x)",
+    "pad_edge": f"with {FRAMES} select img, cast(a.s as int) y, cast(b.s as int) x, v from range(-3, 19) a(s), range(-3, 19) b(s), frames where frames.y = least(greatest(a.s, 0), 15) and frames.x = least(greatest(b.s, 0), 15)",
+    "pad_constant": f"with {FRAMES}, images as (select distinct img from frames) select i.img, cast(a.s as int) y, cast(b.s as int) x, coalesce(v, 0) v from range(-3, 19) a(s), range(-3, 19) b(s), images i left join frames f on f.img = i.img and f.y = a.s and f.x = b.s",
+    "extension_filter": f"""with {_PATHS}, mixed as (select case length(path) % 3 when 0 then left(path, length(path) - 4) || 'TIFF' when 1 then left(path, length(path) - 4) || 'png' else path end path from paths)
+select path from mixed where path ilike '%.tif' or path ilike '%.tiff'""",
+    "amortized_time": f"with {_TIMED} select user_id, count(distinct frame) frames, round(sum(\"seconds\"), 4) total, round(sum(\"seconds\") / count(distinct frame), 4) per_frame from timed group by 1",
+    "elapsed_time": f"with {_TIMED} select *, round(sum(\"seconds\") over w, 4) elapsed, round(avg(\"seconds\") over w, 4) mean_step from timed window w as (partition by user_id order by event_id rows unbounded preceding)",
+    "result_table": f"with {RESULTS} select method, iso, frame, round(avg(psnr), 6) psnr, null::double ssim from results group by 1, 2, 3 order by 1, 2, 3",
+    "finite_distances": "select event_id, value dist from events where event_id % 10 > 1",
+    "psnr_u8": f"with {FRAMES}, m as (select img, avg(pow({_E8.format('v')} - {_E8.format('clean')}, 2)) m from pairs group by 1) select img, round(case when m > 0 then 10 * log10(255.0::double * 255 / m) else 'inf'::double end, 6) psnr from m",
+    "psnr_equal": f"with {FRAMES} select distinct img, 'inf'::double psnr from frames",
+    "calibration": f"""with {_STACKS}, st as (select scene, y, x, avg(v - 240.0::double) m, var_samp(v - 240.0::double) var from stacks group by 1, 2, 3),
+q as (select scene, greatest(quantile_cont(m, 0.05), 0) lo, quantile_cont(m, 0.95) hi from st group by 1),
+fit as (select scene, count(*) n, regr_slope(var, m) a, regr_intercept(var, m) b from st join q using (scene) where m between lo and hi and var >= 0 group by 1),
+e as (select scene, img, avg(pow(v - floor(m + 240), 2)) e from stacks join st using (scene, y, x) group by 1, 2),
+p as (select scene, avg(case when e > 0 then 10 * log10(4095.0::double * 4095 / e) else 'inf'::double end) psnr from e group by 1)
+select scene, n, round(case when n >= 100 then a end, 4) a, round(case when n >= 100 then b end, 4) b, round(psnr, 4) psnr from fit join p using (scene)""",
+    "gaussian_u8": f"with {_EIGHT}, {_gauss(3, 1.0)}, f as (select img, y, x, sum(w * nv) v from near join ker using (dy, dx) group by 1, 2, 3) select img, y, x, {_U8V} from f",
+    "yaroslavsky_u8": f"with {_EIGHT}, t as (select *, {_DIFF} w from near), f as (select img, y, x, {_WEIGHTED} v from t group by 1, 2, 3) select img, y, x, {_U8V} from f",
+    "bilateral_u8": f"with {_EIGHT}, t as (select *, {_DIFF} * exp(-(dy * dy + dx * dx) / 9.0::double) w from near), f as (select img, y, x, {_WEIGHTED} v from t group by 1, 2, 3) select img, y, x, {_U8V} from f",
+    "temporal_usage_share": f"with h as ({ORACLE_SQL['temporal_usage_hist']}) select time_used, \"groups\", round(100.0::double * \"groups\" / sum(\"groups\") over (), 6) percent, round(sum(time_used * \"groups\") over () / (sum(\"groups\") over ())::double, 6) mean from h",
+    "match_joint_topk": f"""with {RAW}, {PACKED}, patches as materialized (select s.img, a.y, b.x, list(cast(s.v as double) order by s.ch, s.y, s.x) p, cast(sum(s.v * s.v) as double) n from packed s
+join range(9) a(y) on s.y >= a.y and s.y < a.y + 8 join range(9) b(x) on s.x >= b.x and s.x < b.x + 8 group by 1, 2, 3),
+dist as (select r.img, r.y ref_y, r.x ref_x, c.y, c.x, cast({_SSD} as bigint) dist from patches r join patches c on c.img = r.img where r.y % 4 = 0 and r.x % 4 = 0) {_best(16, _OTHER)}""",
+    "nlm_vst": f"""with {RAW}, {_STABLE}, wide as (select img, a.s y, b.s x, v from range(-8, 40) a(s), range(-8, 40) b(s), stable where stable.y = {_mirror('a.s', 32, 0)} and stable.x = {_mirror('b.s', 32, 0)}),
+patches as materialized (select c.img, c.y, c.x, c.v, list(p.v order by p.y, p.x) p, sum(p.v * p.v) n from wide c join wide p on c.img = p.img and abs(p.y - c.y) <= 2 and abs(p.x - c.x) <= 2 where c.y between -6 and 37 and c.x between -6 and 37 group by 1, 2, 3, 4),
+t as (select r.img, r.y, r.x, c.v nv, greatest(({_SSD}) / 25 - 2, 0) / 1.3225::double d from patches r join patches c on c.img = r.img and abs(c.y - r.y) <= 6 and abs(c.x - r.x) <= 6 where r.y between 0 and 31 and r.x between 0 and 31),
+f as (select img, y, x, sum(exp(-d) * nv) / sum(exp(-d)) v from t where d <= 5 group by 1, 2, 3) select img, cast(y as int) y, cast(x as int) x, round({_BACK}, 6) v from f""",
+}

@@ -35,14 +35,15 @@ def patch_rows(df: DataFrame, height: int, width: int, patch: int) -> DataFrame:
 
 def grouped_filter(
     noisy: DataFrame, groups: DataFrame, height: int, width: int, *, patch: int = PATCH, most: int = TOP + 1, kind: str = "dct",
-    limits: DataFrame | None = None, window: DataFrame | None = None, current_only: bool = False,
+    limits: DataFrame | None = None, window: DataFrame | None = None, current_only: bool = False, channels: int = 1,
 ) -> DataFrame:
     """Transform each group, drop small coefficients, transform back, and aggregate on the raster.
 
     The two-dimensional transform of a patch is made once, however many groups use it; only then
     do patches meet groups. Groups without a member besides the reference are skipped. `limits`
     may give each group (img, ref_y, ref_x) its own threshold and noise variance. With
-    `current_only` only members of the group's own frame are written back.
+    `current_only` only members of the group's own frame are written back. Where so many `channels`
+    of an image are numbered as images of their own, side by side, a group's weight is their mean.
     """
     ref = ["img", "ref_y", "ref_x"]
     coefs = transforms.dct2(patch_rows(noisy, height, width, patch), ["img", "y", "x"], patch).withColumnRenamed("img", "t")
@@ -54,6 +55,11 @@ def grouped_filter(
     else:
         kept, w = transforms.thresholded(spectrum, LAMBDA), None
     weight = transforms.weights(kept, ref, w)
+    if channels > 1:
+        image = F.floor(F.col("img") / channels).cast("int").alias("image")
+        mean = weight.groupBy(image, "ref_y", "ref_x").agg(F.avg("w").alias("w"))
+        weight = mean.select(F.explode(F.sequence(F.lit(0), F.lit(channels - 1))).alias("ch"), "*")
+        weight = weight.select((F.col("image") * channels + F.col("ch")).cast("int").alias("img"), "ref_y", "ref_x", "w")
     back = transforms.group_axis(kept.select(*ref, "size", "i", "j", "k", "v"), [*ref, "size", "i", "j"], range(2, most + 1), kind, inverse=True)
     back = transforms.dct2(back, [*ref, "k"], patch, inverse=True)
     out = back.join(groups.select(*ref, "k", "t", "y", "x"), [*ref, "k"]).join(weight.select(*ref, "w"), ref)
@@ -92,16 +98,18 @@ def vbm3d(raw: DataFrame, height: int, width: int, a: float, b: float, *, frames
 
 
 def bm3d_packed(raw: DataFrame, height: int, width: int, a: float, b: float, **search: int) -> DataFrame:
-    """Mosaic: one search on the mean of the four channels serves all; each channel is filtered by the same groups."""
-    s = {"patch": 4, "stride": 4, "radius": 8, "k": TOP} | search
+    """Mosaic: one search on the summed distance of the four channels; they share groups and a group's mean weight."""
+    s = {"patch": PATCH, "stride": STRIDE, "radius": RADIUS, "k": 16} | search
     h, w = height // 2, width // 2
     packed = layout.pack_bayer(raw)
-    luma = packed.groupBy("img", "y", "x").agg(F.sum("v").cast("int").alias("v"))
-    found = match.match(guide(luma, h, w), h, w, **s)
+    number = (F.col("img") * 4 + F.col("ch")).alias("img")
+    blurred = guide(packed.select(number, "y", "x", "v"), h, w)
+    blurred = blurred.select(F.floor(F.col("img") / 4).cast("int").alias("img"), (F.col("img") % 4).alias("ch"), "y", "x", "v")
+    found = match.match_joint(blurred, h, w, **s)
     four = F.explode(F.sequence(F.lit(0), F.lit(3)))
     groups = members(found).select(four.alias("ch"), "*").withColumns({"img": F.col("img") * 4 + F.col("ch"), "t": F.col("t") * 4 + F.col("ch")}).drop("ch")
-    noisy = packed.select((F.col("img") * 4 + F.col("ch")).alias("img"), "y", "x", scalars.vst(scalars.normalized(F.col("v")), a, b).alias("v"))
-    out = grouped_filter(noisy, groups, h, w, patch=s["patch"], most=s["k"] + 1)
+    noisy = packed.select(number, "y", "x", scalars.vst(scalars.normalized(F.col("v")), a, b).alias("v"))
+    out = grouped_filter(noisy, groups, h, w, patch=s["patch"], most=s["k"] + 1, channels=4)
     out = out.select(F.floor(F.col("img") / 4).cast("int").alias("img"), "y", "x", (F.col("img") % 4).alias("ch"), "v")
     out = out.withColumn("v", scalars.clip(scalars.gat_inverse(F.col("v"), a, b**0.5), 0.0, 1.0))
     return layout.unpack_bayer(out)
@@ -117,7 +125,7 @@ def collaborative_mean(df: DataFrame, matches: DataFrame, patch: int) -> DataFra
 def nlm_vst(raw: DataFrame, height: int, width: int, a: float, b: float) -> DataFrame:
     """Non-local means on stabilized values."""
     noisy = raw.withColumn("v", scalars.vst(scalars.normalized(F.col("v")), a, b))
-    out = stencil.nlm(noisy, height, width, h=1.15, patch_r=2, window_r=6, sigma=1.0)
+    out = stencil.nlm_uniform(noisy, height, width, h=1.15, patch_r=2, window_r=6, sigma=1.0)
     return out.withColumn("v", scalars.clip(scalars.vst_inverse(F.col("v"), a, b), 0.0, 1.0))
 
 

@@ -102,6 +102,21 @@ def _pairs(s: SparkSession, d: str) -> DataFrame:
     return src.frames16(s, d).join(src.clean16(s, d), ["y", "x"])
 
 
+@query
+def ycrcb_inverse(s, d):
+    c = scalars.from_ycrcb(F.col("r").cast("double"), F.col("g"), F.col("b"))  # three channels of any origin
+    return src.rgb16(s, d).select("y", "x", *(v.alias(n) for n, v in c.items()))
+
+
+@query
+def recombine_color(s, d):
+    """A filtered luma with the chroma it came with."""
+    parts = src.rgb16(s, d).select(F.lit(0).alias("img"), "y", "x", *(c.alias(n) for n, c in scalars.ycrcb(F.col("r"), F.col("g"), F.col("b")).items()))
+    smooth = stencil.correlate(parts, 16, 16, kernels.gaussian(1, 0), "reflect101", "luma").withColumn("v", F.round("v", 6))
+    both = smooth.join(parts.drop("luma"), ["img", "y", "x"])
+    return both.select("y", "x", *(v.alias(n) for n, v in scalars.from_ycrcb(F.col("v"), F.col("cr"), F.col("cb")).items()))
+
+
 @query
 def method_noise(s, d):
     return _pairs(s, d).select("img", "y", "x", scalars.method_noise(F.col("v").cast("double") / 16.0, F.col("clean").cast("double") / 16.0).alias("v"))
@@ -180,6 +195,16 @@ def pad_reflect101(s, d):
     return layout.padded(src.frames16(s, d), s, 16, 16, 3, "reflect101")
 
 
+@query
+def pad_edge(s, d):
+    return layout.padded(src.frames16(s, d), s, 16, 16, 3, "edge")
+
+
+@query
+def pad_constant(s, d):
+    return layout.padded(src.frames16(s, d), s, 16, 16, 3, "constant")
+
+
 @query
 def guide_channel(s, d):
     packed = layout.pack_bayer(src.raw32(s, d))
@@ -241,6 +266,40 @@ def param_grid(s, d):
     return catalogue.parameter_grid(s, sigma=[10, 20, 30], k=[8, 16], patch=[5, 7, 9], step=[1, 2])
 
 
+@query
+def extension_filter(s, d):
+    p = src.catalog(s, d).distinct()
+    mixed = F.when(F.length("path") % 3 == 0, F.regexp_replace("path", "tiff$", "TIFF")).when(F.length("path") % 3 == 1, F.regexp_replace("path", "tiff$", "png"))
+    return catalogue.with_extension(p.select(F.coalesce(mixed, F.col("path")).alias("path")), "tif", "tiff")
+
+
+def _timed(s: SparkSession, d: str) -> DataFrame:
+    return src.table(s, d, "events").select("user_id", (F.col("event_id") % 7 + 1).cast("int").alias("frame"), "event_id", F.col("value").alias("seconds"))
+
+
+@query
+def amortized_time(s, d):
+    return _r(metrics.amortized(_timed(s, d), ["user_id"], "frame", "seconds"), 4, "total", "per_frame")
+
+
+@query
+def elapsed_time(s, d):
+    return _r(metrics.elapsed(_timed(s, d), ["user_id"], ["event_id"], "seconds"), 4, "elapsed", "mean_step")
+
+
+@query
+def result_table(s, d):
+    rows = src.results(s, d).groupBy("method", "iso", "frame").agg(F.avg("psnr").alias("psnr"))
+    return catalogue.result_table(_r(rows, 6, "psnr"), ["method", "iso", "frame", "psnr", "ssim"], ["method", "iso", "frame"])
+
+
+@query
+def finite_distances(s, d):
+    k = F.col("event_id") % 10
+    dist = F.when(k == 0, float("inf")).when(k == 1, float("nan")).otherwise(F.col("value"))
+    return match.finite(src.table(s, d, "events").select("event_id", dist.alias("dist")))
+
+
 @query
 def unify_rows(s, d):
     rows = src.table(s, d, "events").select("event_type", (F.col("event_id") % 7 + 1).cast("int").alias("frame"), F.col("value").alias("psnr"))
@@ -275,6 +334,23 @@ def psnr_norm(s, d):
     return _r(both.groupBy("img").agg(metrics.psnr(metrics.mse("v", "clean"), 1.0).alias("psnr")), 6, "psnr")
 
 
+@query
+def psnr_u8(s, d):
+    eight = lambda c: scalars.quantized_u8(F.col(c) * 255.0 / 4095.0, rounded=True)
+    both = _pairs(s, d).withColumns({"v": eight("v"), "clean": eight("clean")})
+    return _r(both.groupBy("img").agg(metrics.psnr(metrics.mse("v", "clean"), 255.0).alias("psnr")), 6, "psnr")
+
+
+@query
+def psnr_equal(s, d):
+    return _pairs(s, d).groupBy("img").agg(metrics.psnr(metrics.mse("clean", "clean"), 255.0).alias("psnr"))
+
+
+@query
+def calibration(s, d):
+    return _r(metrics.calibration(src.stacks16(s, d), 240.0, 4095.0, ("scene",)), 4, "a", "b", "psnr")
+
+
 @query
 def ssim(s, d):
     both = _pairs(s, d).select("img", "y", "x", scalars.normalized(F.col("v")).alias("a"), scalars.normalized(F.col("clean")).alias("b"))
@@ -352,6 +428,30 @@ def bilateral(s, d):
     return _r(stencil.bilateral(src.raw32(s, d), 32, 32, 3, 120.0, 3.0), 6, "v")
 
 
+def _eight(s: SparkSession, d: str) -> DataFrame:
+    return src.raw32(s, d).withColumn("v", F.col("v") % 256)
+
+
+def _u8(df: DataFrame) -> DataFrame:
+    """Filter results as eight-bit values, truncated; rounded first, so that no last bit decides."""
+    return df.withColumn("v", scalars.quantized_u8(F.round("v", 6)))
+
+
+@query
+def gaussian_u8(s, d):
+    return _u8(stencil.correlate(_eight(s, d), 32, 32, kernels.gaussian(3, 1.0), "reflect"))
+
+
+@query
+def yaroslavsky_u8(s, d):
+    return _u8(stencil.yaroslavsky(_eight(s, d), 32, 32, 3, 120.0))
+
+
+@query
+def bilateral_u8(s, d):
+    return _u8(stencil.bilateral(_eight(s, d), 32, 32, 3, 120.0, 3.0))
+
+
 @query
 def bilateral_vst(s, d):
     return _r(denoise.bilateral_vst(src.raw32(s, d), 32, 32, A, B), 6, "v")
@@ -458,6 +558,16 @@ def temporal_usage_hist(s, d):
     return used.groupBy("time_used").agg(F.count("*").alias("groups"))
 
 
+@query
+def temporal_usage_share(s, d):
+    return _r(metrics.shares(temporal_usage_hist(s, d), "time_used", "groups"), 6, "percent", "mean")
+
+
+@query
+def match_joint_topk(s, d):
+    return match.match_joint(layout.pack_bayer(src.raw32(s, d)), 16, 16, patch=8, stride=4, radius=19, k=16)
+
+
 @query
 def limit_refs(s, d):
     return layout.reference_grid(s, 128, 128, 8, 3).orderBy("ref_y", "ref_x").limit(30)

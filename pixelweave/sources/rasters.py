@@ -43,6 +43,18 @@ def frames16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_raw(sums, cells, ["img", "y", "x"])
 
 
+def stacks16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four scenes of seven realizations each, 16 x 16."""
+    at = [
+        (F.col("l_suppkey") % 4).cast("int").alias("scene"), F.col("l_linenumber").cast("int").alias("img"),
+        (F.col("l_orderkey") % 16).cast("int").alias("y"), (F.col("l_partkey") % 16).cast("int").alias("x"),
+    ]
+    sums = table(spark, sf_dir, "lineitem").groupBy(*at).agg(F.sum("l_quantity").cast("long").alias("q"))
+    cells = grid(spark, 16, 16).select("y", "x", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("img"))
+    cells = cells.select(F.explode(F.sequence(F.lit(0), F.lit(3))).alias("scene"), "img", "y", "x")
+    return dense_raw(sums, cells, ["scene", "img", "y", "x"])
+
+
 def emb_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Real-valued raster: one row of pixels for each vector."""
     e = table(spark, sf_dir, "embeddings")

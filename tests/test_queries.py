@@ -4,8 +4,12 @@ import duckdb
 import numpy as np
 import pytest
 
+from pixelweave.operators import metrics
 from pixelweave.oracles import ORACLE_SQL
+from pixelweave.plans import denoise
 from pixelweave.queries import QUERIES
+from pixelweave.sources import files, sinks
+from pixelweave.streaming import append
 from tests.conftest import SF
 
 
@@ -45,3 +49,41 @@ def test_noise_is_reproducible(spark):
     one, two = (QUERIES["noise_awgn"](spark, SF).toPandas().sort_values(["y", "x"]) for _ in range(2))
     assert one["v"].tolist() == two["v"].tolist()
     assert one["v"].between(0, 1).all()
+
+
+def test_files_of_a_tree(spark, tmp_path):
+    for name in ("a/one.TIF", "a/b/two.tiff", "a/b/three.png", "four.tif"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    got = files.walk(spark, str(tmp_path), "tif", "tiff").collect()
+    assert sorted(r["below"] for r in got) == ["a/b/two.tiff", "a/one.TIF", "four.tif"]
+
+
+def test_results_are_written_in_order(spark, tmp_path):
+    rows = spark.createDataFrame([(str(k % 3), k % 5, float(k)) for k in range(60)], "method string, frame int, psnr double")
+    sinks.write_results(rows, str(tmp_path / "out"), ["method", "frame", "psnr", "ssim"], ["method", "frame", "psnr"])
+    parts = [p.read_text().splitlines() for p in sorted((tmp_path / "out").glob("part-*"))]
+    assert all(p[0] == "method,frame,psnr,ssim" for p in parts if p)
+    lines = [tuple(x.split(",")) for p in parts for x in p[1:]]
+    assert len(lines) == 60 and lines == sorted(lines, key=lambda x: (x[0], int(x[1]), float(x[2])))
+
+
+def test_stream_appends_each_row_once(spark, tmp_path):
+    source, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    for n in (3, 4):
+        spark.range(n).write.mode("append").parquet(source)
+        append.append_results(spark.readStream.schema("id long").parquet(source), out, log, once=True).awaitTermination(120)
+    assert spark.read.parquet(out).count() == 7
+
+
+def test_summary_skips_nan_and_null(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("a", None), ("b", None)], "m string, v double")
+    assert sorted(map(tuple, metrics.summary(rows, "m", "v").collect())) == [("a", 1.0, 1), ("b", None, 0)]
+
+
+def test_channels_share_one_weight(spark):
+    """A packed mosaic of one value comes back as it is, and every pixel is there once."""
+    raw = spark.range(256).selectExpr("0 img", "cast(id div 16 as int) y", "cast(id % 16 as int) x", "1000 v")
+    got = denoise.bm3d_packed(raw, 16, 16, 0.002, 0.00005, patch=4, radius=4, k=3).toPandas()
+    assert len(got) == 256 and not got.duplicated(["y", "x"]).any()
+    assert np.ptp(got["v"]) < 1e-9
