@@ -270,8 +270,8 @@ ORACLE_SQL |= {
     "extension_filter": f"""with {_PATHS}, mixed as (select case length(path) % 3 when 0 then left(path, length(path) - 4) || 'TIFF' when 1 then left(path, length(path) - 4) || 'png' else path end path from paths)
 select path from mixed where path ilike '%.tif' or path ilike '%.tiff'""",
     "amortized_time": f"with {_TIMED} select user_id, count(distinct frame) frames, round(sum(\"seconds\"), 4) total, round(sum(\"seconds\") / count(distinct frame), 4) per_frame from timed group by 1",
-    "elapsed_time": f"with {_TIMED} select *, round(sum(\"seconds\") over w, 4) elapsed, round(avg(\"seconds\") over w, 4) mean_step from timed window w as (partition by user_id order by event_id rows unbounded preceding)",
-    "result_table": f"with {RESULTS} select method, iso, frame, round(avg(psnr), 6) psnr, null::double ssim from results group by 1, 2, 3 order by 1, 2, 3",
+    "elapsed_time": f"with {_TIMED} select *, round(sum(\"seconds\") over w, 9) elapsed, round(avg(\"seconds\") over w, 9) mean_step from timed window w as (partition by user_id order by event_id rows unbounded preceding)",
+    "result_table": f"with {RESULTS} select method, iso, frame, round(avg(psnr), 9) psnr, null::double ssim from results group by 1, 2, 3 order by 1, 2, 3",
     "finite_distances": "select event_id, value dist from events where event_id % 10 > 1",
     "psnr_u8": f"with {FRAMES}, m as (select img, avg(pow({_E8.format('v')} - {_E8.format('clean')}, 2)) m from pairs group by 1) select img, round(case when m > 0 then 10 * log10(255.0::double * 255 / m) else 'inf'::double end, 6) psnr from m",
     "psnr_equal": f"with {FRAMES} select distinct img, 'inf'::double psnr from frames",

@@ -284,13 +284,13 @@ def amortized_time(s, d):
 
 @query
 def elapsed_time(s, d):
-    return _r(metrics.elapsed(_timed(s, d), ["user_id"], ["event_id"], "seconds"), 4, "elapsed", "mean_step")
+    return _r(metrics.elapsed(_timed(s, d), ["user_id"], ["event_id"], "seconds"), 9, "elapsed", "mean_step")
 
 
 @query
 def result_table(s, d):
     rows = src.results(s, d).groupBy("method", "iso", "frame").agg(F.avg("psnr").alias("psnr"))
-    return catalogue.result_table(_r(rows, 6, "psnr"), ["method", "iso", "frame", "psnr", "ssim"], ["method", "iso", "frame"])
+    return catalogue.result_table(_r(rows, 9, "psnr"), ["method", "iso", "frame", "psnr", "ssim"], ["method", "iso", "frame"])
 
 
 @query
