@@ -16,9 +16,10 @@ from pixelweave.llm._common import dropped, ids_only, large_rows, mixed, staged,
 
 SPAN = 50  # bytes of a repeated string
 TRIPLE = 24  # bytes of a key of the first level: three words of eight
-BLOCK = 1_000_000  # bytes of text that a task sorts at once, about; longer texts are cut into overlapping pieces
+BLOCK = 500_000  # bytes of text that a task sorts at once, about; longer texts are cut into overlapping pieces
 PART = 500_000  # keys of a range, about
 PICKED = 20  # keys a range that its bounds are chosen from, as many as a range shuffle of Spark's would sample
+EVERY = 17  # one of so many keys is looked at for the bounds; odd, so that both classes of a cover come in
 DENSITY = 2.2  # fingerprints are chosen at a rate of about 2 / (SPAN - TRIPLE + 2) of all positions
 _NAME_BITS = 46
 _U = np.uint64
@@ -34,6 +35,15 @@ def eight(data: np.ndarray) -> np.ndarray:
     return out[:n]
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Eight-byte numbers, their first bytes first, then their second ones: sorted or small ones shrink well on their way."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unplaned(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
 class Block:
     """Pieces of texts side by side; no string crosses from one into the next."""
 
@@ -68,19 +78,19 @@ class Block:
         """Positions of the difference cover {1, 2} modulo 3 with so many bytes after them."""
         return np.flatnonzero((self.at % 3 != 0) & (self.left >= depth))
 
-    def triples(self) -> tuple[np.ndarray, np.ndarray]:
+    def triples(self, every: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """Keys of TRIPLE bytes, three words of eight, and their positions."""
-        w, i = eight(self.data), self.sampled(TRIPLE)
+        w, i = eight(self.data), self.sampled(TRIPLE)[::every]
         return np.stack([w[i], w[i + 8], w[i + 16]], axis=1), i
 
-    def doubled(self, names: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    def doubled(self, names: np.ndarray, depth: int, every: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """Keys of twice the depth: two adjacent names. Where a name is 0, no string repeats."""
-        i = self.sampled(2 * depth)
+        i = self.sampled(2 * depth)[::every]
         keys = np.stack([names[i], names[i + depth]], axis=1)
         known = (keys > 0).all(axis=1)
         return keys[known], i[known]
 
-    def merged(self, names: np.ndarray, depth: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+    def merged(self, names: np.ndarray, depth: int, span: int, every: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """Keys of `span` bytes at every position, and the positions. Two suffixes, whatever their
         places modulo 3, meet in one of three ways in which both go on with named suffixes: after no
         byte, after one or after two. The last name ends at most two bytes before the key does."""
@@ -89,7 +99,7 @@ class Block:
         ok, m = self.left >= span, self.at % 3
         out, where = [], []
         for way, skip in ((0, 0), (1, 2), (2, 1)):  # positions of the other two classes, bytes before the named suffix
-            i = np.flatnonzero(ok & (m != way))
+            i = np.flatnonzero(ok & (m != way))[::every]
             second = (span - skip - depth) // 3 * 3
             i = i[(named[i + skip] > 0) & (named[i + skip + second] > 0)]
             over = [*range(skip), *range(skip + second + depth, span)]  # at most two before, two after
@@ -288,9 +298,9 @@ def _answered(blocks: DataFrame, keys_of, width: int, *, last: bool) -> DataFram
 
     def sample(batches):
         for row, block in _each(batches):
-            keys, _ = keys_of(block, np.frombuffer(row["names"], _U))
-            pick = keys[np.linspace(0, len(keys) - 1, min(-(-PICKED * len(keys) // PART), len(keys))).astype(int)]
-            yield _row([("n", pa.int64()), ("keys", pa.binary())], len(keys), pick.tobytes())
+            keys, _ = keys_of(block, unplaned(row["names"], _U), EVERY)
+            pick = keys[np.linspace(0, len(keys) - 1, min(-(-PICKED * EVERY * len(keys) // PART), len(keys))).astype(int)]
+            yield _row([("n", pa.int64()), ("keys", pa.binary())], EVERY * len(keys), pick.tobytes())
 
     got = blocks.mapInArrow(sample, "n long, keys binary").collect()  # about PICKED keys a range, at least one a block
     parts = max(1, -(-sum(r["n"] for r in got) // PART))
@@ -300,7 +310,7 @@ def _answered(blocks: DataFrame, keys_of, width: int, *, last: bool) -> DataFram
 
     def requests(batches):
         for row, block in _each(batches):
-            keys, where = keys_of(block, np.frombuffer(row["names"], _U))
+            keys, where = keys_of(block, unplaned(row["names"], _U))
             distinct, place = unique_rows(keys)
             own = np.frombuffer(row["ids"], np.int64)[block.piece[where]]
             low, high = np.full(len(distinct), far), np.full(len(distinct), -far)
@@ -310,12 +320,12 @@ def _answered(blocks: DataFrame, keys_of, width: int, *, last: bool) -> DataFram
             for p in np.flatnonzero(np.diff(edge)).tolist():
                 cut = slice(edge[p], edge[p + 1])
                 several = np.packbits(low[cut] != high[cut]).tobytes()
-                yield _row(_ASKS, row["block"], p, np.ascontiguousarray(distinct[cut].T).tobytes(), low[cut].tobytes(), several)
+                yield _row(_ASKS, row["block"], p, planes(distinct[cut].T), planes(low[cut]), several)
 
     def answer(part: pd.DataFrame) -> pd.DataFrame:
-        lists = [np.frombuffer(k, _U).reshape(width, -1).T for k in part["keys"]]
+        lists = [unplaned(k, _U).reshape(width, -1).T for k in part["keys"]]
         distinct, place = unique_rows(np.concatenate(lists))  # adjacent equal keys are one
-        holders = np.concatenate([np.frombuffer(x, np.int64) for x in part["holders"]])
+        holders = np.concatenate([unplaned(x, np.int64) for x in part["holders"]])
         low, high = np.full(len(distinct), far), np.full(len(distinct), -far)
         np.minimum.at(low, place, holders)
         np.maximum.at(high, place, holders)
@@ -328,7 +338,7 @@ def _answered(blocks: DataFrame, keys_of, width: int, *, last: bool) -> DataFram
             numbers = names[place]
         out = part[["block", "part"]].copy()
         cut = np.split(numbers, np.cumsum([len(x) for x in lists])[:-1])
-        out["numbers"] = [np.packbits(x).tobytes() if last else x.astype("<i8").tobytes() for x in cut]
+        out["numbers"] = [np.packbits(x).tobytes() if last else planes(x.astype(np.int64)) for x in cut]
         out["size"] = 0 if last else int(names.max(initial=0))
         return out
 
@@ -343,7 +353,7 @@ def _answered(blocks: DataFrame, keys_of, width: int, *, last: bool) -> DataFram
 
     def joined(batches):
         for row, block in _each(batches):
-            keys, where = keys_of(block, np.frombuffer(row["names"], _U))
+            keys, where = keys_of(block, unplaned(row["names"], _U))
             distinct, place = unique_rows(keys)  # sorted again: their places would take more disk than the keys
             edge = np.concatenate([[0], np.searchsorted(_sortable(distinct), bounds, "right"), [len(distinct)]])
             numbers = np.zeros(edge[-1], np.int64)
@@ -352,7 +362,7 @@ def _answered(blocks: DataFrame, keys_of, width: int, *, last: bool) -> DataFram
                 if last:
                     numbers[s:e] = np.unpackbits(np.frombuffer(a["numbers"], np.uint8), count=e - s)
                 else:
-                    own = np.frombuffer(a["numbers"], "<i8")
+                    own = unplaned(a["numbers"], np.int64)
                     numbers[s:e] = np.where(own > 0, own + first[a["part"]], 0)
             names = np.zeros(len(block.data), _U)
             if last:  # a smaller document may also lie in the block itself
@@ -362,7 +372,7 @@ def _answered(blocks: DataFrame, keys_of, width: int, *, last: bool) -> DataFram
                 names[where[(numbers[place] > 0) | (low[place] < own)]] = 1
             else:
                 names[where] = numbers[place].astype(_U)
-            yield _row(_PARTS, *(row[c] for c, _ in _PARTS[:-1]), names.tobytes())
+            yield _row(_PARTS, *(row[c] for c, _ in _PARTS[:-1]), planes(names))
 
     spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of the keys
     out = staged(blocks.join(lists, "block", "left").mapInArrow(joined, _PARTS_DDL))
@@ -378,7 +388,7 @@ def _gone(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, block in _each(batches):
             edge = np.zeros(len(block.data) + 1, np.int64)
-            again = np.flatnonzero(np.frombuffer(row["names"], _U))
+            again = np.flatnonzero(unplaned(row["names"], _U))
             edge[again] += 1
             edge[again + span] -= 1
             gone = np.append(np.cumsum(edge)[:-1] > 0, False)
@@ -465,12 +475,12 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     dropped(stretches)
     spark.sparkContext._jvm.System.gc()
     with large_rows(spark):
-        blocks = _answered(blocks, lambda b, names: b.triples(), 3, last=False)
+        blocks = _answered(blocks, lambda b, names, every=1: b.triples(every), 3, last=False)
         depth = TRIPLE
         while 2 * depth + 2 <= span:
-            blocks = _answered(blocks, lambda b, names, d=depth: b.doubled(names, d), 2, last=False)
+            blocks = _answered(blocks, lambda b, names, every=1, d=depth: b.doubled(names, d, every), 2, last=False)
             depth *= 2
-        blocks = _answered(blocks, lambda b, names: b.merged(names, depth, span), 1 + (span - depth > 2), last=True)
+        blocks = _answered(blocks, lambda b, names, every=1: b.merged(names, depth, span, every), 1 + (span - depth > 2), last=True)
         gone = staged(blocks.mapInArrow(_gone(span), "key binary, s long, e long"))
     dropped(blocks)
     gone = gone.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("gone"))  # at most one interval for `span` bytes of a text
