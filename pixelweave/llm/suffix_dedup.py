@@ -142,9 +142,16 @@ def _row(schema: list[tuple[str, pa.DataType]], *cells) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([c], k) for c, (_, k) in zip(cells, schema, strict=True)], names=[n for n, _ in schema])
 
 
+def _rows(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of a block as one batch, if there are any."""
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), schema, strict=True)], names=[n for n, _ in schema])
+
+
 _TEXTS = [("block", pa.int64()), ("keys", pa.binary()), ("offsets", pa.binary()), ("ends", pa.binary()), ("data", pa.binary())]
 _TEXTS_DDL = "block long, keys binary, offsets binary, ends binary, data binary"
 _PARTS = [("block", pa.int64()), ("ids", pa.binary()), ("keys", pa.binary()), ("offsets", pa.binary()), ("ends", pa.binary()), ("data", pa.binary()), ("names", pa.binary())]
+_PRINTS = [("block", pa.int64()), ("part", pa.int64()), ("prints", pa.binary()), ("tags", pa.binary())]
 _ASKS = [("block", pa.int64()), ("part", pa.int64()), ("keys", pa.binary()), ("holders", pa.binary()), ("several", pa.binary())]
 _PARTS_DDL = "block long, ids binary, keys binary, offsets binary, ends binary, data binary, names binary"
 
@@ -213,9 +220,8 @@ def _candidates(texts: DataFrame, parts: int, span: int) -> DataFrame:
         for row, block in _each(batches):
             *_, prints, tags = _distinct_prints(row, block, span)
             edge = np.searchsorted(_range_of_print(prints, parts), np.arange(parts + 1))
-            for p in np.flatnonzero(np.diff(edge)).tolist():
-                cut = slice(edge[p], edge[p + 1])
-                yield _row([("block", pa.int64()), ("part", pa.int64()), ("prints", pa.binary()), ("tags", pa.binary())], row["block"], p, prints[cut].tobytes(), tags[cut].tobytes())
+            cuts = [(p, slice(edge[p], edge[p + 1])) for p in np.flatnonzero(np.diff(edge)).tolist()]
+            yield from _rows(_PRINTS, [(row["block"], p, prints[cut].tobytes(), tags[cut].tobytes()) for p, cut in cuts])
 
     def answer(part: pd.DataFrame) -> pd.DataFrame:
         prints, tags = (np.concatenate([np.frombuffer(x, _U) for x in part[c]]) for c in ("prints", "tags"))
@@ -317,10 +323,8 @@ def _answered(blocks: DataFrame, keys_of, width: int, *, last: bool) -> DataFram
             np.minimum.at(low, place, own)
             np.maximum.at(high, place, own)
             edge = np.concatenate([[0], np.searchsorted(_sortable(distinct), bounds, "right"), [len(distinct)]]).astype(np.int64)
-            for p in np.flatnonzero(np.diff(edge)).tolist():
-                cut = slice(edge[p], edge[p + 1])
-                several = np.packbits(low[cut] != high[cut]).tobytes()
-                yield _row(_ASKS, row["block"], p, planes(distinct[cut].T), planes(low[cut]), several)
+            cuts = [(p, slice(edge[p], edge[p + 1])) for p in np.flatnonzero(np.diff(edge)).tolist()]
+            yield from _rows(_ASKS, [(row["block"], p, planes(distinct[cut].T), planes(low[cut]), np.packbits(low[cut] != high[cut]).tobytes()) for p, cut in cuts])
 
     def answer(part: pd.DataFrame) -> pd.DataFrame:
         lists = [unplaned(k, _U).reshape(width, -1).T for k in part["keys"]]
