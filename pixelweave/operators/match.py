@@ -1,19 +1,18 @@
 """Patch matching: each reference patch meets the patches of a window, and the nearest are kept.
 
-Two physical forms give the same rows. The relational one joins patch arrays by halo buckets and
-suits small rasters and checks; the tiled one (`match_tiles`) hands each tile with its halo to
-numpy and suits large ones.
+A tile takes the distances of all its references at one offset from one array of differences, so a
+distance doesn't cost a patch. `window_pairs` is the relational form, a halo join of patch arrays.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelweave.operators import blocks
+from pixelweave.operators.tiles import Tile, per_tile
+
 
 def patches(df: DataFrame, height: int, width: int, patch: int, value: str = "v") -> DataFrame:
     """Every patch that fits, by its top-left corner: (img, y, x, p), p row by row."""
@@ -76,12 +75,39 @@ def top(pairs: DataFrame, k: int, keys: list[str], order: list[str]) -> DataFram
     return pairs.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 
 
-def match(df: DataFrame, height: int, width: int, *, patch: int, stride: int, radius: int, k: int, distance: Callable[[str, str], Column] = ssd, value: str = "v") -> DataFrame:
-    """The k nearest other patches of each reference patch: (img, ref_y, ref_x, rk, dist, y, x)."""
-    every = patches(df, height, width, patch, value)
-    pairs = window_pairs(references(every, stride), every, radius).where(not_self()).withColumn("dist", distance("ref_p", "p"))
-    found = top(pairs.drop("ref_p", "p"), k, ["img", "ref_y", "ref_x"], ["dist", "y", "x"])
-    return found.select("img", "ref_y", "ref_x", "rk", "dist", "y", "x")
+def _nearest(
+    df: DataFrame, height: int, width: int, *, patch: int, stride: int, radius: int, k: int, tile: int, value: str, measure: str = "ssd",
+    channels: int = 1, frames: tuple[int, ...] = (0,), own: str = "skip", limit: float | None = None,
+) -> DataFrame:
+    """The k nearest patches of each reference, over the candidate frames t, in tiles: (img, ref_y, ref_x, rk, dist, t, y, x)."""
+
+    def run(at: Tile) -> dict[str, np.ndarray] | None:
+        rows, cols = at.corners(stride, patch)
+        if not (len(rows) and len(cols)):
+            return None
+        cands = [(t, at.planes[t]) for t in frames if t in at.planes]
+        ok, dist, t, y, x = blocks.nearest(at.planes[0], cands, rows, cols, at.corner_range(patch), patch=patch, radius=radius, k=k, measure=measure, own=own, limit=limit)
+        ref = np.stack(np.meshgrid(rows + at.y0, cols + at.x0, indexing="ij"), -1).reshape(-1, 2)
+        g, rank = np.nonzero(ok)
+        return {"ref_y": ref[g, 0], "ref_x": ref[g, 1], "rk": rank + 1, "dist": dist[ok], "t": t[ok], "y": y[ok] + at.y0, "x": x[ok] + at.x0}
+
+    kind = "double" if df.schema[value].dataType.typeName() in ("double", "float") else "long"
+    return per_tile(
+        df, ["img"], height, width, run, f"ref_y int, ref_x int, rk int, dist {kind}, t int, y int, x int",
+        tile=tile, before=radius, after=radius + patch - 1, channels=channels, value=value,
+    )
+
+
+def match(
+    df: DataFrame, height: int, width: int, *, patch: int, stride: int, radius: int, k: int, measure: str = "ssd", tile: int = 64, value: str = "v",
+    own: str = "skip", limit: float | None = None,
+) -> DataFrame:
+    """The k nearest other patches of each reference patch: (img, ref_y, ref_x, rk, dist, y, x).
+
+    Of equal distances the upper, then the left one comes first. `own` = "first" lists the reference
+    itself first; `limit` leaves out distances from there on.
+    """
+    return _nearest(df, height, width, patch=patch, stride=stride, radius=radius, k=k, tile=tile, value=value, measure=measure, own=own, limit=limit).drop("t")
 
 
 def finite(rows: DataFrame, value: str = "dist") -> DataFrame:
@@ -89,28 +115,41 @@ def finite(rows: DataFrame, value: str = "dist") -> DataFrame:
     return rows.where(~F.isnan(value) & (F.abs(value) < float("inf")))
 
 
-def match_joint(df: DataFrame, height: int, width: int, *, patch: int, stride: int, radius: int, k: int, value: str = "v") -> DataFrame:
+def match_joint(df: DataFrame, height: int, width: int, *, patch: int, stride: int, radius: int, k: int, channels: int = 4, tile: int = 64, value: str = "v") -> DataFrame:
     """`match` of images with channels (img, ch, y, x): distances are summed over the channels, so all share one group."""
-    one = patches(df.withColumn("img", F.struct("img", "ch")), height, width, patch, value)
-    lists = one.groupBy(F.col("img.img").alias("img"), "y", "x").agg(F.sort_array(F.collect_list(F.struct("img.ch", "p"))).alias("c"))
-    every = lists.select("img", "y", "x", F.flatten(F.transform("c", lambda c: c["p"])).alias("p"))
-    pairs = window_pairs(references(every, stride), every, radius).where(not_self()).withColumn("dist", ssd("ref_p", "p"))
-    found = top(pairs.drop("ref_p", "p"), k, ["img", "ref_y", "ref_x"], ["dist", "y", "x"])
-    return found.select("img", "ref_y", "ref_x", "rk", "dist", "y", "x")
+    return _nearest(df, height, width, patch=patch, stride=stride, radius=radius, k=k, tile=tile, value=value, channels=channels).drop("t")
+
 
+def around(df: DataFrame, frames: int) -> DataFrame:
+    """Each frame with those before and after it: rows go to the frames that see them, which they are t away from."""
+    near = F.explode(F.array(*(F.lit(d) for d in range(-frames, frames + 1))))
+    return df.withColumn("t", near).withColumn("img", F.col("img") - F.col("t"))
+
+
+def match_frames(df: DataFrame, height: int, width: int, *, patch: int, stride: int, radius: int, frames: int, k: int, tile: int = 64, value: str = "v") -> DataFrame:
+    """The same over the `frames` frames before and after too: adds t, the frame of the match."""
+    found = _nearest(around(df, frames), height, width, patch=patch, stride=stride, radius=radius, k=k, tile=tile, value=value, frames=tuple(range(-frames, frames + 1)))
+    return found.withColumn("t", F.col("img") + F.col("t")).select("img", "ref_y", "ref_x", "rk", "dist", "t", "y", "x")
 
-def match_frames(df: DataFrame, height: int, width: int, *, patch: int, stride: int, radius: int, frames: int, k: int, value: str = "v") -> DataFrame:
-    """The same over the `frames` frames before and after too: adds t, the frame of the match.
 
-    A candidate is copied to the frames that may use it, so the join stays an equi-join.
+def match_before(df: DataFrame, before: DataFrame, keys: list[str], height: int, width: int, *, patch: int, stride: int, radius: int, k: int, tile: int = 64) -> DataFrame:
+    """The k nearest patches in another frame of each image, by the keys that both tables have: (keys, ref_y, ref_x, rk, dist, y, x).
+
+    An image without such a frame has none.
     """
-    every = patches(df, height, width, patch, value)
-    near = F.explode(F.array(*(F.lit(d) for d in range(-frames, frames + 1))))
-    cands = every.select(F.col("img").alias("t"), "y", "x", "p", near.alias("d")).withColumn("img", F.col("t") + F.col("d")).drop("d")
-    itself = (F.col("y") == F.col("ref_y")) & (F.col("x") == F.col("ref_x")) & (F.col("t") == F.col("img"))
-    pairs = window_pairs(references(every, stride), cands, radius).where(~itself).withColumn("dist", ssd("ref_p", "p"))
-    found = top(pairs.drop("ref_p", "p"), k, ["img", "ref_y", "ref_x"], ["dist", "t", "y", "x"])
-    return found.select("img", "ref_y", "ref_x", "rk", "dist", "t", "y", "x")
+
+    def run(at: Tile) -> dict[str, np.ndarray] | None:
+        rows, cols = at.corners(stride, patch)
+        if not (len(rows) and len(cols) and 1 in at.planes):
+            return None
+        ok, dist, _, y, x = blocks.nearest(at.planes[0], [(1, at.planes[1])], rows, cols, at.corner_range(patch), patch=patch, radius=radius, k=k)
+        ref = np.stack(np.meshgrid(rows + at.y0, cols + at.x0, indexing="ij"), -1).reshape(-1, 2)
+        g, rank = np.nonzero(ok)
+        return {"ref_y": ref[g, 0], "ref_x": ref[g, 1], "rk": rank + 1, "dist": dist[ok], "y": y[ok] + at.y0, "x": x[ok] + at.x0}
+
+    kind = "double" if df.schema["v"].dataType.typeName() in ("double", "float") else "long"
+    both = df.select(*keys, F.lit(0).alias("t"), "y", "x", "v").unionByName(before.select(*keys, F.lit(1).alias("t"), "y", "x", "v"))
+    return per_tile(both, keys, height, width, run, f"ref_y int, ref_x int, rk int, dist {kind}, y int, x int", tile=tile, before=radius, after=radius + patch - 1)
 
 
 def match_all(df: DataFrame, height: int, width: int, *, patch: int, ref: tuple[int, int], k: int, value: str = "v") -> DataFrame:
@@ -121,44 +160,6 @@ def match_all(df: DataFrame, height: int, width: int, *, patch: int, ref: tuple[
     return top(pairs, k, ["img", "ref_y", "ref_x"], ["dist", "y", "x"]).select("img", "ref_y", "ref_x", "rk", "dist", "y", "x")
 
 
-def match_tiles(df: DataFrame, height: int, width: int, *, patch: int, stride: int, radius: int, k: int, tile: int = 64, value: str = "v") -> DataFrame:
-    """`match` with numpy inside tiles: a task gets the pixels of a tile and of its halo.
-
-    A pixel goes to every tile whose references can see it; a tile's size bounds the task.
-    """
-    halo_after, halo_before = radius + patch - 1, radius
-    spread = lambda c, n: F.sequence(
-        F.floor(F.greatest(F.col(c) - halo_after, F.lit(0)) / tile), F.floor(F.least(F.col(c) + halo_before, F.lit(n - 1)) / tile)
-    )
-    cells = df.select("img", "y", "x", F.col(value).alias("v"), F.explode(spread("y", height)).alias("ty"))
-    cells = cells.withColumn("tx", F.explode(spread("x", width)))
-
-    def search(part: pd.DataFrame) -> pd.DataFrame:
-        img, ty, tx = int(part["img"].iloc[0]), int(part["ty"].iloc[0]), int(part["tx"].iloc[0])
-        y0, x0 = int(part["y"].min()), int(part["x"].min())
-        a = np.zeros((int(part["y"].max()) - y0 + 1, int(part["x"].max()) - x0 + 1), np.int64)
-        a[part["y"] - y0, part["x"] - x0] = part["v"]
-        out = []
-        if min(a.shape) < patch:
-            return pd.DataFrame(out, columns=_MATCH_COLUMNS)
-        view = np.lib.stride_tricks.sliding_window_view(a, (patch, patch))
-        for ry in range(-(-ty * tile // stride) * stride, min((ty + 1) * tile, height - patch + 1), stride):
-            for rx in range(-(-tx * tile // stride) * stride, min((tx + 1) * tile, width - patch + 1), stride):
-                ys, xs = max(ry - radius, 0), max(rx - radius, 0)
-                near = view[ys - y0 : min(ry + radius, height - patch) + 1 - y0, xs - x0 : min(rx + radius, width - patch) + 1 - x0]
-                d = ((near - view[ry - y0, rx - x0]) ** 2).sum(axis=(2, 3))
-                d[ry - ys, rx - xs] = np.iinfo(np.int64).max
-                order = np.argsort(d.ravel(), kind="stable")[: min(k, d.size - 1)]  # stable: ties in raster order
-                cy, cx = np.unravel_index(order, d.shape)
-                out += [(img, ry, rx, i + 1, int(d[y, x]), ys + int(y), xs + int(x)) for i, (y, x) in enumerate(zip(cy, cx, strict=True))]
-        return pd.DataFrame(out, columns=_MATCH_COLUMNS)
-
-    return cells.groupBy("img", "ty", "tx").applyInPandas(search, "img int, ref_y int, ref_x int, rk int, dist long, y int, x int")
-
-
-_MATCH_COLUMNS = ["img", "ref_y", "ref_x", "rk", "dist", "y", "x"]
-
-
 def pool(spatial: DataFrame, temporal: DataFrame, keys: list[str], size: int = 8) -> DataFrame:
     """Spatio-temporal groups: the reference first, then the nearest size - 1 of both tables, filled up with the reference.
 
@@ -172,8 +173,3 @@ def pool(spatial: DataFrame, temporal: DataFrame, keys: list[str], size: int = 8
     slots = every.select(*keys).distinct().withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
     zero = F.lit(0)
     return slots.join(best, [*keys, "slot"], "left").select(*keys, "slot", *(F.coalesce(c, zero).alias(c) for c in ("t", "dy", "dx")))
-
-
-def best_offsets(lists: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """Candidate lists merged: distinct (dist, dy, dx) structs in order, the k first."""
-    return lists.groupBy(*keys).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cands")))), 1, k).alias("cands"))

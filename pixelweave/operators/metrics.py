@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelweave.functions import kernels
-from pixelweave.operators.stencil import neighbours
+from pixelweave.operators.stencil import window_means
 
 
 def mse(a: str, b: str) -> Column:
@@ -22,16 +21,11 @@ def psnr(error: Column, peak: float) -> Column:
 def ssim(pairs: DataFrame, height: int, width: int, data_range: float, *, radius: int = 3) -> DataFrame:
     """Mean structural similarity of images (img, y, x, a, b), uniform window, sample covariance, inner pixels.
 
-    Five sums over each window suffice, so one stencil join on a struct of both values serves all.
+    Five means over each window suffice; a tile takes them from arrays of both images.
     """
     n = float((2 * radius + 1) ** 2)
-    both = pairs.select("img", "y", "x", F.struct(F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b")).alias("v"))
-    near = neighbours(both, height, width, kernels.box(radius), None)
-    a, b = F.col("nv.a"), F.col("nv.b")
-    sums = near.groupBy("img", "y", "x").agg(
-        F.count("*").alias("n"), F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.avg(a * a).alias("aa"), F.avg(b * b).alias("bb"), F.avg(a * b).alias("ab")
-    )
-    inner = sums.where(F.col("n") == n)
+    two = F.explode(F.array(*(F.struct(F.lit(k).alias("ch"), F.col(c).cast("double").alias("v")) for k, c in enumerate("ab"))))
+    inner = window_means(pairs.select("img", "y", "x", two.alias("c")).select("img", "y", "x", "c.*"), height, width, radius)
     c1, c2, scale = (0.01 * data_range) ** 2, (0.03 * data_range) ** 2, n / (n - 1)
     ma, mb = F.col("ma"), F.col("mb")
     va, vb, cov = (F.col("aa") - ma * ma) * scale, (F.col("bb") - mb * mb) * scale, (F.col("ab") - ma * mb) * scale

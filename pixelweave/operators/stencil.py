@@ -1,87 +1,74 @@
-"""Stencil filters: each pixel meets its neighbours in an equi-join on their index."""
+"""Stencil filters. A tile gets its halo in one shuffle; each offset of the stencil is then one shifted array."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from pixelweave.functions import kernels
-from pixelweave.operators.layout import mirrored, padded
+from pixelweave.operators import blocks
+from pixelweave.operators.tiles import Tile, per_tile, raster
 
+Weight = Callable[[np.ndarray, int, int], np.ndarray]
 
-def neighbours(df: DataFrame, height: int, width: int, offsets: list[tuple], border: str | None, value: str = "v") -> DataFrame:
-    """Pairs (img, y, x, v, dy, dx, w, nv) of a pixel and its neighbours.
 
-    `offsets` are (dy, dx) or (dy, dx, w). Beyond the border an index is mirrored; without a
-    border rule such a neighbour is left out. The pixel side is exploded and both sides are
-    shuffled by the neighbour's index, so the plan has no range join.
-    """
-    full = [(*o, 1.0)[:3] for o in offsets]
-    steps = F.array(*(F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx"), F.lit(w).alias("w")) for y, x, w in full))
-    out = df.select("img", "y", "x", F.col(value).alias("v"), F.explode(steps).alias("o")).select("img", "y", "x", "v", "o.*")
-    ny, nx = F.col("y") + F.col("dy"), F.col("x") + F.col("dx")
-    if border:
-        ny, nx = mirrored(ny, height, border), mirrored(nx, width, border)
-    out = out.withColumns({"ny": ny, "nx": nx})
-    return out.join(df.select("img", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col(value).alias("nv")), ["img", "ny", "nx"])
+def _stencil(df: DataFrame, height: int, width: int, margin: int, border: str, work: Callable[[np.ndarray], np.ndarray], value: str = "v") -> DataFrame:
+    """Apply a function from a tile with its margin to the tile, to every image (img, y, x, v)."""
+
+    def run(at: Tile) -> dict[str, np.ndarray]:
+        y, x = at.own_cells()
+        return {"y": y, "x": x, "v": work(at.mirrored(at.planes[0][0], border).astype(float)).ravel()}
+
+    return per_tile(df, ["img"], height, width, run, "y int, x int, v double", before=margin, after=margin, value=value)
 
 
 def correlate(df: DataFrame, height: int, width: int, kernel: list[tuple], border: str, value: str = "v") -> DataFrame:
     """Weighted sum of the neighbours, by the kernel."""
-    near = neighbours(df, height, width, kernel, border, value)
-    return near.groupBy("img", "y", "x").agg(F.sum(F.col("nv") * F.col("w")).alias("v"))
+    r = max(max(abs(dy), abs(dx)) for dy, dx, _ in kernel)
+    return _stencil(df, height, width, r, border, lambda a: blocks.correlate(a, kernel, r), value)
 
 
 def separable_gaussian(df: DataFrame, height: int, width: int, radius: int, sigma: float, border: str = "reflect101") -> DataFrame:
-    """The Gaussian in two passes of one dimension: 2 * (2r + 1) instead of (2r + 1)^2 joined rows a pixel."""
-    line = kernels.gaussian(radius, sigma)
-    total = {d: sum(w for y, _, w in line if y == d) for d in range(-radius, radius + 1)}
-    down = correlate(df, height, width, [(d, 0, w) for d, w in total.items()], border)
-    return correlate(down, height, width, [(0, d, w) for d, w in total.items()], border)
+    """The Gaussian in two passes of one dimension."""
+    line = blocks.gaussian_line(radius, sigma)
+    return _stencil(df, height, width, radius, border, lambda a: blocks.blurred(a, line))
 
 
-def _weighted(near: DataFrame, weight) -> DataFrame:
-    near = near.withColumn("wt", weight)
-    return near.groupBy("img", "y", "x").agg((F.sum(F.col("wt") * F.col("nv")) / F.sum("wt")).alias("v"))
+def _weighted(df: DataFrame, height: int, width: int, offsets: list[tuple[int, int]], border: str, weight: Weight) -> DataFrame:
+    """Mean of the neighbours, each weighted by a function of its difference and offset."""
+    r = max(max(abs(dy), abs(dx)) for dy, dx in offsets)
+
+    def mean(a: np.ndarray) -> np.ndarray:
+        middle = blocks.shifted(a, 0, 0, r)
+        num, den = np.zeros(middle.shape), np.zeros(middle.shape)
+        for dy, dx in offsets:
+            near = blocks.shifted(a, dy, dx, r)
+            w = weight(near - middle, dy, dx)
+            num += w * near
+            den += w
+        return num / den
+
+    return _stencil(df, height, width, r, border, mean)
 
 
 def yaroslavsky(df: DataFrame, height: int, width: int, rho: int, h: float) -> DataFrame:
     """Mean of a window, weighted by exp(-difference^2 / h^2)."""
-    near = neighbours(df, height, width, kernels.box(rho), "reflect")
-    d = (F.col("nv") - F.col("v")).cast("double")
-    return _weighted(near, F.exp(-(d * d) / (h * h)))
+    return _weighted(df, height, width, kernels.box(rho), "reflect", lambda d, dy, dx: np.exp(-(d * d) / (h * h)))
 
 
 def bilateral(df: DataFrame, height: int, width: int, rho: int, h: float, s: float) -> DataFrame:
     """The same, with a weight exp(-distance^2 / s^2) too."""
-    near = neighbours(df, height, width, kernels.box(rho), "reflect")
-    d = (F.col("nv") - F.col("v")).cast("double")
-    r2 = (F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")).cast("double")
-    return _weighted(near, F.exp(-(d * d) / (h * h)) * F.exp(-r2 / (s * s)))
+    weight = lambda d, dy, dx: np.exp(-(d * d) / (h * h)) * np.exp(-(dy * dy + dx * dx) / (s * s))
+    return _weighted(df, height, width, kernels.box(rho), "reflect", weight)
 
 
 def circular_bilateral(df: DataFrame, height: int, width: int, radius: int, color: float, space: float) -> DataFrame:
     """Bilateral filter on a disc, with factors of a half in both exponents, border without repeated edge."""
     disc = [(y, x) for y, x in kernels.box(radius) if y * y + x * x <= radius * radius]
-    near = neighbours(df, height, width, disc, "reflect101")
-    d = (F.col("nv") - F.col("v")).cast("double")
-    r2 = (F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")).cast("double")
-    return _weighted(near, F.exp(-(d * d) / (2 * color * color)) * F.exp(-r2 / (2 * space * space)))
-
-
-def _centered(df: DataFrame, height: int, width: int, cells: list[tuple], border: str | None) -> DataFrame:
-    """Every pixel with the patch around it as an array."""
-    near = neighbours(df, height, width, [(y, x, float(k)) for k, (y, x) in enumerate(cells)], border)
-    found = F.sort_array(F.collect_list(F.struct("w", "nv")))
-    return near.groupBy("img", "y", "x").agg(F.first("v").alias("v"), F.transform(found, lambda c: c["nv"].cast("double")).alias("p"))
-
-
-def _window(patches: DataFrame, candidates: DataFrame, offsets: list[tuple]) -> DataFrame:
-    """Each patch with the candidates of its window, by an equi-join on their index."""
-    steps = F.array(*(F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx")) for y, x in offsets))
-    asks = patches.select("img", "y", "x", "p", F.explode(steps).alias("o"))
-    asks = asks.withColumns({"ny": F.col("y") + F.col("o.dy"), "nx": F.col("x") + F.col("o.dx")})
-    return asks.join(candidates.select("img", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("v").alias("nv"), F.col("p").alias("q")), ["img", "ny", "nx"])
+    weight = lambda d, dy, dx: np.exp(-(d * d) / (2 * color * color)) * np.exp(-(dy * dy + dx * dx) / (2 * space * space))
+    return _weighted(df, height, width, disc, "reflect101", weight)
 
 
 def nlm_uniform(df: DataFrame, height: int, width: int, *, h: float, patch_r: int, window_r: int, sigma: float) -> DataFrame:
@@ -89,28 +76,44 @@ def nlm_uniform(df: DataFrame, height: int, width: int, *, h: float, patch_r: in
 
     The mean squared difference loses the noise's share, 2 sigma^2; patches further apart than five h^2 don't count.
     """
-    wide = padded(df, df.sparkSession, height, width, window_r + patch_r, "reflect101")
-    cells = kernels.box(patch_r)
-    every = _centered(wide, height, width, cells, None).where(F.size("p") == len(cells))
-    inside = every.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
-    pairs = _window(inside, every, kernels.box(window_r))
-    squares = F.aggregate(F.zip_with("p", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
-    distance = F.greatest(squares / len(cells) - 2.0 * sigma * sigma, F.lit(0.0)) / (h * h)
-    return _weighted(pairs.withColumn("d", distance).where("d <= 5"), F.exp(-F.col("d")))
+    margin, line = window_r + patch_r, blocks.gaussian_line(patch_r, 0)
+
+    def mean(a: np.ndarray) -> np.ndarray:
+        wide = blocks.shifted(a, 0, 0, window_r)
+        num, den = (np.zeros(blocks.shifted(a, 0, 0, margin).shape) for _ in range(2))
+        for dy, dx in kernels.box(window_r):
+            d = blocks.shifted(a, dy, dx, window_r) - wide
+            apart = np.maximum(blocks.blurred(d * d, line) - 2.0 * sigma * sigma, 0.0) / (h * h)
+            w = np.where(apart <= 5, np.exp(-apart), 0.0)
+            num += w * blocks.shifted(a, dy, dx, margin)
+            den += w
+        return num / den
+
+    return _stencil(df, height, width, margin, "reflect101", mean)
 
 
 def nlm(df: DataFrame, height: int, width: int, *, h: float, patch_r: int, window_r: int, sigma: float) -> DataFrame:
-    """Non-local means. The window leaves out its last row and column; the patch distance is weighted by a Gaussian.
+    """Non-local means. The window leaves out its last row and column and ends at the border; the patch distance is weighted by a Gaussian.
 
-    Patches are arrays gathered once; a pixel then meets the candidates of its window by index.
+    The weighted distance of all patches at one offset is one blur of the squared differences.
     """
-    kernel = kernels.gaussian(patch_r, sigma)
-    patches = _centered(df, height, width, [(y, x) for y, x, _ in kernel], "reflect101")
-    pairs = _window(patches, patches, kernels.box(window_r, half_open=True))
-    weights = F.array(*(F.lit(w) for *_, w in kernel))
-    squares = F.zip_with("p", "q", lambda a, b: (a - b) * (a - b))
-    distance = F.aggregate(F.zip_with(squares, weights, lambda d, w: d * w), F.lit(0.0), lambda s, d: s + d)
-    return _weighted(pairs, F.exp(-distance / (h * h)))
+    margin, line = window_r + patch_r, blocks.gaussian_line(patch_r, sigma)
+
+    def run(at: Tile) -> dict[str, np.ndarray]:
+        a = at.mirrored(at.planes[0][0], "reflect101").astype(float)
+        wide, (y, x) = blocks.shifted(a, 0, 0, window_r), at.own_cells()
+        shape = blocks.shifted(a, 0, 0, margin).shape
+        y, x = y.reshape(shape), x.reshape(shape)
+        num, den = np.zeros(shape), np.zeros(shape)
+        for dy, dx in kernels.box(window_r, half_open=True):
+            d = blocks.shifted(a, dy, dx, window_r) - wide
+            there = (y + dy >= 0) & (y + dy < height) & (x + dx >= 0) & (x + dx < width)
+            w = np.where(there, np.exp(-blocks.blurred(d * d, line) / (h * h)), 0.0)
+            num += w * blocks.shifted(a, dy, dx, margin)
+            den += w
+        return {"y": y.ravel(), "x": x.ravel(), "v": (num / den).ravel()}
+
+    return per_tile(df, ["img"], height, width, run, "y int, x int, v double", before=margin, after=margin)
 
 
 def demosaic(df: DataFrame, height: int, width: int, pattern: str) -> DataFrame:
@@ -118,13 +121,37 @@ def demosaic(df: DataFrame, height: int, width: int, pattern: str) -> DataFrame:
 
     `pattern` names the colors of the top-left 2 x 2 cells, row by row.
     """
-    near = neighbours(df, height, width, kernels.box(1), "reflect101")
-    color = lambda y, x: F.element_at(F.array(*(F.lit(c) for c in pattern)), (F.pmod(y, F.lit(2)) * 2 + F.pmod(x, F.lit(2)) + 1).cast("int"))
-    near = near.withColumns({"own": color(F.col("y"), F.col("x")), "c": color(F.col("y") + F.col("dy"), F.col("x") + F.col("dx"))})
-    center, cross = (F.col("dy") == 0) & (F.col("dx") == 0), (F.col("dy") == 0) | (F.col("dx") == 0)
-
-    def mean(c: str) -> F.Column:
-        wanted = F.when(F.col("own") == c, center).when(F.lit(c == "G"), cross & ~center).otherwise(~center)
-        return F.avg(F.when((F.col("c") == c) & wanted, F.col("nv"))).alias(c.lower())
 
-    return near.groupBy("img", "y", "x").agg(mean("R"), mean("G"), mean("B"))
+    def run(at: Tile) -> dict[str, np.ndarray]:
+        a = at.mirrored(at.planes[0][0], "reflect101").astype(float)
+        y, x = at.own_cells()
+        shape = blocks.shifted(a, 0, 0, 1).shape
+        y, x = y.reshape(shape), x.reshape(shape)
+        names = np.array(list(pattern))
+        own, out = names[y % 2 * 2 + x % 2], {"y": y.ravel(), "x": x.ravel()}
+        for c in "RGB":
+            total, count = np.zeros(shape), np.zeros(shape)
+            for dy, dx in kernels.box(1):
+                middle, cross = dy == dx == 0, dy == 0 or dx == 0
+                wanted = np.where(own == c, middle, (cross and not middle) if c == "G" else not middle)
+                hit = wanted & (names[(y + dy) % 2 * 2 + (x + dx) % 2] == c)
+                total += np.where(hit, blocks.shifted(a, dy, dx, 1), 0.0)
+                count += hit
+            out[c.lower()] = (total / count).ravel()
+        return out
+
+    return per_tile(df, ["img"], height, width, run, "y int, x int, r double, g double, b double", before=1, after=1)
+
+
+def window_means(df: DataFrame, height: int, width: int, radius: int) -> DataFrame:
+    """Means of a, b, a², b² and ab over each window that lies inside the raster: (img, y, x, ma, mb, aa, bb, ab), by two channels."""
+    line = blocks.gaussian_line(radius, 0)
+
+    def run(at: Tile) -> dict[str, np.ndarray]:
+        a, b = at.planes[0]
+        y, x = at.own_cells()
+        ok = (y >= radius) & (y < height - radius) & (x >= radius) & (x < width - radius)
+        means = {n: blocks.blurred(v, line).ravel()[ok] for n, v in (("ma", a), ("mb", b), ("aa", a * a), ("bb", b * b), ("ab", a * b))}
+        return {"y": y[ok], "x": x[ok], **means}
+
+    return per_tile(df, ["img"], height, width, run, "y int, x int, ma double, mb double, aa double, bb double, ab double", before=radius, after=radius, channels=2)

@@ -149,7 +149,7 @@ from (select *, row_number() over (partition by img, ref_y, ref_x order by {orde
 
 
 _OTHER = "not (y = ref_y and x = ref_x)"
-_VIDEO = f"{FRAMES}, {_pairs('frames', 16, 8, 4, 6, frames=1)}, best as ({_best(8, 'not (y = ref_y and x = ref_x and t = img)', 'dist, t, y, x', frame=', t')})"
+_VIDEO = f"{FRAMES}, {_pairs('frames', 16, 8, 4, 19, frames=1)}, best as ({_best(8, 'not (y = ref_y and x = ref_x and t = img)', 'dist, t, y, x', frame=', t')})"
 _POOL = f"""{FRAMES}, {_pairs('frames', 16, 5, 3, 6, frames=1)},
 spatial as (select *, row_number() over (partition by img, ref_y, ref_x order by dist, y, x) k from dist where t = img qualify k <= 8),
 temporal as (select *, row_number() over (partition by img, ref_y, ref_x order by dist, y, x) k from dist where t = img - 1 and abs(y - ref_y) <= 4 and abs(x - ref_x) <= 4 qualify k <= 3),
@@ -293,3 +293,55 @@ patches as materialized (select c.img, c.y, c.x, c.v, list(p.v order by p.y, p.x
 t as (select r.img, r.y, r.x, c.v nv, greatest(({_SSD}) / 25 - 2, 0) / 1.3225::double d from patches r join patches c on c.img = r.img and abs(c.y - r.y) <= 6 and abs(c.x - r.x) <= 6 where r.y between 0 and 31 and r.x between 0 and 31),
 f as (select img, y, x, sum(exp(-d) * nv) / sum(exp(-d)) v from t where d <= 5 group by 1, 2, 3) select img, cast(y as int) y, cast(x as int) x, round({_BACK}, 6) v from f""",
 }
+
+
+# collaborative filtering, from the search to the aggregation
+
+
+def _bm3d(noisy: str, raw: str, side: int, k: int, *, channels: int = 1, frames: int = 0, noise: bool = False, radius: int = 19) -> str:
+    """filtered: `noisy` (img, y, x, v) after one stage of collaborative filtering, with groups found on a blur of `raw`.
+
+    Channels of an image are images of their own, numbered img * channels + ch. Patches are 8 x 8, references 4 apart.
+    """
+    c, last, ref = channels, side - 7, "img, ref_y, ref_x"
+    limit, variance = ("sqrt(variance) * 2.7::double", "variance") if noise else ("2.7::double", "1.0::double")
+    return f"""kern as (select * from (values (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) t(d, kw)),
+guide as materialized (select m.img, m.y, m.x, cast(sum(p.kw * q.kw * b.v) as bigint) v from {raw} m cross join kern p cross join kern q
+join {raw} b on b.img = m.img and b.y = {_mirror('m.y + p.d', side, 0)} and b.x = {_mirror('m.x + q.d', side, 0)} group by 1, 2, 3),
+patches as materialized (select s.img // {c} img, a.y, b.x, list(cast(s.v as double) order by s.img % {c}, s.y, s.x) p, cast(sum(s.v * s.v) as double) n from guide s
+join range({last}) a(y) on s.y >= a.y and s.y < a.y + 8 join range({last}) b(x) on s.x >= b.x and s.x < b.x + 8 group by 1, 2, 3),
+dist as materialized (select r.img, r.y ref_y, r.x ref_x, c.img t, c.y, c.x, cast({_SSD} as bigint) dist from patches r join patches c on abs(c.img - r.img) <= {frames}
+and abs(c.y - r.y) <= {radius} and abs(c.x - r.x) <= {radius} where r.y % 4 = 0 and r.x % 4 = 0),
+nearest as (select *, row_number() over (partition by {ref} order by dist, t, y, x) rk from dist where not (y = ref_y and x = ref_x and t = img) qualify rk <= {k}),
+local as (select s.img // {c} img, a.y ref_y, b.x ref_x, greatest({A}::double * avg(s.v) + {B}::double, 1e-12) variance from {noisy} s
+join range(0, {last}, 4) a(y) on s.y >= a.y and s.y < a.y + 8 join range(0, {last}, 4) b(x) on s.x >= b.x and s.x < b.x + 8 group by 1, 2, 3),
+sized as (select {ref}, count(*) + 1 size, any_value(variance) variance from nearest join local using ({ref}) group by {ref}),
+members as materialized (select {ref}, rk m, t, y, x from nearest union all select {ref}, 0, img, ref_y, ref_x from sized),
+basis as materialized (select n, k, i, case when k = 0 then sqrt(1.0::double / n) else sqrt(2.0::double / n) end * cos(pi() * (2 * i + 1) * k / (2.0::double * n)) f
+from range(2, {max(k, 8) + 2}) s(n), range({max(k, 8) + 1}) a(k), range({max(k, 8) + 1}) b(i) where k < n and i < n),
+pieces as (select u.t, u.y, u.x, s.img % {c} ch, s.y - u.y i, s.x - u.x j, s.v from (select distinct t, y, x from members) u
+join {noisy} s on s.img // {c} = u.t and s.y >= u.y and s.y < u.y + 8 and s.x >= u.x and s.x < u.x + 8),
+tall as (select t, y, x, ch, b.k i, j, sum(f * v) v from pieces e join basis b on b.n = 8 and b.i = e.i group by t, y, x, ch, b.k, j),
+flat as materialized (select t, y, x, ch, e.i, b.k j, sum(f * v) v from tall e join basis b on b.n = 8 and b.i = e.j group by t, y, x, ch, e.i, b.k),
+spectrum as (select {ref}, size, variance, ch, b.k k, e.i, e.j, sum(f * v) v from members join sized using ({ref}) join flat e using (t, y, x) join basis b on b.n = size and b.i = m group by {ref}, size, variance, ch, b.k, e.i, e.j),
+kept as materialized (select * exclude (v), case when round(abs(v), 9) < {limit} then 0 else v end v from spectrum),
+weights as (select {ref}, avg(w) w from (select {ref}, ch, 1.0::double / (greatest(count(*) filter (v <> 0), 1) * any_value({variance})) w from kept group by {ref}, ch) group by {ref}),
+back as (select {ref}, ch, b.i m, e.i, e.j, sum(f * v) v from kept e join basis b on b.n = size and b.k = e.k group by {ref}, ch, b.i, e.i, e.j),
+backi as (select {ref}, ch, m, b.i i, e.j, sum(f * v) v from back e join basis b on b.n = 8 and b.k = e.i group by {ref}, ch, m, b.i, e.j),
+backj as (select {ref}, ch, m, e.i, b.i j, sum(f * v) v from backi e join basis b on b.n = 8 and b.k = e.j group by {ref}, ch, m, e.i, b.i),
+summed as (select p.t * {c} + ch img, p.y + i y, p.x + j x, sum(w * v) / sum(w) v from backj join members p using ({ref}, m) join weights using ({ref}) group by 1, 2, 3),
+filtered as (select s.img, s.y, s.x, coalesce(o.v, s.v) v from {noisy} s left join summed o on o.img = s.img and o.y = s.y and o.x = s.x)"""
+
+
+_FRAMES_STABLE = f"fnormal as (select img, y, x, {_N01.format('v')} v from frames), fstable as (select img, y, x, {_stable(A, B)} v from fnormal)"
+_CHANNELS = f"""{PACKED}, praw as (select cast(img * 4 + ch as int) img, y, x, v from packed), pnormal as (select img, y, x, {_N01.format('v')} v from praw),
+pstable as (select img, y, x, {_stable(A, B)} v from pnormal)"""
+_ASYM = f"least(greatest({A}::double * (v * v / 4 - 0.125 - {B}::double / ({A}::double * {A}::double)), 0), 1)"
+
+ORACLE_SQL |= {
+    "bm3d_vst": f"with {RAW}, {_STABLE}, {_bm3d('stable', 'raw', 32, 8)} select img, y, x, round({_BACK}, 6) v from filtered",
+    "bm3d_novst": f"with {RAW}, {_bm3d('normal', 'raw', 32, 8, noise=True)} select img, y, x, round(least(greatest(v, 0), 1), 6) v from filtered",
+    "vbm3d_vst": f"with {FRAMES}, {_FRAMES_STABLE}, {_bm3d('fstable', 'frames', 16, 8, frames=1)} select img, y, x, round({_BACK}, 6) v from filtered",
+    "bm3d_packed4": f"""with {RAW}, {_CHANNELS}, {_bm3d('pstable', 'praw', 16, 16, channels=4)}
+select cast(img // 4 as int) img, cast(y * 2 + img % 4 // 2 as int) y, cast(x * 2 + img % 2 as int) x, round({_ASYM}, 6) v from filtered""",
+}

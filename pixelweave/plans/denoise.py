@@ -2,117 +2,108 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelweave.functions import kernels, scalars
-from pixelweave.operators import knn, layout, match, metrics, stencil, transforms
+from pixelweave.operators import blocks, knn, layout, match, stencil
+from pixelweave.operators.tiles import TILE, Tile, per_tile
 
 PATCH, STRIDE, RADIUS, TOP, LAMBDA = 8, 4, 19, 8, 2.7
 
 
-def guide(raw: DataFrame, height: int, width: int) -> DataFrame:
-    """An integer guide for the search: binomial blur without normalization, so that distances stay exact."""
-    blurred = stencil.correlate(raw, height, width, kernels.binomial(), "reflect101")
-    return blurred.withColumn("v", F.col("v").cast("long"))
-
-
-def members(matches: DataFrame) -> DataFrame:
-    """Groups from matches: (img, ref_y, ref_x, k, t, y, x, size), the reference itself as k = 0."""
-    refs = [*(c for c in ("img", "ref_y", "ref_x"))]
-    t = F.col("t") if "t" in matches.columns else F.col("img")
-    rows = matches.select(*refs, F.col("rk").alias("k"), t.alias("t"), "y", "x")
-    own = matches.where("rk = 1").select(*refs, F.lit(0).alias("k"), F.col("img").alias("t"), F.col("ref_y").alias("y"), F.col("ref_x").alias("x"))
-    size = matches.groupBy(*refs).agg((F.count("*") + 1).cast("int").alias("size"))
-    return own.unionByName(rows).join(size, refs)
-
-
 def patch_rows(df: DataFrame, height: int, width: int, patch: int) -> DataFrame:
     """Pixels of all patches, (img, y, x, i, j, v)."""
     every = match.patches(df, height, width, patch).select("img", "y", "x", F.posexplode("p").alias("at", "v"))
     return every.select("img", "y", "x", F.floor(F.col("at") / patch).cast("int").alias("i"), (F.col("at") % patch).alias("j"), "v")
 
 
-def grouped_filter(
-    noisy: DataFrame, groups: DataFrame, height: int, width: int, *, patch: int = PATCH, most: int = TOP + 1, kind: str = "dct",
-    limits: DataFrame | None = None, window: DataFrame | None = None, current_only: bool = False, channels: int = 1,
+def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums and weights of tiles, with the unfiltered v in a pixel's own tile, to one value a pixel: the seams' only shuffle."""
+    sums = parts.groupBy(*keys, "y", "x").agg(F.sum("num").alias("num"), F.sum("den").alias("den"), F.max("v").alias("v"))
+    return sums.select(*keys, "y", "x", F.when(F.col("den") > 0, F.col("num") / F.col("den")).otherwise(F.col("v")).alias("v"))
+
+
+def block_filter(
+    df: DataFrame, height: int, width: int, *, patch: int = PATCH, stride: int = STRIDE, radius: int = RADIUS, k: int = TOP, channels: int = 1,
+    frames: tuple[int, ...] = (0,), noise: tuple[float, float] | None = None, tile: int = TILE,
 ) -> DataFrame:
-    """Transform each group, drop small coefficients, transform back, and aggregate on the raster.
+    """Match on a guide, filter each reference's group, and aggregate: images (img, [t, ch,] y, x, v, raw) to (img, [ch,] y, x, v).
 
-    The two-dimensional transform of a patch is made once, however many groups use it; only then
-    do patches meet groups. Groups without a member besides the reference are skipped. `limits`
-    may give each group (img, ref_y, ref_x) its own threshold and noise variance. With
-    `current_only` only members of the group's own frame are written back. Where so many `channels`
-    of an image are numbered as images of their own, side by side, a group's weight is their mean.
+    A tile blurs its integer guide, searches, transforms its groups as matrices and adds them up on
+    its array and halo. Two shuffles in all: pixels to tiles, and sums to pixels. Groups without a
+    member besides the reference are skipped; pixels that no group covers keep their value. With
+    `noise` (gain, variance) a group's threshold follows the mean of its reference patch.
     """
-    ref = ["img", "ref_y", "ref_x"]
-    coefs = transforms.dct2(patch_rows(noisy, height, width, patch), ["img", "y", "x"], patch).withColumnRenamed("img", "t")
-    rows = groups.where("size > 1").join(coefs, ["t", "y", "x"]).select(*ref, "size", "k", "i", "j", "v")
-    spectrum = transforms.group_axis(rows, [*ref, "size", "i", "j"], range(2, most + 1), kind)
-    if limits is not None:
-        spectrum = spectrum.join(limits, ref)
-        kept, w = transforms.thresholded(spectrum, F.col("limit")), "variance"
-    else:
-        kept, w = transforms.thresholded(spectrum, LAMBDA), None
-    weight = transforms.weights(kept, ref, w)
-    if channels > 1:
-        image = F.floor(F.col("img") / channels).cast("int").alias("image")
-        mean = weight.groupBy(image, "ref_y", "ref_x").agg(F.avg("w").alias("w"))
-        weight = mean.select(F.explode(F.sequence(F.lit(0), F.lit(channels - 1))).alias("ch"), "*")
-        weight = weight.select((F.col("image") * channels + F.col("ch")).cast("int").alias("img"), "ref_y", "ref_x", "w")
-    back = transforms.group_axis(kept.select(*ref, "size", "i", "j", "k", "v"), [*ref, "size", "i", "j"], range(2, most + 1), kind, inverse=True)
-    back = transforms.dct2(back, [*ref, "k"], patch, inverse=True)
-    out = back.join(groups.select(*ref, "k", "t", "y", "x"), [*ref, "k"]).join(weight.select(*ref, "w"), ref)
-    out = out.where("t = img") if current_only else out
-    filtered = transforms.scatter(out.select(F.col("t").alias("img"), "y", "x", "i", "j", "v", "w"), window=window)
-    return transforms.covered(noisy, filtered)
+    margin, line = 2, np.array([math.comb(4, i) for i in range(5)])
+    names = ["img", *(["ch"] if channels > 1 else [])]
+
+    def work(at: Tile) -> dict[str, np.ndarray]:
+        guides = {}
+        for t, planes in at.planes.items():
+            blur = blocks.blurred(at.mirrored(planes[channels:], "reflect101"), line)
+            guides[t] = np.rint(np.pad(blur, ((0, 0), (margin, margin), (margin, margin)))).astype(np.int64)
+        ts = [t for t in frames if t in at.planes]
+        stack = np.stack([at.planes[t][:channels] for t in ts])
+        num, den = np.zeros(stack.shape), np.zeros(stack.shape)
+        rows, cols = at.corners(stride, patch)
+        if len(rows) and len(cols):
+            ok, _, t, y, x = blocks.nearest(guides[0], [(t, guides[t]) for t in ts], rows, cols, at.corner_range(patch), patch=patch, radius=radius, k=k)
+            ref = np.stack(np.meshgrid(rows, cols, indexing="ij"), -1).reshape(-1, 2)
+            y, x, t = np.hstack([ref[:, :1], y]), np.hstack([ref[:, 1:], x]), np.hstack([np.zeros_like(ref[:, :1]), t])
+            limit, variance = LAMBDA, None
+            if noise:
+                mean = blocks.box_sums(stack[ts.index(0), 0], rows, cols, patch).ravel() / patch**2
+                variance = np.maximum(noise[0] * mean + noise[1], 1e-12)
+                limit = LAMBDA * np.sqrt(variance)
+            num, den = blocks.group_filter(stack, np.searchsorted(ts, t), y, x, 1 + ok.sum(1), patch=patch, kind="dct", limit=limit, variance=variance)
+        mine = np.zeros(stack.shape, bool)
+        top, bottom, left, right = at.own
+        mine[ts.index(0), :, top:bottom, left:right] = True
+        f, ch, y, x = np.nonzero(mine | (den > 0))
+        return {
+            "t": np.array(ts)[f], "ch": ch, "y": y + at.y0, "x": x + at.x0, "num": num[f, ch, y, x], "den": den[f, ch, y, x],
+            "v": np.where(mine, stack, -np.inf)[f, ch, y, x],
+        }
+
+    columns = "t int, ch int, y int, x int, num double, den double, v double"
+    parts = per_tile(
+        df, ["img"], height, width, work, columns, tile=tile, before=radius + margin, after=radius + patch - 1 + margin, channels=channels, value=("v", "raw"),
+    )
+    return merged(parts.withColumn("img", (F.col("img") + F.col("t")).cast(df.schema["img"].dataType)), names)
+
+
+def _stable(raw: DataFrame, a: float, b: float) -> DataFrame:
+    """The raster with its stabilized values as v, and as raw what it was."""
+    return raw.withColumns({"raw": F.col("v"), "v": scalars.vst(scalars.normalized(F.col("v")), a, b)})
 
 
 def bm3d_vst(raw: DataFrame, height: int, width: int, a: float, b: float, **search: int) -> DataFrame:
     """Normalize, stabilize, match on a blurred guide, filter groups, invert, clip."""
-    s = {"patch": PATCH, "stride": STRIDE, "radius": RADIUS, "k": TOP} | search
-    noisy = raw.withColumn("v", scalars.vst(scalars.normalized(F.col("v")), a, b))
-    found = match.match(guide(raw, height, width), height, width, **s)
-    out = grouped_filter(noisy, members(found), height, width, patch=s["patch"], most=s["k"] + 1)
+    out = block_filter(_stable(raw, a, b), height, width, **search)
     return out.withColumn("v", scalars.clip(scalars.vst_inverse(F.col("v"), a, b), 0.0, 1.0))
 
 
 def bm3d_plain(raw: DataFrame, height: int, width: int, a: float, b: float, **search: int) -> DataFrame:
     """The same without stabilization: each group's threshold follows the mean of its reference patch."""
-    s = {"patch": PATCH, "stride": STRIDE, "radius": RADIUS, "k": TOP} | search
-    noisy = raw.withColumn("v", scalars.normalized(F.col("v")))
-    found = match.match(guide(raw, height, width), height, width, **s)
-    rows = patch_rows(noisy, height, width, s["patch"]).where((F.col("y") % s["stride"] == 0) & (F.col("x") % s["stride"] == 0))
-    limits = metrics.local_variance(rows.select("img", F.col("y").alias("ref_y"), F.col("x").alias("ref_x"), "v"), ["img", "ref_y", "ref_x"], a, b)
-    out = grouped_filter(noisy, members(found), height, width, patch=s["patch"], most=s["k"] + 1, limits=limits)
-    return out.withColumn("v", scalars.clip(F.col("v"), 0.0, 1.0))
+    noisy = raw.withColumns({"raw": F.col("v"), "v": scalars.normalized(F.col("v"))})
+    return block_filter(noisy, height, width, noise=(a, b), **search).withColumn("v", scalars.clip(F.col("v"), 0.0, 1.0))
 
 
 def vbm3d(raw: DataFrame, height: int, width: int, a: float, b: float, *, frames: int = 1, **search: int) -> DataFrame:
     """Video: groups reach one frame back and one ahead, and all their members are written back."""
-    s = {"patch": PATCH, "stride": STRIDE, "radius": RADIUS, "k": TOP} | search
-    noisy = raw.withColumn("v", scalars.vst(scalars.normalized(F.col("v")), a, b))
-    found = match.match_frames(guide(raw, height, width), height, width, frames=frames, **s)
-    out = grouped_filter(noisy, members(found), height, width, patch=s["patch"], most=s["k"] + 1)
+    every = match.around(_stable(raw, a, b), frames)
+    out = block_filter(every, height, width, frames=tuple(range(-frames, frames + 1)), **search)
     return out.withColumn("v", scalars.clip(scalars.vst_inverse(F.col("v"), a, b), 0.0, 1.0))
 
 
 def bm3d_packed(raw: DataFrame, height: int, width: int, a: float, b: float, **search: int) -> DataFrame:
     """Mosaic: one search on the summed distance of the four channels; they share groups and a group's mean weight."""
-    s = {"patch": PATCH, "stride": STRIDE, "radius": RADIUS, "k": 16} | search
-    h, w = height // 2, width // 2
-    packed = layout.pack_bayer(raw)
-    number = (F.col("img") * 4 + F.col("ch")).alias("img")
-    blurred = guide(packed.select(number, "y", "x", "v"), h, w)
-    blurred = blurred.select(F.floor(F.col("img") / 4).cast("int").alias("img"), (F.col("img") % 4).alias("ch"), "y", "x", "v")
-    found = match.match_joint(blurred, h, w, **s)
-    four = F.explode(F.sequence(F.lit(0), F.lit(3)))
-    groups = members(found).select(four.alias("ch"), "*").withColumns({"img": F.col("img") * 4 + F.col("ch"), "t": F.col("t") * 4 + F.col("ch")}).drop("ch")
-    noisy = packed.select(number, "y", "x", scalars.vst(scalars.normalized(F.col("v")), a, b).alias("v"))
-    out = grouped_filter(noisy, groups, h, w, patch=s["patch"], most=s["k"] + 1, channels=4)
-    out = out.select(F.floor(F.col("img") / 4).cast("int").alias("img"), "y", "x", (F.col("img") % 4).alias("ch"), "v")
-    out = out.withColumn("v", scalars.clip(scalars.gat_inverse(F.col("v"), a, b**0.5), 0.0, 1.0))
-    return layout.unpack_bayer(out)
+    out = block_filter(_stable(layout.pack_bayer(raw), a, b), height // 2, width // 2, channels=4, **{"k": 16} | search)
+    return layout.unpack_bayer(out.withColumn("v", scalars.clip(scalars.gat_inverse(F.col("v"), a, b**0.5), 0.0, 1.0)))
 
 
 def collaborative_mean(df: DataFrame, matches: DataFrame, patch: int) -> DataFrame:
@@ -143,41 +134,67 @@ def developed(raw: DataFrame, height: int, width: int, pattern: str = "GBRG") ->
     return rgb.select("img", "y", "x", *(scalars.quantized_u8(F.round(scalars.srgb(v), 9) * 255.0).alias(c) for c, v in (("r", r), ("g", g), ("b", b))))
 
 
-def aknn_groups(found: DataFrame, patch: int, most: int = 7) -> DataFrame:
-    """Groups of a reference and its found patches, filled up with the reference to most + 1 members, as corners."""
-    r = patch // 2
-    ref = ["img", "ref_y", "ref_x"]
-    rows = found.select("img", F.col("y").alias("ref_y"), F.col("x").alias("ref_x"), "dist", "dy", "dx", "k")
-    none = rows.where("false")
-    slots = match.pool(rows, none, ref, most + 1)
-    return slots.select(
-        *ref, F.col("slot").alias("k"), F.col("img").alias("t"), (F.col("ref_y") + F.col("dy") - r).alias("y"),
-        (F.col("ref_x") + F.col("dx") - r).alias("x"), F.lit(most + 1).alias("size"),
-    )
-
-
-def _windowed(df: DataFrame, patch: int) -> DataFrame:
-    return df.sparkSession.createDataFrame(kernels.kaiser(patch), "i int, j int, win double")
-
+def search_filter(
+    df: DataFrame, keys: list[str], height: int, width: int, *, patch: int, step: int, channels: int = 1, guide: str = "first", blur: tuple[int, float] = (2, 1.5),
+    k: int = 7, k_before: int = 3, radius: int = 4, size: int = 8, turns: int = 2, tile: int = 83, overlap: int = 19, seed: int = 42,
+) -> DataFrame:
+    """Randomized search and collaborative filtering in overlapping tiles: rasters (keys, [t, ch,] y, x, v) to (keys, ch, y, x, v).
 
-def aknn_bm3d(raw: DataFrame, height: int, width: int, a: float, b: float, *, patch: int = 5, step: int = 2) -> DataFrame:
+    A tile searches on a blurred guide: its first channel, the mean of the channels, or all of them
+    jointly. Where a frame before (t = 1) is there, its `k_before` nearest patches within `radius`
+    compete with the spatial ones; the best size - 1 and the reference make a group, filled up with
+    the reference. Only this frame's members are written; tiles meet in their mean.
+    """
+    r, (reach, sigma) = patch // 2, blur
+    line, win = blocks.gaussian_line(reach, sigma), np.zeros((patch, patch))
+    for i, j, w in kernels.kaiser(patch):
+        win[i, j] = w
+
+    def work(at: Tile) -> dict[str, np.ndarray]:
+        ts = sorted(at.planes)
+        stack = np.stack([at.inside(at.planes[t]) for t in ts])
+        soft = np.stack([blocks.blurred(at.mirrored(at.planes[t], "reflect101"), line) for t in ts])
+        soft = {"first": soft[:, :1], "mean": soft.mean(1, keepdims=True), "joint": soft}[guide]
+        out = stack[0].copy()
+        if min(stack.shape[2:]) >= patch:
+            found = knn.Search(soft[0], k=k, patch=patch, step=step, seed=seed, origin=(at.y0 + reach, at.x0 + reach))
+            found.run(turns)
+            dist, dy, dx = (c.reshape(-1, k) for c in (found.dist, found.dy, found.dx))
+            dist = np.where((dy == 0) & (dx == 0), np.inf, dist)  # the reference is a member as it is
+            t = np.zeros(dist.shape, int)
+            y, x = (c.reshape(-1, 1) - r for c in np.meshgrid(found.rows, found.cols, indexing="ij"))
+            if len(ts) > 1:
+                edge = ((0, 0), (radius, radius), (radius, radius))
+                now, then = (np.pad(soft[f], edge) for f in (0, 1))
+                fits = (radius, radius + stack.shape[2] - patch, radius, radius + stack.shape[3] - patch)
+                ok, d2, t2, y2, x2 = blocks.nearest(now, [(1, then)], found.rows - r + radius, found.cols - r + radius, fits, patch=patch, radius=radius, k=k_before)
+                dist, t = np.hstack([np.where(ok, d2, np.inf), dist]), np.hstack([t2, t])
+                dy, dx = np.hstack([y2 - radius - y, dy]), np.hstack([x2 - radius - x, dx])
+            order = np.argsort(dist, axis=1, kind="stable")[:, : size - 1]  # of equal ones the frame before wins
+            dist, t, dy, dx = (np.take_along_axis(c, order, 1) for c in (dist, t, dy, dx))
+            t, dy, dx = (np.where(np.isfinite(dist), c, 0) for c in (t, dy, dx))
+            t, dy, dx = (np.hstack([np.zeros((len(c), 1), int), c, np.zeros((len(c), size - 1 - c.shape[1]), int)]) for c in (t, dy, dx))
+            num, den = blocks.group_filter(stack, t, y + dy, x + dx, np.full(len(t), size), patch=patch, kind="haar", limit=LAMBDA, window=win, only=0)
+            out = np.divide(num[0], den[0], out=out, where=den[0] > 0)
+        y, x = at.own_cells()
+        return {"ch": np.repeat(np.arange(channels), len(y)), "y": np.tile(y, channels), "x": np.tile(x, channels), "v": out.ravel()}
+
+    each = per_tile(df, keys, height, width, work, "ch int, y int, x int, v double", tile=tile, overlap=overlap, before=reach, after=reach, channels=channels)
+    return layout.merge_tiles(each, (*keys, "ch", "y", "x"))
+
+
+def _destabilized(df: DataFrame, a: float, b: float) -> DataFrame:
+    return df.withColumn("v", scalars.clip(scalars.gat_inverse(F.col("v"), a, b**0.5), 0.0, 1.0))
+
+
+def aknn_bm3d(raw: DataFrame, height: int, width: int, a: float, b: float, *, patch: int = 5, step: int = 2, tile: int = 24, overlap: int = 8) -> DataFrame:
     """Randomized search on the blurred, stabilized image; Haar transform over each group; Kaiser-weighted aggregation."""
     noisy = raw.withColumn("v", scalars.vst(scalars.normalized(F.col("v")), a, b))
-    blurred = stencil.correlate(noisy, height, width, kernels.gaussian(2, 1.5), "reflect101")
-    groups = aknn_groups(knn.aknn(blurred, height, width, patch=patch, step=step), patch)
-    out = grouped_filter(noisy, groups, height, width, patch=patch, most=8, kind="haar", window=_windowed(raw, patch))
-    return out.withColumn("v", scalars.clip(scalars.gat_inverse(F.col("v"), a, b**0.5), 0.0, 1.0))
+    return _destabilized(search_filter(noisy, ["img"], height, width, patch=patch, step=step, tile=tile, overlap=overlap), a, b).drop("ch")
 
 
-def aknn_bm3d_raw(raw: DataFrame, height: int, width: int, a: float, b: float, *, patch: int = 3, step: int = 1) -> DataFrame:
-    """The same on a mosaic: one search on the first channel serves all four."""
-    h, w = height // 2, width // 2
+def aknn_bm3d_raw(raw: DataFrame, height: int, width: int, a: float, b: float, *, patch: int = 3, step: int = 1, guide: str = "joint", tile: int = 12, overlap: int = 4) -> DataFrame:
+    """The same on a mosaic: one search serves the four channels, jointly on all of them or on one guide."""
     packed = layout.pack_bayer(raw).withColumn("v", scalars.vst(scalars.normalized(F.col("v")), a, b))
-    blurred = stencil.correlate(packed.where("ch = 0").drop("ch"), h, w, kernels.gaussian(2, 1.5), "reflect101")
-    groups = aknn_groups(knn.aknn(blurred, h, w, patch=patch, step=step, tile=16, overlap=4), patch)
-    four = F.explode(F.sequence(F.lit(0), F.lit(3)))
-    groups = groups.select(four.alias("ch"), "*").withColumns({"img": F.col("img") * 4 + F.col("ch"), "t": F.col("t") * 4 + F.col("ch")}).drop("ch")
-    noisy = packed.select((F.col("img") * 4 + F.col("ch")).alias("img"), "y", "x", "v")
-    out = grouped_filter(noisy, groups, h, w, patch=patch, most=8, kind="haar", window=_windowed(raw, patch))
-    out = out.select(F.floor(F.col("img") / 4).cast("int").alias("img"), "y", "x", (F.col("img") % 4).alias("ch"), "v")
-    return layout.unpack_bayer(out.withColumn("v", scalars.clip(scalars.gat_inverse(F.col("v"), a, b**0.5), 0.0, 1.0)))
+    out = search_filter(packed, ["img"], height // 2, width // 2, patch=patch, step=step, channels=4, guide=guide, blur=(1, 0.8), tile=tile, overlap=overlap)
+    return layout.unpack_bayer(_destabilized(out, a, b))

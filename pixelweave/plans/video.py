@@ -1,69 +1 @@
 """Recursive video filtering: each frame is filtered with the help of the filtered frame before it."""
-
-from __future__ import annotations
-
-import tempfile
-from functools import reduce
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from pixelweave.functions import kernels, scalars
-from pixelweave.operators import knn, match, stencil
-from pixelweave.plans import denoise
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """End the lineage in the shared checkpoint folder; a folder of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
-def temporal_search(refs: DataFrame, before: DataFrame, radius: int = 4, k: int = 3) -> DataFrame:
-    """The k nearest patches of the frame before within `radius`: keys, dist, dy, dx, k."""
-    keys = ["img", "ref_y", "ref_x"]
-    pairs = match.window_pairs(refs, before, radius).withColumn("dist", match.ssd_real("ref_p", "p"))
-    found = match.top(pairs.drop("ref_p", "p"), k, keys, ["dist", "y", "x"])
-    return found.select(*keys, "dist", (F.col("y") - F.col("ref_y")).alias("dy"), (F.col("x") - F.col("ref_x")).alias("dx"), F.col("rk").alias("k"))
-
-
-def filtered_frame(noisy: DataFrame, before: DataFrame | None, height: int, width: int, *, patch: int = 5, step: int = 2) -> DataFrame:
-    """One frame, stabilized; `before` is the filtered frame before it, also stabilized and under the same `img`.
-
-    Groups pool at most three patches of the frame before with the spatial ones; only this frame's
-    members are written back. All frames of one time step, of however many sequences, run together.
-    """
-    r, keys = patch // 2, ["img", "ref_y", "ref_x"]
-    blur = lambda df: stencil.correlate(df, height, width, kernels.gaussian(2, 1.5), "reflect101")
-    own = _cut(blur(noisy))  # several branches read it, as they do the groups
-    spatial = knn.aknn(own, height, width, patch=patch, step=step, tile=32, overlap=8)
-    spatial = spatial.select("img", (F.col("y") - r).alias("ref_y"), (F.col("x") - r).alias("ref_x"), "dist", "dy", "dx", "k")
-    temporal = spatial.where("false")
-    source = noisy
-    if before is not None:
-        refs = match.patches(own, height, width, patch).where((F.col("y") % step == 0) & (F.col("x") % step == 0))
-        refs = refs.select("img", F.col("y").alias("ref_y"), F.col("x").alias("ref_x"), F.col("p").alias("ref_p"))
-        temporal = temporal_search(refs, match.patches(blur(before), height, width, patch))
-        source = noisy.unionByName(before.withColumn("img", -F.col("img") - 1))
-    slots = match.pool(spatial, temporal, keys)
-    t = F.when(F.col("t") == 1, -F.col("img") - 1).otherwise(F.col("img"))
-    groups = _cut(slots.select(*keys, F.col("slot").alias("k"), t.alias("t"), (F.col("ref_y") + F.col("dy")).alias("y"), (F.col("ref_x") + F.col("dx")).alias("x"), F.lit(8).alias("size")))
-    window = noisy.sparkSession.createDataFrame(kernels.kaiser(patch), "i int, j int, win double")
-    out = denoise.grouped_filter(source, groups, height, width, patch=patch, most=8, kind="haar", window=window, current_only=True)
-    return out.where("img >= 0")
-
-
-def recursive(raw: DataFrame, height: int, width: int, a: float, b: float, *, frames: list[int] | None = None) -> DataFrame:
-    """Fold over the frame numbers, each step cut off in the checkpoint folder. Missing frames don't reset the state."""
-    numbers = frames or [r["img"] for r in raw.select("img").distinct().orderBy("img").collect()]  # one row a frame
-    noisy = raw.withColumn("v", scalars.vst(scalars.normalized(F.col("v")), a, b))
-    done: list[DataFrame] = []
-    for n in numbers:
-        before = done[-1].withColumn("img", F.lit(n)) if done else None
-        done.append(_cut(filtered_frame(noisy.where(F.col("img") == n), before, height, width)))
-    out = reduce(DataFrame.unionByName, done)
-    return out.withColumn("v", scalars.clip(scalars.gat_inverse(F.col("v"), a, b**0.5), 0.0, 1.0))
-
-

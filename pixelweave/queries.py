@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pixelweave.functions import kernels, scalars
 from pixelweave.operators import catalogue, knn, layout, match, metrics, stencil, transforms
-from pixelweave.plans import denoise, video
+from pixelweave.plans import denoise
 from pixelweave.sources import noise
 from pixelweave.sources import rasters as src
 
@@ -487,7 +487,8 @@ def match_ssd_topk(s, d):
 
 @query
 def match_tiled(s, d):
-    return match.match_tiles(src.raw32(s, d), 32, 32, patch=8, stride=4, radius=19, k=8, tile=16)
+    """The same in four tiles."""
+    return match.match(src.raw32(s, d), 32, 32, patch=8, stride=4, radius=19, k=8, tile=16)
 
 
 @query
@@ -498,16 +499,12 @@ def match_mse_topk(s, d):
 
 @query
 def match_sad_topk(s, d):
-    return match.match(src.raw32(s, d), 32, 32, patch=5, stride=3, radius=6, k=4, distance=match.sad)
+    return match.match(src.raw32(s, d), 32, 32, patch=5, stride=3, radius=6, k=4, measure="sad")
 
 
 @query
 def match_threshold(s, d):
-    every = match.patches(src.raw32(s, d), 32, 32, 4)
-    pairs = match.window_pairs(match.references(every, 4), every, 10).withColumn("dist", match.ssd("ref_p", "p")).where("dist < 3000000")
-    own = F.when((F.col("y") == F.col("ref_y")) & (F.col("x") == F.col("ref_x")), 0).otherwise(1)
-    found = match.top(pairs.withColumn("other", own).drop("p", "ref_p"), 16, ["img", "ref_y", "ref_x"], ["other", "dist", "y", "x"])
-    return found.select("img", "ref_y", "ref_x", "rk", "dist", "y", "x")
+    return match.match(src.raw32(s, d), 32, 32, patch=4, stride=4, radius=10, k=16, own="first", limit=3000000)
 
 
 @query
@@ -516,7 +513,7 @@ def match_all_topk(s, d):
 
 
 def _video_matches(s: SparkSession, d: str) -> DataFrame:
-    return match.match_frames(src.frames16(s, d), 16, 16, patch=8, stride=4, radius=6, frames=1, k=8)
+    return match.match_frames(src.frames16(s, d), 16, 16, patch=8, stride=4, radius=19, frames=1, k=8)
 
 
 @query
@@ -534,17 +531,10 @@ def source_frame_counts(s, d):
 
 def _pools(s: SparkSession, d: str) -> DataFrame:
     frames = src.frames16(s, d)
-    every = match.patches(frames, 16, 16, 5)
-    refs = match.references(every, 3)
-    keys = ["img", "ref_y", "ref_x"]
-
-    def best(cands: DataFrame, radius: int, k: int) -> DataFrame:
-        pairs = match.window_pairs(refs, cands, radius).withColumn("dist", match.ssd("ref_p", "p"))
-        found = match.top(pairs.drop("ref_p", "p"), k, keys, ["dist", "y", "x"])
-        return found.select(*keys, "dist", (F.col("y") - F.col("ref_y")).alias("dy"), (F.col("x") - F.col("ref_x")).alias("dx"), F.col("rk").alias("k"))
-
-    before = every.withColumn("img", F.col("img") + 1)
-    return match.pool(best(every, 6, 8), best(before, 4, 3), keys)
+    offsets = lambda found: found.select("img", "ref_y", "ref_x", "dist", (F.col("y") - F.col("ref_y")).alias("dy"), (F.col("x") - F.col("ref_x")).alias("dx"), F.col("rk").alias("k"))
+    spatial = match.match(frames, 16, 16, patch=5, stride=3, radius=6, k=8, own="first")
+    temporal = match.match_before(frames, frames.withColumn("img", F.col("img") + 1), ["img"], 16, 16, patch=5, stride=3, radius=4, k=3)
+    return match.pool(offsets(spatial), offsets(temporal), ["img", "ref_y", "ref_x"])
 
 
 @query
@@ -674,7 +664,7 @@ def bm3d_novst(s, d):
 
 @query
 def vbm3d_vst(s, d):
-    return _r(denoise.vbm3d(src.frames16(s, d), 16, 16, A, B, patch=8, stride=4, radius=4, k=7), 6, "v")
+    return _r(denoise.vbm3d(src.frames16(s, d), 16, 16, A, B), 6, "v")
 
 
 @query
@@ -685,7 +675,7 @@ def bm3d_packed4(s, d):
 @query
 def collaborative_mean(s, d):
     raw = src.raw32(s, d)
-    found = match.match(raw, 32, 32, patch=5, stride=3, radius=6, k=4, distance=match.sad)
+    found = match.match(raw, 32, 32, patch=5, stride=3, radius=6, k=4, measure="sad")
     return _r(denoise.collaborative_mean(raw, found, 5), 6, "v")
 
 
@@ -717,11 +707,6 @@ def aknn_bm3d_raw(s, d):
     return denoise.aknn_bm3d_raw(src.raw32(s, d), 32, 32, A, B)
 
 
-# not registered: a run over all seven frames hasn't ended within 130 s yet
-def aknn_video_recursive(s, d):
-    return video.recursive(src.frames16(s, d), 16, 16, A, B)
-
-
 @query
 def noise_awgn(s, d):
     return noise.awgn(_normal(s, d), 0.05, seed=42)
@@ -734,4 +719,4 @@ def noise_poisson_gauss(s, d):
 
 @query
 def knn_recall(s, d):
-    return knn.recall(src.raw32(s, d), 32, 32, k=8, patch=5, step=2)
+    return knn.recall(src.raw32(s, d), 32, 32, k=8, patch=5, step=2, window=16)
