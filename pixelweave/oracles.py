@@ -1,6 +1,7 @@
 """SQL twins of the registered queries, for an independent engine on the same tables.
 
-Without a twin are the randomized searches, the noise and the denoising pipelines.
+Without a twin are the randomized searches and what is built on them, the noise, and two filters of
+grown rasters, which take SQL minutes; their smaller forms have twins.
 """
 
 from __future__ import annotations
@@ -113,9 +114,26 @@ def _tiles(height: int, width: int, block: tuple[int, int], overlap: int) -> str
 from {_starts(height, block[0], overlap)} a, {_starts(width, block[1], overlap)} b"""
 
 
-def _mirror(at: str, n: int, again: int) -> str:
+def _mirror(at: str, n: int | str, again: int) -> str:
     """Index beyond the border; `again` is 1 if the edge repeats."""
-    return f"case when {at} < 0 then -({at}) - {again} when {at} >= {n} then {2 * n - 2 + again} - ({at}) else {at} end"
+    return f"case when {at} < 0 then -({at}) - {again} when {at} >= {n} then 2 * {n} - {2 - again} - ({at}) else {at} end"
+
+
+def _axis(n: int | str, step: int = 1) -> str:
+    """Positions before n, which may be a subquery."""
+    return f"range(0, {n}, {step})" if isinstance(n, int) else f"(select unnest(range(0, cast({n} as bigint), {step})))"
+
+
+def _wide(source: str, n: int | str, margin: int, again: int) -> str:
+    """wide: a raster continued beyond its border, whose size may be a subquery."""
+    return f"""span as materialized (select s, {_mirror('s', n, again)} m from (select unnest(range({-margin}, cast({n} + {margin} as bigint))) s)),
+wide as materialized (select img, a.s y, b.s x, v from {source} r join span a on a.m = r.y join span b on b.m = r.x)"""
+
+
+def _near_wide(source: str, n: str, radius: int, again: int) -> str:
+    """`_near` of a raster whose size is a subquery."""
+    return f"""{_wide(source, n, radius, again)}, near as (select a.img, a.y, a.x, a.v, dy, dx, b.v nv from {source} a cross join range({-radius}, {radius + 1}) p(dy) cross join range({-radius}, {radius + 1}) q(dx)
+join wide b on b.img = a.img and b.y = a.y + dy and b.x = a.x + dx)"""
 
 
 def _near(source: str, n: int, radius: int, again: int | None) -> str:
@@ -134,11 +152,11 @@ _SSD = "r.n + c.n - 2 * list_inner_product(r.p, c.p)"
 _SAD = "list_sum([abs(z[1] - z[2]) for z in list_zip(r.p, c.p)])"
 
 
-def _pairs(source: str, n: int, patch: int, stride: int, radius: int, measure: str = _SSD, frames: int = 0) -> str:
+def _pairs(source: str, n: int | str, patch: int, stride: int, radius: int, measure: str = _SSD, frames: int = 0) -> str:
     """dist: distances of reference patches to the patches around them."""
-    last = n - patch
+    corners = _axis(n - patch + 1 if isinstance(n, int) else f"({n} - {patch - 1})")
     return f"""patches as materialized (select s.img, a.y, b.x, list(cast(s.v as double) order by s.y, s.x) p, cast(sum(s.v * s.v) as double) n from {source} s
-join range({last + 1}) a(y) on s.y >= a.y and s.y < a.y + {patch} join range({last + 1}) b(x) on s.x >= b.x and s.x < b.x + {patch} group by 1, 2, 3),
+join {corners} a(y) on s.y >= a.y and s.y < a.y + {patch} join {corners} b(x) on s.x >= b.x and s.x < b.x + {patch} group by 1, 2, 3),
 dist as materialized (select r.img, r.y ref_y, r.x ref_x, c.img t, c.y, c.x, cast({measure} as bigint) dist from patches r join patches c on c.img >= r.img - {frames} and c.img <= r.img + {frames}
 and abs(c.y - r.y) <= {radius} and abs(c.x - r.x) <= {radius} where r.y % {stride} = 0 and r.x % {stride} = 0)"""
 
@@ -298,23 +316,24 @@ f as (select img, y, x, sum(exp(-d) * nv) / sum(exp(-d)) v from t where d <= 5 g
 # collaborative filtering, from the search to the aggregation
 
 
-def _bm3d(noisy: str, raw: str, side: int, k: int, *, channels: int = 1, frames: int = 0, noise: bool = False, radius: int = 19) -> str:
+def _bm3d(noisy: str, raw: str, side: int | str, k: int, *, channels: int = 1, frames: int = 0, noise: bool = False, radius: int = 19) -> str:
     """filtered: `noisy` (img, y, x, v) after one stage of collaborative filtering, with groups found on a blur of `raw`.
 
     Channels of an image are images of their own, numbered img * channels + ch. Patches are 8 x 8, references 4 apart.
     """
-    c, last, ref = channels, side - 7, "img, ref_y, ref_x"
+    c, last, ref = channels, side - 7 if isinstance(side, int) else f"({side} - 7)", "img, ref_y, ref_x"
     limit, variance = ("sqrt(variance) * 2.7::double", "variance") if noise else ("2.7::double", "1.0::double")
     return f"""kern as (select * from (values (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) t(d, kw)),
+{_wide(raw, side, 2, 0)},
 guide as materialized (select m.img, m.y, m.x, cast(sum(p.kw * q.kw * b.v) as bigint) v from {raw} m cross join kern p cross join kern q
-join {raw} b on b.img = m.img and b.y = {_mirror('m.y + p.d', side, 0)} and b.x = {_mirror('m.x + q.d', side, 0)} group by 1, 2, 3),
+join wide b on b.img = m.img and b.y = m.y + p.d and b.x = m.x + q.d group by 1, 2, 3),
 patches as materialized (select s.img // {c} img, a.y, b.x, list(cast(s.v as double) order by s.img % {c}, s.y, s.x) p, cast(sum(s.v * s.v) as double) n from guide s
-join range({last}) a(y) on s.y >= a.y and s.y < a.y + 8 join range({last}) b(x) on s.x >= b.x and s.x < b.x + 8 group by 1, 2, 3),
+join {_axis(last)} a(y) on s.y >= a.y and s.y < a.y + 8 join {_axis(last)} b(x) on s.x >= b.x and s.x < b.x + 8 group by 1, 2, 3),
 dist as materialized (select r.img, r.y ref_y, r.x ref_x, c.img t, c.y, c.x, cast({_SSD} as bigint) dist from patches r join patches c on abs(c.img - r.img) <= {frames}
 and abs(c.y - r.y) <= {radius} and abs(c.x - r.x) <= {radius} where r.y % 4 = 0 and r.x % 4 = 0),
 nearest as (select *, row_number() over (partition by {ref} order by dist, t, y, x) rk from dist where not (y = ref_y and x = ref_x and t = img) qualify rk <= {k}),
 local as (select s.img // {c} img, a.y ref_y, b.x ref_x, greatest({A}::double * avg(s.v) + {B}::double, 1e-12) variance from {noisy} s
-join range(0, {last}, 4) a(y) on s.y >= a.y and s.y < a.y + 8 join range(0, {last}, 4) b(x) on s.x >= b.x and s.x < b.x + 8 group by 1, 2, 3),
+join {_axis(last, 4)} a(y) on s.y >= a.y and s.y < a.y + 8 join {_axis(last, 4)} b(x) on s.x >= b.x and s.x < b.x + 8 group by 1, 2, 3),
 sized as (select {ref}, count(*) + 1 size, any_value(variance) variance from nearest join local using ({ref}) group by {ref}),
 members as materialized (select {ref}, rk m, t, y, x from nearest union all select {ref}, 0, img, ref_y, ref_x from sized),
 basis as materialized (select n, k, i, case when k = 0 then sqrt(1.0::double / n) else sqrt(2.0::double / n) end * cos(pi() * (2 * i + 1) * k / (2.0::double * n)) f
@@ -345,3 +364,29 @@ ORACLE_SQL |= {
     "bm3d_packed4": f"""with {RAW}, {_CHANNELS}, {_bm3d('pstable', 'praw', 16, 16, channels=4)}
 select cast(img // 4 as int) img, cast(y * 2 + img % 4 // 2 as int) y, cast(x * 2 + img % 2 as int) x, round({_ASYM}, 6) v from filtered""",
 }
+
+
+# rasters that grow with the tables, and the frame before
+
+_SIDE = "(select n from side)"
+_GROWN = f"""side as (select min(n) n from (select 32 * cast(pow(2, e) as bigint) n from range(24) t(e)) where 10 * n * n >= (select count(*) from lineitem)),
+gcells as (select a.y, b.x from {_axis(_SIDE)} a(y), {_axis(_SIDE)} b(x)),
+gsums as (select l_orderkey % n y, (l_partkey * 7 + l_suppkey) % n x, cast(sum(l_quantity) * 9 as bigint) q from lineitem, side group by 1, 2),
+raw as materialized (select 0 img, cast(y as int) y, cast(x as int) x, cast({_SQ} as int) v from gcells left join gsums using (y, x)),
+normal as (select img, y, x, {_N01.format('v')} v from raw)"""
+_CLIPS = f"""ccells as (select s seq, i * (i + s) frame, y, x from range(3) d(s), range(1, 8) c(i), range(16) a(y), range(16) b(x)),
+csums as (select l_suppkey % 3 seq, l_linenumber * (l_linenumber + l_suppkey % 3) frame, l_orderkey % 16 y, l_partkey % 16 x, cast(sum(l_quantity) as bigint) q from lineitem group by 1, 2, 3, 4),
+clips as (select cast(seq as int) seq, cast(frame as int) frame, cast(y as int) y, cast(x as int) x, cast({_SQ} as int) v from ccells left join csums using (seq, frame, y, x))"""
+
+ORACLE_SQL |= {
+    "match_grown": f"with {_GROWN}, {_pairs('raw', _SIDE, 8, 4, 19)} {_best(8, _OTHER)}",
+    "bm3d_grown": f"with {_GROWN}, {_STABLE}, {_bm3d('stable', 'raw', _SIDE, 8)} select img, y, x, round({_BACK}, 6) v from filtered",
+    "yaroslavsky_grown": f"with {_GROWN}, {_near_wide('raw', _SIDE, 3, 1)}, t as (select *, exp(-(nv - v) * (nv - v) / 102400.0::double) w from near) select img, y, x, round({_WEIGHTED}, 6) v from t group by 1, 2, 3",
+    "temporal_matches": f"""with {_CLIPS}, prior as (select seq, frame, lag(frame) over (partition by seq order by frame) prior from (select distinct seq, frame from clips)),
+patches as materialized (select s.seq, s.frame, a.y, b.x, list(cast(s.v as double) order by s.y, s.x) p, cast(sum(s.v * s.v) as double) n from clips s
+join range(12) a(y) on s.y >= a.y and s.y < a.y + 5 join range(12) b(x) on s.x >= b.x and s.x < b.x + 5 group by 1, 2, 3, 4),
+dist as (select r.seq, r.frame, c.frame prior, r.y ref_y, r.x ref_x, c.y, c.x, cast({_SSD} as bigint) dist from patches r join prior q on q.seq = r.seq and q.frame = r.frame
+join patches c on c.seq = r.seq and c.frame = q.prior and abs(c.y - r.y) <= 4 and abs(c.x - r.x) <= 4 where r.y % 3 = 0 and r.x % 3 = 0)
+select seq, frame, prior "before", cast(ref_y as int) ref_y, cast(ref_x as int) ref_x, cast(rk as int) rk, dist, cast(y as int) y, cast(x as int) x
+from (select *, row_number() over (partition by seq, frame, ref_y, ref_x order by dist, y, x) rk from dist) where rk <= 3""",
+}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pixelweave.functions import kernels, scalars
 from pixelweave.operators import catalogue, knn, layout, match, metrics, stencil, transforms
-from pixelweave.plans import denoise
+from pixelweave.plans import denoise, video
 from pixelweave.sources import noise
 from pixelweave.sources import rasters as src
 
@@ -649,6 +649,40 @@ def coverage_fallback(s, d):
     return _r(transforms.covered(noisy, transforms.scatter(rows)), 6, "v")
 
 
+# pipelines on a raster that grows with the tables
+
+
+@query
+def match_grown(s, d):
+    raw, n = src.raw_grown(s, d)
+    return match.match(raw, n, n, patch=8, stride=4, radius=19, k=8)
+
+
+@query
+def bm3d_grown(s, d):
+    raw, n = src.raw_grown(s, d)
+    return _r(denoise.bm3d_vst(raw, n, n, A, B), 6, "v")
+
+
+@query
+def nlm_grown(s, d):
+    """The window and patch of the published runs."""
+    raw, n = src.raw_grown(s, d)
+    return _r(stencil.nlm(raw, n, n, h=240.0, patch_r=3, window_r=20, sigma=1.1), 6, "v")
+
+
+@query
+def bilateral_grown(s, d):
+    raw, n = src.raw_grown(s, d)
+    return _r(stencil.bilateral(raw, n, n, 7, 480.0, 4.0), 6, "v")
+
+
+@query
+def yaroslavsky_grown(s, d):
+    raw, n = src.raw_grown(s, d)
+    return _r(stencil.yaroslavsky(raw, n, n, 3, 320.0), 6, "v")
+
+
 # pipelines
 
 
@@ -707,6 +741,69 @@ def aknn_bm3d_raw(s, d):
     return denoise.aknn_bm3d_raw(src.raw32(s, d), 32, 32, A, B)
 
 
+@query
+def aknn_resampled(s, d):
+    """Starts drawn anew while they leave the tile."""
+    return knn.aknn(src.raw32(s, d), 32, 32, k=8, patch=7, step=1, turns=2, start="resampled", apart=False)
+
+
+@query
+def aknn_doubled(s, d):
+    """Twice as many starts as are kept."""
+    return knn.aknn(src.raw32(s, d), 32, 32, k=8, patch=7, step=2, turns=2, start="doubled", apart=False)
+
+
+@query
+def aknn_window_uniform(s, d):
+    """Uniform starts in a window, none twice."""
+    return knn.aknn(src.raw32(s, d), 32, 32, k=8, patch=7, step=1, turns=2, window=16, start="window", apart=False)
+
+
+def _best_only(s: SparkSession, d: str) -> DataFrame:
+    return knn.aknn(src.raw32(s, d), 32, 32, k=8, patch=7, step=1, turns=4, window=30, start="window", measure="sad", best_only=True, apart=False)
+
+
+@query
+def aknn_best_only(s, d):
+    """Absolute differences; neighbours pass on their best offset only, and the search radius shrinks."""
+    return _best_only(s, d)
+
+
+@query
+def aknn_mean(s, d):
+    """Each pixel as the mean of the pixels that the lean search finds for it."""
+    found = _best_only(s, d)
+    near = found.select("img", F.col("y").alias("at_y"), F.col("x").alias("at_x"), (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"))
+    return near.join(src.raw32(s, d), ["img", "y", "x"]).groupBy("img", F.col("at_y").alias("y"), F.col("at_x").alias("x")).agg(F.avg("v").alias("v"))
+
+
+@query
+def aknn_raw_guided(s, d):
+    """A mosaic searched on one green channel."""
+    return denoise.aknn_bm3d_raw(src.raw32(s, d), 32, 32, A, B, guide="first")
+
+
+@query
+def temporal_matches(s, d):
+    """Nearest patches in the last frame that exists before each frame."""
+    return video.temporal_matches(src.clips16(s, d), ["seq"], 16, 16, patch=5, stride=3, radius=4, k=3)
+
+
+@query
+def aknn_video_recursive(s, d):
+    """Three sequences with gaps, filtered frame by frame."""
+    return video.recursive(src.clips16(s, d), ["seq"], 16, 16, A, B, patch=5, step=2, tile=12, overlap=4)
+
+
+@query
+def aknn_video_raw(s, d):
+    """The same on mosaics: four channels share the groups that one guide finds."""
+    clips = src.clips16(s, d)
+    y, x = F.col("y"), F.col("x")
+    packed = clips.select("seq", "frame", (y % 2 * 2 + x % 2).cast("int").alias("ch"), F.floor(y / 2).cast("int").alias("y"), F.floor(x / 2).cast("int").alias("x"), "v")
+    return video.recursive(packed, ["seq"], 8, 8, A, B, channels=4, guide="first", patch=3, step=1, tile=6, overlap=2)
+
+
 @query
 def noise_awgn(s, d):
     return noise.awgn(_normal(s, d), 0.05, seed=42)

@@ -55,6 +55,35 @@ def stacks16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_raw(sums, cells, ["scene", "img", "y", "x"])
 
 
+def clips16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sequences of seven frames, 16 x 16: (seq, frame, y, x, v). Frame numbers have gaps, and each sequence its own."""
+    seq = (F.col("l_suppkey") % 3).cast("int")
+    at = [
+        seq.alias("seq"), (F.col("l_linenumber") * (F.col("l_linenumber") + seq)).cast("int").alias("frame"),
+        (F.col("l_orderkey") % 16).cast("int").alias("y"), (F.col("l_partkey") % 16).cast("int").alias("x"),
+    ]
+    sums = table(spark, sf_dir, "lineitem").groupBy(*at).agg(F.sum("l_quantity").cast("long").alias("q"))
+    cells = grid(spark, 16, 16).select("y", "x", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("seq"))
+    cells = cells.select("seq", F.explode(F.transform(F.sequence(F.lit(1), F.lit(7)), lambda n: n * (n + F.col("seq")))).alias("frame"), "y", "x")
+    return dense_raw(sums, cells, ["seq", "frame", "y", "x"])
+
+
+def side(spark: SparkSession, sf_dir: str) -> int:
+    """The side of a square raster with about ten sold items a pixel: a power of two, at least 32, that grows with the tables."""
+    rows, n = table(spark, sf_dir, "lineitem").count(), 32  # one number
+    while 10 * n * n < rows:
+        n *= 2
+    return n
+
+
+def raw_grown(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """One sensor image whose side grows with the tables, and that side."""
+    n = side(spark, sf_dir)
+    at = [F.pmod(F.col("l_orderkey"), F.lit(n)).cast("int").alias("y"), F.pmod(F.col("l_partkey") * 7 + F.col("l_suppkey"), F.lit(n)).cast("int").alias("x")]
+    sums = table(spark, sf_dir, "lineitem").groupBy(*at).agg((F.sum("l_quantity") * 9).cast("long").alias("q"))
+    return dense_raw(sums, grid(spark, n, n), ["y", "x"]).select(F.lit(0).alias("img"), "y", "x", "v"), n
+
+
 def emb_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Real-valued raster: one row of pixels for each vector."""
     e = table(spark, sf_dir, "embeddings")
