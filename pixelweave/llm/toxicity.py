@@ -13,53 +13,77 @@ from pixelweave.llm._common import crc_mod, ids_only, map_arrow, mixed, table, t
 
 LENGTH, STEP = 32, 16  # words of a window; windows overlap by half
 HIDDEN = 8
-CHARS = 4  # characters (bytes) at a word's start, and at its end, each an input of its own
-BUCKETS = {"word": (1 << 14, 8)} | {f"char_{k}": (256, 2) for k in range(2 * CHARS)}  # rows and width of the embeddings
-INPUTS = len(BUCKETS)
+#: Rows and width of the embeddings: of words, and of a word's characters with one and with two neighbours on each side.
+BUCKETS = {"word": (1 << 14, 8), "three": (1 << 13, 8), "five": (1 << 15, 8)}
+WIDTH = sum(w for _, w in BUCKETS.values())
 SAMPLE = 2000  # toxic documents that the network learns from, about; twice as many others
+WINDOWS = 64  # windows of one document that it learns from at most, spread evenly; scores read all
 HELD_OUT = 5  # crc32(id) mod 5 = 0 is never learned from
-_K, _K_INV, _U = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64), np.uint64
+_U = np.uint64
 
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-LETTER = np.zeros(256, bool)
-LETTER[48:58] = LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 
+def _hashed(*codes: np.ndarray) -> np.ndarray:
+    out = np.zeros(codes[0].shape, _U)
+    for c in codes:
+        out = mixed(out ^ (c.astype(_U) + _U(1)))
+    return out
 
-def word_inputs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each word: its bucket, its first and its last characters; and the number of words of each text.
 
-    A word is a longest run of ASCII letters and digits and bytes from 128 on, in lower case. A
-    word shorter than CHARS has zeros in the place of the characters that it lacks.
+@dataclass
+class Words:
+    """The words of some texts: `token` names each one's place among the distinct words, `per_text` counts them.
+
+    A distinct word has a bucket, and for each of its characters the buckets of the character with its
+    neighbours: those of word k are at `start[k]` to `start[k + 1]`.
     """
-    n = len(data)
-    if not n:
-        return np.empty((0, INPUTS), np.int32), np.zeros(len(offsets) - 1, np.int64)
-    solid = LETTER[data]
+
+    token: np.ndarray
+    per_text: np.ndarray
+    word: np.ndarray
+    start: np.ndarray
+    three: np.ndarray
+    five: np.ndarray
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """Words of texts in UTF-8: longest runs of ASCII letters and digits and characters from 128 on, in lower case (ASCII and Latin-1)."""
+    code = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), "<u4").astype(np.int64)
+    place = np.append(0, np.cumsum((data & 0xC0) != 0x80))[offsets]  # the texts' first characters
+    upper = (code >= 65) & (code <= 90) | (code >= 0xC0) & (code <= 0xDE) & (code != 0xD7)
+    code = code + 32 * upper
+    solid = (code >= 48) & (code <= 57) | (code >= 97) & (code <= 122) | (code >= 128)
+    n = len(code)
     begin, last = solid.copy(), solid.copy()
     begin[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]
-    edge = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < n)]
+    edge = place[1:-1][(place[1:-1] > 0) & (place[1:-1] < n)]
     begin[edge] |= solid[edge]
     last[edge - 1] |= solid[edge - 1]
     s, e = np.flatnonzero(begin), np.flatnonzero(last) + 1
-    with np.errstate(over="ignore"):
-        power = np.full(n + 1, _K, _U)
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
-        sums = np.zeros(n + 1, _U)
-        np.cumsum((LOWER[data].astype(_U) + _U(1)) * power[:n], out=sums[1:])
-        inverse = np.full(n + 1, _K_INV, _U)
-        inverse[0] = 1
-        np.multiply.accumulate(inverse, out=inverse)
-        out = [(mixed((sums[e] - sums[s]) * inverse[s]) >> _U(64 - int(np.log2(BUCKETS["word"][0])))).astype(np.int32)]
-    low = LOWER[data]
-    for k in range(CHARS):
-        out.append(np.where(s + k < e, low[np.minimum(s + k, n - 1)], 0).astype(np.int32))
-    for k in range(1, CHARS + 1):
-        out.append(np.where(e - k >= s, low[np.maximum(e - k, 0)], 0).astype(np.int32))
-    doc = np.searchsorted(offsets, s, side="right") - 1
-    return np.stack(out, axis=1), np.bincount(doc, minlength=len(offsets) - 1)
+    per_text = np.bincount(np.searchsorted(place, s, side="right") - 1, minlength=len(offsets) - 1)
+    size = e - s
+    at = np.repeat(s - np.cumsum(size) + size, size) + np.arange(size.sum())  # the words' characters
+    first, end = np.repeat(s, size), np.repeat(e, size)
+    near = [np.where((at + d >= first) & (at + d < end), code[np.clip(at + d, 0, max(n - 1, 0))], 0) if n else at for d in (-2, -1, 0, 1, 2)]
+    begins = np.cumsum(size) - size
+    own = _hashed(near[2], at - first)
+    whole = np.add.reduceat(own, begins) if len(s) else own  # sums of hashes of characters and their places
+    _, one, token = np.unique(whole, return_index=True, return_inverse=True)
+    start = np.append(0, np.cumsum(size[one]))
+    chars = np.repeat(begins[one] - start[:-1], size[one]) + np.arange(start[-1])
+    bits = {k: _U(64 - int(np.log2(rows))) for k, (rows, _) in BUCKETS.items()}
+    three, five = (_hashed(*(c[chars] for c in near[2 - r : 3 + r])) >> bits[k] for k, r in (("three", 1), ("five", 2)))
+    return Words(token.astype(np.int64), per_text, (mixed(whole[one]) >> bits["word"]).astype(np.int64), start, three.astype(np.int64), five.astype(np.int64))
+
+
+def joined(parts: list[Words]) -> Words:
+    """The words of all texts; distinct ones stay distinct within each part."""
+    shift = np.cumsum([0, *(len(p.word) for p in parts)])
+    chars = np.cumsum([0, *(len(p.three) for p in parts)])
+    return Words(
+        np.concatenate([p.token + k for p, k in zip(parts, shift, strict=False)]), np.concatenate([p.per_text for p in parts]), np.concatenate([p.word for p in parts]),
+        np.append(np.concatenate([p.start[:-1] + k for p, k in zip(parts, chars, strict=False)]), chars[-1]), np.concatenate([p.three for p in parts]), np.concatenate([p.five for p in parts]),
+    )
 
 
 def windows_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,8 +105,15 @@ class Gru:
 
     p: dict[str, np.ndarray]
 
-    def inputs(self, buckets: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.p[k][buckets[..., i]] for i, k in enumerate(BUCKETS)], axis=-1)
+    def vectors(self, of: Words, some: np.ndarray) -> np.ndarray:
+        """Inputs of these distinct words: the word's embedding, and the means of its characters' embeddings; last, a row of zeros for no word."""
+        out = np.zeros((len(some) + 1, WIDTH), np.float32)
+        if len(some):
+            chars, cut, size = _characters(of, some)
+            out[:-1, :8] = self.p["word"][of.word[some]]
+            for k, (name, buckets) in enumerate((("three", of.three), ("five", of.five)), 1):
+                out[:-1, 8 * k : 8 * k + 8] = np.add.reduceat(self.p[name][buckets[chars]], cut, axis=0) / size[:, None]
+        return out
 
     def run(self, proj: np.ndarray, mask: np.ndarray, way: str, trace: list | None = None) -> np.ndarray:
         """States of one direction; proj: (time, windows, 3 * HIDDEN), mask: (time, windows)."""
@@ -112,15 +143,19 @@ class Gru:
         pool, _ = self.pooled(states, mask)
         return _sigmoid(pool @ self.p["out"] + self.p["out_bias"][0])
 
-    def gradient(self, buckets: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the weighted cross entropy. buckets: (time, windows, INPUTS)."""
+    def gradient(self, of: Words, tokens: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """The weighted cross entropy and its gradient. tokens: (time, windows)."""
         p = self.p
-        x, g = self.inputs(buckets), {k: np.zeros_like(v) for k, v in p.items()}
+        some, place = np.unique(tokens, return_inverse=True)
+        place = place.reshape(tokens.shape)
+        x, g = self.vectors(of, some)[np.where(mask > 0, place, len(some))], {k: np.zeros_like(v) for k, v in p.items()}
         traces: dict[str, list] = {"f": [], "b": []}
         states = np.concatenate([self.run(x @ p[f"w_{k}"] + p[f"b_{k}"], mask, k, traces[k]) for k in "fb"], axis=2)
         pool, a = self.pooled(states, mask)
-        d = ((_sigmoid(pool @ p["out"] + p["out_bias"][0]) - y) * weight).astype(np.float32)
-        g["out"], g["out_bias"] = pool.T @ d, np.array([d.sum()], np.float32)
+        chance = _sigmoid(pool @ p["out"] + p["out_bias"][0])
+        loss = -float((weight * np.log(np.where(y > 0, chance, 1 - chance) + 1e-7)).sum())
+        d = ((chance - y) * weight).astype(p["out"].dtype)
+        g["out"], g["out_bias"] = pool.T @ d, np.array([d.sum()], p["out"].dtype)
         d_pool = d[:, None] * p["out"]
         d_a = np.einsum("wh,twh->tw", d_pool, states)
         d_e = a * (d_a - (a * d_a).sum(axis=0))
@@ -143,84 +178,84 @@ class Gru:
                 g[f"u_{way}"][:, 2 * HIDDEN :] += (r * h).T @ d_c
                 d_x[t] += d_g @ p[f"w_{way}"].T
                 d_h = d_h * (1 - on * z) + d_rh * r + d_g[:, : 2 * HIDDEN] @ u[:, : 2 * HIDDEN].T
-        at = 0
-        for i, (k, (_, width)) in enumerate(BUCKETS.items()):
-            np.add.at(g[k], buckets[..., i], d_x[..., at : at + width] * mask[:, :, None])
-            at += width
-        return g
+        back = _summed(len(some) + 1, np.where(mask > 0, place, len(some)).ravel(), (d_x * mask[:, :, None]).reshape(-1, WIDTH))
+        chars, cut, size = _characters(of, some)
+        g["word"] = _summed(len(p["word"]), of.word[some], back[:-1, :8])
+        for k, (name, buckets) in enumerate((("three", of.three), ("five", of.five)), 1):
+            g[name] = _summed(len(p[name]), buckets[chars], np.repeat(back[:-1, 8 * k : 8 * k + 8] / size[:, None], size, axis=0))
+        return loss, g
+
+
+def _summed(rows: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """A table with so many rows, the values added up in the rows that they name."""
+    return np.stack([np.bincount(at, v, rows) for v in values.T], axis=1)
 
 
-def _started(docs: list[np.ndarray], y: np.ndarray, seed: int) -> dict[str, np.ndarray]:
-    """First weights. The first column of each embedding starts at how much likelier a bucket is in toxic documents."""
+def _characters(of: Words, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the characters of these words are, where each word's begin among them, and how many it has."""
+    size = of.start[some + 1] - of.start[some]
+    cut = np.cumsum(size) - size
+    return np.repeat(of.start[some] - cut, size) + np.arange(size.sum()), cut, size
+
+
+def started(seed: int, kind: type = np.float32) -> Gru:
+    """Small random first weights."""
     rng = np.random.default_rng(seed)
-    width = sum(w for _, w in BUCKETS.values())
-    p = {}
-    for i, (k, (rows, w)) in enumerate(BUCKETS.items()):
-        hits = np.zeros((2, rows))
-        for b, toxic in zip(docs, y, strict=True):
-            hits[int(toxic), np.unique(b[:, i])] += 1
-        share = (hits + 4) / np.array([[(y == 0).sum() + 8], [(y == 1).sum() + 8]])
-        p[k] = rng.normal(0, 0.05, (rows, w))
-        odds = np.log(share[1] / share[0])
-        p[k][:, 0] = np.clip(odds - np.median(odds), -3, 3) * 0.5
+    p = {k: rng.normal(0, 0.1, shape) for k, shape in BUCKETS.items()}
     for way in "fb":
-        p[f"w_{way}"] = rng.normal(0, 0.3, (width, 3 * HIDDEN))
-        p[f"u_{way}"] = rng.normal(0, 0.3, (HIDDEN, 3 * HIDDEN))
-        p[f"b_{way}"] = np.zeros(3 * HIDDEN)
-    return p | {"attend": rng.normal(0, 0.3, 2 * HIDDEN), "out": rng.normal(0, 0.3, 2 * HIDDEN), "out_bias": np.zeros(1)}
+        p |= {f"w_{way}": rng.normal(0, 0.3, (WIDTH, 3 * HIDDEN)), f"u_{way}": rng.normal(0, 0.3, (HIDDEN, 3 * HIDDEN)), f"b_{way}": np.zeros(3 * HIDDEN)}
+    p |= {"attend": rng.normal(0, 0.3, 2 * HIDDEN), "out": rng.normal(0, 0.3, 2 * HIDDEN), "out_bias": np.zeros(1)}
+    return Gru({k: np.asarray(v, kind) for k, v in p.items()})
 
 
-def fitted(docs: list[np.ndarray], y: np.ndarray, *, rounds: int = 3, steps: int = 150, batch: int = 128, seed: int = 11) -> Gru:
-    """Learn from documents' buckets and labels.
+def fitted(of: Words, y: np.ndarray, *, rounds: int = 12, steps: int = 100, batch: int = 128, rate: float = 0.01, flat: float = 0.02, seed: int = 11) -> Gru:
+    """Learn from documents' words and labels, until the loss is flat: no longer falls by a share of `flat` in a round, `rounds` at most.
 
-    A label holds for a document, a score for a window: each round learns from the window of a
-    toxic document that scores highest so far (at first: by bucket odds), and from random and
-    highest windows of the other documents.
+    A label holds for a document, a score for a window. The first round learns from any windows of
+    toxic documents; from then on, those that score highest so far count, more and more of them
+    the highest of its document. Of the other documents random and highest windows are taken.
     """
-    rng = np.random.default_rng(seed + 1)
-    net = Gru({k: np.asarray(v, np.float32) for k, v in _started(docs, y, seed).items()})
+    rng, net = np.random.default_rng(seed + 1), started(seed)
     m, v = ({k: np.zeros_like(x) for k, x in net.p.items()} for _ in range(2))
-    words = np.array([len(b) for b in docs])
-    flat = np.concatenate([*docs, np.zeros((LENGTH, INPUTS), np.int32)])
-    begin, count, doc = windows_of(words)
-    toxic, step = y[doc] == 1, 0
-    cell = lambda i: (flat[begin[i][None, :] + np.arange(LENGTH)[:, None]], (np.arange(LENGTH)[:, None] < count[i]).astype(np.float32))
+    token = np.append(of.token, np.zeros(LENGTH, np.int64))
+    begin, count, doc = windows_of(of.per_text)
+    nth, of_doc = np.arange(len(doc)) - np.searchsorted(doc, doc), np.maximum(np.bincount(doc)[doc], WINDOWS)
+    even = nth * WINDOWS // of_doc != (nth - 1) * WINDOWS // of_doc
+    begin, count, doc = begin[even], count[even], doc[even]
+    cell = lambda i: (token[begin[i][None, :] + np.arange(LENGTH)[:, None]], (np.arange(LENGTH)[:, None] < count[i]).astype(np.float32))
+    toxic, step, before = y[doc] == 1, 0, np.inf
+    if not toxic.any() or toxic.all():
+        return net
+    score = rng.random(len(doc))
     for turn in range(rounds):
         if turn:
-            score = np.concatenate([net.probability(net.inputs(cell(c)[0]), cell(c)[1]) for c in np.array_split(np.arange(len(doc)), max(1, len(doc) // 2048))])
-        else:
-            odds = sum(net.p[k][flat[:, i], 0] for i, k in enumerate(BUCKETS))
-            score = np.array([odds[b : b + n].max(initial=-9) for b, n in zip(begin, count, strict=True)])
+            every = net.vectors(of, np.arange(len(of.word)))
+            score = np.concatenate([net.probability(every[np.where(k > 0, t, -1)], k) for t, k in map(cell, np.array_split(np.arange(len(doc)), 1 + len(doc) // 1024))])
         order = np.lexsort((-score, doc))
-        top = order[np.append(True, doc[order][1:] != doc[order][:-1])]
-        pos, hard, easy = top[toxic[top]], top[~toxic[top]], np.flatnonzero(~toxic)
-        if not len(pos) or not len(easy):
-            break
+        place = np.arange(len(doc)) - np.searchsorted(doc[order], doc[order])
+        keep = max(1, 8 >> turn)  # windows of each toxic document
+        pos, hard, easy = order[toxic[order] & (place < keep)], order[~toxic[order] & (place == 0)], np.flatnonzero(~toxic)
+        total = 0.0
         for _ in range(steps):
             step += 1
             i = np.concatenate([rng.choice(pos, batch // 2), rng.choice(hard, batch // 4), rng.choice(easy, batch - batch // 2 - batch // 4)])
-            b, mask = cell(i)
-            g = net.gradient(b, mask, toxic[i].astype(np.float32), np.full(len(i), 1 / len(i), np.float32))
-            rate = 0.01 * min(1.0, 2 * (1 - (step - 1) / (rounds * steps)))
+            t, mask = cell(i)
+            loss, g = net.gradient(of, t, mask, toxic[i].astype(np.float32), np.full(len(i), 1 / len(i), np.float32))
+            total += loss / steps
             for k in net.p:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
                 v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
                 net.p[k] = (net.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        if turn > 3 and total > before * (1 - flat):
+            break
+        before = total
     return net
 
 
-def _sampled(batch: pa.RecordBatch) -> pa.RecordBatch:
-    data, offsets = text_bytes(batch.column("text"))
-    buckets, words = word_inputs(data, offsets)
-    cut = np.append(0, np.cumsum(words))
-    out = pa.array([buckets[s:e].astype("<u2").tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
-    return pa.RecordBatch.from_arrays([batch.column("h"), batch.column("toxic"), out], names=["h", "toxic", "buckets"])
-
-
 def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE) -> Gru | None:
     """Learn from up to `sample` toxic documents and twice as many others, outside the held-out fold.
 
-    They are the first ones in the order of a hash of the id, and all their words reach the driver.
+    They are the first ones in the order of a hash of the id, and their texts reach the driver.
     An id with several labels counts as toxic if one says so; null ids and labels are left out.
     None if there is no document of either label.
     """
@@ -229,28 +264,26 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     first = lambda label, n: marks.where(F.col("toxic") == label).orderBy(F.xxhash64("id"), "id").limit(n)
     chosen = first(1, sample).unionByName(first(0, 2 * sample))
     rows = ids_only(docs, id=doc_id, text=text).join(F.broadcast(chosen), "id")  # at most 3 * sample marks
-    got = map_arrow(rows.select(F.xxhash64("id").alias("h"), "toxic", "text"), _sampled, "h long, toxic int, buckets binary").collect()
-    got.sort(key=lambda r: (r["h"], bytes(r["buckets"])))
+    got = rows.select(F.xxhash64("id").alias("h"), "toxic", F.coalesce("text", F.lit("")).alias("text")).collect()
+    got.sort(key=lambda r: (r["h"], r["text"]))
     y = np.array([r["toxic"] for r in got])
     if len(set(y.tolist())) < 2:
         return None
-    return fitted([np.frombuffer(bytes(r["buckets"]), "<u2").reshape(-1, INPUTS).astype(np.int32) for r in got], y)
+    return fitted(words_of(*text_bytes(pa.array([r["text"] for r in got], pa.large_string()))), y)
 
 
 def _scorer(shared, text: str):
     def score(batch: pa.RecordBatch) -> list[pa.Array]:
         net = shared.value
-        data, offsets = text_bytes(batch.column(text))
-        best = np.zeros(batch.num_rows)
-        buckets, words = word_inputs(data, offsets)
-        flat = np.concatenate([buckets, np.zeros((LENGTH, INPUTS), np.int32)])
-        begin, count, doc = windows_of(words)
+        of = words_of(*text_bytes(batch.column(text)))
+        best, every = np.zeros(batch.num_rows), net.vectors(of, np.arange(len(of.word)))
+        token = np.append(of.token, np.full(LENGTH, -1))
+        begin, count, doc = windows_of(of.per_text)
         for s in range(0, len(doc), 1024):
             b, n = begin[s : s + 1024], count[s : s + 1024]
-            lo, hi = b[0], b[-1] + LENGTH  # each word is looked up once for the windows that share it
-            x = net.inputs(flat[lo:hi])[b[None, :] - lo + np.arange(LENGTH)[:, None]]
-            p = net.probability(x, (np.arange(LENGTH)[:, None] < n).astype(np.float32))
-            np.maximum.at(best, doc[s : s + 1024], p)
+            mask = np.arange(LENGTH)[:, None] < n
+            x = every[np.where(mask, token[b[None, :] + np.arange(LENGTH)[:, None]], -1)]
+            np.maximum.at(best, doc[s : s + 1024], net.probability(x, mask.astype(np.float32)))
         return [pa.array(np.clip(best, 0, 1))]
 
     return score

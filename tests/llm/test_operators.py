@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,7 +153,37 @@ def test_toxicity_held_out(spark):
     many = SF.replace("sf0.001", "sf0.1")
     got = toxicity.op10_toxicity(spark, many).join(spark.read.parquet(f"{many}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out").collect()
     toxic, clean = ([r["predicted"] for r in got if r["toxic"] == k] for k in (1, 0))
-    assert np.mean(toxic) >= 0.6 and np.mean(clean) <= 0.05
+    assert np.mean(toxic) >= 0.8 and np.mean(clean) <= 0.01
+
+
+def test_toxicity_gradient():
+    """The gradient of the loss against differences, for every kind of weight."""
+    texts = ["Ünder the bridge a fox, çé!", "", "one twö three four five six seven", "x", "a b c d e f g"]
+    of = toxicity.words_of(*_common.text_bytes(pa.array(texts)))
+    assert of.per_text.tolist() == [6, 0, 7, 1, 7]
+    net = toxicity.started(3, np.float64)
+    begin, count, doc = toxicity.windows_of(of.per_text)
+    token = np.append(of.token, np.zeros(toxicity.LENGTH, int))
+    t, mask = token[begin[None, :] + np.arange(toxicity.LENGTH)[:, None]], (np.arange(toxicity.LENGTH)[:, None] < count).astype(float)
+    y, weight = np.array([1.0, 0.0, 0.0, 1.0, 1.0]), np.array([0.2, 0.1, 0.3, 0.2, 0.2])
+    _, g = net.gradient(of, t, mask, y, weight)
+    for name in net.p:
+        at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
+        was, ends = net.p[name][at], []
+        for step in (1e-4, -1e-4):
+            net.p[name][at] = was + step
+            ends.append(net.gradient(of, t, mask, y, weight)[0])
+        net.p[name][at] = was
+        assert (ends[0] - ends[1]) / 2e-4 == pytest.approx(g[name][at], rel=2e-2, abs=2e-5), name
+
+
+def test_toxicity_reads_every_character():
+    """Words that differ in one character in the middle, or in case only, get different, or the same, inputs."""
+    of = toxicity.words_of(*_common.text_bytes(pa.array(["extraordinarily extraoädinarily EXTRAORDINARILY ÄB äb"])))
+    net = toxicity.started(1)
+    x = net.vectors(of, np.arange(len(of.word)))[of.token]
+    assert not np.allclose(x[0], x[1]) and not np.allclose(x[0, 8:], x[1, 8:])
+    assert np.allclose(x[0], x[2]) and np.allclose(x[3], x[4])
 
 
 def test_language_and_toxicity_edges(docs, empty, spark):
