@@ -208,8 +208,8 @@ def started(seed: int, kind: type = np.float32) -> Gru:
     return Gru({k: np.asarray(v, kind) for k, v in p.items()})
 
 
-def fitted(of: Words, y: np.ndarray, *, rounds: int = 12, steps: int = 100, batch: int = 128, rate: float = 0.01, flat: float = 0.02, seed: int = 11) -> Gru:
-    """Learn from documents' words and labels, until the loss is flat: no longer falls by a share of `flat` in a round, `rounds` at most.
+def fitted(of: Words, y: np.ndarray, *, rounds: int = 20, steps: int = 60, batch: int = 128, rate: float = 0.01, learnt: float = 0.005, flat: float = 0.02, seed: int = 11) -> Gru:
+    """Learn from documents' words and labels, until a round's mean loss is under `learnt` or no longer falls by a share of `flat`; `rounds` at most.
 
     A label holds for a document, a score for a window. The first round learns from any windows of
     toxic documents; from then on, those that score highest so far count, more and more of them
@@ -246,7 +246,7 @@ def fitted(of: Words, y: np.ndarray, *, rounds: int = 12, steps: int = 100, batc
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
                 v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
                 net.p[k] = (net.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-        if turn > 3 and total > before * (1 - flat):
+        if turn > 3 and (total < learnt or total > before * (1 - flat)):
             break
         before = total
     return net
