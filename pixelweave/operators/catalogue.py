@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pixelweave.operators import ranks
+
 KEYS = ["scene", "iso", "frame"]
 
 
@@ -56,8 +58,15 @@ def filtered(rows: DataFrame, **equal: object) -> DataFrame:
 
 
 def by_position(left: DataFrame, right: DataFrame, group: str, order: str) -> DataFrame:
-    """Pair the sorted rows of two tables within a group by their position; the left ones stay."""
-    ranked = lambda df, name: df.select(group, F.row_number().over(Window.partitionBy(group).orderBy(order)).alias("pos"), F.col(order).alias(name))
+    """Pair the sorted rows of two tables within a group by their position; the left ones stay.
+
+    Positions are global ranks, so a group may be as large as the table.
+    """
+
+    def ranked(df: DataFrame, name: str) -> DataFrame:
+        placed = ranks.before(df.select(group, order), [group], [order], "pos")
+        return placed.select(group, (F.col("pos") + 1).cast("int").alias("pos"), F.col(order).alias(name))
+
     return ranked(left, "left_item").join(ranked(right, "right_item"), [group, "pos"], "left")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelweave.operators import ranks
 from pixelweave.operators.stencil import window_means
 
 
@@ -39,12 +40,17 @@ def pixel_statistics(df: DataFrame, black: float, keys: tuple[str, ...] = ()) ->
     return df.groupBy(*keys, "y", "x").agg(F.avg(v).alias("m"), F.var_samp(v).alias("var"))
 
 
+def mean_bounds(stats: DataFrame, keys: list[str]) -> DataFrame:
+    """The 5th and 95th percentile of the pixels' means, the lower one not below zero: (keys, lo, hi)."""
+    q = ranks.percentiles(stats, keys, "m", ["y", "x"], [0.05, 0.95])
+    return q.groupBy(*keys).agg(F.greatest(F.max(F.when(F.col("p") < 0.5, F.col("m"))), F.lit(0.0)).alias("lo"), F.max(F.when(F.col("p") > 0.5, F.col("m"))).alias("hi"))
+
+
 def calibration(stacks: DataFrame, black: float, peak: float, keys: tuple[str, ...], least: int = 100) -> DataFrame:
     """For each stack of repeated images: gain a and offset b of its noise, as by `noise_fit`, and the mean PSNR of its
     images against their mean, rounded down. Rows of (keys, img, y, x, v)."""
     stats = pixel_statistics(stacks, black, keys)
-    q = F.percentile("m", F.array(F.lit(0.05), F.lit(0.95)))
-    bounds = stats.groupBy(*keys).agg(q.alias("q")).select(*keys, F.greatest(F.col("q")[0], F.lit(0.0)).alias("lo"), F.col("q")[1].alias("hi"))
+    bounds = mean_bounds(stats, list(keys))
     used, enough = stats.join(bounds, list(keys)).where("m >= lo and m <= hi and var >= 0"), F.count("*") >= least
     fit = used.groupBy(*keys).agg(
         F.count("*").alias("n"), F.when(enough, F.regr_slope("var", "m")).alias("a"), F.when(enough, F.regr_intercept("var", "m")).alias("b")
@@ -57,10 +63,9 @@ def calibration(stacks: DataFrame, black: float, peak: float, keys: tuple[str, .
 def noise_fit(stats: DataFrame, least: int = 100) -> DataFrame:
     """Gain a and offset b of var = a * mean + b, over pixels between the 5th and 95th percentile of the mean.
 
-    Null if fewer than `least` pixels remain. The bounds are one broadcast row.
+    Null if fewer than `least` pixels remain. The bounds are one row.
     """
-    q = stats.agg(F.percentile("m", F.array(F.lit(0.05), F.lit(0.95))).alias("q")).select(F.greatest(F.col("q")[0], F.lit(0.0)).alias("lo"), F.col("q")[1].alias("hi"))
-    used = stats.crossJoin(F.broadcast(q)).where("m >= lo and m <= hi and var >= 0")
+    used = stats.crossJoin(F.broadcast(mean_bounds(stats, []))).where("m >= lo and m <= hi and var >= 0")
     enough = F.count("*") >= least
     return used.agg(
         F.count("*").alias("n"), F.when(enough, F.regr_slope("var", "m")).alias("a"), F.when(enough, F.regr_intercept("var", "m")).alias("b")

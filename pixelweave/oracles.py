@@ -6,6 +6,8 @@ grown rasters, which take SQL minutes; their smaller forms have twins.
 
 from __future__ import annotations
 
+from pixelweave.functions import streams
+
 _SQ = "240 + coalesce(q, 0) % 3856"
 RAW = f"""cells as (select y, x from range(32) a(y), range(32) b(x)),
 sums as (select l_orderkey % 32 y, l_partkey % 32 x, cast(sum(l_quantity) as bigint) q from lineitem group by 1, 2),
@@ -55,7 +57,7 @@ ORACLE_SQL: dict[str, str] = {
     "vst_inverse_alg": f"with {RAW}, s as (select img, y, x, {_stable(A, B)} d from normal) select img, y, x, round({A}::double * (d * d / 4 - 0.375 - {B}::double / ({A}::double * {A}::double)), 6) v from s",
     "quantize_u16": f"with {RAW} select img, y, x, cast(floor(least(greatest(round(v * 0.9::double, 9) * 3855 + 240, 0), 4095)) as int) v from normal",
     "quantize_u8": f"with {RAW} select img, y, x, {_u8('v * 255.0::double / 4095.0::double')} cut, {_near('v * 255.0::double / 4095.0::double')} near, cast(v // 256 as int) high from raw",
-    "param_units": f"with {PARAMS} select event_id, round(a / 3855.0::double, 9) a_norm, round(greatest(b, 0) / (3855.0::double * 3855), 9) b_var, round(sqrt(greatest(b, 0)) / 3855.0::double, 9) b_std from params where a > 0",
+    "param_units": f"with {PARAMS} select event_id, round(a / 3855.0::double, 9) a_norm, round(greatest(b, 0) / (3855.0::double * 3855), 9) b_var, round(sqrt(greatest(b, 0)) / 3855.0::double, 9) b_std from params",
     "srgb_gamma": f"with {RAW} select img, y, x, round(case when v <= 0.0031308 then v * 12.92::double else pow(v, 1 / 2.4::double) * 1.055::double - 0.055::double end, 6) v from normal",
     "ycrcb": f"with {FRAMES} select y, x, {_near(_Y)} luma, {_near(f'(r - {_Y}) * 0.713::double + 128')} cr, {_near(f'(b - {_Y}) * 0.564::double + 128')} cb from rgb",
     "wb_ccm": f"""with {FRAMES}, w as (select y, x, least(r / 255.0::double * 2.394::double, 1) r, least(g / 255.0::double, 1) g, least(b / 255.0::double * 1.597::double, 1) b from rgb)
@@ -390,3 +392,33 @@ join patches c on c.seq = r.seq and c.frame = q.prior and abs(c.y - r.y) <= 4 an
 select seq, frame, prior "before", cast(ref_y as int) ref_y, cast(ref_x as int) ref_x, cast(rk as int) rk, dist, cast(y as int) y, cast(x as int) x
 from (select *, row_number() over (partition by seq, frame, ref_y, ref_x order by dist, y, x) rk from dist) where rk <= 3""",
 }
+
+
+# one random stream, and a sweep
+
+_STREAM = "list_reduce(list_prepend({seed}::bigint, range({bits})), lambda x, i: x * case when (({at}) >> i) & 1 = 1 then {powers}[i + 1] else 1 end % {m})"
+
+
+def _uniform(at: str, seed: int) -> str:
+    one, two = (_STREAM.format(seed=x, bits=streams.BITS, at=at, powers=f"p{k}", m=m) for k, (x, (m, _)) in enumerate(zip(streams.seeds(seed), streams.GENERATORS, strict=True)))
+    top = streams.GENERATORS[0][0]
+    return f"((({one} - {two} - 1) % {top - 1} + {top - 1}) % {top - 1} + 1) / {top}.0::double"
+
+
+def _sweep() -> str:
+    each = (
+        f"select * from (with {FRAMES}, {_FRAMES_STABLE}, {_bm3d('fstable', 'frames', 16, 8).replace('2.7::double', f'{x}::double')}, f as (select img, y, x, {_BACK} v from filtered) "
+        f"select {x}::double strength, p.img, avg(pow({_N01.format('p.v')} - {_N01.format('clean')}, 2)) n, avg(pow(f.v - {_N01.format('clean')}, 2)) m from pairs p join f using (img, y, x) group by p.img)"
+        for x in (1.5, 2.7, 4.0)
+    )
+    return f"select img, strength, round(10 * log10(1 / n), 6) psnr_noisy, round(10 * log10(1 / m), 6) psnr from ({' union all '.join(each)})"
+
+
+ORACLE_SQL |= {
+    "strength_sweep": _sweep(),
+    "noise_stream_u8": f"""with {_CLIPS}, files as (select 'seq' || seq || '/frame' || frame "name", y, x, v % 256 v from clips), sizes as (select "name", count(*) n from files group by 1),
+starts as (select "name", coalesce(sum(n) over (order by "name" rows between unbounded preceding and 1 preceding), 0) s from sizes), powers as (select {', '.join(f'{streams.powers(m, a)}::bigint[] p{k}' for k, (m, a) in enumerate(streams.GENERATORS))}),
+places as (select "name", y, x, v, cast((s + y * 16 + x) * 2 as bigint) u from files join starts using ("name")),
+drawn as (select *, {_uniform('u', 123456)} a, {_uniform('u + 1', 123456)} b from places, powers)
+select "name", y, x, cast(floor(least(greatest(round(v + sqrt(-2 * ln(a)) * cos(b * 2 * pi()) * 15, 9), 0), 255)) as int) v from drawn""",
+}

@@ -29,17 +29,18 @@ def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
 
 def block_filter(
     df: DataFrame, height: int, width: int, *, patch: int = PATCH, stride: int = STRIDE, radius: int = RADIUS, k: int = TOP, channels: int = 1,
-    frames: tuple[int, ...] = (0,), noise: tuple[float, float] | None = None, tile: int = TILE,
+    frames: tuple[int, ...] = (0,), noise: tuple[float, float] | None = None, strengths: tuple[float, ...] = (LAMBDA,), tile: int = TILE,
 ) -> DataFrame:
     """Match on a guide, filter each reference's group, and aggregate: images (img, [t, ch,] y, x, v, raw) to (img, [ch,] y, x, v).
 
     A tile blurs its integer guide, searches, transforms its groups as matrices and adds them up on
     its array and halo. Two shuffles in all: pixels to tiles, and sums to pixels. Groups without a
     member besides the reference are skipped; pixels that no group covers keep their value. With
-    `noise` (gain, variance) a group's threshold follows the mean of its reference patch.
+    `noise` (gain, variance) a group's threshold follows the mean of its reference patch. Several
+    `strengths` of the threshold share a search; a column `variant` then numbers them from 0.
     """
     margin, line = 2, np.array([math.comb(4, i) for i in range(5)])
-    names = ["img", *(["ch"] if channels > 1 else [])]
+    names = [*(["variant"] if len(strengths) > 1 else []), "img", *(["ch"] if channels > 1 else [])]
 
     def work(at: Tile) -> dict[str, np.ndarray]:
         guides = {}
@@ -48,28 +49,29 @@ def block_filter(
             guides[t] = np.rint(np.pad(blur, ((0, 0), (margin, margin), (margin, margin)))).astype(np.int64)
         ts = [t for t in frames if t in at.planes]
         stack = np.stack([at.planes[t][:channels] for t in ts])
-        num, den = np.zeros(stack.shape), np.zeros(stack.shape)
         rows, cols = at.corners(stride, patch)
-        if len(rows) and len(cols):
+        found, variance = bool(len(rows) and len(cols)), None
+        if found:
             ok, _, t, y, x = blocks.nearest(guides[0], [(t, guides[t]) for t in ts], rows, cols, at.corner_range(patch), patch=patch, radius=radius, k=k)
             ref = np.stack(np.meshgrid(rows, cols, indexing="ij"), -1).reshape(-1, 2)
             y, x, t = np.hstack([ref[:, :1], y]), np.hstack([ref[:, 1:], x]), np.hstack([np.zeros_like(ref[:, :1]), t])
-            limit, variance = LAMBDA, None
             if noise:
                 mean = blocks.box_sums(stack[ts.index(0), 0], rows, cols, patch).ravel() / patch**2
                 variance = np.maximum(noise[0] * mean + noise[1], 1e-12)
-                limit = LAMBDA * np.sqrt(variance)
-            num, den = blocks.group_filter(stack, np.searchsorted(ts, t), y, x, 1 + ok.sum(1), patch=patch, kind="dct", limit=limit, variance=variance)
         mine = np.zeros(stack.shape, bool)
         top, bottom, left, right = at.own
         mine[ts.index(0), :, top:bottom, left:right] = True
-        f, ch, y, x = np.nonzero(mine | (den > 0))
-        return {
-            "t": np.array(ts)[f], "ch": ch, "y": y + at.y0, "x": x + at.x0, "num": num[f, ch, y, x], "den": den[f, ch, y, x],
-            "v": np.where(mine, stack, -np.inf)[f, ch, y, x],
-        }
-
-    columns = "t int, ch int, y int, x int, num double, den double, v double"
+        parts = []
+        for n, strength in enumerate(strengths):
+            num, den = np.zeros(stack.shape), np.zeros(stack.shape)
+            if found:
+                limit = strength * np.sqrt(variance) if noise else strength
+                num, den = blocks.group_filter(stack, np.searchsorted(ts, t), y, x, 1 + ok.sum(1), patch=patch, kind="dct", limit=limit, variance=variance)
+            f, ch, cy, cx = cells = np.nonzero(mine | (den > 0))
+            parts.append((np.full(len(f), n), np.array(ts)[f], ch, cy + at.y0, cx + at.x0, num[cells], den[cells], np.where(mine, stack, -np.inf)[cells]))
+        return dict(zip(("variant", "t", "ch", "y", "x", "num", "den", "v"), map(np.concatenate, zip(*parts, strict=True)), strict=True))
+
+    columns = "variant int, t int, ch int, y int, x int, num double, den double, v double"
     parts = per_tile(
         df, ["img"], height, width, work, columns, tile=tile, before=radius + margin, after=radius + patch - 1 + margin, channels=channels, value=("v", "raw"),
     )

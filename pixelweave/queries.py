@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelweave.functions import kernels, scalars
-from pixelweave.operators import catalogue, knn, layout, match, metrics, stencil, transforms
-from pixelweave.plans import denoise, video
+from pixelweave.operators import catalogue, knn, layout, match, metrics, ranks, stencil, transforms
+from pixelweave.plans import denoise, runner, video
 from pixelweave.sources import noise
 from pixelweave.sources import rasters as src
 
@@ -77,7 +77,7 @@ def quantize_u8(s, d):
 
 @query
 def param_units(s, d):
-    p = src.noise_params(s, d).where("a > 0")
+    p = src.noise_params(s, d)
     return _r(p.select("event_id", *(c.alias(n) for n, c in scalars.param_units(F.col("a"), F.col("b")).items())), 9, "a_norm", "b_var", "b_std")
 
 
@@ -131,7 +131,7 @@ def residual(s, d):
 @query
 def max_normalize(s, d):
     raw = src.raw32(s, d)
-    top = F.broadcast(raw.groupBy("img").agg(F.max("v").alias("top")))
+    top = raw.groupBy("img").agg(F.max("v").alias("top"))
     return _r(raw.join(top, "img").select("img", "y", "x", F.when(F.col("top") > 10, F.col("v") / F.col("top")).otherwise(F.col("v")).alias("v")), 6, "v")
 
 
@@ -364,8 +364,8 @@ def pixel_mean_var(s, d):
 
 @query
 def noise_percentiles(s, d):
-    q = metrics.pixel_statistics(src.frames16(s, d), 240.0).agg(F.percentile("m", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
-    return _r(q.select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi")), 6, "lo", "hi")
+    q = ranks.percentiles(metrics.pixel_statistics(src.frames16(s, d), 240.0), [], "m", ["y", "x"], [0.05, 0.95])
+    return _r(q.agg(F.max(F.when(F.col("p") < 0.5, F.col("m"))).alias("lo"), F.max(F.when(F.col("p") > 0.5, F.col("m"))).alias("hi")), 6, "lo", "hi")
 
 
 @query
@@ -809,6 +809,40 @@ def noise_awgn(s, d):
     return noise.awgn(_normal(s, d), 0.05, seed=42)
 
 
+@query
+def noise_stream_u8(s, d):
+    """One random stream over files in the order of their names."""
+    name = F.concat(F.lit("seq"), F.col("seq").cast("string"), F.lit("/frame"), F.col("frame").cast("string"))
+    files = src.clips16(s, d).select(name.alias("name"), "y", "x", (F.col("v") % 256).alias("v"))
+    return noise.stream_awgn_u8(files, 16, 15.0, seed=123456)
+
+
+# runs of several configurations
+
+
+def _scored(s: SparkSession, d: str) -> DataFrame:
+    return _pairs(s, d).select("img", "y", "x", "v", "clean")
+
+
+@query
+def method_runner(s, d):
+    """Six methods over seven frames."""
+    return runner.run(_scored(s, d), 16, 16, A, B, [{"method": m} for m in ("bm3d_novst", "bm3d_vst", "vbm3d_vst", "bilateral_vst", "nlm_vst", "aknn_raw")])
+
+
+@query
+def strength_sweep(s, d):
+    """Three strengths of the threshold, one search."""
+    got = runner.run(_scored(s, d), 16, 16, A, B, [{"method": "bm3d_vst", "strength": x} for x in (1.5, 2.7, 4.0)])
+    return _r(got.select("img", F.get_json_object("config", "$.strength").cast("double").alias("strength"), "psnr_noisy", "psnr"), 6, "psnr_noisy", "psnr")
+
+
+@query
+def tile_sweep(s, d):
+    """The randomized pipeline on tiles of several sizes."""
+    return runner.run(_scored(s, d), 16, 16, A, B, [{"method": "aknn", "tile": t, "overlap": o} for t, o in ((8, 2), (12, 4), (16, 4))])
+
+
 @query
 def noise_poisson_gauss(s, d):
     return noise.poisson_gaussian(_normal(s, d), 0.02, 0.01, seed=42)

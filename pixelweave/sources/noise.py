@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelweave.functions import streams
+from pixelweave.operators import ranks
+
 _UNIT = 2.0**-52
 
 
@@ -50,3 +53,17 @@ def poisson_gaussian(df: DataFrame, a: float, sigma: float, *, seed: int) -> Dat
 
     drawn = df.select("img", "y", "x", "v", uniform(seed, 3).alias("u"), normal(seed).alias("g"))
     return drawn.mapInPandas(draw, "img int, y int, x int, v double")
+
+
+def stream_awgn_u8(files: DataFrame, width: int, sigma: float, *, seed: int) -> DataFrame:
+    """White Gaussian noise from one stream over files in the order of their names: (name, y, x, v), eight bits, cut to whole numbers.
+
+    A pixel's place in the stream is the number of pixels in the files before its own, from prefix
+    sums of their sizes, and its place in the file. Equal names are one file; a file may be missing
+    pixels, then its size is what it has.
+    """
+    sizes = files.groupBy("name").agg(F.count("*").alias("n"))
+    first = ranks.before(sizes, [], ["name"], "first", "n").select("name", "first")
+    place = F.col("first") + F.col("y") * width + F.col("x")
+    noisy = F.col("v") + streams.normal(place.cast("long"), seed) * sigma
+    return files.join(first, "name").select("name", "y", "x", F.floor(F.least(F.greatest(F.round(noisy, 9), F.lit(0.0)), F.lit(255.0))).cast("int").alias("v"))
