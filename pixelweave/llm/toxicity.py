@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm._common import crc_mod, ids_only, map_arrow, mixed, table, text_bytes, with_arrow
+from pixelweave.llm._common import by_bytes, crc_mod, ids_only, mixed, table, text_bytes, with_arrow
 
 LENGTH, STEP = 32, 16  # words of a window; windows overlap by half
 HIDDEN = 8
@@ -39,6 +39,7 @@ class Words:
 
     token: np.ndarray
     per_text: np.ndarray
+    key: np.ndarray  # a hash of each distinct word
     word: np.ndarray
     start: np.ndarray
     three: np.ndarray
@@ -73,17 +74,19 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     chars = np.repeat(begins[one] - start[:-1], size[one]) + np.arange(start[-1])
     bits = {k: _U(64 - int(np.log2(rows))) for k, (rows, _) in BUCKETS.items()}
     three, five = (_hashed(*(c[chars] for c in near[2 - r : 3 + r])) >> bits[k] for k, r in (("three", 1), ("five", 2)))
-    return Words(token.astype(np.int64), per_text, (mixed(whole[one]) >> bits["word"]).astype(np.int64), start, three.astype(np.int64), five.astype(np.int64))
+    return Words(token.astype(np.int32), per_text, whole[one], (mixed(whole[one]) >> bits["word"]).astype(np.int32), start, three.astype(np.int32), five.astype(np.int32))
 
 
 def joined(parts: list[Words]) -> Words:
-    """The words of all texts; distinct ones stay distinct within each part."""
-    shift = np.cumsum([0, *(len(p.word) for p in parts)])
-    chars = np.cumsum([0, *(len(p.three) for p in parts)])
-    return Words(
-        np.concatenate([p.token + k for p, k in zip(parts, shift, strict=False)]), np.concatenate([p.per_text for p in parts]), np.concatenate([p.word for p in parts]),
-        np.append(np.concatenate([p.start[:-1] + k for p, k in zip(parts, chars, strict=False)]), chars[-1]), np.concatenate([p.three for p in parts]), np.concatenate([p.five for p in parts]),
-    )
+    """The words of all texts, each distinct one once."""
+    key, one, place = np.unique(np.concatenate([p.key for p in parts]), return_index=True, return_inverse=True)
+    shift, chars = np.cumsum([0, *(len(p.word) for p in parts)]), np.cumsum([0, *(len(p.three) for p in parts)])
+    start, end = (np.concatenate([p.start[s : len(p.word) + s] + c for p, c in zip(parts, chars, strict=False)])[one] for s in (0, 1))
+    size = end - start
+    at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+    every = {c: np.concatenate([getattr(p, c) for p in parts]) for c in ("word", "three", "five")}
+    token = np.concatenate([place[p.token + k] for p, k in zip(parts, shift, strict=False)]).astype(np.int32)
+    return Words(token, np.concatenate([p.per_text for p in parts]), key, every["word"][one], np.append(0, np.cumsum(size)), every["three"][at], every["five"][at])
 
 
 def windows_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,12 +110,13 @@ class Gru:
 
     def vectors(self, of: Words, some: np.ndarray) -> np.ndarray:
         """Inputs of these distinct words: the word's embedding, and the means of its characters' embeddings; last, a row of zeros for no word."""
-        out = np.zeros((len(some) + 1, WIDTH), np.float32)
-        if len(some):
-            chars, cut, size = _characters(of, some)
-            out[:-1, :8] = self.p["word"][of.word[some]]
+        out = np.zeros((len(some) + 1, WIDTH), self.p["word"].dtype)
+        for s in range(0, len(some), 1 << 14):
+            part, here = some[s : s + (1 << 14)], slice(s, min(len(some), s + (1 << 14)))
+            chars, cut, size = _characters(of, part)
+            out[here, :8] = self.p["word"][of.word[part]]
             for k, (name, buckets) in enumerate((("three", of.three), ("five", of.five)), 1):
-                out[:-1, 8 * k : 8 * k + 8] = np.add.reduceat(self.p[name][buckets[chars]], cut, axis=0) / size[:, None]
+                out[here, 8 * k : 8 * k + 8] = np.add.reduceat(self.p[name][buckets[chars]], cut, axis=0) / size[:, None]
         return out
 
     def run(self, proj: np.ndarray, mask: np.ndarray, way: str, trace: list | None = None) -> np.ndarray:
@@ -269,7 +273,8 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     y = np.array([r["toxic"] for r in got])
     if len(set(y.tolist())) < 2:
         return None
-    return fitted(words_of(*text_bytes(pa.array([r["text"] for r in got], pa.large_string()))), y)
+    texts = pa.RecordBatch.from_arrays([pa.array([r["text"] for r in got], pa.large_string())], names=["text"])
+    return fitted(joined([words_of(*text_bytes(part.column("text"))) for part in by_bytes(texts, "text")]), y)
 
 
 def _scorer(shared, text: str):
