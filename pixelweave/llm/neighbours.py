@@ -12,17 +12,16 @@ from pyspark.sql.window import Window
 from pixelweave.llm._common import dropped, ids_only, staged, table
 
 TOP = 20
-DEGREE, BACK = 28, 12  # neighbours a node keeps, and nodes that name it, in its record
-GIVEN = 16  # candidates that one expansion passes on
+DEGREE, BACK = 28, 12  # neighbours a node keeps, and nodes that name it, in the graph that is searched
+SHARD = 1 << 16  # nodes of a graph, about; a larger table has several, and each query searches all
 CELL, FORESTS = 400, 3  # nodes of a cell, about; cells come from random hyperplanes, and start the graph, so many times
-ROUNDS, STILL = 10, 0.03  # NN-descent ends when fewer than this share of neighbours changed
-BEAM, WIDEST, FRONT = 256, 2048, 64
-SEEDS = 32  # nodes anywhere in the graph that each search begins with besides its own place
-AUDIT, RECALL = 64, 0.94  # queries held against brute force, and the share they must find before the beam is widened no more
-BLOCK = 2000  # queries that are answered by brute force at a time
+ROUNDS, STILL = 6, 0.05  # NN-descent ends when fewer than this share of neighbours changed
+BEAM, WIDEST = 128, 2048
+SEEDS = 32  # nodes anywhere in a graph that each search begins with besides its own place
+BLOCK = 512  # queries that search a graph together
+AUDIT, RECALL = 16, 0.97  # queries of a block held against brute force, and the share they must find before the beam is widened no more
 
 _WIDTH = DEGREE + BACK
-_STATE = "u long, vec binary, ids array<long>, scores array<float>, done array<boolean>"
 _GRAPH = "u long, cell long, vec binary, ids array<long>, scores array<float>, new array<boolean>"
 
 
@@ -35,12 +34,6 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
 
 
-def _codes(x: np.ndarray) -> list[bytes]:
-    """Vectors in one byte a component, after their scale."""
-    scale = np.maximum(np.abs(x).max(axis=1), 1e-30).astype(np.float32) / 127
-    return [s.tobytes() + c.tobytes() for s, c in zip(scale, np.rint(x / scale[:, None]).astype(np.int8), strict=True)]
-
-
 def _mapped(df: DataFrame, f, schema: str) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -101,42 +94,6 @@ def _joined(lists: pa.Table, wanted: pa.Table) -> pa.Table:
     return _best_of(*(np.concatenate(c) for c in zip(*best, strict=True)), DEGREE)
 
 
-def _scored(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The best of a node's record for the vector that expands it."""
-    q = _vecs(batch.column("vec"))
-    n, d = q.shape
-    raw = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(n, _WIDTH, d + 4)
-    scale = np.ascontiguousarray(raw[:, :, :4]).view(np.float32)[:, :, 0]
-    ids = np.frombuffer(b"".join(batch.column("near").to_pylist()), np.int64).reshape(n, _WIDTH)
-    s = np.matmul(raw[:, :, 4:].view(np.int8).astype(np.float32), q[:, :, None])[:, :, 0] * scale
-    s = np.where((ids >= 0) & (ids != batch.column("u").to_numpy()[:, None]), s, -np.inf).astype(np.float32)
-    at = np.argpartition(-s, GIVEN, axis=1)[:, :GIVEN]
-    s, ids = np.take_along_axis(s, at, 1), np.take_along_axis(ids, at, 1)
-    s = np.where(s > batch.column("floor").to_numpy()[:, None], s, -np.inf)
-    ok = np.isfinite(s)
-    n_ok = ok.sum(axis=1)
-    return pa.RecordBatch.from_arrays([batch.column("u"), _lists(ids[ok], n_ok), _lists(s[ok], n_ok)], names=["u", "ids", "scores"])
-
-
-def _merger(width: int, front: int):
-    """Old neighbours, whose `front` best unexpanded ones have been expanded by now, and new ones: the best stay."""
-
-    def merge(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out, counts = ([], [], []), []
-        cols = (batch.column(c).to_pylist() for c in ("ids", "scores", "done", "more", "more_scores"))
-        for ids, scores, done, more, more_scores in zip(*cols, strict=True):
-            done = np.array(done, bool)
-            done[np.flatnonzero(~done)[:front]] = True
-            kept = _kept(ids, scores, done, more, more_scores, False, width)
-            for o, x in zip(out, kept, strict=True):
-                o.append(x)
-            counts.append(len(kept[0]))
-        flat = [np.concatenate(o) for o in out]
-        return pa.RecordBatch.from_arrays([batch.column("u"), batch.column("vec"), *(_lists(x, np.array(counts)) for x in flat)], names=["u", "vec", "ids", "scores", "done"])
-
-    return merge
-
-
 def _kept(ids: list, scores: list, flags: np.ndarray, more: list | None, more_scores: list | None, flag: bool, width: int) -> tuple[np.ndarray, ...]:
     """The best of a list with flags and of more candidates, which get the flag given."""
     i = np.array(ids + (more or []), np.int64)
@@ -171,33 +128,105 @@ def _backwards(forth: DataFrame, seed: int = 0) -> DataFrame:
     return forth.join(named, "nb").where(F.pmod(F.xxhash64("node", "nb", F.lit(seed)), "times") < BACK).drop("times")
 
 
-def _records(graph: DataFrame, codes: DataFrame) -> DataFrame:
-    """Of each node: its neighbours and a hashed choice of about BACK nodes that name it, with their codes."""
-    forth = graph.select(F.col("u").alias("node"), F.explode("ids").alias("nb"))
-    back = _backwards(forth).select(F.col("nb").alias("node"), F.col("node").alias("nb"))
-    rows = forth.unionByName(back).distinct().join(codes, "nb")
-    lists = rows.groupBy("node").agg(F.collect_list(F.struct("nb", "code")).alias("l"))
+def _packed(part: pa.Table) -> pa.Table:
+    """One shard as one row: ids in order, vectors, and each node's neighbours by their places (-1: none)."""
+    ids = part.column("u").to_numpy()
+    order = np.argsort(ids)
+    ids = ids[order]
+    near = part.column("near").combine_chunks().fill_null([])
+    counts, flat = near.value_lengths().to_numpy(), near.flatten().to_numpy()
+    graph = np.full((len(ids), _WIDTH), -1, np.int32)
+    row = np.repeat(np.arange(len(ids)), counts)
+    graph[row, np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)] = np.searchsorted(ids, flat)
+    x = part.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]
+    made = {"shard": [part.column("shard")[0].as_py()], "ids": [ids.tobytes()], "vectors": [x.tobytes()], "graph": [graph[order].tobytes()]}
+    return pa.table({k: pa.array(v, pa.int64() if k == "shard" else pa.binary()) for k, v in made.items()})
 
-    def packed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        near, codes = [], []
-        for row in batch.column("l").to_pylist():
-            row = sorted(row, key=lambda x: x["nb"])[:_WIDTH] if len(row) <= _WIDTH else sorted(row, key=lambda x: hash(x["nb"]) * 2654435761 % 2**32)[:_WIDTH]
-            empty = _WIDTH - len(row)
-            near.append(np.array([x["nb"] for x in row] + [-1] * empty, np.int64).tobytes())
-            codes.append(b"".join(x["code"] for x in row) + bytes(len(row[0]["code"]) * empty))
-        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(near, pa.binary()), pa.array(codes, pa.binary())], names=["node", "near", "codes"])
 
-    return _mapped(lists, packed, "node long, near binary, codes binary")
+def greedy(graph: np.ndarray, x: np.ndarray, q: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Greedy search for the nodes of largest inner product, all queries step by step together: (query, width) places, best first, -1 where fewer.
 
+    Each query keeps a beam, expands its best unexpanded node, and ends when there is none.
+    """
+    n, rows = len(q), np.arange(len(q))
+    seen = np.zeros((n, len(x)), bool)
+    seen[rows[:, None], starts] = True
+    first = np.einsum("nd,nkd->nk", q, x[starts])
+    first[:, 1:][starts[:, 1:] == starts[:, :1]] = -np.inf  # a query's own place may be a seed
+    pad = max(0, width - starts.shape[1])
+    ids = np.pad(starts.astype(np.int64), ((0, 0), (0, pad)), constant_values=-1)
+    sims = np.pad(first, ((0, 0), (0, pad)), constant_values=-np.inf)
+    order = np.argsort(-sims, axis=1, kind="stable")[:, :width]
+    ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+    wait = np.isfinite(sims)
+    while (live := np.flatnonzero(wait.any(axis=1))).size:
+        at = wait[live].argmax(axis=1)  # beams are sorted: the first that waits is the best
+        wait[live, at] = False
+        near = graph[ids[live, at]]
+        fresh = (near >= 0) & ~seen[live[:, None], near]
+        seen[live[:, None], np.where(near >= 0, near, ids[live, at][:, None])] = True
+        s = np.where(fresh, np.matmul(x[near], q[live][:, :, None])[:, :, 0], -np.inf)
+        better = (s > sims[live, -1:]).any(axis=1)
+        live, near, s = live[better], near[better], s[better]
+        if live.size:
+            every, scores = np.concatenate([ids[live], near], axis=1), np.concatenate([sims[live], s], axis=1)
+            waits = np.concatenate([wait[live], np.isfinite(s)], axis=1)
+            order = np.argsort(-scores, axis=1, kind="stable")[:, :width]
+            ids[live], sims[live] = np.take_along_axis(every, order, 1), np.take_along_axis(scores, order, 1)
+            wait[live] = np.take_along_axis(waits, order, 1) & np.isfinite(sims[live])
+    return np.where(np.isfinite(sims), ids, -1)
+
+
+def _ranked(x: np.ndarray, q: np.ndarray, places: np.ndarray, ids: np.ndarray, own: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each query's places the `keep` best by the product in double precision, ties to smaller ids, without the query itself."""
+    s = np.stack([x[p] @ v for p, v in zip(places, q, strict=True)])
+    s = np.where((places < 0) | (ids[places] == own[:, None]), -np.inf, s)
+    order = np.lexsort((ids[places], -s), axis=1)[:, :keep]
+    return np.take_along_axis(places, order, 1), np.take_along_axis(s, order, 1)
+
+
+def _answers(top: int, keep: int, beam: int, recall: float):
+    """Searches of a block of queries in one shard: (u, w, s, audit)."""
+
+    def run(held: pa.Table, asks: pa.Table) -> pa.Table:
+        if not held.num_rows or not asks.num_rows:
+            return pa.table({"u": pa.array([], pa.int64()), "w": pa.array([], pa.int64()), "s": pa.array([], pa.float64()), "audit": pa.array([], pa.float64())})
+        raw = {c: held.column(c)[0].as_py() for c in ("ids", "vectors", "graph")}
+        ids = np.frombuffer(raw["ids"], np.int64)
+        x, graph = np.frombuffer(raw["vectors"]).reshape(len(ids), -1), np.frombuffer(raw["graph"], np.int32).reshape(len(ids), -1)
+        own, q = asks.column("u").to_numpy(), asks.column("v").combine_chunks().flatten().to_numpy().reshape(asks.num_rows, -1)
+        order = np.argsort(own)
+        own, q = own[order], q[order]
+        long = max(float(np.sqrt((x * x).sum(1).max())), 1e-300)
+        small, ask = (x / long).astype(np.float32), (q / np.maximum(np.sqrt((q * q).sum(1, keepdims=True)), 1e-300)).astype(np.float32)
+        home = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+        seeds = np.linspace(0, len(ids) - 1, min(SEEDS, len(ids))).astype(int)
+        starts = np.concatenate([np.where(ids[home] == own, home, seeds[0])[:, None], np.broadcast_to(seeds, (len(q), len(seeds)))], axis=1)
+        checked = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
+        all_places = np.broadcast_to(np.arange(len(ids)), (len(checked), len(ids)))
+        truth = _ranked(x, q[checked], all_places, ids, own[checked], top)
+        width = min(beam, len(ids))
+        while True:
+            found = np.concatenate([greedy(graph, small, ask[b : b + 128], starts[b : b + 128], width) for b in range(0, len(q), 128)])
+            places, s = _ranked(x, q, found, ids, own, keep)
+            there = np.isfinite(truth[1])
+            hits = sum(np.isin(t[ok], p[:top]).sum() for t, ok, p in zip(truth[0], there, places[checked], strict=True))
+            audit = hits / max(1, there.sum())
+            if audit >= recall or width >= min(WIDEST, len(ids)):
+                break
+            width *= 2
+        if audit < recall:  # a block's queries against a shard: bounded
+            each = [_ranked(x, q[b : b + 16], np.broadcast_to(np.arange(len(ids)), (len(q[b : b + 16]), len(ids))), ids, own[b : b + 16], keep) for b in range(0, len(q), 16)]
+            places, s = (np.concatenate(c) for c in zip(*each, strict=True))
+        ok = np.isfinite(s)
+        mine = np.flatnonzero(ids[home] == own)
+        n = int(ok.sum()) + len(mine)
+        return pa.table({
+            "u": np.append(np.repeat(own, ok.sum(1)), own[mine]), "w": np.append(ids[places[ok]], own[mine]),
+            "s": np.append(s[ok], (q[mine] * q[mine]).sum(1)), "audit": np.full(n, audit),
+        })
 
-def _expanded(state: DataFrame, records: DataFrame, width: int, front: int) -> DataFrame:
-    """One round: the best unexpanded neighbours of each state meet their own neighbours."""
-    open_ = F.slice(F.filter(F.arrays_zip("ids", "done"), lambda x: ~x["done"]), 1, front)
-    floor = F.when(F.size("scores") >= width, F.array_min("scores")).otherwise(F.lit(float("-inf")))
-    asks = state.select("u", "vec", floor.cast("float").alias("floor"), F.explode(open_).alias("x")).select("u", "vec", "floor", F.col("x.ids").alias("node"))
-    got = _mapped(asks.join(records, "node").select("u", "vec", "floor", "near", "codes"), _scored, "u long, ids array<long>, scores array<float>")
-    got = got.groupBy("u").agg(F.flatten(F.collect_list("ids")).alias("more"), F.flatten(F.collect_list("scores")).alias("more_scores"))
-    return staged(_mapped(state.join(got, "u", "left"), _merger(width, front), _STATE))
+    return run
 
 
 def _freed(spark: SparkSession) -> None:
@@ -206,13 +235,14 @@ def _freed(spark: SparkSession) -> None:
 
 
 def _celled(nodes: DataFrame, count: int, forest: int) -> DataFrame:
-    """Nodes (u, vec) with a cell of about CELL near ones: a side of each of some hyperplanes. Large cells are dealt at random."""
-    bits = max(0, int(np.ceil(np.log2(max(1, count) / CELL))))
+    """Nodes (u, shard, vec) with a cell of about CELL near ones of their shard: a side of each of some hyperplanes. Large cells are dealt at random."""
+    bits = max(0, int(np.ceil(np.log2(max(1, min(count, SHARD)) / CELL))))
 
     def coded(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = _vecs(batch.column("vec"))
         side = x @ np.random.default_rng([3, forest]).normal(size=(x.shape[1], bits)) > 0
         code = (side @ (1 << np.arange(bits)) if bits else np.zeros(len(x))).astype(np.int64)
+        code += batch.column("shard").to_numpy() << bits
         return pa.RecordBatch.from_arrays([batch.column("u"), batch.column("vec"), pa.array(code)], names=["u", "vec", "code"])
 
     coded_nodes = _mapped(nodes, coded, "u long, vec binary, code long")
@@ -222,9 +252,10 @@ def _celled(nodes: DataFrame, count: int, forest: int) -> DataFrame:
 
 
 def descent(nodes: DataFrame, count: int, *, rounds: int = ROUNDS, still: float = STILL, trace: list[DataFrame] | None = None) -> DataFrame:
-    """A neighbour graph over nodes (u, vec) by NN-descent: (u, cell, vec, ids, scores, new).
+    """A neighbour graph over nodes (u, shard, vec) by NN-descent: (u, cell, vec, ids, scores, new).
 
-    It starts from the nearest within cells of random hyperplanes. In each round the neighbours of
+    It starts from the nearest within cells of random hyperplanes, which lie in one shard each; so
+    does the graph then, and a hub is named from no more than a shard's cells. In each round the neighbours of
     a node, and some of the nodes that name it, are neighbours of neighbours: Spark joins bring
     their vectors to the node's cell, where each pair with a new member is compared, and another
     join takes what beats the worst neighbour of either back to it. `trace` gets the graph after
@@ -260,90 +291,26 @@ def descent(nodes: DataFrame, count: int, *, rounds: int = ROUNDS, still: float
     return graph
 
 
-def _best(pairs: DataFrame, keep: int, *more: F.Column) -> DataFrame:
-    """Of each u its `keep` best w by the score s, smaller w first where scores are equal."""
-    best = F.sort_array(F.collect_list(F.when(F.col("w") != F.col("u"), F.struct("s", F.bitwise_not("w").alias("w")))), asc=False)
-    return pairs.groupBy("u").agg(F.slice(best, 1, keep).alias("best"), *more).withColumn("best", F.transform("best", lambda x: F.struct(x["s"], F.bitwise_not(x["w"]).alias("w"))))
-
-
-def _rows(column: pa.Array, n: int) -> np.ndarray:
-    return column.flatten().to_numpy().reshape(n, -1)
-
-
-def _rescored(state: DataFrame, known: DataFrame, beam: int, top: int, keep: int, longest: float, scale: float) -> DataFrame:
-    """Each beam, all of it, by scores in double precision on the original vectors (u, v).
-
-    A beam is crowded if it is full and a node whose code fell below its last one could still
-    belong to the `top`: rounding moves a score by half the largest scale a component at most.
-    """
-    floor = F.when(F.size("scores") >= beam, F.array_min("scores").cast("double"))
-    pairs = state.select("u", floor.alias("floor"), F.explode("ids").alias("w"))
-    pairs = pairs.join(known.select(F.col("u").alias("w"), F.col("v").alias("x")), "w").join(known.select("u", F.col("v").alias("q")), "u")
-
-    def dots(batch: pa.RecordBatch) -> pa.RecordBatch:
-        q, x = (_rows(batch.column(c), batch.num_rows) for c in ("q", "x"))
-        off = np.abs(q).sum(axis=1) / longest * scale / 2 + 1e-5  # and what 32-bit sums lose
-        return pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("u", "w", "floor")), pa.array((q * x).sum(axis=1)), pa.array(off)], names=["u", "w", "floor", "s", "off"]
-        )
-
-    got = _mapped(pairs.select("u", "w", "floor", "q", "x"), dots, "u long, w long, floor double, s double, off double")
-    got = _best(got, keep, F.max("floor").alias("floor"), F.max("off").alias("off"))
-    last = F.get("best", F.lit(top - 1))["s"] / longest**2
-    crowded = F.col("floor").isNotNull() & F.coalesce(last - F.col("floor") < F.col("off"), F.lit(True))
-    return staged(got.select("u", "best", crowded.alias("crowded")))
-
-
-def _exact(known: DataFrame, asked: DataFrame, keep: int) -> DataFrame:
-    """The `keep` best of all vectors (u, v) for each of some, in double precision: a block of queries at a time against all."""
-    spark = known.sparkSession
-    blocks = -(-asked.count() // BLOCK)
-    asked = staged(asked.withColumn("block", F.pmod(F.xxhash64("u"), F.lit(max(1, blocks)))))
-    parts = [_block(known, rows, keep) for k in range(blocks) if (rows := asked.where(F.col("block") == k).collect())]
-    out = spark.createDataFrame([], "u long, best array<struct<s: double, w: long>>")
-    for part in parts:
-        out = out.unionByName(part)
-    return out
-
-
-def _block(known: DataFrame, asked: list, keep: int) -> DataFrame:
-    ids, q = np.array([r["u"] for r in asked], np.int64), np.array([r["v"] for r in asked], float)
-
-    def run(batches):
-        s, w = np.empty((len(q), 0)), np.empty((len(q), 0), np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                u = part.column("u").to_numpy()
-                s = np.append(s, np.where(u[None, :] == ids[:, None], -np.inf, q @ _rows(part.column("v"), part.num_rows).T), axis=1)
-                w = np.append(w, np.broadcast_to(u, (len(q), len(u))), axis=1)
-                if s.shape[1] > keep:
-                    top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-                    s, w = np.take_along_axis(s, top, 1), np.take_along_axis(w, top, 1)
-        ok = np.isfinite(s)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, ok.sum(axis=1))), pa.array(w[ok]), pa.array(s[ok])], names=["u", "w", "s"])
-
-    return staged(_best(known.select("u", "v").mapInArrow(run, "u long, w long, s double"), keep))
-
-
 def nearest(
     vectors: DataFrame, queries: F.Column, *, vec_id: str = "vec_id", vector: str = "embedding", top: int = TOP, beam: int = BEAM, recall: float = RECALL
 ) -> DataFrame:
     """The `top` rows of largest inner product for each query row, nearest first.
 
     `queries` is a condition on the column `id`. Equal vectors form a class, stood for by its
-    smallest id; NN-descent builds a graph over all classes, in a space with one more component
-    that makes all lengths equal, so that near means a large inner product. Each query starts from
-    its own class's place in the graph and a few seeds, and expands the best unexpanded members of its beam, round by
-    round, until there are none. Whole beams are then scored in double precision on the original
-    vectors. AUDIT queries are held against brute force, and the beam is doubled until they find
-    the share `recall`; if they don't at the widest, all queries are answered by brute force. So
-    is every query whose beam is full of nodes too near each other for their one-byte codes. Of a
-    class only the `top` + 1 smallest ids can appear.
-
-    Returns query_id, rank (from 1), vec_id and score. Vectors that are null, zero, or hold null or
-    non-finite components, or have another number of components than most, take no part; rows
-    that repeat an id count once.
+    smallest id. Classes are dealt at random into shards of at most about SHARD nodes; NN-descent
+    builds a graph over each shard, all shards in the same joins, in a space with one more component
+    that makes all lengths equal, so that near means a large inner product. Queries search the
+    shards in blocks, greedily, from their own class's place and a few seeds, on vectors of single
+    precision; whole beams are then scored in double precision on the original vectors. Of each block
+    AUDIT queries are held against brute force, and the beam is doubled until they find the share
+    `recall`; if they don't at the widest, the block is answered by a product with its shard. Of a class
+    only the `top` + 1 smallest ids can appear.
+
+    Returns query_id, rank (from 1), vec_id, score and audit, the mean recall that the audits of the
+    query's blocks found for their searches. Ties go to the smaller vec_id. Vectors that are null,
+    zero, or hold null or non-finite components, or have another number of components than most, take
+    no part, nor do null ids; ids must be whole numbers; rows that repeat an id count once. Other
+    columns are ignored, whatever their names, and an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     rows = ids_only(vectors, id=vec_id, v=vector).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
@@ -352,93 +319,58 @@ def nearest(
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     )
     seen = usable.agg(F.mode(F.size("v")).alias("d"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).first()
-    schema = "query_id long, rank int, vec_id long, score double"
+    schema = "query_id long, rank int, vec_id long, score double, audit double"
     if seen["d"] is None:
         return spark.createDataFrame([], schema)
     usable = staged(usable.where(F.size("v") == seen["d"]).withColumn("key", F.struct(F.xxhash64("v"), F.xxhash64(F.lit(1), "v"))).dropDuplicates(["id"]))
     classes = staged(usable.groupBy("key").agg(F.min("id").alias("u"), F.any_value("v").alias("v")))
     longest = float(np.sqrt(seen["m"]))
 
-    def packed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    count = classes.count()
+    shards = max(1, -(-count // SHARD))
+
+    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1) / longest
         flat = np.append(x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1, keepdims=True))), axis=1).astype(np.float32)
-        codes = _codes(flat)
-        scales = np.frombuffer(b"".join(c[:4] for c in codes), np.float32)
-        return pa.RecordBatch.from_arrays(
-            [batch.column("u"), pa.array([r.tobytes() for r in flat], pa.binary()), pa.array(codes, pa.binary()), pa.array(scales)], names=["u", "vec", "code", "scale"]
-        )
-
-    both = staged(_mapped(classes.select("u", "v"), packed, "u long, vec binary, code binary, scale float"))
-    nodes, codes = both.select("u", "vec"), both.select(F.col("u").alias("nb"), "code")
-    count, scale = both.agg(F.count("*"), F.max("scale")).first()
+        return pa.RecordBatch.from_arrays([batch.column("u"), batch.column("shard"), pa.array([r.tobytes() for r in flat], pa.binary())], names=["u", "shard", "vec"])
+
+    dealt = classes.withColumn("shard", F.pmod(F.xxhash64(F.lit(7), "u"), F.lit(shards)))
+    nodes = staged(_mapped(dealt.select("u", "shard", "v"), spread, "u long, shard long, vec binary"))
     graph = descent(nodes, count)
-    records = staged(_records(graph, codes))
-    asking = usable.where(queries).select(F.col("id").alias("query_id"), "key", F.col("v").alias("q"))
-    starts = asking.select("key").distinct().join(classes.select("key", "u"), "key").select("u")
-    seeds = nodes.orderBy(F.xxhash64("u"), "u").limit(SEEDS).collect()
-    state = staged(_mapped(nodes.join(starts, "u"), _started(seeds), _STATE))
-    known, keep = classes.select("u", "v"), 2 * top + 24
-    ranked = state.select("u", F.lit(None).cast("array<struct<s: double, w: long>>").alias("best"))
-    if count > 1 and not state.isEmpty():
-        while True:
-            while not state.where(F.exists("done", lambda x: ~x)).isEmpty():
-                old, state = state, _expanded(state, records, beam, FRONT)
-                dropped(old)
-                _freed(spark)
-            ranked = _rescored(state, known, beam, top, keep, longest, scale)
-            clear = ranked.where(~F.col("crowded"))
-            asked = {r["u"]: {x["w"] for x in r["best"][:top]} for r in clear.orderBy(F.xxhash64("u")).limit(AUDIT).collect()}
-            truth = _exact(known, known.where(F.col("u").isin(list(asked))), min(top, count - 1)).collect() if asked else []
-            enough = sum(len(asked[r["u"]] & {x["w"] for x in r["best"]}) for r in truth) >= recall * sum(len(r["best"]) for r in truth)
-            if enough or beam >= min(WIDEST, count):
-                break
-            beam *= 2
-            state = staged(state.withColumn("done", F.transform("done", lambda _: F.lit(False))))
-        left = ranked.where("crowded") if enough else ranked
-        if not left.isEmpty():
-            exact = _exact(known, known.join(left.select("u"), "u"), keep)
-            ranked = clear.select("u", "best").unionByName(exact) if enough else exact
-    dropped(records)
+    forth = graph.select(F.col("u").alias("node"), F.explode("ids").alias("nb"))
+    back = _backwards(forth).select(F.col("nb").alias("node"), F.col("node").alias("nb"))
+    edges = forth.withColumn("rank", F.lit(0)).unionByName(back.withColumn("rank", F.lit(1))).groupBy("node", "nb").agg(F.min("rank").alias("rank"))
+    each = F.sort_array(F.collect_list(F.struct("rank", F.xxhash64("nb").alias("h"), "nb")))
+    near = edges.groupBy(F.col("node").alias("u")).agg(F.transform(F.slice(each, 1, _WIDTH), lambda e: e["nb"]).alias("near"))
+    worlds = staged(dealt.join(near, "u", "left").select("u", "shard", "v", "near").groupBy("shard").applyInArrow(_packed, "shard long, ids binary, vectors binary, graph binary"))
+    asking = usable.where(queries).select(F.col("id").alias("query_id"), "key")
+    asks = staged(asking.select("key").distinct().join(classes, "key").select("u", "v"))
+    blocks = max(1, -(-asks.count() // BLOCK))
+    block = F.pmod(F.xxhash64(F.lit(11), "u"), F.lit(blocks))
+    up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = worlds.withColumn("block", up_to(blocks))
+    right = asks.select("u", "v", block.cast("long").alias("block"), up_to(shards).alias("shard"))
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_answers(top, 2 * top, beam, recall), "u long, w long, s double, audit double")
+    found = staged(found)
+    audits = found.groupBy("u").agg(F.avg("audit").alias("audit"))
     # the best classes, and the query's own: its copies
-    found = ranked.select("u", F.explode(F.array_union(F.array("u"), F.coalesce(F.col("best.w"), F.array().cast("array<long>")))).alias("w"))
+    best = Window.partitionBy("u").orderBy((F.col("w") == F.col("u")).desc(), F.desc("s"), "w")
+    ranked = found.drop("audit").withColumn("r", F.row_number().over(best)).where(f"r <= {2 * top + 1}").join(audits, "u")
     order = Window.partitionBy("key").orderBy("id")
     members = staged(usable.select("key", "id").withColumn("r", F.row_number().over(order)).where(f"r <= {top + 1}").drop("r"))
-    pairs = found.join(classes.select(F.col("u").alias("w"), F.col("key").alias("k2"), F.col("v").alias("x")), "w")
-    pairs = pairs.join(classes.select("u", "key", F.col("v").alias("q")), "u")
-    dot = F.aggregate(F.zip_with("q", "x", lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p)
-    scored = staged(pairs.select("key", "k2", dot.alias("score")))
-    near = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    scored = (
+        ranked.join(classes.select(F.col("u").alias("w"), F.col("key").alias("k2")), "w").join(classes.select("u", "key"), "u")
+        .select("key", "k2", F.col("s").alias("score"), "audit")
+    )
+    first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
-        asking.select("query_id", "key").join(scored, "key").drop("key")
+        asking.join(scored, "key").drop("key")
         .join(members.select(F.col("key").alias("k2"), F.col("id").alias("vec_id")), "k2").where("vec_id <> query_id")
-        .withColumn("rank", F.row_number().over(near).cast("int")).where(F.col("rank") <= top)
-        .select("query_id", "rank", "vec_id", "score")
+        .withColumn("rank", F.row_number().over(first).cast("int")).where(F.col("rank") <= top)
+        .select("query_id", "rank", "vec_id", "score", "audit")
     )
 
 
-def _started(seeds: list):
-    """A search's first beam: its own place, which comes last, and the seeds. It scores by the
-    vector itself, whose added component is zero."""
-    ids = np.array([r["u"] for r in seeds], np.int64)
-    x = np.stack([np.frombuffer(bytes(r["vec"]), np.float32) for r in seeds])
-
-    def start(batch: pa.RecordBatch) -> pa.RecordBatch:
-        q = _vecs(batch.column("vec")).copy()
-        q[:, -1] = 0
-        u = batch.column("u").to_numpy()
-        s = np.where(ids[None, :] == u[:, None], -np.inf, q @ x.T)
-        every = np.concatenate([np.broadcast_to(ids, s.shape), u[:, None]], axis=1)
-        s = np.concatenate([s, np.full((len(u), 1), np.finfo(np.float32).min)], axis=1).astype(np.float32)
-        order = np.argsort(-s, axis=1, kind="stable")
-        every, s = np.take_along_axis(every, order, 1), np.take_along_axis(s, order, 1)
-        ok = np.isfinite(s)
-        n = ok.sum(axis=1)
-        lists = [_lists(every[ok], n), _lists(s[ok], n), _lists(np.zeros(n.sum(), bool), n)]
-        return pa.RecordBatch.from_arrays([batch.column("u"), pa.array([r.tobytes() for r in q], pa.binary()), *lists], names=["u", "vec", "ids", "scores", "done"])
-
-    return start
-
-
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every twentieth one."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
