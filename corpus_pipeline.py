@@ -6,7 +6,7 @@ last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelweave.llm import language, near_dedup, packing, substring_dedup, toxicity
@@ -35,22 +35,25 @@ def language_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate group, that with the smallest id.
 
-    Of rows that repeat an id and its text one stays, of those that repeat an id with similar texts
+    Of rows that repeat an id and its text one stays, the least in its columns' order, of those that repeat an id with similar texts
     one too. Rows with a null id, a null text or no words stay."""
     gone = near_dedup.near_duplicates(docs).where(~F.col("kept")).select("id", "key").distinct()
     number, key, one = fresh(docs, "_id", "_key", "_one")
     keyed = docs.withColumns({number: F.col("doc_id"), key: F.unhex(F.md5(F.col("text").cast("binary")))})
     left = keyed.join(staged(gone).toDF(number, key), [number, key], "left_anti")
-    repeats = Window.partitionBy(number, key).orderBy("n_chars")
-    return left.withColumn(one, F.row_number().over(repeats)).where(f"{one} = 1 or {number} is null or {key} is null").select(docs.columns)
+    known = F.col(number).isNotNull() & F.col(key).isNotNull()
+    once = left.where(known).groupBy(number, key).agg(F.min(F.struct(*docs.columns)).alias(one)).select(f"{one}.*")
+    return once.unionByName(left.where(~known).select(docs.columns))
 
 
 def passages_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages that a document with a smaller id holds too. Every row stays, null and empty texts
     as they are, and rows with a null id whole."""
-    left = substring_dedup.repeated_chunks(docs)
+    own = ("doc_id", "text", "n_chars")
+    plain = docs.toDF(*(c if c in own else f"_{k}" for k, c in enumerate(docs.columns)))  # names that the operator's columns don't have
+    left = substring_dedup.repeated_chunks(plain)
     chars = F.when(F.col("n_removed") > 0, F.length("text_left").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return left.withColumns({"text": F.col("text_left"), "n_chars": chars}).select(docs.columns)
+    return left.withColumns({"text": F.col("text_left"), "n_chars": chars}).select(plain.columns).toDF(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
