@@ -207,7 +207,7 @@ def near_vectors(
 
     Returns one row per input row: id, n_links (other vectors linked directly), component_id (the
     smallest id reachable by links) and kept. Rows that repeat an id count as further vectors of
-    that id. Null ids get no links.
+    that id. Null ids get no links; ids must be whole numbers.
     """
     rows = ids_only(vectors, id=vec_id, v=vector, label=label).withColumns(
         {"id": F.col("id").cast("long"), "v": F.col("v").cast("array<double>")}
@@ -216,13 +216,13 @@ def near_vectors(
         F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull()
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     )
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    usable = usable.withColumn("norm", norm).where("norm > 0 and norm < double('infinity')")
     keyed = usable.select("id", "label", "v", F.struct(F.xxhash64("label", "v"), F.xxhash64(F.lit(1), "label", "v")).alias("key"))
     classes = staged(keyed.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     counts = staged(classes.groupBy("label").agg(F.count("*").alias("n")).withColumn("shards", F.ceil(F.col("n") / shard)))
     dealt = classes.join(counts.select("label", "shards"), "label").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("shards")))
-    dealt = staged(dealt.select("rep", F.concat_ws("/", F.col("label").cast("string"), F.size("v")).alias("label"), "v", "own", "shards"))
+    largest = F.array_max(F.transform("v", F.abs))
+    scaled = F.transform("v", lambda x: x / largest)  # so that no square over- or underflows
+    dealt = staged(dealt.select("rep", F.concat_ws("/", F.col("label").cast("string"), F.size("v")).alias("label"), scaled.alias("v"), "own", "shards"))
     graphs = staged(dealt.groupBy("label", "own", "shards").applyInPandas(_built, _GRAPH))
     # every block of queries, the vectors of some shards, meets every graph of its label
     blocks = F.ceil(F.col("shards") * shard / BLOCK).cast("long")

@@ -252,7 +252,7 @@ def _celled(nodes: DataFrame, count: int, forest: int) -> DataFrame:
 
 
 def descent(nodes: DataFrame, count: int, *, rounds: int = ROUNDS, still: float = STILL, trace: list[DataFrame] | None = None) -> DataFrame:
-    """A neighbour graph over nodes (u, shard, vec) by NN-descent: (u, cell, vec, ids, scores, new).
+    """A neighbour graph over nodes (u, [shard,] vec) by NN-descent: (u, cell, vec, ids, scores, new).
 
     It starts from the nearest within cells of random hyperplanes, which lie in one shard each; so
     does the graph then, and a hub is named from no more than a shard's cells. In each round the neighbours of
@@ -262,6 +262,7 @@ def descent(nodes: DataFrame, count: int, *, rounds: int = ROUNDS, still: float
     each round, and then keeps the tables.
     """
     spark = nodes.sparkSession
+    nodes = nodes if "shard" in nodes.columns else nodes.withColumn("shard", F.lit(0).cast("long"))
     homes = staged(_celled(nodes, count, 0))
     kind = "u long, ids array<long>, scores array<float>"
     lists = homes.groupBy("cell").applyInArrow(_within, kind)

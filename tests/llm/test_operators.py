@@ -364,3 +364,54 @@ def test_neighbours_among_near_copies(spark):
 
 def test_registry_names():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+
+
+def test_embedding_dedup_of_any_norm(spark):
+    """Very long and very short vectors are compared by their directions."""
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 0.0]), (3, [1e-200, 0.0]), (4, [1.0, 0.0]), (5, [0.0, 5e-324]), (6, [0.0, 1.7e308]), (7, [0.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {r["id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_vectors(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
+
+
+def test_neighbours_over_shards(spark, monkeypatch):
+    """Several shards, ties, repeated ids, copies, odd rows and clashing columns, against brute force."""
+    monkeypatch.setattr(neighbours, "SHARD", 300)
+    r = np.random.default_rng(8)
+    x = r.normal(size=(1000, 12))
+    x[500:540] = x[7]
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    odd = [(2000, None), (2001, [0.0] * 12), (2002, [float("nan")] * 12), (None, rows[3][1]), (2003, [1.0]), rows[5]]
+    df = spark.createDataFrame([(i, v, 1, 2, "x") for i, v in rows + odd], "vec_id long, embedding array<double>, u int, shard int, audit string")
+    got: dict[int, list] = {}
+    for g in neighbours.nearest(df, F.col("id") % 25 == 0).collect():
+        got.setdefault(g["query_id"], []).append((g["rank"], g["vec_id"], g["score"]))
+    assert sorted(got) == list(range(0, 1000, 25))
+    hits = 0
+    for q, found in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        best = np.lexsort((np.arange(1000), -np.round(s, 9)))[:20]
+        found.sort()
+        assert [f[0] for f in found] == list(range(1, 21))
+        assert all(abs(f[2] - s[f[1]]) < 1e-9 for f in found)
+        hits += len({f[1] for f in found} & set(best.tolist()))
+    assert hits >= 0.95 * 20 * len(got)
+
+
+def test_pipeline_keeps_clashing_columns(spark, tmp_path):
+    """Columns named as an operator's own come out of every stage as they went in; empty tables pass, null and empty texts have their place."""
+    shared = prose(77, 90)
+    rows = [(k, f"{prose(k, 60)} {shared} {prose(k + 50, 60)}", None, "s", 9, f"mine {k}", "a", "b", "c", "d") for k in range(4)]
+    rows += [(8, None, None, "s", 0, "n", "a", "b", "c", "d"), (9, "", None, "s", 0, "e", "a", "b", "c", "d"), rows[1], rows[1]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_bytes string, n_removed string, n_spans string, text_left string, kept string")
+    spark.createDataFrame([(0, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        if name != "language_id":  # without a label no language is known
+            kept = out.collect()
+            assert {(r["n_bytes"], r["n_removed"], r["n_spans"], r["text_left"], r["kept"]) for r in kept} == {r[5:] for r in rows}, name
+            assert {r["text"] for r in kept if r["doc_id"] in (8, 9)} == {None, ""}, name
+            assert len(kept) == (6 if name == "near_dedup" else len(rows)), name
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
