@@ -173,3 +173,18 @@ def pool(spatial: DataFrame, temporal: DataFrame, keys: list[str], size: int = 8
     slots = every.select(*keys).distinct().withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
     zero = F.lit(0)
     return slots.join(best, [*keys, "slot"], "left").select(*keys, "slot", *(F.coalesce(c, zero).alias(c) for c in ("t", "dy", "dx")))
+
+
+def group_arrays(df: DataFrame, matches: DataFrame, height: int, width: int, patch: int) -> DataFrame:
+    """Groups as arrays: (img, ref_y, ref_x, members, patches), the reference first, then its matches by rank.
+
+    `members` lists (t, y, x), `patches` each member's values row by row. A group is as large as its
+    list of matches, so its array is bounded; the join is on patch and frame.
+    """
+    keys = ["img", "ref_y", "ref_x"]
+    t = F.col("t") if "t" in matches.columns else F.col("img")
+    own = matches.where("rk = 1").select(*keys, F.lit(0).alias("rk"), F.col("img").alias("t"), F.col("ref_y").alias("y"), F.col("ref_x").alias("x"))
+    members = own.unionByName(matches.select(*keys, "rk", t.alias("t"), "y", "x"))
+    rows = members.join(patches(df, height, width, patch).withColumnRenamed("img", "t"), ["t", "y", "x"])
+    group = F.sort_array(F.collect_list(F.struct("rk", "t", "y", "x", "p")))
+    return rows.groupBy(*keys).agg(group.alias("g")).select(*keys, F.transform("g", lambda m: F.struct(m["t"], m["y"], m["x"])).alias("members"), F.col("g.p").alias("patches"))

@@ -422,3 +422,7 @@ places as (select "name", y, x, v, cast((s + y * 16 + x) * 2 as bigint) u from f
 drawn as (select *, {_uniform('u', 123456)} a, {_uniform('u + 1', 123456)} b from places, powers)
 select "name", y, x, cast(floor(least(greatest(round(v + sqrt(-2 * ln(a)) * cos(b * 2 * pi()) * 15, 9), 0), 255)) as int) v from drawn""",
 }
+ORACLE_SQL["group_dump"] = f"""with {_VIDEO}, first as (select distinct img, ref_y, ref_x from best order by 1, 2, 3 limit 30),
+members as (select img, ref_y, ref_x, rk, t, y, x from best join first using (img, ref_y, ref_x) union all select img, ref_y, ref_x, 0, img, ref_y, ref_x from first)
+select m.img, m.ref_y, m.ref_x, cast(m.rk as int) "member", m.t, m.y, m.x, string_agg(cast(f.v as varchar), ',' order by f.y, f.x) patch from members m join frames f on f.img = m.t and f.y >= m.y and f.y < m.y + 8 and f.x >= m.x and f.x < m.x + 8
+group by 1, 2, 3, 4, 5, 6, 7"""

@@ -139,16 +139,19 @@ def developed(raw: DataFrame, height: int, width: int, pattern: str = "GBRG") ->
 def search_filter(
     df: DataFrame, keys: list[str], height: int, width: int, *, patch: int, step: int, channels: int = 1, guide: str = "first", blur: tuple[int, float] = (2, 1.5),
     k: int = 7, k_before: int = 3, radius: int = 4, size: int = 8, turns: int = 2, tile: int = 83, overlap: int = 19, seed: int = 42,
+    measure: str = "ssd", cut: float = 0.0, kind: str = "haar", noise: tuple[float, float] | None = None,
 ) -> DataFrame:
     """Randomized search and collaborative filtering in overlapping tiles: rasters (keys, [t, ch,] y, x, v) to (keys, ch, y, x, v).
 
     A tile searches on a blurred guide: its first channel, the mean of the channels, or all of them
     jointly. Where a frame before (t = 1) is there, its `k_before` nearest patches within `radius`
     compete with the spatial ones; the best size - 1 and the reference make a group, filled up with
-    the reference. Only this frame's members are written; tiles meet in their mean.
+    the reference. Only this frame's members are written; tiles meet in their mean. The `measure` of
+    patches may be that of their DCT coefficients from `cut` on; `kind` is the transform along a group.
+    With `noise` (gain, variance) a group's threshold follows the mean of its reference patch.
     """
     r, (reach, sigma) = patch // 2, blur
-    line, win = blocks.gaussian_line(reach, sigma), np.zeros((patch, patch))
+    line, win = blocks.gaussian_line(reach, sigma) if reach else np.ones(1), np.zeros((patch, patch))
     for i, j, w in kernels.kaiser(patch):
         win[i, j] = w
 
@@ -159,7 +162,7 @@ def search_filter(
         soft = {"first": soft[:, :1], "mean": soft.mean(1, keepdims=True), "joint": soft}[guide]
         out = stack[0].copy()
         if min(stack.shape[2:]) >= patch:
-            found = knn.Search(soft[0], k=k, patch=patch, step=step, seed=seed, origin=(at.y0 + reach, at.x0 + reach))
+            found = knn.Search(soft[0], k=k, patch=patch, step=step, seed=seed, origin=(at.y0 + reach, at.x0 + reach), measure=measure, limit=cut)
             found.run(turns)
             dist, dy, dx = (c.reshape(-1, k) for c in (found.dist, found.dy, found.dx))
             dist = np.where((dy == 0) & (dx == 0), np.inf, dist)  # the reference is a member as it is
@@ -176,7 +179,12 @@ def search_filter(
             dist, t, dy, dx = (np.take_along_axis(c, order, 1) for c in (dist, t, dy, dx))
             t, dy, dx = (np.where(np.isfinite(dist), c, 0) for c in (t, dy, dx))
             t, dy, dx = (np.hstack([np.zeros((len(c), 1), int), c, np.zeros((len(c), size - 1 - c.shape[1]), int)]) for c in (t, dy, dx))
-            num, den = blocks.group_filter(stack, t, y + dy, x + dx, np.full(len(t), size), patch=patch, kind="haar", limit=LAMBDA, window=win, only=0)
+            limit, variance = LAMBDA, None
+            if noise:
+                mean = blocks.box_sums(stack[0, 0], found.rows - r, found.cols - r, patch).ravel() / patch**2
+                variance = np.maximum(noise[0] * mean + noise[1], 1e-12)
+                limit = LAMBDA * np.sqrt(variance)
+            num, den = blocks.group_filter(stack, t, y + dy, x + dx, np.full(len(t), size), patch=patch, kind=kind, limit=limit, variance=variance, window=win, only=0)
             out = np.divide(num[0], den[0], out=out, where=den[0] > 0)
         y, x = at.own_cells()
         return {"ch": np.repeat(np.arange(channels), len(y)), "y": np.tile(y, channels), "x": np.tile(x, channels), "v": out.ravel()}
@@ -195,6 +203,19 @@ def aknn_bm3d(raw: DataFrame, height: int, width: int, a: float, b: float, *, pa
     return _destabilized(search_filter(noisy, ["img"], height, width, patch=patch, step=step, tile=tile, overlap=overlap), a, b).drop("ch")
 
 
+def aknn_plain(
+    raw: DataFrame, height: int, width: int, a: float, b: float, *, guided: bool = True, patch: int = 5, step: int = 2, tile: int = 24, overlap: int = 8,
+) -> DataFrame:
+    """Without stabilization: thresholds by the local variance, a DCT along the group.
+
+    Guided, the search goes on a blurred image; else on the thresholded DCT coefficients of the noisy patches.
+    """
+    noisy = raw.withColumn("v", scalars.normalized(F.col("v")))
+    way = {"blur": (2, 1.5)} if guided else {"blur": (0, 1.0), "measure": "dct", "cut": LAMBDA * (a * 0.5 + b) ** 0.5}
+    out = search_filter(noisy, ["img"], height, width, patch=patch, step=step, tile=tile, overlap=overlap, kind="dct", noise=(a, b), **way)
+    return out.withColumn("v", scalars.clip(F.col("v"), 0.0, 1.0)).drop("ch")
+
+
 def aknn_bm3d_raw(raw: DataFrame, height: int, width: int, a: float, b: float, *, patch: int = 3, step: int = 1, guide: str = "joint", tile: int = 12, overlap: int = 4) -> DataFrame:
     """The same on a mosaic: one search serves the four channels, jointly on all of them or on one guide."""
     packed = layout.pack_bayer(raw).withColumn("v", scalars.vst(scalars.normalized(F.col("v")), a, b))

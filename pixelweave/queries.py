@@ -558,6 +558,17 @@ def match_joint_topk(s, d):
     return match.match_joint(layout.pack_bayer(src.raw32(s, d)), 16, 16, patch=8, stride=4, radius=19, k=16)
 
 
+@query
+def group_dump(s, d):
+    """The first 30 groups of the video search with their patches, for inspection."""
+    frames = src.frames16(s, d)
+    found = _video_matches(s, d)
+    first = found.select("img", "ref_y", "ref_x").distinct().orderBy("img", "ref_y", "ref_x").limit(30)
+    groups = match.group_arrays(frames, found.join(first, ["img", "ref_y", "ref_x"]), 16, 16, 8)
+    each = groups.select("img", "ref_y", "ref_x", F.posexplode(F.arrays_zip("members", "patches")).alias("member", "m"))
+    return each.select("img", "ref_y", "ref_x", "member", "m.members.t", "m.members.y", "m.members.x", F.array_join(F.transform("m.patches", lambda v: v.cast("string")), ",").alias("patch"))
+
+
 @query
 def limit_refs(s, d):
     return layout.reference_grid(s, 128, 128, 8, 3).orderBy("ref_y", "ref_x").limit(30)
@@ -741,6 +752,18 @@ def aknn_bm3d_raw(s, d):
     return denoise.aknn_bm3d_raw(src.raw32(s, d), 32, 32, A, B)
 
 
+@query
+def aknn_bm3d_dct(s, d):
+    """The search by DCT coefficients, thresholds by local variance."""
+    return denoise.aknn_plain(src.raw32(s, d), 32, 32, A, B, guided=False)
+
+
+@query
+def aknn_bm3d_local(s, d):
+    """The search on a guide, thresholds by local variance."""
+    return denoise.aknn_plain(src.raw32(s, d), 32, 32, A, B)
+
+
 @query
 def aknn_resampled(s, d):
     """Starts drawn anew while they leave the tile."""

@@ -174,3 +174,37 @@ def test_temporal_matches_find_a_shift(spark):
     moved = moved.selectExpr("seq", "frame", "y", "x", "cast(hash(y + sy, x + sx) % 1000 as int) v")
     found = video.temporal_matches(moved, ["seq"], 20, 20, patch=5, stride=3).where("rk = 1 and ref_y < 14 and ref_x < 13").collect()
     assert found and all((r["before"], r["dist"], r["y"] - r["ref_y"], r["x"] - r["ref_x"]) == (1, 0, 1, 2) for r in found)
+
+
+def test_groups_as_arrays(raw):
+    found = match.match(raw, 32, 32, patch=4, stride=14, radius=5, k=3)
+    a = array(raw, 32, 32)
+    groups = match.group_arrays(raw, found, 32, 32, 4).collect()
+    best = {}
+    for r in found.collect():
+        best.setdefault((r["ref_y"], r["ref_x"]), {})[r["rk"]] = (r["img"], r["y"], r["x"])
+    assert len(groups) == 9
+    for g in groups:
+        own = [(0, g["ref_y"], g["ref_x"]), *(best[g["ref_y"], g["ref_x"]][k] for k in (1, 2, 3))]
+        assert [tuple(m) for m in g["members"]] == own
+        assert g["patches"] == [a[y : y + 4, x : x + 4].ravel().tolist() for _, y, x in own]
+
+
+def test_unstabilized_search_filters(spark):
+    """A flat image comes back; a noisy one gets nearer to it, whichever way patches are searched."""
+    flat = spark.range(576).selectExpr("0 img", "cast(id div 24 as int) y", "cast(id % 24 as int) x", "1500 v")
+    noisy = flat.withColumn("v", noise_of())
+    level = (1500 - 240) / 3855
+    for guided in (True, False):
+        out = lambda d: array(denoise.aknn_plain(d, 24, 24, 0.0, 2e-4, guided=guided, tile=16, overlap=6), 24, 24)  # noqa: B023, E731
+        assert np.ptp(out(flat)) < 1e-9
+        before = np.mean(((array(noisy, 24, 24) - 240) / 3855 - level) ** 2)
+        assert np.mean((out(noisy) - level) ** 2) < 0.5 * before
+
+
+def noise_of():
+    from pyspark.sql import functions as F
+
+    from pixelweave.functions import streams
+
+    return (F.lit(1500) + F.round(streams.normal(F.col("y") * 24 + F.col("x"), 3) * 54)).cast("int")
