@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelweave.operators import ranks
@@ -113,9 +113,8 @@ def result_table(rows: DataFrame, columns: list[str], order: list[str]) -> DataF
     return rows.withColumns(missing).select(*columns).orderBy(*order)
 
 
-def parameter_grid(spark: SparkSession, **values: list) -> DataFrame:
-    """All combinations of short lists."""
-    df = spark.range(1).select()
+def parameter_grid(df: DataFrame, **values: list) -> DataFrame:
+    """Each row with all combinations of short lists."""
     for name, options in values.items():
         df = df.withColumn(name, F.explode(F.array(*(F.lit(o) for o in options))))
     return df

@@ -24,12 +24,6 @@ def patches(df: DataFrame, height: int, width: int, patch: int, value: str = "v"
     return grouped.select("img", "y", "x", F.transform("c", lambda c: c["v"]).alias("p"))
 
 
-def references(all_patches: DataFrame, stride: int) -> DataFrame:
-    """Patches whose corners lie on the reference grid."""
-    on = (F.col("y") % stride == 0) & (F.col("x") % stride == 0)
-    return all_patches.where(on).select("img", F.col("y").alias("ref_y"), F.col("x").alias("ref_x"), F.col("p").alias("ref_p"))
-
-
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda s, d: s + d)
 
@@ -39,15 +33,6 @@ def ssd(a: str, b: str) -> Column:
     return _sum(F.zip_with(a, b, lambda u, v: ((u - v) * (u - v)).cast("long")))
 
 
-def sad(a: str, b: str) -> Column:
-    """Sum of absolute differences of integer patches, exact."""
-    return _sum(F.zip_with(a, b, lambda u, v: F.abs(u - v).cast("long")))
-
-
-def ssd_real(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, d: s + d)
-
-
 def window_pairs(refs: DataFrame, cands: DataFrame, radius: int) -> DataFrame:
     """Pairs of a reference and a candidate (y, x, p) at most `radius` rows and columns away.
 
@@ -65,10 +50,6 @@ def window_pairs(refs: DataFrame, cands: DataFrame, radius: int) -> DataFrame:
     return own.join(spread, keys).where(near).drop("by", "bx")
 
 
-def not_self() -> Column:
-    return ~((F.col("y") == F.col("ref_y")) & (F.col("x") == F.col("ref_x")))
-
-
 def top(pairs: DataFrame, k: int, keys: list[str], order: list[str]) -> DataFrame:
     """The k first rows of each group, with their rank; the filter on the rank becomes a limit per group."""
     w = Window.partitionBy(*keys).orderBy(*order)

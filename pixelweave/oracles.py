@@ -80,9 +80,6 @@ select count(*) n, round(case when count(*) >= 100 then regr_slope(var, m) end,
     "summary_by_method": f"with {RESULTS} select method, round(avg(psnr), 4) mean, count(psnr) n from results group by 1",
     "summary_by_iso": f"with {RESULTS} select iso, round(avg(psnr), 4) mean, count(psnr) n from results group by 1",
     "argmin_config": f"with {PARAMS}, c as (select scene, sum(event_id) cost from params group by 1) select scene, cast(cost as bigint) cost from c order by cost, scene limit 1",
-    "param_grid": "select s sigma, k, p patch, t step from (values (10), (20), (30)) a(s), (values (8), (16)) b(k), (values (5), (7), (9)) c(p), (values (1), (2)) d(t)",
-    "ref_grid": "select cast(y as int) ref_y, cast(x as int) ref_x from range(0, 1073, 4) a(y), range(0, 1913, 4) b(x)",
-    "limit_refs": "select cast(y as int) ref_y, cast(x as int) ref_x from range(0, 121, 3) a(y), range(0, 121, 3) b(x) order by 1, 2 limit 30",
     "dct2d": f"with {_DCT} select y, i, j, round(v, 5) v from spectrum",
     "dct_inverse": f"with {EMB} select y, cast(x // 8 as int) i, cast(x % 8 as int) j, round(v, 5) v from e",
     "hard_threshold": f"with {_DCT} select y, i, j, round(v, 5) v from kept",
@@ -111,11 +108,6 @@ def _starts(size: int, block: int, overlap: int) -> str:
     return f"(select distinct least(s, {max(size - block, 0)}) s from range(0, {size}, {block - overlap}) a(s))"
 
 
-def _tiles(height: int, width: int, block: tuple[int, int], overlap: int) -> str:
-    return f"""select cast(a.s as int) y0, cast(least(a.s + {block[0]}, {height}) as int) y1, cast(b.s as int) x0, cast(least(b.s + {block[1]}, {width}) as int) x1
-from {_starts(height, block[0], overlap)} a, {_starts(width, block[1], overlap)} b"""
-
-
 def _mirror(at: str, n: int | str, again: int) -> str:
     """Index beyond the border; `again` is 1 if the edge repeats."""
     return f"case when {at} < 0 then -({at}) - {again} when {at} >= {n} then 2 * {n} - {2 - again} - ({at}) else {at} end"
@@ -196,9 +188,6 @@ _I0 = "(select sum(pow({x} * {x} / 4.0::double, k) / (factorial(cast(k as int)):
 _KAISER = f"line as (select i, {_I0.format(x='(2 * sqrt(1 - pow(2 * i / 7.0::double - 1, 2)))')} / {_I0.format(x='2.0::double')} w from range(8) a(i))"
 
 ORACLE_SQL |= {
-    "tile_grid": _tiles(540, 960, (83, 83), 19),
-    "tile_rect": _tiles(360, 640, (64, 128), 19),
-    "tile_quadrants": "select a y0, b y1, c x0, d x1 from (values (0, 89), (11, 100)) s(a, b), (values (0, 89), (11, 100)) t(c, d)",
     "split_tiles": f"with {RAW} select img, y, x, v, cast(a.s as int) y0, cast(b.s as int) x0 from raw join {_starts(32, 16, 4)} a on y >= a.s and y < a.s + 16 join {_starts(32, 16, 4)} b on x >= b.s and x < b.s + 16",
     "tile_merge": f"with {RAW} select img, y, x, round(avg(v + a.s * 0.5::double + b.s), 6) v from raw join {_starts(32, 16, 4)} a on y >= a.s and y < a.s + 16 join {_starts(32, 16, 4)} b on x >= b.s and x < b.s + 16 group by 1, 2, 3",
     "center_crop": f"with {RAW} select img, y - 6 y, x - 4 x, v from raw where y >= 6 and y < 26 and x >= 4 and x < 28",
@@ -251,7 +240,6 @@ haar as (select k, n, case when k = 0 then sqrt(1 / 8.0::double) else sqrt(pow(2
 from (select k, case when k = 0 then 0 else cast(floor(log2(k)) as int) end l from range(8) a(k)), range(8) b(n))
 select y, i, cast(k as int) k, round(sum(c * v), 5) v from p join haar on n = j group by 1, 2, 3""",
     "haar5_round_trip": f"with {EMB} select cast(y // 5 as int) g, x, cast(y % 5 as int) k, round(v, 5) v from e",
-    "kaiser_window": f"with {_KAISER} select cast(a.i as int) i, cast(b.i as int) j, round(a.w * b.w, 6) w from line a, line b",
     "scatter_aggregate": f"with {RAW} select img, y, x, round(sum(v / (1.0::double + a.s + 2 * b.s)) / sum(1 / (1.0::double + a.s + 2 * b.s)), 6) v from raw join range(0, 25, 4) a(s) on y >= a.s and y < a.s + 8 join range(0, 25, 4) b(s) on x >= b.s and x < b.s + 8 group by 1, 2, 3",
     "coverage_fallback": f"with {RAW} select img, y, x, round(v + case when y % 12 < 8 and x % 12 < 8 then 0.5::double else 0 end, 6) v from raw",
     "nlm": f"""with {RAW}, {_near('raw', 32, 2, 0)}, {_gauss(2, 1.0)}, d as (select a.img, a.y, a.x, b.v nv, cast(sum(w * (p.nv - q.nv) * (p.nv - q.nv)) as double) d from raw a join raw b on a.img = b.img and b.y - a.y between -5 and 4 and b.x - a.x between -5 and 4
@@ -426,3 +414,29 @@ ORACLE_SQL["group_dump"] = f"""with {_VIDEO}, first as (select distinct img, ref
 members as (select img, ref_y, ref_x, rk, t, y, x from best join first using (img, ref_y, ref_x) union all select img, ref_y, ref_x, 0, img, ref_y, ref_x from first)
 select m.img, m.ref_y, m.ref_x, cast(m.rk as int) "member", m.t, m.y, m.x, string_agg(cast(f.v as varchar), ',' order by f.y, f.x) patch from members m join frames f on f.img = m.t and f.y >= m.y and f.y < m.y + 8 and f.x >= m.x and f.x < m.x + 8
 group by 1, 2, 3, 4, 5, 6, 7"""
+
+
+# grids over rasters that grow with the tables
+
+
+def _tiles_grown(block: tuple[int, int], overlap: int) -> str:
+    starts = [f"(select distinct least(s, greatest(n - {b}, 0)) s from (select unnest(range(0, cast({_SIDE} as bigint), {b - overlap})) s), side)" for b in block]
+    return f"""with {_GROWN} select cast(a.s as int) y0, cast(least(a.s + {block[0]}, n) as int) y1, cast(b.s as int) x0, cast(least(b.s + {block[1]}, n) as int) x1 from {starts[0]} a, {starts[1]} b, side"""
+
+
+def _refs_grown(patch: int, stride: int) -> str:
+    axis = _axis(f"({_SIDE} - {patch - 1})", stride)
+    return f"with {_GROWN} select cast(y as int) ref_y, cast(x as int) ref_x from {axis} a(y), {axis} b(x)"
+
+
+ORACLE_SQL |= {
+    "tile_grid": _tiles_grown((27, 27), 8),
+    "tile_rect": _tiles_grown((16, 30), 7),
+    "tile_quadrants": f"""with {_GROWN}, ends as (select cast(0 as int) a, cast(n // 2 + 19 as int) b from side union all select cast(n // 2 - 19 as int), cast(n as int) from side)
+select t.a y0, t.b y1, u.a x0, u.b x1 from ends t, ends u""",
+    "ref_grid": _refs_grown(8, 4),
+    "limit_refs": f"{_refs_grown(8, 3)} order by 1, 2 limit 30",
+    "param_grid": f"""with {PARAMS}, images as (select distinct scene, iso from params)
+select scene, iso, s sigma, k, p patch, t step from images, (values (10), (20), (30)) a(s), (values (8), (16)) b(k), (values (5), (7), (9)) c(p), (values (1), (2)) d(t)""",
+    "kaiser_window": f"with {EMB}, {_KAISER} select y, cast(a.i as int) i, cast(b.i as int) j, round(v * a.w * b.w, 6) v from e join line a on a.i = x // 8 join line b on b.i = x % 8",
+}

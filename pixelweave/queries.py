@@ -150,22 +150,26 @@ def unpack_bayer(s, d):
 
 @query
 def tile_grid(s, d):
-    return layout.tile_grid(s, 540, 960, (83, 83), 19)
+    n = src.side(s, d)
+    return layout.tile_grid(s, n, n, (27, 27), 8)
 
 
 @query
 def tile_rect(s, d):
-    return layout.tile_grid(s, 360, 640, (64, 128), 19)
+    n = src.side(s, d)
+    return layout.tile_grid(s, n, n, (16, 30), 7)
 
 
 @query
 def tile_quadrants(s, d):
-    return layout.quadrants(s, 100, 100, 39)
+    n = src.side(s, d)
+    return layout.quadrants(s, n, n, 19)
 
 
 @query
 def ref_grid(s, d):
-    return layout.reference_grid(s, 1080, 1920, 8, 4)
+    n = src.side(s, d)
+    return layout.reference_grid(s, n, n, 8, 4)
 
 
 @query
@@ -263,7 +267,9 @@ def bayer_lookup(s, d):
 
 @query
 def param_grid(s, d):
-    return catalogue.parameter_grid(s, sigma=[10, 20, 30], k=[8, 16], patch=[5, 7, 9], step=[1, 2])
+    """Every combination for each scene and sensitivity that has parameters."""
+    images = src.noise_params(s, d).select("scene", "iso").distinct()
+    return catalogue.parameter_grid(images, sigma=[10, 20, 30], k=[8, 16], patch=[5, 7, 9], step=[1, 2])
 
 
 @query
@@ -571,7 +577,8 @@ def group_dump(s, d):
 
 @query
 def limit_refs(s, d):
-    return layout.reference_grid(s, 128, 128, 8, 3).orderBy("ref_y", "ref_x").limit(30)
+    n = src.side(s, d)
+    return layout.reference_grid(s, n, n, 8, 3).orderBy("ref_y", "ref_x").limit(30)
 
 
 # transforms and groups
@@ -643,7 +650,9 @@ def haar5_round_trip(s, d):
 
 @query
 def kaiser_window(s, d):
-    return _r(s.createDataFrame(kernels.kaiser(8), "i int, j int, w double"), 6, "w")
+    """Patches weighted by the window."""
+    window = s.createDataFrame(kernels.kaiser(8), "i int, j int, w double")  # 64 rows
+    return _r(_patches8(s, d).join(F.broadcast(window), ["i", "j"]).select("y", "i", "j", (F.col("v") * F.col("w")).alias("v")), 6, "v")
 
 
 @query
