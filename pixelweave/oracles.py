@@ -432,7 +432,7 @@ def _refs_grown(patch: int, stride: int) -> str:
 ORACLE_SQL |= {
     "tile_grid": _tiles_grown((27, 27), 8),
     "tile_rect": _tiles_grown((16, 30), 7),
-    "tile_quadrants": f"""with {_GROWN}, ends as (select cast(0 as int) a, cast(n // 2 + 19 as int) b from side union all select cast(n // 2 - 19 as int), cast(n as int) from side)
+    "tile_quadrants": f"""with {_GROWN}, ends as (select cast(0 as int) a, cast(n // 2 + 9 as int) b from side union all select cast(n // 2 - 9 as int), cast(n as int) from side)
 select t.a y0, t.b y1, u.a x0, u.b x1 from ends t, ends u""",
     "ref_grid": _refs_grown(8, 4),
     "limit_refs": f"{_refs_grown(8, 3)} order by 1, 2 limit 30",

@@ -163,7 +163,7 @@ def tile_rect(s, d):
 @query
 def tile_quadrants(s, d):
     n = src.side(s, d)
-    return layout.quadrants(s, n, n, 19)
+    return layout.quadrants(s, n, n, 9)
 
 
 @query
