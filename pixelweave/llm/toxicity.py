@@ -242,7 +242,8 @@ def fitted(of: Words, y: np.ndarray, *, rounds: int = 20, steps: int = 60, batch
         total = 0.0
         for _ in range(steps):
             step += 1
-            i = np.concatenate([rng.choice(pos, batch // 2), rng.choice(hard, batch // 4), rng.choice(easy, batch - batch // 2 - batch // 4)])
+            some, near = batch * 5 // 16, batch * 11 // 32  # of toxic documents, and of the highest of others
+            i = np.concatenate([rng.choice(pos, some), rng.choice(hard, near), rng.choice(easy, batch - some - near)])
             t, mask = cell(i)
             loss, g = net.gradient(of, t, mask, toxic[i].astype(np.float32), np.full(len(i), 1 / len(i), np.float32))
             total += loss / steps
