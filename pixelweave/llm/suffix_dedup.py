@@ -106,7 +106,7 @@ class Block:
             loose = np.zeros(len(i), _U)
             for k in over:
                 loose = loose << _U(8) | t[np.minimum(i + k, n)]
-            head = (_U(way) << _U(62)) | (named[i + skip] << _U(16))
+            head = (named[i + skip] << _U(18)) | (_U(way) << _U(16))
             keys = [head | (loose & _U(0xFFFF))]
             if span - depth > 2:  # else one name and two bytes are all
                 keys.append(named[i + skip + second] << _U(16) | loose >> _U(16))
@@ -115,22 +115,92 @@ class Block:
         return np.concatenate(out), np.concatenate(where)
 
 
+def _changes(columns: list[np.ndarray]) -> np.ndarray:
+    """Where a row differs from the one before it."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for column in columns:
+        new[1:] |= column[1:] != column[:-1]
+    return new
+
+
+def _with_places(numbers: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in order without their lowest `room` bits, and where each was: its place takes those bits,
+    as a sort of numbers alone is several times faster than one that carries places along."""
+    both = numbers >> _U(room) << _U(room) | np.arange(len(numbers), dtype=_U)
+    both.sort()
+    return both >> _U(room), (both & _U((1 << room) - 1)).astype(np.int64)
+
+
+def _close(columns: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """Columns of numbers as words without the bits that no row uses, in the same order; and the number of bits."""
+    widths = [int(c.max(initial=0)).bit_length() for c in columns]
+    words, at = [np.zeros(len(columns[0]), _U) for _ in range(max(1, -(-sum(widths) // 64)))], 0
+    for column, width in zip(columns, widths, strict=True):
+        if not width:
+            continue
+        word, shift = divmod(at, 64)
+        high = column << _U(64 - width)
+        words[word] |= high >> _U(shift)
+        if shift + width > 64:
+            words[word + 1] |= high << _U(64 - shift)
+        at += width
+    return words, at
+
+
+def _row_order(words: list[np.ndarray], total: int) -> np.ndarray:
+    """The order of rows of numbers. As many bits at once are looked at as a number has room for, and
+    after the first ones only of rows that are still tied."""
+    order = np.empty(len(words[0]), np.int64)
+    tied = slot = np.arange(len(order))
+    group, begin = np.zeros(len(order), _U), 0
+    while begin < total and len(tied):
+        room = (len(tied) - 1).bit_length()
+        bits = min(total - begin, 64 - room - int(group[-1]).bit_length())
+        word, shift = divmod(begin, 64)
+        value = words[word][tied] << _U(shift)
+        if shift + bits > 64:
+            value |= words[word + 1][tied] >> _U(64 - shift)
+        value, at = _with_places((group << _U(bits) | value >> _U(64 - bits)) << _U(room), room)
+        new = _changes([value])
+        again = np.flatnonzero(~(new & np.append(new[1:], True)))
+        tied = tied[at]
+        order[slot] = tied  # for good where a row is alone
+        tied, slot, group = tied[again], slot[again], (np.cumsum(new[again]) - 1).astype(_U)
+        begin += bits
+    order[slot] = tied  # equal rows
+    return order
+
+
 def unique_rows(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct rows, and for each row its place among them. Columns are ranked one by one, and their ranks joined."""
-    distinct, place = np.unique(keys[:, 0], return_inverse=True)
-    if keys.shape[1] == 1:
-        return distinct[:, None], place
-    code, many = place, len(distinct)
-    for column in keys.T[1:]:
-        distinct, place = np.unique(column, return_inverse=True)
-        if many * len(distinct) >= 1 << 62:
-            ranks, code = np.unique(code, return_inverse=True)
-            many = len(ranks)
-        code, many = code * len(distinct) + place, many * len(distinct)
-    codes, place = np.unique(code, return_inverse=True)
-    one = np.empty(len(codes), np.int64)
-    one[place] = np.arange(len(place))
-    return keys[one], place
+    """Sorted distinct rows, and for each row its place among them.
+
+    Long rows are brought together by a hash first, so that repeated ones are sorted once; where the
+    hash mixes different rows, equal ones may stay apart, and meet in the sort.
+    """
+    if not len(keys):
+        return keys, np.empty(0, np.int64)
+    columns = [np.ascontiguousarray(c) for c in keys.T]
+    group = None
+    if len(columns) > 2:
+        h = columns[0]
+        with np.errstate(over="ignore"):
+            for column in columns[1:]:
+                h = mixed(h) + column
+        at = _with_places(mixed(h), (len(keys) - 1).bit_length())[1]
+        columns = [c[at] for c in columns]
+        new = _changes(columns)
+        group = np.empty(len(keys), np.int64)
+        group[at] = np.cumsum(new) - 1
+        one = np.flatnonzero(new)
+        columns = [c[one] for c in columns]
+    order = _row_order(*_close(columns))
+    columns = [c[order] for c in columns]
+    new = _changes(columns)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    one = np.flatnonzero(new)
+    return np.stack([c[one] for c in columns], axis=1), place if group is None else place[group]
 
 
 def _sortable(keys: np.ndarray) -> np.ndarray:

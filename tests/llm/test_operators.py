@@ -415,3 +415,15 @@ def test_pipeline_keeps_clashing_columns(spark, tmp_path):
             assert {r["text"] for r in kept if r["doc_id"] in (8, 9)} == {None, ""}, name
             assert len(kept) == (6 if name == "near_dedup" else len(rows)), name
         assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
+
+
+@pytest.mark.parametrize("width", [1, 2, 3])
+@pytest.mark.parametrize("most", [0, 1, 50, 1 << 20, (1 << 64) - 1])
+def test_rows_of_numbers_are_sorted_once(width, most):
+    r = np.random.default_rng(width)
+    for n in (1, 2, 17, 20_000):
+        keys = r.integers(0, most, (n, width), dtype=np.uint64, endpoint=True)
+        distinct, place = suffix_dedup.unique_rows(keys)
+        want, at = np.unique(keys, axis=0, return_inverse=True)
+        assert (distinct == want).all() and (place == at.ravel()).all()
+    assert len(suffix_dedup.unique_rows(keys[:0])[0]) == 0
