@@ -49,11 +49,9 @@ def staged(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def large_rows(spark: SparkSession) -> Iterator[None]:
-    """For what runs inside, few rows are read, and sent to Python, at a time."""
-    few = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2", "spark.sql.parquet.columnarReaderBatchSize": "8"}
-    before = {k: spark.conf.get(k) for k in few}
-    for k, v in few.items():
+def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
         spark.conf.set(k, v)
     try:
         yield
@@ -62,6 +60,16 @@ def large_rows(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
+def large_rows(spark: SparkSession):
+    """For what runs inside, few rows are read, and sent to Python, at a time."""
+    return _settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "2", "spark.sql.parquet.columnarReaderBatchSize": "8"})
+
+
+def shuffles_removed(spark: SparkSession):
+    """Shuffle files of a table that is staged inside go, on all executors, once it is written."""
+    return _settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing reads any more."""
     spark = df.sparkSession

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm._common import fresh, ids_only, kind_of, map_arrow, mixed, staged, table, text_bytes, with_arrow
+from pixelweave.llm._common import dropped, fresh, ids_only, kind_of, map_arrow, mixed, shuffles_removed, staged, table, text_bytes, with_arrow
 
 BITS, SHORTEST, LONGEST = 5, 24, 256  # a cut about every 32 bytes, but 24 to 256 bytes apart
 MIN_RUN = 100  # bytes of adjacent repeated chunks, and of equal text beside them, that make a repeated passage
@@ -163,14 +163,17 @@ def repeated_chunks(
     """
     rows = ids_only(docs, id=doc_id, text=text).withColumn("doc", F.struct("id", F.xxhash64("text").alias("h"))).where("id is not null")
     doc = f"doc struct<id: {kind_of(rows, 'id')}, h: bigint>"
+    spark = docs.sparkSession
     chunks = staged(map_arrow(rows.select("doc", "text"), _chunker(bits, shortest, longest), f"{doc}, digests array<binary>, ends array<int>"))
     single = chunks.select("doc", F.posexplode("digests").alias("at", "digest"))
-    kept = staged(
-        single.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc.id").alias("last")).where("first.id < last").select("digest", "first")
-    )
+    kept = single.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc.id").alias("last"))
+    with shuffles_removed(spark):
+        kept = staged(kept.where("first.id < last").select("digest", "first"))
     seen = single.join(kept, "digest").where("doc.id > first.id").groupBy("doc").agg(F.collect_list(F.struct("at", "first", "digest")).alias("seen"))
     once = chunks.dropDuplicates(["doc"])
-    marks = staged(once.join(seen, "doc").select("doc", "ends", "seen"))
+    with shuffles_removed(spark):
+        marks = staged(once.join(seen, "doc").select("doc", "ends", "seen"))
+    dropped(kept)
     kind = f"{doc}, run int, left boolean, keeper {doc[4:]}, digest binary, n int"
     edges = marks.mapInArrow(lambda batches: map(_edges, batches), kind)
     keepers = once.select(F.col("doc").alias("keeper"), "digests", F.col("ends").alias("kept_ends"))
@@ -184,7 +187,9 @@ def repeated_chunks(
     length = F.when(F.col("left"), F.least("n", "edge")).otherwise(F.col("n"))
     near = F.substring(F.col("whole"), start + 1, length).alias("near")
     beside = edges.join(texts, "keeper").select("doc", "run", "left", near).where("length(near) > 0")
-    beside = beside.groupBy("doc").agg(F.collect_list(F.struct("run", "left", "near")).alias("beside"))
+    with shuffles_removed(spark):
+        beside = staged(beside.groupBy("doc").agg(F.collect_list(F.struct("run", "left", "near")).alias("beside")))
+    dropped(chunks)
     own, *names = fresh(docs, "_doc", "_ends", "_seen", "_beside")
     marks = marks.join(beside, "doc", "left").select(*(F.col(c).alias(n) for c, n in zip(("doc", "ends", "seen", "beside"), (own, *names), strict=True)))
     key = F.struct(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(f"`{text}`").alias("h"))
