@@ -12,15 +12,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm._common import dropped, ids_only, large_rows, mixed, staged, table, text_bytes
+from pixelweave.llm._common import dropped, ids_only, large_rows, mixed, shuffles_removed, staged, table, text_bytes
 
 SPAN = 50  # bytes of a repeated string
-TRIPLE = 24  # bytes of a key of the first level: three words of eight
+TRIPLE = 24  # bytes of the shortest key of the first level: three words of eight; where spans allow, the words have sixteen
 BLOCK = 500_000  # bytes of text that a task sorts at once, about; longer texts are cut into overlapping pieces
 PART = 500_000  # keys of a range, about
 PICKED = 20  # keys a range that its bounds are chosen from, as many as a range shuffle of Spark's would sample
 EVERY = 17  # one of so many keys is looked at for the bounds; odd, so that both classes of a cover come in
 DENSITY = 2.2  # fingerprints are chosen at a rate of about 2 / (SPAN - TRIPLE + 2) of all positions
+TILE = 1 << 15  # positions that are fingerprinted at once: their numbers stay in a core's cache
 _NAME_BITS = 46
 _U = np.uint64
 
@@ -35,13 +36,45 @@ def eight(data: np.ndarray) -> np.ndarray:
     return out[:n]
 
 
+def packed(data: bytes) -> bytes:
+    """Shrunk before Spark copies, shuffles and writes it."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
 def planes(x: np.ndarray) -> bytes:
-    """Eight-byte numbers, their first bytes first, then their second ones: sorted or small ones shrink well on their way."""
-    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Eight-byte numbers, their first bytes first, then their second ones: sorted or small ones shrink well."""
+    return packed(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def unplaned(data: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(unpacked(data), np.uint8).reshape(8, -1).T).view(kind).ravel() if data else np.empty(0, kind)
+
+
+def ranks(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct number occurs, in their order, and for each number its place among them.
+
+    A number that leaves room for its position is sorted together with it, which is faster than sorting positions.
+    """
+    n = len(code)
+    width = _U(max(1, n.bit_length()))
+    if int(code.max(initial=0)) >> (64 - int(width)):
+        order = np.argsort(code)
+        s = code[order]
+    else:
+        s = (code << width) | np.arange(n, dtype=_U)
+        s.sort()
+        order = (s & ((_U(1) << width) - _U(1))).view(np.int64)
+        s >>= width
+    new = np.empty(n, bool)
+    new[:1] = True
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    place = np.empty(n, np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return order[new], place
 
 
 class Block:
@@ -61,27 +94,57 @@ class Block:
         It is the smallest hash of the TRIPLE-byte strings inside, so equal strings have equal
         fingerprints, and neighbouring strings mostly share theirs.
         """
-        w = np.append(eight(self.data), np.zeros(16, _U))
-        n = len(self.data)
-        with np.errstate(over="ignore"):
-            h = mixed(w[:n] * _U(0xD1342543DE82EF95) + w[8 : n + 8] * _U(0x9E3779B97F4A7C15) + w[16:] * _U(0xBF58476D1CE4E5B9))
-        width, most = 1, span - TRIPLE + 1
-        while 2 * width <= most:
-            h[:-width] = np.minimum(h[:-width], h[width:])
-            width *= 2
-        if most > width:
-            h[: width - most] = np.minimum(h[: width - most], h[most - width :])
+        n, most = len(self.data), span - TRIPLE + 1
+        padded = np.append(self.data, np.zeros(span, np.uint8))
+        out = np.empty(n, _U)
+        for s in range(0, n, TILE):
+            m = min(TILE, n - s) + most - 1
+            w = eight(padded[s : s + m + TRIPLE - 1])
+            with np.errstate(over="ignore"):
+                h = mixed(w[:m] * _U(0xD1342543DE82EF95) + w[8 : m + 8] * _U(0x9E3779B97F4A7C15) + w[16 : m + 16] * _U(0xBF58476D1CE4E5B9))
+            width = 1
+            while 2 * width <= most:
+                h[:-width] = np.minimum(h[:-width], h[width:])
+                width *= 2
+            if most > width:
+                h[: width - most] = np.minimum(h[: width - most], h[most - width :])
+            out[s : s + TILE] = h[: min(TILE, n - s)]
         i = np.flatnonzero(self.left >= span)
-        return i, h[i]
+        return i, out[i]
 
     def sampled(self, depth: int) -> np.ndarray:
         """Positions of the difference cover {1, 2} modulo 3 with so many bytes after them."""
         return np.flatnonzero((self.at % 3 != 0) & (self.left >= depth))
 
-    def triples(self, every: int = 1) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of TRIPLE bytes, three words of eight, and their positions."""
-        w, i = eight(self.data), self.sampled(TRIPLE)[::every]
-        return np.stack([w[i], w[i + 8], w[i + 16]], axis=1), i
+    def rows(self, at: np.ndarray, depth: int) -> np.ndarray:
+        """The strings of so many bytes at these positions."""
+        return np.lib.stride_tricks.sliding_window_view(np.append(self.data, np.zeros(depth, np.uint8)), depth)[at].view(f"S{depth}").ravel()
+
+    def triples(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct strings of `depth` bytes at the cover's positions, sorted, each position's place among them, and the positions.
+
+        Ranks of six bytes make those of twelve, and so on: six and its doubles keep to the cover, as they divide by three.
+        """
+        n, cover = len(self.data), np.flatnonzero(self.at % 3 != 0)
+        letters = np.zeros(256, bool)
+        letters[self.data] = True
+        letters = np.cumsum(letters).astype(_U)
+        bits = _U(int(letters[-1]).bit_length())
+        text, known, long = np.append(letters[self.data], np.zeros(6, _U)), np.zeros(n + depth, _U), 6
+        code = text[cover]
+        for k in range(1, long):
+            code = code << bits | text[cover + k]
+        while True:
+            _, place = ranks(code)
+            known[cover] = place
+            bits = _U(int(place.max(initial=0)).bit_length())
+            if 2 * long == depth:
+                break
+            code = known[cover] << bits | known[cover + long]
+            long *= 2
+        i = self.sampled(depth)
+        one, place = ranks(known[i] << bits | known[i + long])
+        return self.rows(i[one], depth), place, i
 
     def doubled(self, names: np.ndarray, depth: int, every: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """Keys of twice the depth: two adjacent names. Where a name is 0, no string repeats."""
@@ -133,11 +196,47 @@ def unique_rows(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[one], place
 
 
+def unique_by_way(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """unique_rows of merge keys, which come way by way."""
+    if keys.shape[1] > 1:
+        return unique_rows(keys)
+    x, found, places, many = keys[:, 0], [], [], 0
+    edge = np.searchsorted(x >> _U(62), np.arange(4, dtype=_U))
+    for s, e in zip([*edge.tolist()], [*edge.tolist()[1:], len(x)], strict=True):
+        one, place = ranks(x[s:e] & _U((1 << 62) - 1))
+        found.append(x[s:e][one])
+        places.append(place + np.int32(many))
+        many += len(one)
+    return np.concatenate(found)[:, None], np.concatenate(places)
+
+
 def _sortable(keys: np.ndarray) -> np.ndarray:
     """Rows of numbers as byte strings that sort like them."""
     return np.ascontiguousarray(keys.astype(">u8")).view(f"S{8 * keys.shape[1]}").ravel()
 
 
+def _coded(keys: np.ndarray) -> bytes:
+    """Sorted byte strings for their way: of names by columns, of text by rows, in which neighbours begin alike."""
+    width = keys.itemsize // 8
+    return planes(keys.view(">u8").reshape(-1, width).T.astype(_U)) if width < 3 else packed(keys.tobytes())
+
+
+def _places(parts: list[bytes], width: int) -> tuple[list[int], int, np.ndarray]:
+    """Of coded keys: how many each part has, how many are distinct, and each one's place among these."""
+    if width < 3:
+        lists = [unplaned(k, _U).reshape(width, -1).T for k in parts]
+        distinct, place = unique_rows(np.concatenate(lists))
+        return [len(x) for x in lists], len(distinct), place
+    lists = [np.frombuffer(unpacked(k), f"S{8 * width}") for k in parts]
+    keys = np.concatenate(lists)
+    order = np.argsort(keys, kind="stable")  # merges the lists, which are sorted
+    keys = keys[order]
+    new = np.append(True, keys[1:] != keys[:-1])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return [len(x) for x in lists], int(new.sum()), place
+
+
 def _row(schema: list[tuple[str, pa.DataType]], *cells) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([c], k) for c, (_, k) in zip(cells, schema, strict=True)], names=[n for n, _ in schema])
 
@@ -261,7 +360,6 @@ def _candidates(texts: DataFrame, parts: int, span: int) -> DataFrame:
 
     found = texts.mapInArrow(asks, "block long, part long, prints binary, tags binary")
     bits = staged(found.groupBy("part").applyInPandas(answer, "block long, part long, bits binary"))
-    texts.sparkSession.sparkContext._jvm.System.gc()
     lists = bits.groupBy("block").agg(F.collect_list(F.struct("part", "bits")).alias("answers"))
     out = staged(texts.join(lists, "block", "left").mapInArrow(stretches, "key binary, offset long, data binary, print long"))
     dropped(bits)
@@ -292,56 +390,56 @@ def _stretch_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield whole()
 
 
-def _answered(blocks: DataFrame, keys_of, width: int, *, last: bool) -> DataFrame:
+def _answered(blocks: DataFrame, sampled, keys_of, width: int, *, span: int = 0) -> DataFrame:
     """Send every block's distinct keys to ranges of keys, and bring back a number for each position.
 
     The number is the key's rank in the whole input from 1 on (its name), or 0 if one document
-    alone holds the key; at the `last` level it is 1 if a smaller document holds the key than any
-    of this block. A key that many texts hold is sent once a block, and a block sends a row only
-    to ranges in which it has keys.
+    alone holds the key. At the last level, where `span` is given, it is 1 if a smaller document
+    holds the key than any of this block, and the result is what these positions remove. A key that
+    many texts hold is sent once a block, and a block sends a row only to ranges in which it has
+    keys. `sampled` gives one of every so many keys of a block, `keys_of` its sorted distinct keys, each
+    position's place among them, and the positions.
     """
-    spark = blocks.sparkSession
+    spark, last = blocks.sparkSession, span > 0
 
     def sample(batches):
         for row, block in _each(batches):
-            keys, _ = keys_of(block, unplaned(row["names"], _U), EVERY)
+            keys = sampled(block, unplaned(row["names"], _U), EVERY)
             pick = keys[np.linspace(0, len(keys) - 1, min(-(-PICKED * EVERY * len(keys) // PART), len(keys))).astype(int)]
             yield _row([("n", pa.int64()), ("keys", pa.binary())], EVERY * len(keys), pick.tobytes())
 
     got = blocks.mapInArrow(sample, "n long, keys binary").collect()  # about PICKED keys a range, at least one a block
     parts = max(1, -(-sum(r["n"] for r in got) // PART))
-    pool = np.sort(np.concatenate([np.empty(0, f"S{8 * width}"), *(_sortable(np.frombuffer(bytes(r["keys"]), _U).reshape(-1, width)) for r in got if r["keys"])]))
+    pool = np.sort(np.concatenate([np.empty(0, f"S{8 * width}"), *(np.frombuffer(bytes(r["keys"]), f"S{8 * width}") for r in got if r["keys"])]))
     bounds = pool[np.linspace(0, len(pool), parts + 1)[1:-1].astype(int)]
     far = np.iinfo(np.int64).max
 
     def requests(batches):
         for row, block in _each(batches):
-            keys, where = keys_of(block, unplaned(row["names"], _U))
-            distinct, place = unique_rows(keys)
+            distinct, place, where = keys_of(block, unplaned(row["names"], _U))
             own = np.frombuffer(row["ids"], np.int64)[block.piece[where]]
             low, high = np.full(len(distinct), far), np.full(len(distinct), -far)
             np.minimum.at(low, place, own)
             np.maximum.at(high, place, own)
-            edge = np.concatenate([[0], np.searchsorted(_sortable(distinct), bounds, "right"), [len(distinct)]]).astype(np.int64)
+            edge = np.concatenate([[0], np.searchsorted(distinct, bounds, "right"), [len(distinct)]]).astype(np.int64)
             cuts = [(p, slice(edge[p], edge[p + 1])) for p in np.flatnonzero(np.diff(edge)).tolist()]
-            yield from _rows(_ASKS, [(row["block"], p, planes(distinct[cut].T), planes(low[cut]), np.packbits(low[cut] != high[cut]).tobytes()) for p, cut in cuts])
+            yield from _rows(_ASKS, [(row["block"], p, _coded(distinct[cut]), planes(low[cut]), np.packbits(low[cut] != high[cut]).tobytes()) for p, cut in cuts])
 
     def answer(part: pd.DataFrame) -> pd.DataFrame:
-        lists = [unplaned(k, _U).reshape(width, -1).T for k in part["keys"]]
-        distinct, place = unique_rows(np.concatenate(lists))  # adjacent equal keys are one
+        lengths, many, place = _places(part["keys"], width)  # adjacent equal keys are one
         holders = np.concatenate([unplaned(x, np.int64) for x in part["holders"]])
-        low, high = np.full(len(distinct), far), np.full(len(distinct), -far)
+        low, high = np.full(many, far), np.full(many, -far)
         np.minimum.at(low, place, holders)
         np.maximum.at(high, place, holders)
         if last:
             numbers = holders > low[place]
         else:
             several = low != high
-            np.logical_or.at(several, place, np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)) for x, k in zip(part["several"], lists, strict=True)]).astype(bool))
+            np.logical_or.at(several, place, np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(part["several"], lengths, strict=True)]).astype(bool))
             names = np.where(several, np.cumsum(several), 0)
             numbers = names[place]
         out = part[["block", "part"]].copy()
-        cut = np.split(numbers, np.cumsum([len(x) for x in lists])[:-1])
+        cut = np.split(numbers, np.cumsum(lengths)[:-1])
         out["numbers"] = [np.packbits(x).tobytes() if last else planes(x.astype(np.int64)) for x in cut]
         out["size"] = 0 if last else int(names.max(initial=0))
         return out
@@ -357,9 +455,9 @@ def _answered(blocks: DataFrame, keys_of, width: int, *, last: bool) -> DataFram
 
     def joined(batches):
         for row, block in _each(batches):
-            keys, where = keys_of(block, unplaned(row["names"], _U))
-            distinct, place = unique_rows(keys)  # sorted again: their places would take more disk than the keys
-            edge = np.concatenate([[0], np.searchsorted(_sortable(distinct), bounds, "right"), [len(distinct)]])
+            # sorted again: their places would take more disk than the keys
+            distinct, place, where = keys_of(block, unplaned(row["names"], _U))
+            edge = np.concatenate([[0], np.searchsorted(distinct, bounds, "right"), [len(distinct)]])
             numbers = np.zeros(edge[-1], np.int64)
             for a in row["answers"] or ():
                 s, e = edge[a["part"]], edge[a["part"] + 1]
@@ -368,50 +466,45 @@ def _answered(blocks: DataFrame, keys_of, width: int, *, last: bool) -> DataFram
                 else:
                     own = unplaned(a["numbers"], np.int64)
                     numbers[s:e] = np.where(own > 0, own + first[a["part"]], 0)
-            names = np.zeros(len(block.data), _U)
             if last:  # a smaller document may also lie in the block itself
                 own = np.frombuffer(row["ids"], np.int64)[block.piece[where]]
                 low = np.full(len(distinct), far)
                 np.minimum.at(low, place, own)
-                names[where[(numbers[place] > 0) | (low[place] < own)]] = 1
+                yield _gone(row, block, where[(numbers[place] > 0) | (low[place] < own)], span)
             else:
+                names = np.zeros(len(block.data), _U)
                 names[where] = numbers[place].astype(_U)
-            yield _row(_PARTS, *(row[c] for c, _ in _PARTS[:-1]), planes(names))
+                yield _row(_PARTS, *(row[c] for c, _ in _PARTS[:-1]), planes(names))
 
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of the keys
-    out = staged(blocks.join(lists, "block", "left").mapInArrow(joined, _PARTS_DDL))
+    out = staged(blocks.join(lists, "block", "left").mapInArrow(joined, "key binary, s long, e long" if last else _PARTS_DDL))
     dropped(answers)
     dropped(blocks)
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of this level
     return out
 
 
-def _gone(span: int):
-    """The removed intervals of each stretch, as places in its text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, block in _each(batches):
-            edge = np.zeros(len(block.data) + 1, np.int64)
-            again = np.flatnonzero(unplaned(row["names"], _U))
-            edge[again] += 1
-            edge[again + span] -= 1
-            gone = np.append(np.cumsum(edge)[:-1] > 0, False)
-            new = np.append(0, block.ends[:-1])
-            begin, end = gone.copy(), gone.copy()
-            begin[1:] &= ~gone[:-1]
-            begin[new] |= gone[new]
-            end[:-1] &= ~gone[1:]
-            end[block.ends - 1] |= gone[block.ends - 1]
-            s, e = np.flatnonzero(begin[:-1]), np.flatnonzero(end[:-1]) + 1
-            k = block.piece[s]
-            base = np.frombuffer(row["offsets"], np.int64)[k]
-            cols = [
-                pa.array([row["keys"][16 * i : 16 * i + 16] for i in k.tolist()], pa.binary()),
-                pa.array(base + block.at[s]), pa.array(base + block.at[e - 1] + 1),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "s", "e"])
-
-    return run
+def _gone(row: dict, block: Block, again: np.ndarray, span: int) -> pa.RecordBatch:
+    """The removed intervals of a block's stretches, as places in their texts."""
+    edge = np.zeros(len(block.data) + 1, np.int64)
+    hit = np.zeros(len(block.data), bool)
+    hit[again] = True
+    again = np.flatnonzero(hit)
+    edge[again] += 1
+    edge[again + span] -= 1
+    gone = np.append(np.cumsum(edge)[:-1] > 0, False)
+    new = np.append(0, block.ends[:-1])
+    begin, end = gone.copy(), gone.copy()
+    begin[1:] &= ~gone[:-1]
+    begin[new] |= gone[new]
+    end[:-1] &= ~gone[1:]
+    end[block.ends - 1] |= gone[block.ends - 1]
+    s, e = np.flatnonzero(begin[:-1]), np.flatnonzero(end[:-1]) + 1
+    k = block.piece[s]
+    base = np.frombuffer(row["offsets"], np.int64)[k]
+    cols = [
+        pa.array([row["keys"][16 * i : 16 * i + 16] for i in k.tolist()], pa.binary()),
+        pa.array(base + block.at[s]), pa.array(base + block.at[e - 1] + 1),
+    ]
+    return pa.RecordBatch.from_arrays(cols, names=["key", "s", "e"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -433,30 +526,20 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("key"), *cols], names=["key", "n_removed", "n_spans", "kept_sha256"])
 
 
-def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
-    """Remove each byte covered by a string of `span` bytes that also starts in a document with a smaller id.
+def _keys(keys_of, unique):
+    """Of keys that are rows of numbers: a sample, and distinct ones with places and positions, as byte strings."""
 
-    Equal texts are one text, that of the smallest id; in the others, all of it repeats. First,
-    fingerprints chosen by content rule out strings that lie in one text only. What is left is
-    sorted to the depth of `span` bytes by a difference cover modulo 3: the triples of eight-byte
-    words at positions 1 and 2 are sorted and named by rank; pairs of names are sorted and named in
-    turn, until they are that deep, and names that one document alone holds drop out at each level;
-    then suffixes of any two classes modulo 3 merge in the way in which both go on with a named
-    suffix, and among adjacent equal prefixes the smallest id counts. Each sort sends a block's
-    distinct keys to ranges of keys and gets their numbers back. Stretches of text that begin alike
-    lie in one block, so most copies meet there and are sent once.
+    def distinct(block: Block, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, where = keys_of(block, names)
+        rows, place = unique(keys)
+        return _sortable(rows), place, where
 
-    Returns one row per input row: id, n_bytes, n_removed, n_spans and kept_sha256. Null texts are
-    empty; rows with a null id are returned whole and take no part; rows that repeat an id aren't
-    compared with one another; an empty table gives no rows. Ids of any type that sorts will do.
-    `span` must be 26 or more.
-    """
-    if span < TRIPLE + 2:
-        raise ValueError(f"span must be {TRIPLE + 2} or more")
-    spark = docs.sparkSession
-    body = F.coalesce("text", F.lit(""))
-    rows = ids_only(docs, id=doc_id, text=text).select("id", body.alias("text"))
-    keyed = rows.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
+    return lambda block, names, every: _sortable(keys_of(block, names, every)[0]), distinct
+
+
+def _cuts(keyed: DataFrame, span: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows with the key of their text; the smallest id of each key; and what is left of the texts that others repeat."""
+    spark = keyed.sparkSession
     known = staged(
         keyed.select("id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     )
@@ -469,7 +552,6 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     with large_rows(spark):  # a block is a row
         stretches = _candidates(blocks, parts, span)
     dropped(blocks)
-    spark.sparkContext._jvm.System.gc()
     # ids are numbered by what the sort compares: their order is all that counts
     ranked = staged(_ranked(stretches.select("key").distinct().join(first, "key")))
     size = stretches.agg(F.sum(F.length("data"))).first()[0] or 0
@@ -477,19 +559,45 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     dealt = found.repartitionByRange(max(1, size // BLOCK + 1), "print", "key", "offset").sortWithinPartitions("print", "key", "offset")
     blocks = staged(dealt.select("rank", "key", "offset", "data").mapInArrow(_stretch_blocks, _PARTS_DDL))
     dropped(stretches)
-    spark.sparkContext._jvm.System.gc()
     with large_rows(spark):
-        blocks = _answered(blocks, lambda b, names, every=1: b.triples(every), 3, last=False)
-        depth = TRIPLE
+        depth = 2 * TRIPLE if span >= 2 * TRIPLE + 2 else TRIPLE
+        blocks = _answered(blocks, lambda b, _, every, d=depth: b.rows(b.sampled(d)[::every], d), lambda b, _, d=depth: b.triples(d), depth // 8)
         while 2 * depth + 2 <= span:
-            blocks = _answered(blocks, lambda b, names, every=1, d=depth: b.doubled(names, d, every), 2, last=False)
+            blocks = _answered(blocks, *_keys(lambda b, names, every=1, d=depth: b.doubled(names, d, every), unique_rows), 2)
             depth *= 2
-        blocks = _answered(blocks, lambda b, names, every=1: b.merged(names, depth, span, every), 1 + (span - depth > 2), last=True)
-        gone = staged(blocks.mapInArrow(_gone(span), "key binary, s long, e long"))
-    dropped(blocks)
+        gone = _answered(blocks, *_keys(lambda b, names, every=1: b.merged(names, depth, span, every), unique_by_way), 1 + (span - depth > 2), span=span)
     gone = gone.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("gone"))  # at most one interval for `span` bytes of a text
     reps = keyed.join(gone, "key").join(first, "key").where("id = rep").dropDuplicates(["key"]).select("key", "text", "gone")
     cut = staged(reps.mapInArrow(_cut, "key binary, n_removed long, n_spans long, kept_sha256 string"))
+    return known, first, cut
+
+
+def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
+    """Remove each byte covered by a string of `span` bytes that also starts in a document with a smaller id.
+
+    Equal texts are one text, that of the smallest id; in the others, all of it repeats. First,
+    fingerprints chosen by content rule out strings that lie in one text only. What is left is
+    sorted to the depth of `span` bytes by a difference cover modulo 3: the triples of eight-byte
+    words (of sixteen, if the span has 50 or more) at positions 1 and 2 are sorted and named by rank;
+    pairs of names are sorted and named in turn, until they are that deep, and names that one
+    document alone holds drop out at each level; then suffixes of any two classes modulo 3 merge in the way in which both go on with a named
+    suffix, and among adjacent equal prefixes the smallest id counts. Each sort sends a block's
+    distinct keys to ranges of keys and gets their numbers back. Stretches of text that begin alike
+    lie in one block, so most copies meet there and are sent once.
+
+    Returns one row per input row: id, n_bytes, n_removed, n_spans and kept_sha256. Null texts are
+    empty; rows with a null id are returned whole and take no part; rows that repeat an id aren't
+    compared with one another; an empty table gives no rows. Ids of any type that sorts will do.
+    `span` must be 26 or more.
+    """
+    if span < TRIPLE + 2:
+        raise ValueError(f"span must be {TRIPLE + 2} or more")
+    spark = docs.sparkSession
+    body = F.coalesce("text", F.lit(""))
+    rows = ids_only(docs, id=doc_id, text=text).select("id", body.alias("text"))
+    keyed = rows.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
+    with shuffles_removed(spark):
+        known, first, cut = _cuts(keyed, span)
     copy = F.col("rep").isNotNull() & F.col("id").isNotNull() & (F.col("id") != F.col("rep"))
     left = F.sha2(F.lit("").cast("binary"), 256)
     sizes = known.join(first, "key", "left").join(cut, "key", "left")

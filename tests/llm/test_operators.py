@@ -427,3 +427,54 @@ def test_rows_of_numbers_are_sorted_once(width, most):
         want, at = np.unique(keys, axis=0, return_inverse=True)
         assert (distinct == want).all() and (place == at.ravel()).all()
     assert len(suffix_dedup.unique_rows(keys[:0])[0]) == 0
+
+
+@pytest.mark.parametrize("letters", [1, 2, 60, 256])
+@pytest.mark.parametrize("depth", [24, 48])
+def test_triples_of_a_block(letters, depth):
+    """Sorted strings and places against sorting of slices; the codes of sorted keys give the same places again, in less room."""
+    r = np.random.default_rng(letters)
+    pieces = [r.integers(0, letters, n, dtype=np.uint8).tobytes() for n in (0, 1, 47, 48, 49, 50, 700)]
+    pieces = [*pieces, pieces[-1][100:400], pieces[-1]]
+    block = suffix_dedup.Block(np.cumsum([len(x) for x in pieces]).astype(np.int64).tobytes(), b"".join(pieces))
+    keys, place, at = block.triples(depth)
+    want = [p[i : i + depth] for p in pieces for i in range(len(p) - depth + 1) if i % 3]
+    keys = [x.ljust(depth, b"\0") for x in keys.tolist()]  # numpy leaves off zeros
+    assert keys == sorted(set(want)) and [keys[k] for k in place] == want and len(at) == len(want)
+    rows = np.array(keys, f"S{depth}")
+    code = suffix_dedup._coded(rows)
+    lengths, many, again = suffix_dedup._places([code, code], depth // 8)
+    assert lengths == [len(keys)] * 2 and many == len(keys) and again.tolist() == [*range(len(keys))] * 2
+    assert letters == 256 or len(keys) < 100 or len(code) < 0.7 * rows.nbytes
+
+
+@pytest.mark.parametrize("most", [0, 1, 1 << 20, (1 << 64) - 1])
+def test_ranks_of_numbers_of_any_size(most):
+    for n in (0, 1, 2, 1024, 20_000):
+        code = np.random.default_rng(n).integers(0, most, n, dtype=np.uint64, endpoint=True)
+        one, place = suffix_dedup.ranks(code)
+        want, again = np.unique(code, return_inverse=True)
+        assert (code[one] == want).all() and (place == again).all()
+
+
+@pytest.mark.parametrize("span", [49, 50, 51, 98])
+def test_suffix_dedup_at_the_edges_of_a_level(spark, monkeypatch, span):
+    """Cut texts, many ranges and texts that share a little less or more than the span; two sorts do at 50 and 51, three at 98."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 700)
+    monkeypatch.setattr(suffix_dedup, "PART", 3000)
+    levels, answered = [], suffix_dedup._answered
+    monkeypatch.setattr(suffix_dedup, "_answered", lambda *a, **b: levels.append(a[3]) or answered(*a, **b))
+    shared = prose(502, 60)
+    rows = [(i, f"{prose(i, 9)}{shared[i : i + span + i % 4 - 1]}{prose(i + 900, 3)}") for i in range(12)] + [(12, shared * 4), (13, shared[:200])]
+    got = {r["id"]: r["n_removed"] for r in suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), span=span).collect()}
+    first: dict[str, int] = {}
+    for i, t in rows:
+        for p in range(len(t) - span + 1):
+            first.setdefault(t[p : p + span], i)
+    for i, t in rows:
+        gone = np.zeros(len(t), bool)
+        for p in range(len(t) - span + 1):
+            if first[t[p : p + span]] < i:
+                gone[p : p + span] = True
+        assert got[i] == gone.sum(), (span, i)
+    assert len(levels) == (3 if span == 98 else 2)
