@@ -61,8 +61,8 @@ def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
 
 
 def large_rows(spark: SparkSession):
-    """For what runs inside, few rows are read, and sent to Python, at a time."""
-    return _settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "2", "spark.sql.parquet.columnarReaderBatchSize": "8"})
+    """For what runs inside, few rows are read at a time, and few bytes sent to Python."""
+    return _settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.parquet.columnarReaderBatchSize": "4"})
 
 
 def shuffles_removed(spark: SparkSession):

@@ -16,8 +16,9 @@ from pixelweave.llm._common import dropped, ids_only, large_rows, mixed, shuffle
 
 SPAN = 50  # bytes of a repeated string
 TRIPLE = 24  # bytes of the shortest key of the first level: three words of eight; where spans allow, the words have sixteen
-BLOCK = 500_000  # bytes of text that a task sorts at once, about; longer texts are cut into overlapping pieces
-PART = 500_000  # keys of a range, about
+BLOCK = 2_000_000  # bytes of text that ask the ranges together, about: every block asks every range, so small blocks and ranges make rows without end
+SORTED = 500_000  # bytes of a block that are sorted at once, about; longer texts are cut into overlapping pieces
+PART = 1_200_000  # keys of a range, about
 PICKED = 20  # keys a range that its bounds are chosen from, as many as a range shuffle of Spark's would sample
 EVERY = 17  # one of so many keys is looked at for the bounds; odd, so that both classes of a cover come in
 DENSITY = 2.2  # fingerprints are chosen at a rate of about 2 / (SPAN - TRIPLE + 2) of all positions
@@ -120,8 +121,8 @@ class Block:
         """The strings of so many bytes at these positions."""
         return np.lib.stride_tricks.sliding_window_view(np.append(self.data, np.zeros(depth, np.uint8)), depth)[at].view(f"S{depth}").ravel()
 
-    def triples(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct strings of `depth` bytes at the cover's positions, sorted, each position's place among them, and the positions.
+    def triples(self, depth: int, text: bool = True) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
+        """Distinct strings of `depth` bytes at the cover's positions, sorted (if asked for), each position's place among them, and the positions.
 
         Ranks of six bytes make those of twelve, and so on: six and its doubles keep to the cover, as they divide by three.
         """
@@ -130,10 +131,10 @@ class Block:
         letters[self.data] = True
         letters = np.cumsum(letters).astype(_U)
         bits = _U(int(letters[-1]).bit_length())
-        text, known, long = np.append(letters[self.data], np.zeros(6, _U)), np.zeros(n + depth, _U), 6
-        code = text[cover]
+        coded, known, long = np.append(letters[self.data], np.zeros(6, _U)), np.zeros(n + depth, _U), 6
+        code = coded[cover]
         for k in range(1, long):
-            code = code << bits | text[cover + k]
+            code = code << bits | coded[cover + k]
         while True:
             _, place = ranks(code)
             known[cover] = place
@@ -144,7 +145,7 @@ class Block:
             long *= 2
         i = self.sampled(depth)
         one, place = ranks(known[i] << bits | known[i + long])
-        return self.rows(i[one], depth), place, i
+        return self.rows(i[one], depth) if text else None, place, i
 
     def doubled(self, names: np.ndarray, depth: int, every: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """Keys of twice the depth: two adjacent names. Where a name is 0, no string repeats."""
@@ -223,18 +224,29 @@ def _coded(keys: np.ndarray) -> bytes:
 
 def _places(parts: list[bytes], width: int) -> tuple[list[int], int, np.ndarray]:
     """Of coded keys: how many each part has, how many are distinct, and each one's place among these."""
-    if width < 3:
-        lists = [unplaned(k, _U).reshape(width, -1).T for k in parts]
-        distinct, place = unique_rows(np.concatenate(lists))
-        return [len(x) for x in lists], len(distinct), place
-    lists = [np.frombuffer(unpacked(k), f"S{8 * width}") for k in parts]
-    keys = np.concatenate(lists)
+    lengths = [int.from_bytes(k[:8], "little") // (8 * width) for k in parts]
+    if width == 1:
+        keys = np.concatenate([unplaned(k, _U) for k in parts])
+        one, place = ranks(keys - keys.min(initial=np.iinfo(_U).max))  # a range's keys lie close together
+        return lengths, len(one), place
+    if width == 2:
+        distinct, place = unique_rows(np.concatenate([unplaned(k, _U).reshape(2, -1).T for k in parts]))
+        return lengths, len(distinct), place
+    n, s = sum(lengths), 0
+    keys = np.empty(n, f"S{8 * width}")
+    for k, many in zip(parts, lengths, strict=True):
+        keys[s : s + many] = np.frombuffer(unpacked(k), keys.dtype)
+        s += many
     order = np.argsort(keys, kind="stable")  # merges the lists, which are sorted
-    keys = keys[order]
-    new = np.append(True, keys[1:] != keys[:-1])
-    place = np.empty(len(order), np.int64)
-    place[order] = np.cumsum(new) - 1
-    return [len(x) for x in lists], int(new.sum()), place
+    new = np.ones(n, bool)
+    for s in range(1, n, 1 << 16):
+        e = min(n, s + (1 << 16))
+        run = keys[order[s - 1 : e]]
+        new[s:e] = run[1:] != run[:-1]
+    del keys
+    place = np.empty(n, np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return lengths, int(new.sum()), place
 
 
 def _row(schema: list[tuple[str, pa.DataType]], *cells) -> pa.RecordBatch:
@@ -251,7 +263,7 @@ _TEXTS = [("block", pa.int64()), ("keys", pa.binary()), ("offsets", pa.binary())
 _TEXTS_DDL = "block long, keys binary, offsets binary, ends binary, data binary"
 _PARTS = [("block", pa.int64()), ("ids", pa.binary()), ("keys", pa.binary()), ("offsets", pa.binary()), ("ends", pa.binary()), ("data", pa.binary()), ("names", pa.binary())]
 _PRINTS = [("block", pa.int64()), ("part", pa.int64()), ("prints", pa.binary()), ("tags", pa.binary())]
-_ASKS = [("block", pa.int64()), ("part", pa.int64()), ("keys", pa.binary()), ("holders", pa.binary()), ("several", pa.binary())]
+_ASKS = [("block", pa.int64()), ("part", pa.int64()), ("counts", pa.binary()), ("keys", pa.binary()), ("holders", pa.binary()), ("several", pa.binary())]
 _PARTS_DDL = "block long, ids binary, keys binary, offsets binary, ends binary, data binary, names binary"
 
 
@@ -259,7 +271,7 @@ def _text_blocks(span: int):
     """Distinct texts of a partition side by side, in pieces that overlap by span - 1 bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 24
+        number, piece = TaskContext.get().partitionId() << 24, min(BLOCK, SORTED)
         keys, offsets, parts, size = {}, [], [], 0
 
         def whole() -> pa.RecordBatch:
@@ -271,12 +283,12 @@ def _text_blocks(span: int):
             for key, s, e in zip(batch.column("key").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                 if key in keys:
                     continue
-                for first in range(s, max(s + 1, e - span + 1), BLOCK):
+                for first in range(s, max(s + 1, e - span + 1), piece):
                     if size >= BLOCK:
                         yield whole()
                         number += 1
                         keys, offsets, parts, size = {}, [], [], 0
-                    parts.append(data[first : min(e, first + BLOCK + span - 1)].tobytes())
+                    parts.append(data[first : min(e, first + piece + span - 1)].tobytes())
                     keys[key] = keys.get(key, 0) + 1
                     offsets.append(first - s)
                     size += len(parts[-1])
@@ -286,26 +298,39 @@ def _text_blocks(span: int):
     return run
 
 
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Block]]:
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for r in range(batch.num_rows):
-            row = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
-            yield row, Block(row["ends"], row["data"])
-
-
-def _distinct_prints(row: dict, block: Block, span: int) -> tuple[np.ndarray, ...]:
-    """Runs of strings with one fingerprint: their first and last positions, and the place of each one's fingerprint
-    among the sorted distinct ones; these, and the tag of their text. The lowest bit of a tag says that several texts
-    of the block have the fingerprint."""
-    at, prints = block.prints(span)
-    first = np.flatnonzero(np.append(True, (prints[1:] != prints[:-1]) | (at[1:] != at[:-1] + 1))) if len(at) else np.empty(0, np.int64)
+            yield {c: batch.column(c)[r].as_py() for c in batch.schema.names}
+
+
+def _runs(row: dict) -> Iterator[tuple[int, int, Block]]:
+    """The pieces of a block, about SORTED bytes of them at a time: the number of the first, where it starts, and what is sorted at once."""
+    ends = np.frombuffer(row["ends"], np.int64)
+    starts = np.append(0, ends[:-1])
+    edge = np.flatnonzero(np.append(True, np.diff(starts // SORTED) > 0)).tolist()
+    for a, b in zip(edge, [*edge[1:], len(ends)], strict=True):
+        s, e = int(starts[a]), int(ends[b - 1])
+        yield a, s, Block((ends[a:b] - s).tobytes(), row["data"][s:e])
+
+
+def _distinct_prints(row: dict, span: int) -> tuple[np.ndarray, ...]:
+    """Runs of strings with one fingerprint: their pieces, their first and last positions, and the place of each one's
+    fingerprint among the sorted distinct ones; these, and the tag of their text. The lowest bit of a tag says that
+    several texts of the block have the fingerprint."""
+    found = []
+    for a, s, block in _runs(row):
+        at, prints = block.prints(span)
+        first = np.flatnonzero(np.append(True, (prints[1:] != prints[:-1]) | (at[1:] != at[:-1] + 1))) if len(at) else np.empty(0, np.int64)
+        found.append((block.piece[at[first]] + a, at[first] + s, at[np.append(first[1:], len(at)) - 1][: len(first)] + s, mixed(prints[first])))  # smallest hashes are small: mixed, they fill all ranges alike
+    piece, begin, end, prints = (np.concatenate(x) for x in zip(*found, strict=True))
     tags = np.frombuffer(row["keys"], _U)[::2] & ~_U(1)
-    distinct, one, place = np.unique(prints[first], return_index=True, return_inverse=True)
-    own = tags[block.piece[at[first]]]
+    distinct, one, place = np.unique(prints, return_index=True, return_inverse=True)
+    own = tags[piece]
     tag = own[one]
     several = np.zeros(len(distinct), bool)
     several[place[own != tag[place]]] = True
-    return at[first], at[np.append(first[1:], len(at)) - 1], place, distinct, tag | several.astype(_U)
+    return piece, begin, end, place, distinct, tag | several.astype(_U)
 
 
 def _candidates(texts: DataFrame, parts: int, span: int) -> DataFrame:
@@ -316,8 +341,8 @@ def _candidates(texts: DataFrame, parts: int, span: int) -> DataFrame:
     """
 
     def asks(batches):
-        for row, block in _each(batches):
-            *_, prints, tags = _distinct_prints(row, block, span)
+        for row in _each(batches):
+            *_, prints, tags = _distinct_prints(row, span)
             edge = np.searchsorted(_range_of_print(prints, parts), np.arange(parts + 1))
             cuts = [(p, slice(edge[p], edge[p + 1])) for p in np.flatnonzero(np.diff(edge)).tolist()]
             yield from _rows(_PRINTS, [(row["block"], p, prints[cut].tobytes(), tags[cut].tobytes()) for p, cut in cuts])
@@ -335,24 +360,24 @@ def _candidates(texts: DataFrame, parts: int, span: int) -> DataFrame:
         return out
 
     def stretches(batches):
-        for row, block in _each(batches):
-            begin, end, place, prints, _ = _distinct_prints(row, block, span)
+        for row in _each(batches):
+            piece, begin, end, place, prints, _ = _distinct_prints(row, span)
             edge = np.searchsorted(_range_of_print(prints, parts), np.arange(parts + 1))
             shared = np.zeros(len(prints), bool)
             for a in row["answers"] or ():
                 s, e = edge[a["part"]], edge[a["part"] + 1]
                 shared[s:e] = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=e - s).astype(bool)
             ok = shared[place]
-            i, j, p = begin[ok], end[ok], prints[place[ok]]
+            i, j, k, p = begin[ok], end[ok], piece[ok], prints[place[ok]]
             if not len(i):
                 continue
-            first = np.flatnonzero(np.append(True, (i[1:] - j[:-1] > span) | (block.piece[i[1:]] != block.piece[i[:-1]])))
+            first = np.flatnonzero(np.append(True, (i[1:] - j[:-1] > span) | (k[1:] != k[:-1])))
             lows, lasts = np.minimum.reduceat(p, first), j[np.append(first[1:], len(i)) - 1]
-            offsets, keys = np.frombuffer(row["offsets"], np.int64), row["keys"]
+            i, k, keys = i[first], k[first], row["keys"]
+            offsets = np.frombuffer(row["offsets"], np.int64)[k] + i - np.append(0, np.frombuffer(row["ends"], np.int64)[:-1])[k]
             out = []
-            for s, e, low in zip(i[first].tolist(), lasts.tolist(), lows.tolist(), strict=True):
-                k = int(block.piece[s])
-                out.append((keys[16 * k : 16 * k + 16], int(offsets[k] + block.at[s]), block.data[s : e + span].tobytes(), low))
+            for k, offset, s, e, low in zip(k.tolist(), offsets.tolist(), i.tolist(), lasts.tolist(), lows.tolist(), strict=True):
+                out.append((keys[16 * k : 16 * k + 16], offset, row["data"][s : e + span], low))
             kinds = (pa.binary(), pa.int64(), pa.binary(), pa.int64())
             cols = [*zip(*out, strict=True)]
             cols[3] = np.array(cols[3], _U).view(np.int64)
@@ -397,16 +422,24 @@ def _answered(blocks: DataFrame, sampled, keys_of, width: int, *, span: int = 0)
     alone holds the key. At the last level, where `span` is given, it is 1 if a smaller document
     holds the key than any of this block, and the result is what these positions remove. A key that
     many texts hold is sent once a block, and a block sends a row only to ranges in which it has
-    keys. `sampled` gives one of every so many keys of a block, `keys_of` its sorted distinct keys, each
-    position's place among them, and the positions.
+    keys; what a block sorts at once is one list of the row. `sampled` gives one of every so many keys of
+    such a list, `keys_of` its sorted distinct keys, each position's place among them, and the positions.
     """
     spark, last = blocks.sparkSession, span > 0
 
+    def sorted_at_once(row):
+        names = unplaned(row["names"], _U)
+        for a, s, block in _runs(row):
+            yield a, s, block, names[s : s + len(block.data)]
+
     def sample(batches):
-        for row, block in _each(batches):
-            keys = sampled(block, unplaned(row["names"], _U), EVERY)
-            pick = keys[np.linspace(0, len(keys) - 1, min(-(-PICKED * EVERY * len(keys) // PART), len(keys))).astype(int)]
-            yield _row([("n", pa.int64()), ("keys", pa.binary())], EVERY * len(keys), pick.tobytes())
+        for row in _each(batches):
+            n, pick = 0, []
+            for _, _, block, names in sorted_at_once(row):
+                keys = sampled(block, names, EVERY)
+                n += EVERY * len(keys)
+                pick.append(keys[np.linspace(0, len(keys) - 1, min(-(-PICKED * EVERY * len(keys) // PART), len(keys))).astype(int)].tobytes())
+            yield _row([("n", pa.int64()), ("keys", pa.binary())], n, b"".join(pick))
 
     got = blocks.mapInArrow(sample, "n long, keys binary").collect()  # about PICKED keys a range, at least one a block
     parts = max(1, -(-sum(r["n"] for r in got) // PART))
@@ -415,66 +448,85 @@ def _answered(blocks: DataFrame, sampled, keys_of, width: int, *, span: int = 0)
     far = np.iinfo(np.int64).max
 
     def requests(batches):
-        for row, block in _each(batches):
-            distinct, place, where = keys_of(block, unplaned(row["names"], _U))
-            own = np.frombuffer(row["ids"], np.int64)[block.piece[where]]
-            low, high = np.full(len(distinct), far), np.full(len(distinct), -far)
-            np.minimum.at(low, place, own)
-            np.maximum.at(high, place, own)
-            edge = np.concatenate([[0], np.searchsorted(distinct, bounds, "right"), [len(distinct)]]).astype(np.int64)
-            cuts = [(p, slice(edge[p], edge[p + 1])) for p in np.flatnonzero(np.diff(edge)).tolist()]
-            yield from _rows(_ASKS, [(row["block"], p, _coded(distinct[cut]), planes(low[cut]), np.packbits(low[cut] != high[cut]).tobytes()) for p, cut in cuts])
+        for row in _each(batches):
+            lists, edges = [], []
+            for a, _, block, names in sorted_at_once(row):
+                distinct, place, where = keys_of(block, names)
+                own = np.frombuffer(row["ids"], np.int64)[block.piece[where] + a]
+                low, high = np.full(len(distinct), far), np.full(len(distinct), -far)
+                np.minimum.at(low, place, own)
+                np.maximum.at(high, place, own)
+                lists.append((distinct, low, low != high))
+                edges.append(np.concatenate([[0], np.searchsorted(distinct, bounds, "right"), [len(distinct)]]).astype(np.int64))
+            counts, out, size = np.diff(np.array(edges), axis=1), [], 0
+            for p in np.flatnonzero(counts.any(axis=0)).tolist():
+                keys, low, several = (np.concatenate([x[e[p] : e[p + 1]] for x, e in zip(c, edges, strict=True)]) for c in zip(*lists, strict=True))
+                out.append((row["block"], p, counts[:, p].tobytes(), _coded(keys), planes(low), b"" if last else np.packbits(several).tobytes()))
+                size += len(out[-1][3])
+                if size > 1 << 22:
+                    yield from _rows(_ASKS, out)
+                    out, size = [], 0
+            yield from _rows(_ASKS, out)
 
     def answer(part: pd.DataFrame) -> pd.DataFrame:
         lengths, many, place = _places(part["keys"], width)  # adjacent equal keys are one
         holders = np.concatenate([unplaned(x, np.int64) for x in part["holders"]])
-        low, high = np.full(many, far), np.full(many, -far)
+        low = np.full(many, far)
         np.minimum.at(low, place, holders)
-        np.maximum.at(high, place, holders)
         if last:
             numbers = holders > low[place]
         else:
+            high = np.full(many, -far)
+            np.maximum.at(high, place, holders)
             several = low != high
             np.logical_or.at(several, place, np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(part["several"], lengths, strict=True)]).astype(bool))
             names = np.where(several, np.cumsum(several), 0)
             numbers = names[place]
-        out = part[["block", "part"]].copy()
+        out = part[["block", "part", "counts"]].copy()
         cut = np.split(numbers, np.cumsum(lengths)[:-1])
         out["numbers"] = [np.packbits(x).tobytes() if last else planes(x.astype(np.int64)) for x in cut]
         out["size"] = 0 if last else int(names.max(initial=0))
         return out
 
-    asked = blocks.mapInArrow(requests, "block long, part long, keys binary, holders binary, several binary")
-    answers = staged(asked.groupBy("part").applyInPandas(answer, "block long, part long, numbers binary, size long"))
+    asked = blocks.mapInArrow(requests, "block long, part long, counts binary, keys binary, holders binary, several binary")
+    answers = staged(asked.groupBy("part").applyInPandas(answer, "block long, part long, counts binary, numbers binary, size long"))
     # the names of a range start where those of the ranges before it end: one row a range
     sizes = {} if last else {r["part"]: r["size"] for r in answers.groupBy("part").agg(F.max("size").alias("size")).collect()}
     first = np.cumsum([0] + [sizes.get(p, 0) for p in range(parts)])
     if first[-1] >= 1 << _NAME_BITS:
         raise ValueError("too many names")
-    lists = answers.groupBy("block").agg(F.collect_list(F.struct("part", "numbers")).alias("answers"))
+    lists = answers.groupBy("block").agg(F.collect_list(F.struct("part", "counts", "numbers")).alias("answers"))
+
+    def numbered(answers: list) -> list[np.ndarray]:
+        """The numbers of each list's keys, in their order."""
+        found = []
+        for a in sorted(answers, key=lambda a: a["part"]):
+            counts = np.frombuffer(a["counts"], np.int64)
+            if last:
+                numbers = np.unpackbits(np.frombuffer(a["numbers"], np.uint8), count=counts.sum())
+            else:
+                numbers = unplaned(a["numbers"], np.int64)
+                numbers = np.where(numbers > 0, numbers + first[a["part"]], 0)
+            found.append(np.split(numbers, np.cumsum(counts)[:-1]))
+        return [np.concatenate(x) for x in zip(*found, strict=True)]
 
     def joined(batches):
-        for row, block in _each(batches):
-            # sorted again: their places would take more disk than the keys
-            distinct, place, where = keys_of(block, unplaned(row["names"], _U))
-            edge = np.concatenate([[0], np.searchsorted(distinct, bounds, "right"), [len(distinct)]])
-            numbers = np.zeros(edge[-1], np.int64)
-            for a in row["answers"] or ():
-                s, e = edge[a["part"]], edge[a["part"] + 1]
-                if last:
-                    numbers[s:e] = np.unpackbits(np.frombuffer(a["numbers"], np.uint8), count=e - s)
+        for row in _each(batches):
+            found, every = numbered(row["answers"] or ()), []
+            for k, (a, _, block, names) in enumerate(sorted_at_once(row)):
+                # sorted again: their places would take more disk than the keys
+                _, place, where = keys_of(block, names, False)
+                numbers = found[k] if found else np.empty(0, np.int64)
+                if last:  # a smaller document may also lie in the block itself
+                    own = np.frombuffer(row["ids"], np.int64)[block.piece[where] + a]
+                    low = np.full(len(numbers), far)
+                    np.minimum.at(low, place, own)
+                    yield _gone(row, a, block, where[(numbers[place] > 0) | (low[place] < own)], span)
                 else:
-                    own = unplaned(a["numbers"], np.int64)
-                    numbers[s:e] = np.where(own > 0, own + first[a["part"]], 0)
-            if last:  # a smaller document may also lie in the block itself
-                own = np.frombuffer(row["ids"], np.int64)[block.piece[where]]
-                low = np.full(len(distinct), far)
-                np.minimum.at(low, place, own)
-                yield _gone(row, block, where[(numbers[place] > 0) | (low[place] < own)], span)
-            else:
-                names = np.zeros(len(block.data), _U)
-                names[where] = numbers[place].astype(_U)
-                yield _row(_PARTS, *(row[c] for c, _ in _PARTS[:-1]), planes(names))
+                    every.append(np.zeros(len(block.data), _U))
+                    every[-1][where] = numbers[place].astype(_U)
+            if not last:
+                yield _row(_PARTS, *(row[c] for c, _ in _PARTS[:-1]), planes(np.concatenate(every)))
 
     out = staged(blocks.join(lists, "block", "left").mapInArrow(joined, "key binary, s long, e long" if last else _PARTS_DDL))
     dropped(answers)
@@ -482,8 +534,8 @@ def _answered(blocks: DataFrame, sampled, keys_of, width: int, *, span: int = 0)
     return out
 
 
-def _gone(row: dict, block: Block, again: np.ndarray, span: int) -> pa.RecordBatch:
-    """The removed intervals of a block's stretches, as places in their texts."""
+def _gone(row: dict, piece: int, block: Block, again: np.ndarray, span: int) -> pa.RecordBatch:
+    """The removed intervals of stretches from this one on, as places in their texts."""
     edge = np.zeros(len(block.data) + 1, np.int64)
     hit = np.zeros(len(block.data), bool)
     hit[again] = True
@@ -498,7 +550,7 @@ def _gone(row: dict, block: Block, again: np.ndarray, span: int) -> pa.RecordBat
     end[:-1] &= ~gone[1:]
     end[block.ends - 1] |= gone[block.ends - 1]
     s, e = np.flatnonzero(begin[:-1]), np.flatnonzero(end[:-1]) + 1
-    k = block.piece[s]
+    k = block.piece[s] + piece
     base = np.frombuffer(row["offsets"], np.int64)[k]
     cols = [
         pa.array([row["keys"][16 * i : 16 * i + 16] for i in k.tolist()], pa.binary()),
@@ -529,10 +581,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _keys(keys_of, unique):
     """Of keys that are rows of numbers: a sample, and distinct ones with places and positions, as byte strings."""
 
-    def distinct(block: Block, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def distinct(block: Block, names: np.ndarray, text: bool = True) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
         keys, where = keys_of(block, names)
         rows, place = unique(keys)
-        return _sortable(rows), place, where
+        return _sortable(rows) if text else None, place, where
 
     return lambda block, names, every: _sortable(keys_of(block, names, every)[0]), distinct
 
@@ -561,7 +613,7 @@ def _cuts(keyed: DataFrame, span: int) -> tuple[DataFrame, DataFrame, DataFrame]
     dropped(stretches)
     with large_rows(spark):
         depth = 2 * TRIPLE if span >= 2 * TRIPLE + 2 else TRIPLE
-        blocks = _answered(blocks, lambda b, _, every, d=depth: b.rows(b.sampled(d)[::every], d), lambda b, _, d=depth: b.triples(d), depth // 8)
+        blocks = _answered(blocks, lambda b, _, every, d=depth: b.rows(b.sampled(d)[::every], d), lambda b, _, text=True, d=depth: b.triples(d, text), depth // 8)
         while 2 * depth + 2 <= span:
             blocks = _answered(blocks, *_keys(lambda b, names, every=1, d=depth: b.doubled(names, d, every), unique_rows), 2)
             depth *= 2

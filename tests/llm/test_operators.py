@@ -478,3 +478,35 @@ def test_suffix_dedup_at_the_edges_of_a_level(spark, monkeypatch, span):
                 gone[p : p + span] = True
         assert got[i] == gone.sum(), (span, i)
     assert len(levels) == (3 if span == 98 else 2)
+
+
+def test_suffix_dedup_ranges_of_fingerprints_are_even():
+    """Fingerprints are smallest hashes; the ranges that they are dealt to hold about equally many all the same."""
+    text = np.random.default_rng(5).integers(97, 123, 300_000).astype(np.uint8).tobytes()
+    row = {"ends": np.array([len(text)]).tobytes(), "data": text, "keys": bytes(16)}
+    *_, prints, _ = suffix_dedup._distinct_prints(row, 50)
+    many = np.bincount(suffix_dedup._range_of_print(prints, 40).astype(int), minlength=40)
+    assert len(prints) > 15_000 and many.max() < 1.5 * many.mean() and (np.diff(prints.astype(object)) > 0).all()
+
+
+def test_suffix_dedup_sorts_a_block_in_parts(spark, monkeypatch):
+    """What is sorted at once is less than what asks the ranges together: rows follow blocks and ranges alone, the result is that of brute force."""
+    for name, size in (("BLOCK", 3000), ("SORTED", 500), ("PART", 2000)):
+        monkeypatch.setattr(suffix_dedup, name, size)
+    shared = prose(503, 90)
+    rows = [(i, f"{prose(i, 9)}{shared[i * 3 : i * 3 + 60 + i % 4]}{prose(i + 900, 30)}") for i in range(40)] + [(40, shared * 3), (41, shared[:200])]
+    got = {r["id"]: r["n_removed"] for r in suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    first: dict[str, int] = {}
+    for i, t in rows:
+        for p in range(len(t) - 49):
+            first.setdefault(t[p : p + 50], i)
+    for i, t in rows:
+        gone = np.zeros(len(t), bool)
+        for p in range(len(t) - 49):
+            if first[t[p : p + 50]] < i:
+                gone[p : p + 50] = True
+        assert got[i] == gone.sum()
+    text = b"".join(t.encode() for _, t in rows)
+    row = {"ends": np.arange(400, len(text), 400).tobytes(), "data": text}
+    lists = [(a, s, len(block.data)) for a, s, block in suffix_dedup._runs(row)]
+    assert len(lists) > 5 and [s for _, s, _ in lists] == np.cumsum([0, *(n for *_, n in lists[:-1])]).tolist() and all(s == 400 * a for a, s, _ in lists)
