@@ -65,6 +65,11 @@ def large_rows(spark: SparkSession):
     return _settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.parquet.columnarReaderBatchSize": "4"})
 
 
+def small_batches(spark: SparkSession):
+    """For what runs inside, Python gets few bytes at a time, however long the rows."""
+    return _settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"})
+
+
 def shuffles_removed(spark: SparkSession):
     """Shuffle files of a table that is staged inside go, on all executors, once it is written."""
     return _settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})

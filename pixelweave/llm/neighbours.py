@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pixelweave.llm._common import dropped, ids_only, staged, table
+from pixelweave.llm._common import dropped, ids_only, small_batches, staged, table
 
 TOP = 20
 DEGREE, BACK = 28, 12  # neighbours a node keeps, and nodes that name it, in the graph that is searched
@@ -18,6 +18,8 @@ ROUNDS, STILL = 6, 0.05  # NN-descent ends when fewer than this share of neighbo
 BEAM, WIDEST = 128, 2048
 SEEDS = 32  # nodes anywhere in a graph that each search begins with besides its own place
 BLOCK = 512  # queries that search a graph together
+COPIED, TASKS = 16, 16  # blocks that one copy of a shard serves, where that leaves as many tasks as this
+SLICE = 2000  # nodes of a shard in a row: a shard is never one row, or Spark holds several copies of it in memory
 AUDIT, RECALL = 16, 0.97  # queries of a block held against brute force, and the share they must find before the beam is widened no more
 
 _WIDTH = DEGREE + BACK
@@ -128,7 +130,7 @@ def _backwards(forth: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def _packed(part: pa.Table) -> pa.Table:
-    """One shard as one row: ids in order, vectors, and each node's neighbours by their places (-1: none)."""
+    """One shard in rows of SLICE nodes: ids in order, vectors, and each node's neighbours by their places (-1: none)."""
     ids = part.column("u").to_numpy()
     order = np.argsort(ids)
     ids = ids[order]
@@ -138,8 +140,10 @@ def _packed(part: pa.Table) -> pa.Table:
     row = np.repeat(np.arange(len(ids)), counts)
     graph[row, np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)] = np.searchsorted(ids, flat)
     x = part.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]
-    made = {"shard": [part.column("shard")[0].as_py()], "ids": [ids.tobytes()], "vectors": [x.tobytes()], "graph": [graph[order].tobytes()]}
-    return pa.table({k: pa.array(v, pa.int64() if k == "shard" else pa.binary()) for k, v in made.items()})
+    graph, cuts = graph[order], range(0, len(ids), SLICE)
+    made = {"shard": [part.column("shard")[0].as_py()] * len(cuts), "slice": [*cuts]}
+    made |= {k: [v[c : c + SLICE].tobytes() for c in cuts] for k, v in (("ids", ids), ("vectors", x), ("graph", graph))}
+    return pa.table({k: pa.array(v, pa.int64() if k in ("shard", "slice") else pa.binary()) for k, v in made.items()})
 
 
 def greedy(graph: np.ndarray, x: np.ndarray, q: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
@@ -178,32 +182,40 @@ def greedy(graph: np.ndarray, x: np.ndarray, q: np.ndarray, starts: np.ndarray,
 
 def _ranked(x: np.ndarray, q: np.ndarray, places: np.ndarray, ids: np.ndarray, own: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each query's places the `keep` best by the product in double precision, ties to smaller ids, without the query itself."""
-    s = np.stack([x[p] @ v for p, v in zip(places, q, strict=True)])
+    s = np.stack([x[p].astype(np.float64, copy=False) @ v for p, v in zip(places, q, strict=True)])
     s = np.where((places < 0) | (ids[places] == own[:, None]), -np.inf, s)
     order = np.lexsort((ids[places], -s), axis=1)[:, :keep]
     return np.take_along_axis(places, order, 1), np.take_along_axis(s, order, 1)
 
 
-def _answers(top: int, keep: int, beam: int, recall: float):
-    """Searches of a block of queries in one shard: (u, w, s, audit)."""
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors in single precision over the length of the longest one, worked out in double precision, some at a time."""
+    parts = [slice(k, k + 4096) for k in range(0, len(x), 4096)]
+    double = lambda c: x[c].astype(np.float64, copy=False)
+    long = max(1e-300, *(float(np.sqrt((double(c) ** 2).sum(1).max())) for c in parts))
+    out = np.empty(x.shape, np.float32)
+    for c in parts:
+        out[c] = double(c) / long
+    return out
 
-    def run(held: pa.Table, asks: pa.Table) -> pa.Table:
-        if not held.num_rows or not asks.num_rows:
-            return pa.table({"u": pa.array([], pa.int64()), "w": pa.array([], pa.int64()), "s": pa.array([], pa.float64()), "audit": pa.array([], pa.float64())})
-        raw = {c: held.column(c)[0].as_py() for c in ("ids", "vectors", "graph")}
-        ids = np.frombuffer(raw["ids"], np.int64)
-        x, graph = np.frombuffer(raw["vectors"]).reshape(len(ids), -1), np.frombuffer(raw["graph"], np.int32).reshape(len(ids), -1)
-        own, q = asks.column("u").to_numpy(), asks.column("v").combine_chunks().flatten().to_numpy().reshape(asks.num_rows, -1)
+
+def _answers(top: int, keep: int, beam: int, recall: float, kind: type):
+    """Searches of blocks of queries in one shard, whose vectors are numbers of this kind: (u, w, s, audit)."""
+
+    def block(ids: np.ndarray, x: np.ndarray, small: np.ndarray, graph: np.ndarray, own: np.ndarray, q: np.ndarray) -> pa.Table:
         order = np.argsort(own)
         own, q = own[order], q[order]
-        long = max(float(np.sqrt((x * x).sum(1).max())), 1e-300)
-        small, ask = (x / long).astype(np.float32), (q / np.maximum(np.sqrt((q * q).sum(1, keepdims=True)), 1e-300)).astype(np.float32)
+        ask = (q / np.maximum(np.sqrt((q * q).sum(1, keepdims=True)), 1e-300)).astype(np.float32)
         home = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
         seeds = np.linspace(0, len(ids) - 1, min(SEEDS, len(ids))).astype(int)
         starts = np.concatenate([np.where(ids[home] == own, home, seeds[0])[:, None], np.broadcast_to(seeds, (len(q), len(seeds)))], axis=1)
         checked = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
-        all_places = np.broadcast_to(np.arange(len(ids)), (len(checked), len(ids)))
-        truth = _ranked(x, q[checked], all_places, ids, own[checked], top)
+
+        def scanned(at: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+            each = [_ranked(x, q[at[b : b + 4]], np.broadcast_to(np.arange(len(ids)), (len(at[b : b + 4]), len(ids))), ids, own[at[b : b + 4]], keep) for b in range(0, len(at), 4)]
+            return tuple(np.concatenate(c) for c in zip(*each, strict=True))
+
+        truth = scanned(checked, top)
         width = min(beam, len(ids))
         while True:
             found = np.concatenate([greedy(graph, small, ask[b : b + 128], starts[b : b + 128], width) for b in range(0, len(q), 128)])
@@ -215,8 +227,7 @@ def _answers(top: int, keep: int, beam: int, recall: float):
                 break
             width *= 2
         if audit < recall:  # a block's queries against a shard: bounded
-            each = [_ranked(x, q[b : b + 16], np.broadcast_to(np.arange(len(ids)), (len(q[b : b + 16]), len(ids))), ids, own[b : b + 16], keep) for b in range(0, len(q), 16)]
-            places, s = (np.concatenate(c) for c in zip(*each, strict=True))
+            places, s = scanned(np.arange(len(q)), keep)
         ok = np.isfinite(s)
         mine = np.flatnonzero(ids[home] == own)
         n = int(ok.sum()) + len(mine)
@@ -225,6 +236,22 @@ def _answers(top: int, keep: int, beam: int, recall: float):
             "s": np.append(s[ok], (q[mine] * q[mine]).sum(1)), "audit": np.full(n, audit),
         })
 
+    def run(held: pa.Table, asks: pa.Table) -> pa.Table:
+        empty = pa.table({"u": pa.array([], pa.int64()), "w": pa.array([], pa.int64()), "s": pa.array([], pa.float64()), "audit": pa.array([], pa.float64())})
+        if not held.num_rows or not asks.num_rows:
+            return empty
+        held = held.sort_by("slice")
+        joined = lambda c, kind: np.frombuffer(b"".join(held.column(c).to_pylist()), kind)
+        ids = joined("ids", np.int64)
+        x, graph = joined("vectors", kind).reshape(len(ids), -1), joined("graph", np.int32).reshape(len(ids), -1)
+        small, out = _scaled(x), [empty]
+        own, q = asks.column("u").to_numpy(), asks.column("v").combine_chunks().flatten().to_numpy().reshape(asks.num_rows, -1)
+        number = asks.column("block").to_numpy()
+        for b in np.unique(number).tolist():
+            at = np.flatnonzero(number == b)
+            out.append(block(ids, x, small, graph, own[at], q[at]))
+        return pa.concat_tables(out)
+
     return run
 
 
@@ -300,7 +327,7 @@ def nearest(
     smallest id. Classes are dealt at random into shards of at most about SHARD nodes; NN-descent
     builds a graph over each shard, all shards in the same joins, in a space with one more component
     that makes all lengths equal, so that near means a large inner product. Queries search the
-    shards in blocks, greedily, from their own class's place and a few seeds, on vectors of single
+    shards in blocks, COPIED of which share a copy of a shard, greedily, from their own class's place and a few seeds, on vectors of single
     precision; whole beams are then scored in double precision on the original vectors. Of each block
     AUDIT queries are held against brute force, and the beam is doubled until they find the share
     `recall`; if they don't at the widest, the block is answered by a product with its shard. Of a class
@@ -312,8 +339,15 @@ def nearest(
     no part, nor do null ids; ids must be whole numbers; rows that repeat an id count once. Other
     columns are ignored, whatever their names, and an empty table gives an empty result.
     """
+    with small_batches(vectors.sparkSession):
+        return _nearest(vectors, queries, vec_id, vector, top, beam, recall)
+
+
+def _nearest(vectors: DataFrame, queries: F.Column, vec_id: str, vector: str, top: int, beam: int, recall: float) -> DataFrame:
     spark = vectors.sparkSession
-    rows = ids_only(vectors, id=vec_id, v=vector).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    rows = ids_only(vectors, id=vec_id, v=vector)
+    single = dict(rows.dtypes)["v"] == "array<float>"
+    rows = rows.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
     usable = rows.where(
         F.col("id").isNotNull() & F.col("v").isNotNull()
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
@@ -342,15 +376,19 @@ def nearest(
     edges = forth.withColumn("rank", F.lit(0)).unionByName(back.withColumn("rank", F.lit(1))).groupBy("node", "nb").agg(F.min("rank").alias("rank"))
     each = F.sort_array(F.collect_list(F.struct("rank", F.xxhash64("nb").alias("h"), "nb")))
     near = edges.groupBy(F.col("node").alias("u")).agg(F.transform(F.slice(each, 1, _WIDTH), lambda e: e["nb"]).alias("near"))
-    worlds = staged(dealt.join(near, "u", "left").select("u", "shard", "v", "near").groupBy("shard").applyInArrow(_packed, "shard long, ids binary, vectors binary, graph binary"))
+    held = F.col("v").cast("array<float>" if single else "array<double>").alias("v")  # no longer than they came
+    packed = dealt.join(near, "u", "left").select("u", "shard", held, "near").groupBy("shard")
+    worlds = staged(packed.applyInArrow(_packed, "shard long, slice long, ids binary, vectors binary, graph binary"))
     asking = usable.where(queries).select(F.col("id").alias("query_id"), "key")
     asks = staged(asking.select("key").distinct().join(classes, "key").select("u", "v"))
     blocks = max(1, -(-asks.count() // BLOCK))
-    block = F.pmod(F.xxhash64(F.lit(11), "u"), F.lit(blocks))
+    groups = min(blocks, max(-(-blocks // COPIED), -(-TASKS // shards)))
+    block = F.pmod(F.xxhash64(F.lit(11), "u"), F.lit(blocks)).cast("long")
     up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = worlds.withColumn("block", up_to(blocks))
-    right = asks.select("u", "v", block.cast("long").alias("block"), up_to(shards).alias("shard"))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_answers(top, 2 * top, beam, recall), "u long, w long, s double, audit double")
+    left = worlds.withColumn("group", up_to(groups))
+    right = asks.select("u", "v", block.alias("block"), (block % groups).alias("group"), up_to(shards).alias("shard"))
+    answers = _answers(top, 2 * top, beam, recall, np.float32 if single else np.float64)
+    found = left.groupBy("shard", "group").cogroup(right.groupBy("shard", "group")).applyInArrow(answers, "u long, w long, s double, audit double")
     found = staged(found)
     audits = found.groupBy("u").agg(F.avg("audit").alias("audit"))
     # the best classes, and the query's own: its copies

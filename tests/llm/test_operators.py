@@ -510,3 +510,21 @@ def test_suffix_dedup_sorts_a_block_in_parts(spark, monkeypatch):
     row = {"ends": np.arange(400, len(text), 400).tobytes(), "data": text}
     lists = [(a, s, len(block.data)) for a, s, block in suffix_dedup._runs(row)]
     assert len(lists) > 5 and [s for _, s, _ in lists] == np.cumsum([0, *(n for *_, n in lists[:-1])]).tolist() and all(s == 400 * a for a, s, _ in lists)
+
+
+def test_neighbours_shards_are_rows_of_few_nodes():
+    """A shard is sent in slices, not as one row, and answers all blocks of queries that come with it as a scan does."""
+    rng = np.random.default_rng(6)
+    n = 2 * neighbours.SLICE + 500
+    x, ids = rng.normal(size=(n, 8)).astype(np.float32), rng.permutation(n).astype(np.int64)
+    near = [rng.choice(ids, 5, replace=False).tolist() for _ in range(n)]
+    part = pa.table({"u": ids, "shard": np.zeros(n, np.int64), "v": pa.array(x.tolist(), pa.list_(pa.float32())), "near": pa.array(near, pa.list_(pa.int64()))})
+    held = neighbours._packed(part)
+    assert held.num_rows == 3 and max(len(r) for r in held.column("ids").to_pylist()) == 8 * neighbours.SLICE
+    asks = pa.table({"u": ids[:30], "v": pa.array(x[:30].astype(float).tolist(), pa.list_(pa.float64())), "block": np.arange(30) % 3})
+    got = neighbours._answers(5, 10, 4, 1.1, np.float32)(held.take([2, 0, 1]), asks).to_pandas()
+    for k in range(30):
+        s = x.astype(float) @ x[k].astype(float)
+        s[k] = -np.inf
+        mine = got[(got["u"] == ids[k]) & (got["w"] != ids[k])].sort_values("s", ascending=False)
+        assert mine["w"].tolist() == ids[np.argsort(-s)[:10]].tolist()
